@@ -91,7 +91,8 @@ def slots(sources: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
         .withColumn("_total", F.sum("_slots").over(W.partitionBy()))
         .where("_slots > 0")
     )
-    runs = planned.withColumn("_run", F.explode(F.sequence(one * 0, F.floor((F.col("_slots") - 1) / 1024)))).repartition("rank", "_run")
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as runs are few but their slots are many
+    runs = planned.withColumn("_run", F.explode(F.sequence(one * 0, F.floor((F.col("_slots") - 1) / 1024)))).repartition(tasks, "rank", "_run")
     each = runs.withColumn("_j", F.explode(F.sequence(F.col("_run") * 1024, F.least(F.col("_run") * 1024 + 1023, F.col("_slots") - 1))))
     each = each.withColumn("_pass", F.floor(F.col("_j") / F.col("_blocks"))).withColumn("_i", F.pmod("_j", "_blocks"))
     last = F.col("_i") == F.col("_blocks") - 1
@@ -146,7 +147,7 @@ def mix_table(
     b = F.lit(block_words).cast("long")
     touched = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("_from") / b), F.floor((F.col("_to") - 1) / b)))
     in_blocks = placed.select("*", F.explode_outer(touched).alias("block"))
-    drawn = slots(sources, block_words, shard_slots).select("rank", "block", "words")
+    drawn = slots(sources, block_words, shard_slots).select("rank", "block", "words").hint("merge")  # slots grow with the input: never broadcast
     got = F.greatest(F.lit(0), F.least(F.col("_to"), F.col("block") * b + F.col("words")) - F.greatest(F.col("_from"), F.col("block") * b))
     per_row = in_blocks.join(drawn, ["rank", "block"], "left").groupBy("rank", "chunk", "_row", "_id", "source", "size", "source_size", "target")
     taken = F.sum(F.when(F.col("words").isNotNull(), got))  # least() and greatest() pass over nulls
