@@ -13,13 +13,14 @@ Both permutations are swap-or-not networks: closed-form bijections on any range,
 so that no slot depends on another one and reruns agree.
 
 Scale: slots and blocks are words / block_words rows of a few numbers; texts
-never shuffle in :func:`mix_table`. Stream offsets come from sums over chunks of
-about ``CHUNK_ROWS`` rows, so a source with a third of all rows spreads like any
-other. Only the table of sources (one row each) is sorted as a whole.
+never shuffle in :func:`mix_table`. Stream offsets come from sums over as many
+chunks as the root of the row count, so a source with a third of all rows spreads
+like any other and neither a chunk nor a source's list of chunks grows large. Only the table of sources (one row each) is sorted as a whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from fieldcube.llm import scratch
 
-CHUNK_ROWS = 4096
 ROUNDS = 12
 #: Rows of the table of sources up to which it is broadcast; beyond, joins shuffle.
 BROADCAST_SOURCES = 100_000
@@ -128,7 +128,7 @@ def mix_table(
     own. Rows with equal ids count each for themselves. Texts without words and
     sources without words take 0; an empty table gives no rows.
     """
-    chunks = max(16, docs.count() // CHUNK_ROWS + 1)
+    chunks = math.isqrt(docs.count()) + 1
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sized = scratch.table(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), words.alias("size")), "mix-sizes")
     sources = scratch.table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-sources")
