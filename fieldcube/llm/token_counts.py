@@ -57,15 +57,16 @@ def count_sections(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
         known = tokens.cache(tokenizer, True)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for i in range(0, len(texts), 64):
-                out = [[], [], [], [], []]
-                for doc_id, text, (pieces, spans) in zip(ids[i : i + 64], texts[i : i + 64], known.encode(texts[i : i + 64]), strict=True):
-                    begins = np.cumsum([0] + [len(x) for x in pieces[:-1]])
-                    at = np.frombuffer(b"".join(spans), "<i4").reshape(-1, 2) + np.repeat(begins, [len(x) // 8 for x in spans])[:, None]
+            done = 0
+            for spans, counts in known.encode(texts):
+                out, at = [[], [], [], [], []], 0
+                for doc_id, text, n in zip(ids[done:], texts[done:], counts.tolist(), strict=False):
                     bounds = section_bounds(text)
-                    found = attribute(at[:, 0], at[:, 1], bounds)
+                    found = attribute(spans[at : at + n, 0], spans[at : at + n, 1], bounds)
+                    at += n
                     for column, values in zip(out, ([doc_id] * len(found), range(len(found)), bounds[:-1].tolist(), bounds[1:].tolist(), found.tolist()), strict=True):
                         column.extend(values)
+                done += len(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "section", "start", "end", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(count, SCHEMA)

@@ -1,11 +1,12 @@
 """Token ids and spans of whole texts with a public tokenizer file, one tokenizer a Python worker.
 
-A text splits at single spaces between other characters. Both pre-tokenizers
-(byte-level, where a space belongs to the word after it, and word-end, which
-drops white space) always split there, so that the ids of a text are those of
-its pieces in turn. Pieces repeat, so each worker keeps their ids; the pieces it
-lacks are encoded together, between copies of the tokenizer's end token, at
-which the library splits before anything else.
+A text splits at single spaces between other characters, and a piece between
+runs of letters, digits and signs. Both pre-tokenizers (byte-level, where a space
+belongs to the word after it, and word-end, which drops white space) always split
+there, so that the ids of a text are those of its parts in turn. Pieces with an
+apostrophe or characters beyond Latin-1 aren't split further. Parts repeat, so
+each worker keeps their ids; those it lacks are encoded together, between copies
+of the tokenizer's end token, at which the library splits before anything else.
 """
 
 from __future__ import annotations
@@ -16,44 +17,46 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPLIT = re.compile(r" (?=\S)(?<=\S )")
+LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+#: A piece that splits into runs, single line feeds between them; its runs, a space before the first.
+PLAIN = re.compile(rf" ?(?:{LETTERS}++|[0-9]++|{SIGNS}++)(?:\n?(?:{LETTERS}++|[0-9]++|{SIGNS}++))*+")
+RUNS = re.compile(rf" ?{LETTERS}+| ?[0-9]+| ?{SIGNS}+|\n")
+#: A space beside other white space or at an end, after the NUL at the start.
+ODD = "[\\s\\x1c-\\x1f\\x0b\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] | [\\s\\x1c-\\x1f\\x0b\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]| \\z|\\A\\x00 "
 END = "<|endoftext|>"
-#: Pieces that a worker keeps at most, about 120 bytes each; beyond it, it starts anew.
-KEEP = 500_000
-TOGETHER = 500
+#: Characters that are encoded together.
+BATCH_CHARS = 4_000_000
+#: Pieces, and runs, that a worker keeps at most, about 150 bytes each; beyond it, it starts anew.
+KEEP = 700_000
+TOGETHER = 200
 #: Longest piece that is kept.
 KEEP_CHARS = 200
 
 
 class PieceCache(dict):
-    """Piece -> bytes: ids as little-endian uint32, or with ``spans`` start and end of each token as int32 pairs."""
+    """Piece -> bytes: ids as little-endian uint32, or with ``spans`` start and end of each token as int32 pairs.
+
+    Pieces after the first of a text are kept without the space before them, a first piece with a NUL before it.
+    """
 
     def __init__(self, path: str, spans: bool = False):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spans = Tokenizer.from_file(path), spans
+        self.tokenizer, self.spans, self.runs = Tokenizer.from_file(path), spans, {}
         self.end = self.tokenizer.token_to_id(END)
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.folds = not spans and ids("A") == ids("a")
+        self.spaced = spans or ids(" a") != ids("a")
 
-    def one(self, piece: str) -> bytes:
-        found = self.tokenizer.encode(piece, add_special_tokens=False)
-        return np.array(found.offsets if self.spans else found.ids, "<i4" if self.spans else "<u4").tobytes()
-
-    def pieces(self, text: str) -> list[str]:
-        first, *rest = SPLIT.split(text)
-        return [first, *[" " + x for x in rest]]
-
-    def learn(self, missing: list[str]) -> None:
-        """Encode pieces that aren't kept yet."""
-        plain = []
-        for x in missing:
-            if END in x or len(x) > KEEP_CHARS:
-                self[x] = self.one(x)
-            else:
-                plain.append(x)
+    def together(self, missing: list[str], into: dict[str, bytes]) -> None:
+        """Encode texts without the end token, and keep what they have."""
         encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        groups = [missing[i : i + TOGETHER] for i in range(0, len(missing), TOGETHER)]
         for group, found in zip(groups, encode([END.join(g) + END for g in groups], add_special_tokens=False), strict=True):
             ends = np.flatnonzero(np.array(found.ids, "<u4") == self.end)
             if self.spans:
@@ -64,23 +67,98 @@ class PieceCache(dict):
             else:
                 raw, width = np.array(found.ids, "<u4").tobytes(), 4
             at = 0
-            for piece, stop in zip(group, (ends * width).tolist(), strict=True):
-                self[piece] = raw[at:stop]
+            for text, stop in zip(group, (ends * width).tolist(), strict=True):
+                into[text] = raw[at:stop]
                 at = stop + width
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:
-        """For each text its pieces and their bytes."""
-        split = [self.pieces(x) for x in texts]
-        missing = list(set(chain.from_iterable(split)).difference(self))
-        if len(self) + len(missing) > KEEP:
-            self.clear()
-            missing = list(set(chain.from_iterable(split)))
-        self.learn(missing)
-        for pieces in split:
-            yield pieces, [self[x] for x in pieces]
-        for x in missing:
-            if len(x) > KEEP_CHARS:
-                del self[x]
+    def join(self, runs: list[str]) -> bytes:
+        if not self.spans:
+            return b"".join([self.runs[r] for r in runs])
+        at, out = 0, []
+        for r in runs:
+            out.append((np.frombuffer(self.runs[r], "<i4") + np.int32(at)).tobytes())
+            at += len(r)
+        return b"".join(out)
+
+    def learn(self, missing: list[str]) -> None:
+        """Encode pieces that aren't kept yet."""
+        split, others, odd = {}, [], []
+        for key in missing:
+            text = key[1:] if key[:1] == "\0" else " " + key if self.spaced else key
+            if len(text) <= KEEP_CHARS and PLAIN.fullmatch(text) and END not in text:
+                split[key] = RUNS.findall(text.lower() if self.folds else text)
+            else:
+                (odd if END in text or "\0" in key[1:] or len(text) > KEEP_CHARS else others).append((key, text))
+        runs = [r for r in set(chain.from_iterable(split.values())) if r not in self.runs]
+        if len(self.runs) + len(runs) > KEEP:
+            self.runs.clear()
+            runs = list(set(chain.from_iterable(split.values())))
+        self.together(runs, self.runs)
+        for key, found in split.items():
+            self[key] = self.join(found)
+        whole: dict[str, bytes] = {}
+        self.together([text for _, text in others], whole)
+        for key, text in others:
+            self[key] = whole[text]
+        for key, text in odd:
+            found = self.tokenizer.encode(text, add_special_tokens=False)
+            self[key] = np.array(found.offsets if self.spans else found.ids, "<i4" if self.spans else "<u4").tobytes()
+
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """What each of these different pieces has."""
+        got = list(map(self.get, pieces))
+        missing = [p for p, x in zip(pieces, got, strict=True) if x is None]
+        if missing:
+            if len(self) + len(missing) > KEEP:
+                self.clear()
+            self.learn(missing)
+            got = [self[p] if x is None else x for p, x in zip(pieces, got, strict=True)]
+            for x in missing:
+                if len(x) > KEEP_CHARS:
+                    del self[x]
+        return got
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For runs of texts in turn: their tokens (ids, or starts and ends in the text), and how many each text has."""
+        while texts:
+            n, chars = 0, 0
+            while n < len(texts) and (n == 0 or chars + len(texts[n]) <= BATCH_CHARS):
+                chars += len(texts[n])
+                n += 1
+            yield self._encode(texts[:n])
+            texts = texts[n:]
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        array = pa.array(["\0" + x for x in texts] if self.spaced else texts, pa.large_string())
+        words = pc.split_pattern(array, " ")
+        if self.spaced:
+            odd = np.flatnonzero(pc.match_substring_regex(array, ODD).to_numpy(zero_copy_only=False))
+            if len(odd):  # spaces beside other white space: split with care
+                lists = words.to_pylist()
+                for i in odd:
+                    lists[i] = SPLIT.split(texts[i])
+                    lists[i][0] = "\0" + lists[i][0]
+                words = pa.array(lists, pa.large_list(pa.large_string()))
+        per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        code, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        got = self.known(pieces)
+        width = 8 if self.spans else 4
+        size = np.fromiter(map(len, got), np.int64, len(got)) // width
+        flat = np.frombuffer(b"".join(got), "<i4" if self.spans else "<u4").reshape(-1, 2 if self.spans else 1)
+        each = size[code]
+        first = np.cumsum(size) - size
+        at = np.arange(each.sum()) + np.repeat(first[code] - (np.cumsum(each) - each), each)
+        tokens, starts = flat[at], np.cumsum(per_text) - per_text
+        if self.spans:
+            length = np.fromiter(map(len, pieces), np.int64, len(pieces))[code] + 1  # with its space; a first piece has its NUL
+            length[starts] -= 2
+            begin = np.cumsum(length) - length
+            begin -= np.repeat(begin[starts], per_text)
+            tokens = tokens + np.repeat(begin, each)[:, None]
+        else:
+            tokens = tokens[:, 0]
+        return tokens, np.add.reduceat(each, starts) if len(starts) else each[:0]
 
 
 @lru_cache(maxsize=4)
@@ -89,11 +167,11 @@ def cache(path: str, spans: bool = False) -> PieceCache:
     return PieceCache(path, spans)
 
 
-def encode_ids(path: str, texts: list[str | None], end_id: int, group: int = 64) -> Iterator[bytes]:
+def encode_ids(path: str, texts: list[str | None], end_id: int) -> Iterator[bytes]:
     """Each text's ids and ``end_id`` as little-endian uint32; null counts as empty."""
     end = np.array([end_id], "<u4").tobytes()
-    known = cache(path)
-    for i in range(0, len(texts), group):
-        for _, ids in known.encode([x or "" for x in texts[i : i + group]]):
-            ids.append(end)
-            yield b"".join(ids)
+    for tokens, counts in cache(path).encode([x or "" for x in texts]):
+        raw, at = memoryview(tokens.tobytes()), 0
+        for stop in (4 * np.cumsum(counts)).tolist():
+            yield bytes(raw[at:stop]) + end
+            at = stop
