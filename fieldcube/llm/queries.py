@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldcube.llm import exact_dedup, mixing, packing, sstable, token_counts
+from fieldcube.llm import exact_dedup, html_text, mixing, packing, sstable, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +24,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(_read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score_table(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_sections(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -42,6 +51,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op4_html_text": op4_html_text,
     "op5_token_counts": op5_token_counts,
     "op6_token_shards": op6_token_shards,
     "op8_mixing": op8_mixing,
