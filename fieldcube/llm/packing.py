@@ -155,7 +155,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, *, id_col:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], [], []]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode_ids(tokenizer, batch.column(1).to_pylist(), end_id), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode_ids(tokenizer, batch.column(1), end_id), strict=True):
                 n = len(ids) // 4
                 first = n % capacity or capacity if n > capacity else n
                 bounds = [0, *range(first, n + 1, capacity)]

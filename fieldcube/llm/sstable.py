@@ -181,7 +181,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, *, i
                 where.create_dir(base)
                 out = where.open_output_stream(temporary)
                 writer = ShardWriter(out)
-            ids = tokens.encode_ids(tokenizer, batch.column(1).to_pylist(), end_id)
+            ids = tokens.encode_ids(tokenizer, batch.column(1), end_id)
             for doc_id, found in zip(batch.column(0).to_pylist(), ids, strict=True):
                 writer.add(key_of(doc_id), found)
         if writer is not None:

@@ -58,7 +58,7 @@ def count_sections(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             done = 0
-            for spans, counts in known.encode(texts):
+            for spans, counts in known.encode(batch.column(1)):
                 out, at = [[], [], [], [], []], 0
                 for doc_id, text, n in zip(ids[done:], texts[done:], counts.tolist(), strict=False):
                     bounds = section_bounds(text)

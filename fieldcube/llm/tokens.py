@@ -28,8 +28,8 @@ RUNS = re.compile(rf" ?{LETTERS}+| ?[0-9]+| ?{SIGNS}+|\n")
 #: A space beside other white space or at an end, after the NUL at the start.
 ODD = "[\\s\\x1c-\\x1f\\x0b\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] | [\\s\\x1c-\\x1f\\x0b\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]| \\z|\\A\\x00 "
 END = "<|endoftext|>"
-#: Characters that are encoded together.
-BATCH_CHARS = 4_000_000
+#: Bytes of text that are encoded together.
+BATCH_BYTES = 8_000_000
 #: Pieces, and runs, that a worker keeps at most, about 150 bytes each; beyond it, it starts anew.
 KEEP = 700_000
 TOGETHER = 200
@@ -118,25 +118,26 @@ class PieceCache(dict):
                     del self[x]
         return got
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For runs of texts in turn: their tokens (ids, or starts and ends in the text), and how many each text has."""
-        while texts:
-            n, chars = 0, 0
-            while n < len(texts) and (n == 0 or chars + len(texts[n]) <= BATCH_CHARS):
-                chars += len(texts[n])
-                n += 1
-            yield self._encode(texts[:n])
-            texts = texts[n:]
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        array = pa.array(["\0" + x for x in texts] if self.spaced else texts, pa.large_string())
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For runs of texts in turn: their tokens (ids, or starts and ends in the text), and how many each text has. Null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, "right")))
+            yield self._encode(texts.slice(at, stop - at))
+            at = stop
+
+    def _encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.spaced:
+            array = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), array, pa.scalar("", pa.large_string()))
         words = pc.split_pattern(array, " ")
         if self.spaced:
             odd = np.flatnonzero(pc.match_substring_regex(array, ODD).to_numpy(zero_copy_only=False))
             if len(odd):  # spaces beside other white space: split with care
                 lists = words.to_pylist()
                 for i in odd:
-                    lists[i] = SPLIT.split(texts[i])
+                    lists[i] = SPLIT.split(array[i].as_py()[1:])
                     lists[i][0] = "\0" + lists[i][0]
                 words = pa.array(lists, pa.large_list(pa.large_string()))
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -167,10 +168,10 @@ def cache(path: str, spans: bool = False) -> PieceCache:
     return PieceCache(path, spans)
 
 
-def encode_ids(path: str, texts: list[str | None], end_id: int) -> Iterator[bytes]:
+def encode_ids(path: str, texts: pa.Array, end_id: int) -> Iterator[bytes]:
     """Each text's ids and ``end_id`` as little-endian uint32; null counts as empty."""
     end = np.array([end_id], "<u4").tobytes()
-    for tokens, counts in cache(path).encode([x or "" for x in texts]):
+    for tokens, counts in cache(path).encode(texts):
         raw, at = memoryview(tokens.tobytes()), 0
         for stop in (4 * np.cumsum(counts)).tolist():
             yield bytes(raw[at:stop]) + end
