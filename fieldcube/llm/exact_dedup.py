@@ -55,8 +55,8 @@ def split(placed: DataFrame, bloom: DataFrame) -> DataFrame:
     return tested.withColumn("_maybe", F.coalesce(F.col("_set").bitwiseAND(F.col("_bits")) == F.col("_bits"), F.lit(False))).drop("_set", "_block", "_bits")
 
 
-def _marks(digests: DataFrame, max_blocks: int) -> DataFrame:
-    """Rows of ``digests`` (_id, _row, _sha) with keep_id, group_size, kept."""
+def marked_rows(digests: DataFrame, max_blocks: int) -> DataFrame:
+    """Rows of ``digests`` (_id, _row, _sha) with keep_id, keep_row, group_size, kept."""
     placed = with_place(digests, "_sha", filter_blocks(digests.count(), max_blocks))
     tested = split(placed, repeated_filter(placed))
     candidates = scratch.table(tested.where("_maybe").drop("_maybe"), "dedup-candidates")
@@ -64,11 +64,11 @@ def _marks(digests: DataFrame, max_blocks: int) -> DataFrame:
     groups = scratch.table(candidates.groupBy("_sha").agg(first.alias("_first"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     hot = F.col("group_size") * HOT > candidates.count()
     kept = F.col("_row") == F.col("_first.row")
-    out = ["_id", "_row", "_sha", F.col("_first.id").alias("keep_id"), "group_size", kept.alias("kept")]
+    out = ["_id", "_row", "_sha", F.col("_first.id").alias("keep_id"), F.col("_first.row").alias("keep_row"), "group_size", kept.alias("kept")]
     in_hot = candidates.join(F.broadcast(groups.where(hot)), "_sha").select(*out)
     rest = candidates.join(F.broadcast(groups.where(hot).select("_sha")), "_sha", "left_anti")
     in_rest = rest.join(groups.where(~hot), "_sha").select(*out)
-    alone = tested.where("not _maybe").select("_id", "_row", "_sha", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    alone = tested.where("not _maybe").select("_id", "_row", "_sha", F.col("_id").alias("keep_id"), F.col("_row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     return alone.unionByName(in_hot).unionByName(in_rest)
 
 
@@ -80,7 +80,7 @@ def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max
     ``docs``, whatever their names, don't matter. An empty table gives no rows.
     """
     digests = scratch.table(docs.select(F.col(id_col).alias("_id"), text_digest(F.col(text_col)).alias("_sha")).withColumn("_row", F.monotonically_increasing_id()), "dedup-digests")
-    return _marks(digests, max_blocks).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"))
+    return marked_rows(digests, max_blocks).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = 1 << 22) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldcube.llm import exact_dedup, html_text, mixing, packing, sstable, token_counts, toxicity
+from fieldcube.llm import exact_dedup, html_text, mixing, ngram_join, packing, sstable, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +24,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(_read(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(_read(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score_table(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
@@ -51,6 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op4_html_text": op4_html_text,
     "op5_token_counts": op5_token_counts,
