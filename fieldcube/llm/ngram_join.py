@@ -288,4 +288,4 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFra
     """
     linked = link(docs, id_col=id_col, **options)
     gone = linked.where(~F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldcube.llm import exact_dedup, html_text, mixing, ngram_join, packing, sstable, token_counts, toxicity
+from fieldcube.llm import exact_dedup, html_text, mixing, ngram_join, packing, pii, sstable, syncmers, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,10 +45,18 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_edited(_read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_read(spark, sf_dir, "documents")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -60,7 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op5_token_counts": op5_token_counts,
     "op6_token_shards": op6_token_shards,
+    "op7_syncmers": op7_syncmers,
     "op8_mixing": op8_mixing,
+    "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
 
