@@ -6,7 +6,7 @@ A ring is an array of structs (px, py), its first point repeated at the end.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -141,22 +141,27 @@ def rings_intersect(a: Column, b: Column) -> Column:
     return touching | in_ring(a[0]["px"], a[0]["py"], b) | in_ring(b[0]["px"], b[0]["py"], a)
 
 
-def clipped(subject: Column, window: Sequence[Point]) -> Column:
-    """A ring clipped to a convex window (counter-clockwise, closed), edge by edge; an empty array if nothing is left."""
-    out = F.slice(subject, 1, F.size(subject) - 1)
-    for (x1, y1), (x2, y2) in zip(window, window[1:], strict=False):
-        inside = lambda p, x1=x1, y1=y1, x2=x2, y2=y2: (x2 - x1) * (p["py"] - y1) - (y2 - y1) * (p["px"] - x1)
+def _clip_edge(a: Point, b: Point) -> Callable[[Column], Column]:
+    """Clips an open ring to the left of the line from a to b."""
+    side = lambda p: (b[0] - a[0]) * (p["py"] - float(a[1])) - (b[1] - a[1]) * (p["px"] - float(a[0]))
+
+    def step(points: Column, i: Column) -> Column:
+        p, q = F.get(points, F.pmod(i - 1, F.size(points))), F.get(points, i)
+        u, v = side(p), side(q)
+        k = u / F.nullif(u - v, F.lit(0.0))
+        met = F.struct((p["px"] + k * (q["px"] - p["px"])).alias("px"), (p["py"] + k * (q["py"] - p["py"])).alias("py"))
+        return F.when((v >= 0) & (u < 0), F.array(met, q)).when(v >= 0, F.array(q)).when(u >= 0, F.array(met)).otherwise(F.slice(points, 1, 0))
 
-        def step(i: Column, points: Column, inside=inside) -> Column:
-            p, q = F.get(points, F.pmod(i - 1, F.size(points))), F.get(points, i)
-            a, b = inside(p), inside(q)
-            k = a / F.nullif(a - b, F.lit(0.0))
-            met = F.struct((p["px"] + k * (q["px"] - p["px"])).alias("px"), (p["py"] + k * (q["py"] - p["py"])).alias("py"))
-            none = F.slice(points, 1, 0)
-            return F.when((b >= 0) & (a < 0), F.array(met, q)).when(b >= 0, F.array(q)).when(a >= 0, F.array(met)).otherwise(none)
+    def clip(points: Column) -> Column:
+        all_ = F.flatten(F.transform(F.sequence(F.lit(0), F.size(points) - 1), lambda i: step(points, i)))
+        return F.when(F.size(points) > 0, all_).otherwise(points)
 
-        def cut(points: Column, step=step) -> Column:
-            return F.when(F.size(points) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(points) - 1), lambda i: step(i, points)))).otherwise(points)
+    return clip
 
-        out = F.transform(F.array(out), cut)[0]
+
+def clipped(subject: Column, window: Sequence[Point]) -> Column:
+    """A ring clipped to a convex window (counter-clockwise, closed), edge by edge; an empty array if nothing is left."""
+    out = F.slice(subject, 1, F.size(subject) - 1)
+    for a, b in zip(window, window[1:], strict=False):
+        out = F.transform(F.array(out), _clip_edge(a, b))[0]
     return F.transform(F.array(out), lambda p: F.when(F.size(p) > 2, F.concat(p, F.array(F.get(p, F.lit(0))))).otherwise(F.slice(p, 1, 0)))[0]
