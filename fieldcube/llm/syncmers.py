@@ -110,12 +110,14 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     prints = made.groupBy("key").agg(F.first("fp").alias("fp"))
     pairs = next_of.join(prints.select(F.col("key").alias("next_key"), F.col("fp").alias("next_fp")), "next_key")
     third = F.floor(F.col("n") / 3).cast("int")
-    starts = texts.join(pairs.withColumnRenamed("key", "for"), F.col("key") == F.col("next_key")).select("for", "next_fp", "n", F.substring("text", F.lit(1), third).alias("start"))
+    keyed = texts.select("key", "text")  # the same exchange serves both joins
+    starts = keyed.join(pairs.withColumnRenamed("key", "for"), F.col("key") == F.col("next_key")).select("for", "next_fp", "n", F.substring("text", F.lit(1), third).alias("start"))
     starts = starts.groupBy("for").agg(F.first("next_fp").alias("next_fp"), F.first("n").alias("n"), F.first("start").alias("start"))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - third).cast("int")), F.col("start"))
-    full = texts.join(starts, F.col("key") == F.col("for")).select("id", "key", "n", "next_fp", edited.alias("edited"))
-    full = full.select("id", "key", "n", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
-    return full.join(prints, "key").select(
+    full = keyed.join(starts, F.col("key") == F.col("for")).select("key", "next_fp", edited.alias("edited"))
+    full = full.select("key", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
+    full = full.groupBy("key").agg(*[F.first(c).alias(c) for c in ("next_fp", "edited_sha256", "edited_fp")])
+    return made.join(full, "key").select(
         F.col("id").alias(id_col), F.col("n").alias("n_chars"), "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
