@@ -1,8 +1,8 @@
 """N-gram Jaccard join by parity sketches.
 
 A document's set holds its distinct word shingles, as 64-bit hashes. Each is
-XOR-ed into a sketch: bit (hash mod 512) of a 512-bit one, and one of P words of
-64 bits. An element in one set only changes at most one bit, and at most one word,
+XOR-ed into sketches: a bit of one whose length is about eight times the difference
+allowed, a power of two that folds to 512 bits, and one of P words of 64 bits. An element in one set only changes at most one bit, and at most one word,
 so the Hamming distance of the sketches is a lower bound of the symmetric
 difference. Two sets of sizes a and b with similarity s differ in at most
 (a + b)(1 - s)/(1 + s) elements. Sizes fall into bands that grow by 1/s, so that
@@ -13,9 +13,9 @@ and the words are the join keys.
 Documents with equal word sequences are one class, and only its first one joins.
 1. Keys that occur once are left out by a Bloom filter before anything shuffles.
 2. Each key's members meet its leader, the one that shares most keys; pairs whose
-   sketches are close enough are verified on the sets.
+   long sketches are close enough are verified on the sets.
 3. Members of a key that are in different components by then meet each other, in
-   blocks of ``BLOCK``, by their sketches; again the close ones are verified.
+   blocks of ``BLOCK``, by their 512 bits; again the close ones are verified.
 So every link is either verified or within a component that is known, and a group
 of near copies makes pairs in proportion to its size. Components are labelled by
 the smallest id that links reach.
@@ -108,12 +108,22 @@ def sketch_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The 512-bit parity sketch."""
-    bit = np.bincount((shingles & np.uint64(64 * SIGNATURE_WORDS - 1)).astype(np.int64), minlength=64 * SIGNATURE_WORDS) & 1
+def signature(shingles: np.ndarray, words: int = SIGNATURE_WORDS) -> np.ndarray:
+    """The parity sketch of 64 * ``words`` bits, a power of two; the sketch of half as many is the XOR of its halves."""
+    bit = np.bincount((shingles & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bit.astype(np.uint8)).view(np.uint64)
 
 
+def wide_words(size: int, percent: int) -> int:
+    """Words of a set's long sketch."""
+    return max(SIGNATURE_WORDS, 1 << int(bands(percent).allowed(size, size) // 8).bit_length())
+
+
+def folded(wide: np.ndarray) -> np.ndarray:
+    """The 512 bits of a long sketch."""
+    return np.bitwise_xor.reduce(wide.reshape(-1, SIGNATURE_WORDS), 0)
+
+
 def word_hashes(text: Column) -> Column:
     """64-bit hashes of a text's words, A-Z in lower case."""
     return F.transform(F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), 0), lambda w: F.xxhash64(w))
@@ -133,43 +143,56 @@ def _int_lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows (_id, _row, _words) to _id, _row, _sha (of the word sequence), n, sig, keys."""
+    """Rows (_id, _row, _words) to _id, _row, _sha (of the word sequence), n, sig, wide, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, counts, sigs, keys = [], [], [], []
+            digests, counts, sigs, wides, keys = [], [], [], [], []
             for words in _lists(batch.column(2)):
                 s = shingle_set(words, size)
                 digests.append(xxhash.xxh3_128_hexdigest(words.tobytes()))
                 counts.append(len(s))
-                sigs.append(signature(s))
+                wides.append(signature(s, wide_words(len(s), percent)))
+                sigs.append(folded(wides[-1]))
                 keys.append(sketch_keys(s, percent) if len(s) else s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(counts, pa.int64()), _int_lists(sigs), _int_lists(keys)], names=["_id", "_row", "_sha", "n", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(counts, pa.int64()), _int_lists(sigs), _int_lists(wides), _int_lists(keys)], names=["_id", "_row", "_sha", "n", "sig", "wide", "keys"])
 
-    return docs.mapInArrow(run, "_id long, _row long, _sha string, n long, sig array<long>, keys array<long>")
+    return docs.mapInArrow(run, "_id long, _row long, _sha string, n long, sig array<long>, wide array<long>, keys array<long>")
 
 
 def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches don't rule out."""
-    of = lambda c: reps.select(F.col("_row").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-    far = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SIGNATURE_WORDS)), F.lit(0))
+    """The pairs (a, b) that sizes and long sketches don't rule out. Sizes that pass have sketches of at most two lengths, one twice the other."""
+    of = lambda c: reps.select(F.col("_row").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
+    xor = lambda x, y: F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
+
+    def fold(w: Column, words: Column) -> Column:
+        return F.when(F.size(w) > words, xor(F.slice(w, 1, words), F.slice(w, words + 1, words))).otherwise(w)
+
+    words = F.least(F.size("wa"), F.size("wb"))
+    far = F.aggregate(xor(fold(F.col("wa"), words), fold(F.col("wb"), words)), F.lit(0), lambda s, x: s + F.bit_count(x))
     least, most = F.least("na", "nb"), F.greatest("na", "nb")
-    return pairs.join(of("a"), "a").join(of("b"), "b").where((least * 100 >= most * percent) & (far * (100 + percent) <= (least + most) * (100 - percent))).select("a", "b", "na", "nb")
+    sized = pairs.join(of("a"), "a").join(of("b"), "b").where(least * 100 >= most * percent)
+    return sized.where(far * (100 + percent) <= (least + most) * (100 - percent)).select("a", "b", "na", "nb")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough: exact, on sets made from the texts."""
+def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int, max_blocks: int) -> DataFrame:
+    """The pairs whose sets are similar enough: exact, on sets made from the texts.
+
+    A Bloom filter over the ids keeps the other texts from shuffling.
+    """
     pairs = scratch.table(pairs, "ngram-close")
-    needed = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct().join(reps.select("_row", "_id", "_sha"), "_row")
+    needed = scratch.table(pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct().join(reps.select("_row", "_id", "_sha"), "_row"), "ngram-needed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = list(_lists(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_hexdigest(w.tobytes()) for w in words], pa.string()), _int_lists([shingle_set(w, size) for w in words])], names=["_id", "_sha", "set"])
 
-    # texts by id first, then by the digest of their words: rows that share an id may have other texts
-    ids = needed.select(F.col("_id").alias("_wanted")).distinct()
-    texts = docs.select("_id", "_text").join(ids, F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi")
+    ids = needed.select("_id").distinct()
+    blocks = exact_dedup.filter_blocks(ids.count(), max_blocks)
+    bloom = exact_dedup.with_place(ids, "_id", blocks).groupBy("_block").agg(F.bit_or("_bits").alias("_set"))
+    texts = exact_dedup.split(exact_dedup.with_place(docs, "_id", blocks), bloom).where("_maybe")
+    # matched by id and by the digest of the words: rows that share an id may have other texts
     made = texts.select("_id", word_hashes(F.col("_text")).alias("_words")).mapInArrow(run, "_id long, _sha string, set array<long>")
     sets = made.alias("m").join(needed.alias("r"), (F.col("m._sha") == F.col("r._sha")) & F.col("m._id").eqNullSafe(F.col("r._id"))).select("r._row", "m.set")
     of = lambda c: sets.select(F.col("_row").alias(c), F.col("set").alias(f"set{c}"))
@@ -256,7 +279,7 @@ def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str =
     worded = rows.select("_id", F.monotonically_increasing_id().alias("_row"), word_hashes(F.col("_text")).alias("_words"))
     sketched = scratch.table(_sketch(worded, shingle, percent), "ngram-sketches")
     marks = scratch.table(exact_dedup.marked_rows(sketched.where("n > 0").select("_id", "_row", "_sha"), max_blocks), "ngram-classes")
-    reps = scratch.table(sketched.join(marks.where("kept").select("_row"), "_row").select("_row", "_id", "_sha", "n", "sig", "keys"), "ngram-reps")
+    reps = scratch.table(sketched.join(marks.where("kept").select("_row"), "_row").select("_row", "_id", "_sha", "n", "sig", "wide", "keys"), "ngram-reps")
     keys = reps.select("_row", F.explode("keys").alias("key"))
     count = reps.agg(F.sum(F.size("keys"))).first()[0] or 0
     placed = exact_dedup.with_place(keys, "key", exact_dedup.filter_blocks(count, max_blocks))
@@ -264,11 +287,11 @@ def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str =
     shared = scratch.table(shared.withColumn("score", F.count(F.lit(1)).over(W.partitionBy("_row"))), "ngram-keys")
     leaders = shared.groupBy("key").agg(F.max_by("_row", F.struct("score", "_row")).alias("lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "lead")
     stars = shared.join(leaders, "key").where("_row <> lead").select(F.least("_row", "lead").alias("a"), F.greatest("_row", "lead").alias("b")).distinct()
-    first = scratch.table(_verify(_close(stars, reps, percent), rows, reps, shingle, percent), "ngram-links")
+    first = scratch.table(_verify(_close(stars, reps, percent), rows, reps, shingle, percent, max_blocks), "ngram-links")
     known = components(first)
     members = shared.select("key", "_row").join(known, F.col("_row") == F.col("node"), "left").join(reps.select("_row", "n", "sig"), "_row")
     members = members.select("key", "_row", F.coalesce("comp", "_row").alias("comp"), "n", "sig")
-    more = scratch.table(_verify(_close(_across(members, percent), reps, percent), rows, reps, shingle, percent), "ngram-links")
+    more = scratch.table(_verify(_close(_across(members, percent), reps, percent), rows, reps, shingle, percent, max_blocks), "ngram-links")
     found = components(first.union(more))
     named = found.join(reps.select(F.col("_row").alias("node"), "_id"), "node").groupBy("comp").agg(F.min("_id").alias("component_id"))
     of_class = found.join(named, "comp").select(F.col("node").alias("keep_row"), "component_id")

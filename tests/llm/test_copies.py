@@ -79,7 +79,9 @@ def test_sketches_are_lower_bounds():
         a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400), dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], rng.integers(0, 2**63, rng.integers(0, 8), dtype=np.uint64)]))
         far = len(np.setxor1d(a, b))
-        assert np.bitwise_count(ngram_join.signature(a) ^ ngram_join.signature(b)).sum() <= far
+        for words in (8, 32):
+            assert np.bitwise_count(ngram_join.signature(a, words) ^ ngram_join.signature(b, words)).sum() <= far
+        assert (ngram_join.folded(ngram_join.signature(a, 32)) == ngram_join.signature(a)).all()
         both = len(np.intersect1d(a, b))
         if len(b) and both * 100 >= 90 * (len(a) + len(b) - both):
             assert np.isin(ngram_join.sketch_keys(a, 90), ngram_join.sketch_keys(b, 90)).any()
