@@ -3,10 +3,12 @@
 A text splits at single spaces between other characters, and a piece between
 runs of letters, digits and signs. Both pre-tokenizers (byte-level, where a space
 belongs to the word after it, and word-end, which drops white space) always split
-there, so that the ids of a text are those of its parts in turn. Pieces with an
-apostrophe or characters beyond Latin-1 aren't split further. Parts repeat, so
-each worker keeps their ids; those it lacks are encoded together, between copies
-of the tokenizer's end token, at which the library splits before anything else.
+there, so that the ids of a text are those of its runs in turn. Pieces with an
+apostrophe or characters beyond Latin-1 aren't split further. Arrow splits the
+texts and numbers their different pieces, and the pieces' different runs; only
+runs that a worker hasn't met are encoded, together, between copies of the
+tokenizer's end token, at which the library splits before anything else. Indexing
+by these numbers gives the texts' tokens.
 """
 
 from __future__ import annotations
@@ -14,109 +16,122 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SPLIT = re.compile(r" (?=\S)(?<=\S )")
-LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+_RUN = r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)"
 #: A piece that splits into runs, single line feeds between them; its runs, a space before the first.
-PLAIN = re.compile(rf" ?(?:{LETTERS}++|[0-9]++|{SIGNS}++)(?:\n?(?:{LETTERS}++|[0-9]++|{SIGNS}++))*+")
-RUNS = re.compile(rf" ?{LETTERS}+| ?[0-9]+| ?{SIGNS}+|\n")
+PLAIN = rf"\A ?{_RUN}(?:\n?{_RUN})*\z"
+RUNS = rf"( ?{_RUN}|\n)"
+_WHITE = "[\\s\\x1c-\\x1f\\x0b\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: A space beside other white space or at an end, after the NUL at the start.
-ODD = "[\\s\\x1c-\\x1f\\x0b\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] | [\\s\\x1c-\\x1f\\x0b\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]| \\z|\\A\\x00 "
+ODD = f"{_WHITE} | {_WHITE}| \\z|\\A\\x00 "
 END = "<|endoftext|>"
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 8_000_000
-#: Pieces, and runs, that a worker keeps at most, about 150 bytes each; beyond it, it starts anew.
-KEEP = 700_000
+#: Runs that a worker keeps at most, about 150 bytes each; beyond it, it starts anew.
+KEEP = 1_000_000
 TOGETHER = 200
-#: Longest piece that is kept.
-KEEP_CHARS = 200
 
 
-class PieceCache(dict):
-    """Piece -> bytes: ids as little-endian uint32, or with ``spans`` start and end of each token as int32 pairs.
+def spread(size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, sizes): where the items of the coded groups lie in an array that holds group after group."""
+    first, each = np.cumsum(size) - size, size[code]
+    return np.arange(each.sum()) + np.repeat(first[code] - (np.cumsum(each) - each), each), each
 
-    Pieces after the first of a text are kept without the space before them, a first piece with a NUL before it.
-    """
+
+def joined(prefix: str, texts: pa.Array) -> pa.Array:
+    """Texts with a prefix."""
+    text = lambda x: pa.scalar(x, pa.large_string())
+    return pc.binary_join_element_wise(text(prefix), texts, text(""))
+
+
+def sums(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches; an empty one is 0."""
+    total = np.concatenate([[0], np.cumsum(x)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+class RunCache(dict):
+    """Run -> bytes: ids as little-endian uint32, or with ``spans`` start and end of each token as int32 pairs."""
 
     def __init__(self, path: str, spans: bool = False):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spans, self.runs = Tokenizer.from_file(path), spans, {}
+        self.tokenizer, self.spans = Tokenizer.from_file(path), spans
         self.end = self.tokenizer.token_to_id(END)
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         self.folds = not spans and ids("A") == ids("a")
         self.spaced = spans or ids(" a") != ids("a")
+        self.width, self.kind = (2, "<i4") if spans else (1, "<u4")
 
-    def together(self, missing: list[str], into: dict[str, bytes]) -> None:
-        """Encode texts without the end token, and keep what they have."""
+    def together(self, texts: list[str]) -> list[bytes]:
+        """What texts without the end token have."""
         encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
-        groups = [missing[i : i + TOGETHER] for i in range(0, len(missing), TOGETHER)]
-        for group, found in zip(groups, encode([END.join(g) + END for g in groups], add_special_tokens=False), strict=True):
+        groups, out = [texts[i : i + TOGETHER] for i in range(0, len(texts), TOGETHER)], []
+        for found in encode([END.join(g) + END for g in groups], add_special_tokens=False):
             ends = np.flatnonzero(np.array(found.ids, "<u4") == self.end)
             if self.spans:
-                spans = np.array(found.offsets, "<i4")
-                begins = np.concatenate([[0], spans[ends[:-1], 1]])
-                spans -= np.repeat(begins, np.diff(ends, prepend=-1)).astype("<i4")[:, None]
-                raw, width = spans.tobytes(), 8
+                tokens = np.array(found.offsets, "<i4")
+                begins = np.concatenate([[0], tokens[ends[:-1], 1]])
+                tokens -= np.repeat(begins, np.diff(ends, prepend=-1)).astype("<i4")[:, None]
             else:
-                raw, width = np.array(found.ids, "<u4").tobytes(), 4
-            at = 0
-            for text, stop in zip(group, (ends * width).tolist(), strict=True):
-                into[text] = raw[at:stop]
-                at = stop + width
-
-    def join(self, runs: list[str]) -> bytes:
-        if not self.spans:
-            return b"".join([self.runs[r] for r in runs])
-        at, out = 0, []
-        for r in runs:
-            out.append((np.frombuffer(self.runs[r], "<i4") + np.int32(at)).tobytes())
-            at += len(r)
-        return b"".join(out)
-
-    def learn(self, missing: list[str]) -> None:
-        """Encode pieces that aren't kept yet."""
-        split, others, odd = {}, [], []
-        for key in missing:
-            text = key[1:] if key[:1] == "\0" else " " + key if self.spaced else key
-            if len(text) <= KEEP_CHARS and PLAIN.fullmatch(text) and END not in text:
-                split[key] = RUNS.findall(text.lower() if self.folds else text)
-            else:
-                (odd if END in text or "\0" in key[1:] or len(text) > KEEP_CHARS else others).append((key, text))
-        runs = [r for r in set(chain.from_iterable(split.values())) if r not in self.runs]
-        if len(self.runs) + len(runs) > KEEP:
-            self.runs.clear()
-            runs = list(set(chain.from_iterable(split.values())))
-        self.together(runs, self.runs)
-        for key, found in split.items():
-            self[key] = self.join(found)
-        whole: dict[str, bytes] = {}
-        self.together([text for _, text in others], whole)
-        for key, text in others:
-            self[key] = whole[text]
-        for key, text in odd:
-            found = self.tokenizer.encode(text, add_special_tokens=False)
-            self[key] = np.array(found.offsets if self.spans else found.ids, "<i4" if self.spans else "<u4").tobytes()
-
-    def known(self, pieces: list[str]) -> list[bytes]:
-        """What each of these different pieces has."""
-        got = list(map(self.get, pieces))
-        missing = [p for p, x in zip(pieces, got, strict=True) if x is None]
+                tokens = np.array(found.ids, "<u4")
+            raw, at, step = tokens.tobytes(), 0, 4 * self.width
+            for stop in (ends * step).tolist():
+                out.append(raw[at:stop])
+                at = stop + step
+        return out
+
+    def one(self, text: str) -> bytes:
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        return np.array(found.offsets if self.spans else found.ids, self.kind).tobytes()
+
+    def flat(self, got: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, counts) of a list of bytes."""
+        return np.frombuffer(b"".join(got), self.kind).reshape(-1, self.width), np.fromiter(map(len, got), np.int64, len(got)) // (4 * self.width)
+
+    def of_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, counts) of different runs."""
+        got = list(map(self.get, runs))
+        missing = [r for r, x in zip(runs, got, strict=True) if x is None]
         if missing:
             if len(self) + len(missing) > KEEP:
                 self.clear()
-            self.learn(missing)
-            got = [self[p] if x is None else x for p, x in zip(pieces, got, strict=True)]
-            for x in missing:
-                if len(x) > KEEP_CHARS:
-                    del self[x]
-        return got
+            made = dict(zip(missing, self.together(missing), strict=True))
+            self.update(made)
+            got = [made[r] if x is None else x for r, x in zip(runs, got, strict=True)]
+        return self.flat(got)
+
+    def of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, counts) of different pieces, each with its space."""
+        plain = pc.and_not(pc.match_substring_regex(pieces, PLAIN), pc.match_substring(pieces, END)).to_numpy(zero_copy_only=False)
+        some = pieces.filter(pa.array(plain))
+        lists = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(some) if self.folds else some, RUNS, "\\1\x01"), "\x01")  # and an empty run at the end
+        per_piece = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        code, runs = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        tokens, size = self.of_runs(runs)
+        at, each = spread(size, code)
+        tokens = tokens[at]
+        if self.spans:
+            length = np.fromiter(map(len, runs), np.int64, len(runs))[code]
+            begin = np.cumsum(length) - length
+            begin -= np.repeat(begin[np.cumsum(per_piece) - per_piece], per_piece) if len(per_piece) else begin
+            tokens = tokens + np.repeat(begin, each)[:, None].astype(self.kind)
+        rest = pieces.filter(pa.array(~plain)).to_pylist()
+        special = {i for i, x in enumerate(rest) if END in x}
+        others = iter(self.together([x for i, x in enumerate(rest) if i not in special]))
+        more, more_size = self.flat([self.one(x) if i in special else next(others) for i, x in enumerate(rest)])
+        order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
+        size = np.concatenate([sums(each, per_piece), more_size])
+        at, _ = spread(size, order)
+        return np.concatenate([tokens, more])[at], size[order]
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of texts in turn: their tokens (ids, or starts and ends in the text), and how many each text has. Null counts as empty."""
@@ -129,43 +144,36 @@ class PieceCache(dict):
             at = stop
 
     def _encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = pc.split_pattern(joined("\0", array) if self.spaced else array, " ")
         if self.spaced:
-            array = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), array, pa.scalar("", pa.large_string()))
-        words = pc.split_pattern(array, " ")
-        if self.spaced:
-            odd = np.flatnonzero(pc.match_substring_regex(array, ODD).to_numpy(zero_copy_only=False))
+            odd = np.flatnonzero(pc.match_substring_regex(joined("\0", array), ODD).to_numpy(zero_copy_only=False))
             if len(odd):  # spaces beside other white space: split with care
                 lists = words.to_pylist()
                 for i in odd:
-                    lists[i] = SPLIT.split(array[i].as_py()[1:])
+                    lists[i] = SPLIT.split(array[i].as_py())
                     lists[i][0] = "\0" + lists[i][0]
                 words = pa.array(lists, pa.large_list(pa.large_string()))
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = words.flatten().dictionary_encode()
-        code, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        got = self.known(pieces)
-        width = 8 if self.spans else 4
-        size = np.fromiter(map(len, got), np.int64, len(got)) // width
-        flat = np.frombuffer(b"".join(got), "<i4" if self.spans else "<u4").reshape(-1, 2 if self.spans else 1)
-        each = size[code]
-        first = np.cumsum(size) - size
-        at = np.arange(each.sum()) + np.repeat(first[code] - (np.cumsum(each) - each), each)
-        tokens, starts = flat[at], np.cumsum(per_text) - per_text
+        code, pieces = coded.indices.to_numpy(), coded.dictionary
+        if self.spaced:  # a first piece has a NUL, the others lost their space
+            first = pc.starts_with(pieces, "\0")
+            pieces = pc.if_else(first, pc.utf8_slice_codeunits(pieces, 1), joined(" ", pieces))
+        tokens, size = self.of_pieces(pieces)
+        at, each = spread(size, code)
+        tokens = tokens[at]
         if self.spans:
-            length = np.fromiter(map(len, pieces), np.int64, len(pieces))[code] + 1  # with its space; a first piece has its NUL
-            length[starts] -= 2
+            length = pc.utf8_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)[code]
             begin = np.cumsum(length) - length
-            begin -= np.repeat(begin[starts], per_text)
-            tokens = tokens + np.repeat(begin, each)[:, None]
-        else:
-            tokens = tokens[:, 0]
-        return tokens, np.add.reduceat(each, starts) if len(starts) else each[:0]
+            begin -= np.repeat(begin[np.cumsum(per_text) - per_text], per_text)
+            return tokens + np.repeat(begin, each)[:, None], sums(each, per_text)
+        return tokens[:, 0], sums(each, per_text)
 
 
 @lru_cache(maxsize=4)
-def cache(path: str, spans: bool = False) -> PieceCache:
+def cache(path: str, spans: bool = False) -> RunCache:
     """This worker's cache for a tokenizer file."""
-    return PieceCache(path, spans)
+    return RunCache(path, spans)
 
 
 def encode_ids(path: str, texts: pa.Array, end_id: int) -> Iterator[bytes]:
