@@ -82,4 +82,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM t WINDOW g AS (PARTITION BY text_sha256)""",
+    "op2_ngram_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0),
+        shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 3 THEN w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] ELSE array_to_string(w, ' ') END AS item FROM places),
+        items AS (SELECT doc_id, item, count(*) OVER (PARTITION BY doc_id) AS n FROM shingles),
+        sets AS (SELECT doc_id, any_value(array_to_string(w, ' ')) AS seq, count(item) AS n FROM words LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+        links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        reached AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x)
+        SELECT doc_id, n AS n_shingles, CASE WHEN n > 0 THEN min(doc_id) OVER (PARTITION BY seq) ELSE doc_id END AS class_id,
+               (SELECT min(y) FROM reached r WHERE r.x = sets.doc_id) AS component_id
+        FROM sets""",
 }
