@@ -31,9 +31,9 @@ _WHITE = "[\\s\\x1c-\\x1f\\x0b\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\
 ODD = f"{_WHITE} | {_WHITE}| \\z|\\A\\x00 "
 END = "<|endoftext|>"
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 8_000_000
-#: Runs that a worker keeps at most, about 150 bytes each; beyond it, it starts anew.
-KEEP = 1_000_000
+BATCH_BYTES = 4_000_000
+#: Runs that a worker keeps at most, about 150 bytes each; beyond it, only those of the last batch stay.
+KEEP = 400_000
 TOGETHER = 200
 
 
@@ -103,6 +103,7 @@ class RunCache(dict):
         if missing:
             if len(self) + len(missing) > KEEP:
                 self.clear()
+                self.update((r, x) for r, x in zip(runs, got, strict=True) if x is not None)
             made = dict(zip(missing, self.together(missing), strict=True))
             self.update(made)
             got = [made[r] if x is None else x for r, x in zip(runs, got, strict=True)]
@@ -141,6 +142,7 @@ class RunCache(dict):
         while at < len(texts):
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, "right")))
             yield self._encode(texts.slice(at, stop - at))
+            pa.default_memory_pool().release_unused()
             at = stop
 
     def _encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -40,7 +40,7 @@ IDENTITY = {
 }
 AFFIXES = (3, 4, 5)
 #: Words whose features a worker keeps.
-KEEP = 500_000
+KEEP = 200_000
 GROUP_OF = {t: g for g, terms in IDENTITY.items() for t in terms}
 
 
