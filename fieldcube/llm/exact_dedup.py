@@ -6,9 +6,9 @@ row against that filter on the map side. Rows whose bits aren't all set have a
 text that occurs once: they go straight through. Only the others shuffle, by
 digest, so a false positive costs a little work and never changes a result.
 
-Scale: pass 1 moves 20 bytes a row after map-side combination. The filter has 16
-bits a row up to ``max_blocks`` blocks, which bounds the broadcast (2**22 blocks:
-about 100 MB on an executor); beyond it more rows shuffle. A group of copies of
+Scale: pass 1 moves a number and a count a row, combined on the map side. The
+filter has 16 bits a row up to ``max_blocks`` blocks, which bounds the broadcast;
+beyond it more rows shuffle. A group of copies of
 any size is combined on the map side; its result reaches its rows through a
 broadcast of the at most ``HOT`` groups that hold over 1/HOT of the candidates,
 and through a shuffle join for the rest.
@@ -24,6 +24,8 @@ from fieldcube.llm import scratch
 #: A run of white space that isn't one space already.
 SPACE_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 HOT = 4096
+#: Blocks of a filter at most: the bound on what is broadcast, about 80 MB.
+MAX_BLOCKS = 1 << 20
 
 
 def text_digest(text: Column) -> Column:
@@ -32,10 +34,21 @@ def text_digest(text: Column) -> Column:
 
 
 def with_place(df: DataFrame, digest: str, blocks: int) -> DataFrame:
-    """Add ``_block`` and ``_bits``: a digest's block of the filter and its bits in it."""
+    """Add ``_place``, a digest's place in the filter: the block's number, then three bits in it, six binary digits each."""
     h = F.xxhash64(digest)
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, k).bitwiseAND(F.lit(63)).cast("int"))
-    return df.withColumn("_block", h.bitwiseAND(F.lit(blocks - 1))).withColumn("_bits", bit(40).bitwiseOR(bit(46)).bitwiseOR(bit(52)))
+    return df.withColumn("_place", F.shiftleft(h.bitwiseAND(F.lit(blocks - 1)), 18).bitwiseOR(F.shiftrightunsigned(h, 40).bitwiseAND(F.lit((1 << 18) - 1))))
+
+
+def block_and_bits(place: str = "_place") -> tuple[Column, Column]:
+    """A place's block and the three bits as a 64-bit word."""
+    p = F.col(place)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(p, k).bitwiseAND(F.lit(63)).cast("int"))
+    return F.shiftrightunsigned(p, 18).alias("_block"), bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12)).alias("_bits")
+
+
+def set_bits(placed: DataFrame) -> DataFrame:
+    """A filter as (_block, _set): the bits of all places."""
+    return placed.select(*block_and_bits()).groupBy("_block").agg(F.bit_or("_bits").alias("_set"))
 
 
 def filter_blocks(rows: int, max_blocks: int) -> int:
@@ -44,15 +57,22 @@ def filter_blocks(rows: int, max_blocks: int) -> int:
 
 
 def repeated_filter(placed: DataFrame) -> DataFrame:
-    """Pass 1: (_block, _set) with the bits of all places that occur more than once."""
-    twice = placed.groupBy("_block", "_bits").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return twice.groupBy("_block").agg(F.bit_or("_bits").alias("_set"))
+    """Pass 1: the filter with the bits of all places that occur more than once."""
+    return set_bits(placed.groupBy("_place").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
 
 
 def split(placed: DataFrame, bloom: DataFrame) -> DataFrame:
-    """Pass 2: add ``_maybe``, true for rows whose text may occur more than once."""
-    tested = placed.join(F.broadcast(bloom), "_block", "left")
-    return tested.withColumn("_maybe", F.coalesce(F.col("_set").bitwiseAND(F.col("_bits")) == F.col("_bits"), F.lit(False))).drop("_set", "_block", "_bits")
+    """Pass 2: add ``_maybe``, true for rows whose place a filter has: those that may be meant."""
+    tested = placed.select("*", *block_and_bits()).join(F.broadcast(bloom), "_block", "left")
+    return tested.withColumn("_maybe", F.coalesce(F.col("_set").bitwiseAND(F.col("_bits")) == F.col("_bits"), F.lit(False))).drop("_set", "_block", "_bits", "_place")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, max_blocks: int) -> DataFrame:
+    """An anti join on a key that few rows lose: a filter over ``gone`` lets most rows pass without a shuffle."""
+    blocks = filter_blocks(gone.count(), max_blocks)
+    tested = split(with_place(rows, key, blocks), set_bits(with_place(gone, key, blocks)))
+    maybe = tested.where("_maybe").drop("_maybe").join(gone.select(key), key, "left_anti")
+    return tested.where("not _maybe").drop("_maybe").unionByName(maybe)
 
 
 def marked_rows(digests: DataFrame, max_blocks: int) -> DataFrame:
@@ -72,7 +92,7 @@ def marked_rows(digests: DataFrame, max_blocks: int) -> DataFrame:
     return alone.unionByName(in_hot).unionByName(in_rest)
 
 
-def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = 1 << 22) -> DataFrame:
+def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Null and empty texts are equal to each other. A null id counts as larger than
@@ -83,7 +103,7 @@ def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max
     return marked_rows(digests, max_blocks).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = 1 << 22) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """The rows of ``docs`` that stay, all columns kept; see :func:`mark` for the rule.
 
     A row whose text occurs once is never shuffled.

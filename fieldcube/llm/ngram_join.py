@@ -190,7 +190,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, perce
 
     ids = needed.select("_id").distinct()
     blocks = exact_dedup.filter_blocks(ids.count(), max_blocks)
-    bloom = exact_dedup.with_place(ids, "_id", blocks).groupBy("_block").agg(F.bit_or("_bits").alias("_set"))
+    bloom = exact_dedup.set_bits(exact_dedup.with_place(ids, "_id", blocks))
     texts = exact_dedup.split(exact_dedup.with_place(docs, "_id", blocks), bloom).where("_maybe")
     # matched by id and by the digest of the words: rows that share an id may have other texts
     made = texts.select("_id", word_hashes(F.col("_text")).alias("_words")).mapInArrow(run, "_id long, _sha string, set array<long>")
@@ -265,7 +265,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     return split.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").mapInArrow(run, "a long, b long").distinct()
 
 
-def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = 1 << 22) -> DataFrame:
+def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = exact_dedup.MAX_BLOCKS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, class_id, component_id.
 
     Two rows link when the Jaccard similarity of their shingle sets is percent / 100
@@ -279,9 +279,10 @@ def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str =
     worded = rows.select("_id", F.monotonically_increasing_id().alias("_row"), word_hashes(F.col("_text")).alias("_words"))
     sketched = scratch.table(_sketch(worded, shingle, percent), "ngram-sketches")
     marks = scratch.table(exact_dedup.marked_rows(sketched.where("n > 0").select("_id", "_row", "_sha"), max_blocks), "ngram-classes")
-    reps = scratch.table(sketched.join(marks.where("kept").select("_row"), "_row").select("_row", "_id", "_sha", "n", "sig", "wide", "keys"), "ngram-reps")
-    keys = reps.select("_row", F.explode("keys").alias("key"))
-    count = reps.agg(F.sum(F.size("keys"))).first()[0] or 0
+    reps = scratch.table(sketched.select("_row", "_id", "_sha", "n", "sig", "wide").join(marks.where("kept").select("_row"), "_row"), "ngram-reps")
+    keyed = exact_dedup.without(sketched.where("n > 0").select("_row", "keys"), marks.where("not kept").select("_row"), "_row", max_blocks)
+    keys = keyed.select("_row", F.explode("keys").alias("key"))
+    count = sketched.agg(F.sum(F.size("keys"))).first()[0] or 0
     placed = exact_dedup.with_place(keys, "key", exact_dedup.filter_blocks(count, max_blocks))
     shared = exact_dedup.split(placed, exact_dedup.repeated_filter(placed)).where("_maybe").drop("_maybe")
     shared = scratch.table(shared.withColumn("score", F.count(F.lit(1)).over(W.partitionBy("_row"))), "ngram-keys")

@@ -22,7 +22,7 @@ def test_marks(spark):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
-@pytest.mark.parametrize("blocks", [1, 1 << 22])
+@pytest.mark.parametrize("blocks", [1, 1 << 20])
 def test_marks_with_any_filter(spark, blocks):
     rows = [(i, f"text {i % 700}", "en", "a") for i in range(1000)] + [(i, "hot", "en", "a") for i in range(1000, 1500)]
     got = exact_dedup.mark(spark.createDataFrame(rows, brute.SCHEMA), max_blocks=blocks).collect()
