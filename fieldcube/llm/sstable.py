@@ -211,8 +211,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 yield _batch(found)
 
     before = F.coalesce(F.sum("ids").over(W.orderBy("first_key", "path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    shards = manifest.select("path", before.alias("start"))
-    return shards.repartition(F.col("path")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    shards = manifest.select("path", before.alias("start")).repartition(max(1, manifest.count()))  # a task a shard: few rows, but large ones
+    return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
