@@ -7,8 +7,10 @@ so the Hamming distance of the sketches is a lower bound of the symmetric
 difference. Two sets of sizes a and b with similarity s differ in at most
 (a + b)(1 - s)/(1 + s) elements. Sizes fall into bands that grow by 1/s, so that
 linked documents lie in the same or adjacent bands, and for each pair of bands
-P is one more than the difference allowed: then some word is equal (pigeonhole),
-and the words are the join keys.
+P is the difference allowed plus one and a quarter more: then over a quarter as many
+words are equal (pigeonhole), and the words are the join keys. Ordered by frequency,
+a document's keys but the last quarter already hold an equal one, so it drops its
+most frequent keys: those that lie in passages that many documents share.
 
 Documents with equal word sequences are one class, and only its first one joins.
 1. Keys that occur once are left out by a Bloom filter before anything shuffles.
@@ -78,14 +80,15 @@ class Bands:
         """The largest symmetric difference of linked sets of these sizes."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
-    def groups(self, size: int) -> list[tuple[int, int]]:
-        """(group, number of sketch words) for the pairs of bands that a size belongs to."""
+    def groups(self, size: int) -> list[tuple[int, int, int]]:
+        """(group, number of sketch words, how many may be dropped) for the pairs of bands that a size belongs to."""
         band = int(np.searchsorted(self.cuts, size, "right")) - 1
         out = []
         for t in range(max(0, band - 1), band + 1):
             low = int(self.cuts[t + 1]) - 1
             high = min(int(self.cuts[t + 2]) - 1, low * 100 // self.percent)
-            out.append((t, int(self.allowed(low, high)) + 1))
+            least = int(self.allowed(low, high)) + 1
+            out.append((t, least + least // 4, least // 4))
         return out
 
 
@@ -95,19 +98,28 @@ def bands(percent: int) -> Bands:
 
 
 def sketch_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """The join keys: each group's sketch words, hashed with group and place."""
+    """The join keys: each group's sketch words, hashed with group and place. The last bit is the group's, which tells a set's two groups apart."""
     out = []
-    for t, parts in bands(percent).groups(len(shingles)):
+    for t, parts, _ in bands(percent).groups(len(shingles)):
         place = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         order = np.argsort(place, kind="stable")
         sorted_ = place[order]
         firsts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
         word = np.zeros(parts, np.uint64)
         word[sorted_[firsts].astype(np.int64)] = np.bitwise_xor.reduceat(mixed(shingles[order]), firsts)
-        out.append(mixed(word + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(t << 40))))
+        key = mixed(word + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(t << 40)))
+        out.append((key & ~np.uint64(1)) | np.uint64(t & 1))
     return np.concatenate(out)
 
 
+def slack(size: int, percent: int) -> np.ndarray:
+    """How many keys a set may drop, by the group's last bit."""
+    out = np.zeros(2, np.int64)
+    for t, _, more in bands(percent).groups(size):
+        out[t & 1] = more
+    return out
+
+
 def signature(shingles: np.ndarray, words: int = SIGNATURE_WORDS) -> np.ndarray:
     """The parity sketch of 64 * ``words`` bits, a power of two; the sketch of half as many is the XOR of its halves."""
     bit = np.bincount((shingles & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
@@ -143,21 +155,22 @@ def _int_lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows (_id, _row, _words) to _id, _row, _sha (of the word sequence), n, sig, wide, keys."""
+    """Rows (_id, _row, _words) to _id, _row, _sha (of the word sequence), n, sig, wide, slack, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, counts, sigs, wides, keys = [], [], [], [], []
+            digests, counts, sigs, wides, slacks, keys = [], [], [], [], [], []
             for words in _lists(batch.column(2)):
                 s = shingle_set(words, size)
                 digests.append(xxhash.xxh3_128_hexdigest(words.tobytes()))
                 counts.append(len(s))
                 wides.append(signature(s, wide_words(len(s), percent)))
                 sigs.append(folded(wides[-1]))
+                slacks.append(slack(len(s), percent))
                 keys.append(sketch_keys(s, percent) if len(s) else s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(counts, pa.int64()), _int_lists(sigs), _int_lists(wides), _int_lists(keys)], names=["_id", "_row", "_sha", "n", "sig", "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(counts, pa.int64()), _int_lists(sigs), _int_lists(wides), _int_lists(slacks), _int_lists(keys)], names=["_id", "_row", "_sha", "n", "sig", "wide", "slack", "keys"])
 
-    return docs.mapInArrow(run, "_id long, _row long, _sha string, n long, sig array<long>, wide array<long>, keys array<long>")
+    return docs.mapInArrow(run, "_id long, _row long, _sha string, n long, sig array<long>, wide array<long>, slack array<long>, keys array<long>")
 
 
 def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -280,12 +293,17 @@ def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str =
     sketched = scratch.table(_sketch(worded, shingle, percent), "ngram-sketches")
     marks = scratch.table(exact_dedup.marked_rows(sketched.where("n > 0").select("_id", "_row", "_sha"), max_blocks), "ngram-classes")
     reps = scratch.table(sketched.select("_row", "_id", "_sha", "n", "sig", "wide").join(marks.where("kept").select("_row"), "_row"), "ngram-reps")
-    keyed = exact_dedup.without(sketched.where("n > 0").select("_row", "keys"), marks.where("not kept").select("_row"), "_row", max_blocks)
-    keys = keyed.select("_row", F.explode("keys").alias("key"))
+    keyed = exact_dedup.without(sketched.where("n > 0").select("_row", "slack", "keys"), marks.where("not kept").select("_row"), "_row", max_blocks)
+    keys = keyed.select("_row", "slack", F.explode("keys").alias("key"))
     count = sketched.agg(F.sum(F.size("keys"))).first()[0] or 0
     placed = exact_dedup.with_place(keys, "key", exact_dedup.filter_blocks(count, max_blocks))
     shared = exact_dedup.split(placed, exact_dedup.repeated_filter(placed)).where("_maybe").drop("_maybe")
-    shared = scratch.table(shared.withColumn("score", F.count(F.lit(1)).over(W.partitionBy("_row"))), "ngram-keys")
+    shared = scratch.table(shared, "ngram-shared")
+    common = shared.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    own = W.partitionBy("_row", F.col("key").bitwiseAND(F.lit(1)))
+    ranked = shared.join(common, "key").withColumn("_rank", F.row_number().over(own.orderBy(F.col("_n").desc(), F.col("key").desc())))
+    rare = ranked.where(F.col("_rank") > F.get("slack", F.col("key").bitwiseAND(F.lit(1)).cast("int"))).select("_row", "key")
+    shared = scratch.table(rare.withColumn("score", F.count(F.lit(1)).over(W.partitionBy("_row"))), "ngram-keys")
     leaders = shared.groupBy("key").agg(F.max_by("_row", F.struct("score", "_row")).alias("lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "lead")
     stars = shared.join(leaders, "key").where("_row <> lead").select(F.least("_row", "lead").alias("a"), F.greatest("_row", "lead").alias("b")).distinct()
     first = scratch.table(_verify(_close(stars, reps, percent), rows, reps, shingle, percent, max_blocks), "ngram-links")
