@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from fieldcube.operators.growth import DAY
 
+#: Values of a series that are solved together, and those on either side that count too.
+CHUNK, HALO = 4096, 64
+
 
 def interpolate_daily(df: DataFrame, keys: Sequence[str], value: str, method: str = "linear", time: str = "time", grid: Sequence[str] = ("sector_id",)) -> DataFrame:
     """(keys, time, value) on a grid of days from each ``grid`` key's first instant to its last.
@@ -39,39 +42,72 @@ def interpolate_daily(df: DataFrame, keys: Sequence[str], value: str, method: st
 
 
 def _cubic(df: DataFrame, keys: Sequence[str], value: str, time: str) -> DataFrame:
-    """Not-a-knot cubic spline, one series a group; fewer than four values fall back to the polynomial through them."""
+    """Not-a-knot cubic spline; fewer than four values fall back to the polynomial through them.
+
+    A series is solved in chunks of ``CHUNK`` values with ``HALO`` more on either side.
+    A value's influence on the second derivatives at least halves with each knot, so
+    that what lies beyond the halo is below the rounding of doubles. A group holds one
+    chunk, whatever the length of its series; values are numbered by one window by key.
+    """
     schema = f"{', '.join(f'{k} {dict(df.dtypes)[k]}' for k in keys)}, {time} timestamp, {value} double"
+    own = W.partitionBy(*keys)
+    rows = df.select(*keys, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.col(value).cast("double").alias("_v")).where(F.col("_t").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = rows.select(*keys, "_t", "_v", (F.row_number().over(own.orderBy("_t")) - 1).alias("_i"), F.min("_t").over(own).alias("_start"), F.count(F.lit(1)).over(own).alias("_n"))
+    chunk = lambda i: F.floor(i / CHUNK)
+    near = F.sequence(chunk(F.greatest(F.col("_i") - HALO, F.lit(0))), chunk(F.least(F.col("_i") + HALO, F.col("_n") - 1)))
+    rows = rows.withColumn("_chunk", F.explode(near))
 
     def spline(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.dropna(subset=[value]).sort_values(time)
-        if g.empty:
-            return pd.DataFrame(columns=[*keys, time, value])
-        t = g[time].astype("datetime64[us]").astype("int64").to_numpy() / DAY
-        grid = np.arange(t[0], t[-1] + 1e-9)
-        out = pd.DataFrame({k: [g[k].iloc[0]] * len(grid) for k in keys})
-        out[time] = pd.to_datetime(np.round(grid * DAY).astype("int64"), unit="us")
-        out[value] = not_a_knot(t, g[value].to_numpy(float), grid)
+        g = group.sort_values("_i")
+        n, start, at = int(g["_n"].iloc[0]), int(g["_start"].iloc[0]), g["_i"].to_numpy()
+        t = g["_t"].to_numpy() - start
+        lo = int(g["_chunk"].iloc[0]) * CHUNK
+        first, after = int(np.searchsorted(at, lo)), int(np.searchsorted(at, lo + CHUNK))
+        stop = -(-int(t[after]) // DAY) if after < len(at) else int(t[-1]) // DAY + 1
+        days = np.arange(-(-int(t[first]) // DAY), stop)
+        out = pd.DataFrame({k: [g[k].iloc[0]] * len(days) for k in keys})
+        out[time] = pd.to_datetime(start + days * DAY, unit="us")
+        out[value] = not_a_knot(t / DAY, g["_v"].to_numpy(float), days, at[0] == 0, at[-1] == n - 1)
         return out
 
-    return df.select(*keys, F.col(time).cast("timestamp").alias(time), F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(spline, schema)
+    return rows.groupBy(*keys, "_chunk").applyInPandas(spline, schema)
 
 
-def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Values of the not-a-knot cubic spline through (x, y)."""
+def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray, first: bool = True, last: bool = True) -> np.ndarray:
+    """Values of the not-a-knot cubic spline through (x, y). An end that isn't the series' ``first`` or ``last`` has no curvature."""
     n = len(x)
     if n < 4:
         return np.polyval(np.polyfit(x - x[0], y, n - 1), at - x[0])
     h, d = np.diff(x), np.diff(y) / np.diff(x)
-    a, b = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2], b[i] = (h[i - 1], 2 * (h[i - 1] + h[i]), h[i]), 6 * (d[i] - d[i - 1])
-    a[0, :3], a[-1, -3:] = (h[1], -h[0] - h[1], h[0]), (h[-1], -h[-2] - h[-1], h[-2])
-    m = np.linalg.solve(a, b)
+    low, mid, high, b = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(d)
+    if first:  # the end's equation put into its neighbour's
+        mid[0], high[0] = mid[0] + h[0] * (h[0] + h[1]) / h[1], h[1] - h[0] ** 2 / h[1]
+    if last:
+        mid[-1], low[-1] = mid[-1] + h[-1] * (h[-1] + h[-2]) / h[-2], h[-2] - h[-1] ** 2 / h[-2]
+    m = np.zeros(n)
+    m[1:-1] = tridiagonal(low, mid, high, b)
+    if first:
+        m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1]
+    if last:
+        m[-1] = ((h[-1] + h[-2]) * m[-2] - h[-1] * m[-3]) / h[-2]
     i = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
     s = at - x[i]
     return y[i] + s * (d[i] - h[i] * (2 * m[i] + m[i + 1]) / 6 + s * (m[i] / 2 + s * (m[i + 1] - m[i]) / (6 * h[i])))
 
 
+def tridiagonal(low: np.ndarray, mid: np.ndarray, high: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of a system of three diagonals with a dominant one; the first of ``low`` and the last of ``high`` don't count."""
+    low, mid, high, out = low.tolist(), mid.tolist(), high.tolist(), b.tolist()
+    for i in range(1, len(out)):
+        w = low[i] / mid[i - 1]
+        mid[i] -= w * high[i - 1]
+        out[i] -= w * out[i - 1]
+    out[-1] /= mid[-1]
+    for i in range(len(out) - 2, -1, -1):
+        out[i] = (out[i] - high[i] * out[i + 1]) / mid[i]
+    return np.array(out)
+
+
 def as_of(targets: DataFrame, source: DataFrame, keys: Sequence[str], values: Sequence[str], date: str = "date") -> DataFrame:
     """``targets`` with the values of the last ``source`` row of its key up to its date, NULL if there is none.
 

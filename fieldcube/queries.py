@@ -153,9 +153,19 @@ def interp_nearest_daily(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(temporal.interpolate_daily(fx.series(spark, sf), ["sector_id"], "value", "nearest"), ["value"])
 
 
+@query("interp_linear_daily_all", sql("SELECT sector_id, time, round(CASE WHEN time = t0 THEN v0 ELSE v0 + (v1 - v0) * part END, 6) + 0e0 AS value FROM parts", "whole_series", _SEGMENTS))
+def interp_linear_daily_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(temporal.interpolate_daily(fx.whole_series(spark, sf), ["sector_id"], "value"), ["value"])
+
+
+@query("interp_nearest_daily_all", sql("SELECT sector_id, time, round(CASE WHEN time = t0 OR part <= 0.5 THEN v0 ELSE v1 END, 6) + 0e0 AS value FROM parts", "whole_series", _SEGMENTS))
+def interp_nearest_daily_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(temporal.interpolate_daily(fx.whole_series(spark, sf), ["sector_id"], "value", "nearest"), ["value"])
+
+
 @query("interp_cubic_daily")
 def interp_cubic_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(temporal.interpolate_daily(fx.series(spark, sf), ["sector_id"], "value", "cubic"), ["value"])
+    return rounded(temporal.interpolate_daily(fx.whole_series(spark, sf), ["sector_id"], "value", "cubic"), ["value"])
 
 
 @query("asof_backward", sql("""
@@ -469,13 +479,20 @@ def _squares(spark: SparkSession, sf: str, table: str, key: str, name: str) -> D
     k = F.col(key)
     x, y = ((k * 7) % 50).cast("double"), ((k * 13) % 50).cast("double")
     corner = lambda a, b: F.struct((x + a).alias("px"), (y + b).alias("py"))
-    return read(spark, sf, table).where(k <= 400).select(k.alias(name), F.array(corner(0.1, 0.1), corner(1.6, 0.1), corner(1.6, 1.6), corner(0.1, 1.6), corner(0.1, 0.1)).alias("ring"))
+    return read(spark, sf, table).select(k.alias(name), F.array(corner(0.1, 0.1), corner(1.6, 0.1), corner(1.6, 1.6), corner(0.1, 1.6), corner(0.1, 0.1)).alias("ring"))
 
 
 @query("polygon_intersects", """
     WITH a AS (SELECT s_suppkey AS id, (s_suppkey * 7) % 50 AS x, (s_suppkey * 13) % 50 AS y FROM supplier WHERE s_suppkey <= 400), b AS (SELECT c_custkey AS area_id, (c_custkey * 7) % 50 AS x, (c_custkey * 13) % 50 AS y FROM customer WHERE c_custkey <= 400)
     SELECT id, area_id FROM a, b WHERE abs(a.x - b.x) <= 1.5 AND abs(a.y - b.y) <= 1.5""")
 def polygon_intersects(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.intersecting(_squares(spark, sf, "supplier", "s_suppkey", "id").where("id <= 400"), _squares(spark, sf, "customer", "c_custkey", "area_id").where("area_id <= 400"), 2.0)
+
+
+@query("polygon_intersects_all", """
+    WITH a AS (SELECT s_suppkey AS id, (s_suppkey * 7) % 50 AS x, (s_suppkey * 13) % 50 AS y FROM supplier), b AS (SELECT c_custkey AS area_id, (c_custkey * 7) % 50 AS x, (c_custkey * 13) % 50 AS y FROM customer)
+    SELECT id, area_id FROM a, b WHERE abs(a.x - b.x) <= 1.5 AND abs(a.y - b.y) <= 1.5""")
+def polygon_intersects_all(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.intersecting(_squares(spark, sf, "supplier", "s_suppkey", "id"), _squares(spark, sf, "customer", "c_custkey", "area_id"), 2.0)
 
 
@@ -483,7 +500,17 @@ def polygon_intersects(spark: SparkSession, sf: str) -> DataFrame:
     SELECT s_suppkey AS id, round((s_suppkey * 7) % 50 + 0.85e0, 6) + 0e0 AS cx, round((s_suppkey * 13) % 50 + 0.85e0, 6) + 0e0 AS cy, round((s_suppkey * 7) % 50 + 0.1e0, 6) AS min_x, round((s_suppkey * 13) % 50 + 1.6e0, 6) AS max_y,
       round((s_suppkey * 7) % 50 + 0.1e0 - 0.25e0, 6) AS buffered_min_x, round((s_suppkey * 13) % 50 + 1.6e0 + 0.25e0, 6) AS buffered_max_y FROM supplier WHERE s_suppkey <= 400""")
 def ring_measures(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _squares(spark, sf, "supplier", "s_suppkey", "id")
+    return _measures(_squares(spark, sf, "supplier", "s_suppkey", "id").where("id <= 400"))
+
+
+@query("ring_measures_all", """
+    SELECT s_suppkey AS id, round((s_suppkey * 7) % 50 + 0.85e0, 6) + 0e0 AS cx, round((s_suppkey * 13) % 50 + 0.85e0, 6) + 0e0 AS cy, round((s_suppkey * 7) % 50 + 0.1e0, 6) AS min_x, round((s_suppkey * 13) % 50 + 1.6e0, 6) AS max_y,
+      round((s_suppkey * 7) % 50 + 0.1e0 - 0.25e0, 6) AS buffered_min_x, round((s_suppkey * 13) % 50 + 1.6e0 + 0.25e0, 6) AS buffered_max_y FROM supplier""")
+def ring_measures_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _measures(_squares(spark, sf, "supplier", "s_suppkey", "id"))
+
+
+def _measures(rows: DataFrame) -> DataFrame:
     wide = rows.withColumn("wide", g.buffered(F.col("ring"), F.lit(0.25))).withColumn("c", g.centroid(F.col("ring")))
     x0, _, _, y1 = g.bounds(F.col("ring"))
     bx, _, _, by = g.bounds(F.col("wide"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from fieldcube import registry
+from fieldcube import queries, registry
 from fieldcube.functions import geometry as g
 from fieldcube.functions import indices, scalars
 from fieldcube.operators import crops, cube, dates, frames, growth, spatial, sync, temporal, weather
@@ -105,6 +105,35 @@ def test_cubic_meets_nodes_and_cubics(spark):
     assert np.allclose([v for _, v in got], f(np.arange(7.0)))
 
 
+def test_long_cubic_series_is_solved_in_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    t = np.cumsum(rng.choice([0.25, 1.0, 3.0, 40.0], 900))
+    x, y = t - t[0], rng.normal(size=900)
+    h, d = np.diff(x), np.diff(y) / np.diff(x)
+    a, b = np.zeros((900, 900)), np.zeros(900)
+    for i in range(1, 899):
+        a[i, i - 1 : i + 2], b[i] = (h[i - 1], 2 * (h[i - 1] + h[i]), h[i]), 6 * (d[i] - d[i - 1])
+    a[0, :3], a[-1, -3:] = (h[1], -h[0] - h[1], h[0]), (h[-1], -h[-2] - h[-1], h[-2])
+    m = np.linalg.solve(a, b)
+    days = np.arange(int(x[-1]) + 1)
+    i = np.clip(np.searchsorted(x, days, "right") - 1, 0, 898)
+    s = days - x[i]
+    dense = y[i] + s * (d[i] - h[i] * (2 * m[i] + m[i + 1]) / 6 + s * (m[i] / 2 + s * (m[i + 1] - m[i]) / (6 * h[i])))
+    monkeypatch.setattr(temporal, "CHUNK", 100)
+    df = spark.createDataFrame([("s", at(0) + dt.timedelta(days=float(u)), float(v)) for u, v in zip(x, y, strict=True)], "sector_id string, time timestamp, v double")
+    got = points(temporal.interpolate_daily(df, ["sector_id"], "v", "cubic"), "time", "v")
+    assert [r[0] for r in got] == [at(int(k)) for k in days] and np.allclose([r[1] for r in got], dense, rtol=1e-9, atol=1e-9)
+
+
+def test_queries_over_whole_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    assert queries.QUERIES["polygon_intersects_all"](spark, sf).select("area_id").distinct().count() == spark.read.parquet(f"{sf}/customer.parquet").count() > 400
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    ends = items.groupBy((F.col("l_suppkey") % 20).alias("s")).agg((F.datediff(F.max("l_shipdate"), F.min("l_shipdate")) + 1).alias("n")).agg(F.sum("n")).first()[0]
+    for name in ("interp_linear_daily_all", "interp_nearest_daily_all", "interp_cubic_daily"):
+        assert queries.QUERIES[name](spark, sf).count() == ends
+
+
 def test_rolling_growth(spark):
     rows = [("s", at(d), 0.0, 0.0, float(d)) for d in range(0, 120, 3)]
     got = dict(points(growth.rolling_growth(spark.createDataFrame(rows, CUBE), "v"), "time", "ags"))
