@@ -155,7 +155,7 @@ def _int_lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows (_id, _row, _words) to _id, _row, _sha (of the word sequence), n, sig, wide, slack, keys."""
+    """Rows (_id, _row, _words, _mark) to _id, _row, _sha (of the word sequence), n, sig, wide, slack, keys, _mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,9 +168,9 @@ def _sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 sigs.append(folded(wides[-1]))
                 slacks.append(slack(len(s), percent))
                 keys.append(sketch_keys(s, percent) if len(s) else s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(counts, pa.int64()), _int_lists(sigs), _int_lists(wides), _int_lists(slacks), _int_lists(keys)], names=["_id", "_row", "_sha", "n", "sig", "wide", "slack", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(counts, pa.int64()), _int_lists(sigs), _int_lists(wides), _int_lists(slacks), _int_lists(keys), batch.column(3)], names=["_id", "_row", "_sha", "n", "sig", "wide", "slack", "keys", "_mark"])
 
-    return docs.mapInArrow(run, "_id long, _row long, _sha string, n long, sig array<long>, wide array<long>, slack array<long>, keys array<long>")
+    return docs.mapInArrow(run, "_id long, _row long, _sha string, n long, sig array<long>, wide array<long>, slack array<long>, keys array<long>, _mark long")
 
 
 def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -278,18 +278,10 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     return split.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").mapInArrow(run, "a long, b long").distinct()
 
 
-def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = exact_dedup.MAX_BLOCKS) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, class_id, component_id.
-
-    Two rows link when the Jaccard similarity of their shingle sets is percent / 100
-    or more. class_id: smallest id of the rows with the same words; component_id:
-    smallest id that links reach. Null and empty texts have no shingles, a
-    component of their own each, and link with nothing. Null ids count as larger
-    than any other. Rows with equal ids count each for itself. An empty table
-    gives no rows.
-    """
+def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, max_blocks: int) -> DataFrame:
+    """One row per row of ``docs``: _id, _row, _mark (of the word sequence), n, keep_id, component_id, and root, the component's own number; the last three hold for n > 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    worded = rows.select("_id", F.monotonically_increasing_id().alias("_row"), word_hashes(F.col("_text")).alias("_words"))
+    worded = rows.select("_id", F.monotonically_increasing_id().alias("_row"), word_hashes(F.col("_text")).alias("_words")).withColumn("_mark", F.xxhash64("_words"))
     sketched = scratch.table(_sketch(worded, shingle, percent), "ngram-sketches")
     marks = scratch.table(exact_dedup.marked_rows(sketched.where("n > 0").select("_id", "_row", "_sha"), max_blocks), "ngram-classes")
     reps = scratch.table(sketched.select("_row", "_id", "_sha", "n", "sig", "wide").join(marks.where("kept").select("_row"), "_row"), "ngram-reps")
@@ -313,9 +305,22 @@ def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str =
     more = scratch.table(_verify(_close(_across(members, percent), reps, percent), rows, reps, shingle, percent, max_blocks), "ngram-links")
     found = components(first.union(more))
     named = found.join(reps.select(F.col("_row").alias("node"), "_id"), "node").groupBy("comp").agg(F.min("_id").alias("component_id"))
-    of_class = found.join(named, "comp").select(F.col("node").alias("keep_row"), "component_id")
+    of_class = found.join(named, "comp").select(F.col("node").alias("keep_row"), "component_id", "comp")
     classed = marks.select("_row", "keep_row", "keep_id").join(of_class, "keep_row", "left")
-    full = sketched.select("_id", "_row", "n").join(classed, "_row", "left")
+    return sketched.select("_id", "_row", "_mark", "n").join(classed, "_row", "left").withColumn("root", F.coalesce("comp", "keep_row"))
+
+
+def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = exact_dedup.MAX_BLOCKS) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, class_id, component_id.
+
+    Two rows link when the Jaccard similarity of their shingle sets is percent / 100
+    or more. class_id: smallest id of the rows with the same words; component_id:
+    smallest id that links reach. Null and empty texts have no shingles, a
+    component of their own each, and link with nothing. Null ids count as larger
+    than any other. Rows with equal ids count each for itself. An empty table
+    gives no rows.
+    """
+    full = _linked(docs, shingle, percent, id_col, text_col, max_blocks)
     return full.select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("keep_id")).otherwise(F.col("_id")).alias("class_id"),
@@ -323,11 +328,29 @@ def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str =
     )
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that have their component's id: one document of each group, all columns kept.
+def keep_first(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = exact_dedup.MAX_BLOCKS) -> DataFrame:
+    """One row of each component of :func:`link`, that with the smallest id, all columns kept. Rows without shingles stay.
 
-    Rows without shingles stay. Rows that share an id stay or go together.
+    Rows are known by id and words, so that rows that share an id, or have none, are
+    judged each for itself; of those with equal ids and equal words any one stays.
+    Only rows whose id is that of a row that goes shuffle, except for a filter's errors.
     """
-    linked = link(docs, id_col=id_col, **options)
-    gone = linked.where(~F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    full = scratch.table(_linked(docs, shingle, percent, id_col, text_col, max_blocks).where("n > 0").select("_id", "_row", "_mark", "root"), "ngram-rooted")
+    order = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
+    first = full.groupBy("root").agg(order.alias("_first")).select(F.col("_first.row").alias("_row"), F.lit(True).alias("first"))
+    texts = full.join(first, "_row", "left").groupBy("_id", "_mark").agg(F.count(F.lit(1)).alias("_n"), F.max(F.coalesce("first", F.lit(False))).alias("first"))
+    judged = scratch.table(texts.where("not first or _n > 1").select("_id", "_mark", "first"), "ngram-judged")
+    ids = judged.select("_id").distinct()
+    blocks = exact_dedup.filter_blocks(ids.count(), max_blocks)
+    bloom = scratch.table(exact_dedup.set_bits(exact_dedup.with_place(ids, "_id", blocks)), "ngram-filter")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(own.alias("_doc"), F.col(id_col).cast("long").alias("_id"))
+    tested = exact_dedup.split(exact_dedup.with_place(rows, "_id", blocks), bloom)
+    maybe = tested.where("_maybe").select("_doc", "_id", F.xxhash64(word_hashes(F.col("_doc").getField(text_col))).alias("_mark")).alias("a")
+    match = lambda b: (F.col("a._mark") == F.col(f"{b}._mark")) & F.col("a._id").eqNullSafe(F.col(f"{b}._id"))
+    # a mark of no words is no one's in ``judged``, so that rows without shingles stay
+    stay = tested.where("not _maybe").select("_doc").unionByName(maybe.join(judged.alias("b"), match("b"), "left_anti").select("_doc"))
+    again = judged.where("first")
+    if not again.isEmpty():
+        stay = stay.unionByName(maybe.join(again.alias("c"), match("c"), "left_semi").groupBy("_id", "_mark").agg(F.first("_doc").alias("_doc")).select("_doc"))
+    return stay.select("_doc.*")

@@ -73,6 +73,21 @@ def test_near_copies(spark, k, percent):
     assert sorted(r.doc_id for r in kept) == sorted(set(comps))
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Null and repeated ids: each row is judged for itself."""
+    text = lambda k, last="": " ".join(f"w{k}x{i}" for i in range(60)) + last
+    rows = [
+        (2, text(0), "en", "a"), (None, text(0, " more"), "en", "b"), (None, text(1), "en", "c"), (None, text(2), "en", "d"),
+        (5, text(0, " other"), "en", "e"), (5, text(3), "en", "f"), (None, text(4), "en", "g"), (None, text(4, " more"), "en", "h"),
+        (6, text(5), "en", "i"), (6, text(5, " more"), "en", "j"), (7, text(6), "en", "k"), (7, text(6), "en", "k"), (None, text(7), "en", "l"), (None, text(7), "en", "l"),
+        (1, text(8), "en", "m"), (1, text(9), "en", "n"), (3, text(9, " more"), "en", "o"), (None, None, "en", "p"), (None, "", "en", "q"), (5, " ", "en", "r"),
+    ]
+    got = ngram_join.keep_first(brute.documents(spark, rows).repartition(3)).collect()
+    assert "".join(sorted(r.source for r in got if r.source not in "ghij")) == "acdfklmnpqr"
+    assert len([r for r in got if r.source in "gh"]) == 1 and len([r for r in got if r.source in "ij"]) == 1
+    assert len(ngram_join.keep_first(brute.documents(spark), shingle=3, percent=90).collect()) == len(set(brute.components(brute.ROWS, 3, 90)[0]))
+
+
 def test_sketches_are_lower_bounds():
     rng = np.random.default_rng(0)
     for _ in range(200):
