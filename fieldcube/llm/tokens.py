@@ -4,7 +4,8 @@ A text splits at single spaces between other characters, and a piece between
 runs of letters, digits and signs. Both pre-tokenizers (byte-level, where a space
 belongs to the word after it, and word-end, which drops white space) always split
 there, so that the ids of a text are those of its runs in turn. Pieces with an
-apostrophe or characters beyond Latin-1 aren't split further. Arrow splits the
+apostrophe or characters beyond Latin-1 aren't split further. Texts that hold one
+of the tokenizer file's added tokens, or a NUL, are encoded whole. Arrow splits the
 texts and numbers their different pieces, and the pieces' different runs; only
 runs that a worker hasn't met are encoded, together, between copies of the
 tokenizer's end token, at which the library splits before anything else. Indexing
@@ -65,6 +66,9 @@ class RunCache(dict):
 
         self.tokenizer, self.spans = Tokenizer.from_file(path), spans
         self.end = self.tokenizer.token_to_id(END)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: What a text holds that isn't split; added tokens that are met after normalizing, in whatever case.
+        self.whole = [("\0", False), (END, False), *[(x.content, x.normalized) for x in added if x.content != END]]
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         self.folds = not spans and ids("A") == ids("a")
         self.spaced = spans or ids(" a") != ids("a")
@@ -111,7 +115,7 @@ class RunCache(dict):
 
     def of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, counts) of different pieces, each with its space."""
-        plain = pc.and_not(pc.match_substring_regex(pieces, PLAIN), pc.match_substring(pieces, END)).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(pieces, PLAIN).to_numpy(zero_copy_only=False)
         some = pieces.filter(pa.array(plain))
         lists = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(some) if self.folds else some, RUNS, "\\1\x01"), "\x01")  # and an empty run at the end
         per_piece = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -126,9 +130,7 @@ class RunCache(dict):
             begin -= np.repeat(begin[np.cumsum(per_piece) - per_piece], per_piece) if len(per_piece) else begin
             tokens = tokens + np.repeat(begin, each)[:, None].astype(self.kind)
         rest = pieces.filter(pa.array(~plain)).to_pylist()
-        special = {i for i, x in enumerate(rest) if END in x}
-        others = iter(self.together([x for i, x in enumerate(rest) if i not in special]))
-        more, more_size = self.flat([self.one(x) if i in special else next(others) for i, x in enumerate(rest)])
+        more, more_size = self.flat(self.together(rest))
         order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
         size = np.concatenate([sums(each, per_piece), more_size])
         at, _ = spread(size, order)
@@ -146,6 +148,19 @@ class RunCache(dict):
             at = stop
 
     def _encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        whole = np.zeros(len(array), bool)
+        for held, any_case in self.whole:
+            whole |= pc.match_substring(array, held, ignore_case=any_case).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._encode_split(array)
+        tokens, size = self._encode_split(array.filter(pa.array(~whole)))
+        more, more_size = self.flat([self.one(x) for x in array.filter(pa.array(whole)).to_pylist()])
+        order = np.argsort(np.concatenate([np.flatnonzero(~whole), np.flatnonzero(whole)]))
+        size = np.concatenate([size, more_size])
+        at, _ = spread(size, order)
+        return np.concatenate([tokens, more if self.spans else more[:, 0]])[at], size[order]
+
+    def _encode_split(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = pc.split_pattern(joined("\0", array) if self.spaced else array, " ")
         if self.spaced:
             odd = np.flatnonzero(pc.match_substring_regex(joined("\0", array), ODD).to_numpy(zero_copy_only=False))

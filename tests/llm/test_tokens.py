@@ -3,10 +3,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from fieldcube.llm import packing, sstable, token_counts
+from fieldcube.llm import packing, sstable, token_counts, tokens
 from fieldcube.llm.queries import tokenizer_path
 
 TEXTS = [
@@ -114,3 +115,20 @@ def test_sections(spark, text):
             counts[max(i for i in range(len(lines)) if at[i] <= a)] += 1
     assert [r.n_tokens for r in got] == counts
     assert [(r.start, r.end) for r in got] == [(at[i], at[i + 1]) for i in range(len(lines))]
+
+
+ODD = [
+    "a <|startoftext|> b", "<|startoftext|>a<|startoftext|> <|endoftext|>b", "<|StartOfText|> a", "x \0abc", "\0 a \0b", "\0", " \0 \0", "plain words", "", None, "a\n<|startoftext|>\n\0 b", "a <|endoftext|> b",
+]
+
+
+@pytest.mark.parametrize("texts", [ODD, ODD[:1], ["\0abc", "\0"]])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_and_nul(name, texts):
+    got = tokens.encode_ids(tokenizer_path(name), pa.array(texts, pa.string()), 2)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole(name, t) for t in texts]
+    spans = Tokenizer.from_file(tokenizer_path(name))
+    for found, size in tokens.cache(tokenizer_path(name), True).encode(pa.array(texts, pa.string())):
+        expected = [spans.encode(t or "", add_special_tokens=False).offsets for t in texts]
+        assert size.tolist() == [len(x) for x in expected]
+        assert found.tolist() == [list(p) for x in expected for p in x]
