@@ -3,8 +3,10 @@
 A page becomes a light tree. Subtrees that can't hold article text go (scripts,
 menus, forms, elements whose class or id names such a part). Each paragraph gives
 points for its length and commas to its ancestors, less the further up; a node's
-points are discounted by its link density. The best container is kept with the
-siblings that score like it or read like paragraphs, and its blocks make the text.
+points are discounted by its link density. The best node, or the article or main
+element around it, is kept whole, with the siblings that score like it or read like
+paragraphs, and its blocks make the text. A part with an unwanted name stays if the
+wanted rest of the page has fewer points than it.
 
 Scale: one row at a time, no shuffle; a page's tree is all a task holds. Parsing
 is one pass of a regular expression over the page.
@@ -40,7 +42,9 @@ DROPPED = frozenset("head nav footer aside form button menu object embed dialog
 PARAGRAPH = frozenset("p pre blockquote td li dd h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("ul ol table td th div section article main body dl".split())
-# Words of class, id and role that name parts other than the article; the weak ones don't when a word of GOOD stands by.
+#: What reads like a paragraph beside the best container.
+READS = PARAGRAPH | frozenset("h1 ul ol dl table".split()) - {"td", "li", "dd"}
+# Words of class, id and role that name parts other than the article. A word of GOOD beside the weak ones, or a class of GOOD words only beside the others, clears them.
 BAD = frozenset(
     "ad ads adbox adsense advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus gdpr login menu "
     "modal nav navbar navigation navigator newsletter notice notices notification overlay pager pagination popup promo promotion related reply replies respond search share "
@@ -48,28 +52,36 @@ BAD = frozenset(
 )
 WEAK = frozenset("header masthead".split())
 GOOD = frozenset("article content post entry main story body text".split())
+#: Readers' parts, which may well be longer than the article.
+READERS = frozenset("comment comments disqus reply replies respond".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "link_chars", "commas", "score")
+    __slots__ = ("tag", "parent", "children", "dropped", "chars", "link_chars", "commas", "score", "suspect", "inside", "points")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.commas = 0
-        self.score = 0.0
+        self.score = self.points = 0.0
+        self.suspect: frozenset[str] | set[str] = frozenset()
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
+def _unwanted(tag: str, inside: bool) -> bool:
     """Whether an element isn't article text; ``inside``: an article or main element is open."""
-    if tag in DROPPED or tag == "header" and not inside:
-        return True
+    return tag in DROPPED or tag == "header" and not inside
+
+
+def _suspect(tag: str, attributes: str) -> set[str]:
+    """The words of class, id and role that say that an element isn't article text."""
     if attributes and tag not in ("body", "html", "article", "main"):
-        for a, b, c in NAMED.findall(attributes):
-            words = {w.lower() for w in WORDS.findall(a or b or c)}
-            if words & BAD or words & WEAK and not words & GOOD:
-                return True
-    return False
+        for found in NAMED.findall(attributes):
+            names = [{w.lower() for w in WORDS.findall(x)} for x in "".join(found).split()]
+            words = set().union(*names)
+            if words & BAD and not any(n & GOOD and not n & BAD for n in names) or words & WEAK and not words & GOOD:
+                return words
+    return set()
 
 
 def parse(html: str) -> Node:
@@ -108,7 +120,9 @@ def parse(html: str) -> Node:
             node = node.parent
         if last is not None:
             at = last.parent
-        child = Node(tag, at, at.dropped or _unwanted(tag, m[4], inside > 0))
+        child = Node(tag, at, at.dropped or _unwanted(tag, inside > 0))
+        if not child.dropped:
+            child.suspect = _suspect(tag, m[4])
         if not child.dropped:
             at.children.append(child)
         inside += tag in ("article", "main")
@@ -130,6 +144,7 @@ def _walk(root: Node) -> list[Node]:
 
 def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
+        node.chars = node.link_chars = node.commas = 0
         for x in node.children:
             if isinstance(x, str):
                 node.chars += len(x.strip())
@@ -147,13 +162,37 @@ def density(node: Node) -> float:
     return node.link_chars / node.chars if node.chars else 0.0
 
 
+def _points(node: Node) -> float:
+    """A paragraph's points, for its length and commas; 0 for other nodes."""
+    text = node.tag in PARAGRAPH or node.tag in ("div", "section", "article", "main", "body") and any(isinstance(x, str) and x.strip() for x in node.children)
+    return (1 + node.commas + min(node.chars / 100, 3)) * (1 - density(node)) if text and node.chars else 0.0
+
+
+def _drop_suspects(nodes: list[Node]) -> bool:
+    """Take out the parts with unwanted names, but for those that have more points than what is left; whether any went."""
+    for node in reversed(nodes):
+        node.points = _points(node) + sum(x.points for x in node.children if isinstance(x, Node) and not x.suspect)
+    left, went = 0.0 if nodes[0].suspect else nodes[0].points, False
+    for node in nodes:
+        if node.parent is not None and node.parent.dropped:
+            node.dropped = True
+        elif node.suspect:
+            if node.points > left and (left == 0 or not node.suspect & READERS):
+                left += node.points
+            else:
+                node.dropped = went = True
+    if went:
+        for node in nodes:
+            node.children = [x for x in node.children if isinstance(x, str) or not x.dropped]
+    return went
+
+
 def _score(nodes: list[Node]) -> None:
     """Paragraphs' points to their ancestors: all to the parent, half to the next, then a third of the distance's share."""
     for node in nodes:
-        text = node.tag in PARAGRAPH or node.tag in ("div", "section", "article", "main", "body") and any(isinstance(x, str) and x.strip() for x in node.children)
-        if not text or not node.chars:
+        points = _points(node)
+        if not points:
             continue
-        points = (1 + node.commas + min(node.chars / 100, 3)) * (1 - density(node))
         up, level = node.parent if node.tag in PARAGRAPH else node, 0
         while up is not None:
             up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
@@ -183,6 +222,9 @@ def extract(html: str | None) -> str:
         return ""
     nodes = _walk(parse(html))
     _measure(nodes)
+    if any(n.suspect for n in nodes) and _drop_suspects(nodes):
+        nodes = _walk(nodes[0])
+        _measure(nodes)
     _score(nodes)
     for node in nodes:
         node.score *= 1 - density(node)
@@ -191,16 +233,18 @@ def extract(html: str | None) -> str:
     best = max((n for n in nodes if n.tag not in ("html", "p", "li", "ul", "ol")), key=lambda n: n.score, default=nodes[0])
     if best.score <= 0:
         best = nodes[0]
+    while best.inside and best.tag not in ("article", "main"):
+        best = best.parent
     keep: list[Node] = [best]
     if best.parent is not None:
         least = max(10.0, 0.2 * best.score)
 
         def reads_on(x: Node) -> bool:
-            return x.score >= least or x.tag == "p" and (x.chars > 80 and density(x) < 0.25 or x.chars > 0 and x.link_chars == 0)
+            return x.score >= least or x.tag in READS and (x.chars > 80 and density(x) < 0.25 or x.chars > 0 and x.link_chars == 0)
 
         keep = [x for x in best.parent.children if x is best or isinstance(x, Node) and reads_on(x)]
-    for node in nodes:  # lists and boxes of links in what is kept
-        if node.tag in ("ul", "ol", "div", "section", "table") and node.chars and density(node) > 0.5:
+    for node in nodes:  # lists and boxes of links in what is kept, but for an article's own
+        if not node.inside and node.tag in ("ul", "ol", "div", "section", "table") and node.chars and density(node) > 0.5:
             node.children = []
     return _blocks(keep)
 

@@ -66,6 +66,31 @@ def test_main_text():
     assert html_text.extract(PAGE) == "Head First paragraph, with bold & more text, and so on, for a while. Second one, unclosed, with a link."
 
 
+BODY = "<p>" + "Words of the article, one after another, and so on. " * 8 + "</p>"
+LAYOUTS = {
+    "<article><h1>Title</h1><div class=body>" + BODY * 3 + "</div></article>": ["Title"],
+    "<main><section><h2>One</h2>" + BODY * 4 + "</section><section><h2>Two</h2><p>Short.</p></section></main>": ["One", "Two", "Short."],
+    "<article>" + BODY + "<div><ul><li>a, b<li>c</ul><blockquote>Quote</blockquote><table><tr><td>Cell</table></div><div>" + BODY * 3 + "</div></article>": ["a, b c", "Quote", "Cell"],
+    "<article>" + BODY + "<section><h2>References</h2><ul><li><a href=x>First source</a><li><a href=y>Second source</a></ul></section></article>": ["First source", "Second source"],
+    '<div class="post has-sidebar">' + BODY + "</div>": ["article"],
+    '<div class="layout-with-sidebar">' + BODY * 2 + '</div><div class="related">Other, things</div>': ["article"],
+    "<div><h2>Head</h2><div>" + BODY * 3 + "</div><ul><li>item</ul></div>": ["Head", "item"],
+}
+
+
+@pytest.mark.parametrize("html", LAYOUTS)
+def test_layouts(html):
+    got = html_text.extract(f"<html><body><nav><a href=/>Menu</a></nav>{html}<footer>Foot</footer></body></html>")
+    assert all(x in got for x in LAYOUTS[html]) and got.count("Words of the article") == html.count("Words of the article")
+    assert not any(x in got for x in ("Menu", "Foot", "things"))
+
+
+def test_long_comments_stay_out():
+    page = "<div class=post><p>A short article, with a comma.</p></div><div class=comments>" + BODY * 5 + "</div>"
+    assert html_text.extract(page) == "A short article, with a comma."
+    assert html_text.extract("<article><p>Short, too.</p><div class=article-comments>" + BODY * 5 + "</div></article>") == "Short, too."
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<!-- never closed", "<script>", "<div><div><div>", "</p></p>", "<a href='x>", "&#x110000; &bogus; <b>"])
 def test_broken_pages(html):
     assert isinstance(html_text.extract(html), str)
