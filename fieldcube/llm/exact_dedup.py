@@ -6,9 +6,11 @@ row against that filter on the map side. Rows whose bits aren't all set have a
 text that occurs once: they go straight through. Only the others shuffle, by
 digest, so a false positive costs a little work and never changes a result.
 
-Scale: pass 1 moves a number and a count a row, combined on the map side. The
-filter has 16 bits a row up to ``max_blocks`` blocks, which bounds the broadcast;
-beyond it more rows shuffle. A group of copies of
+Scale: the filter grows with the rows, eight bits each, and is cut by hash into
+slices of at most ``slice_rows`` rows: rows are written into a folder a slice, and
+the slices follow each other, each with its own filter of bounded size (64 words
+a row of the broadcast table). So a row is read once however many slices there are.
+Pass 1 moves a number and a count a row, combined on the map side. A group of copies of
 any size is combined on the map side; its result reaches its rows through a
 broadcast of the at most ``HOT`` groups that hold over 1/HOT of the candidates,
 and through a shuffle join for the rest.
@@ -16,6 +18,8 @@ and through a shuffle join for the rest.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +28,10 @@ from fieldcube.llm import scratch
 #: A run of white space that isn't one space already.
 SPACE_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 HOT = 4096
-#: Blocks of a filter at most: the bound on what is broadcast, about 80 MB.
-MAX_BLOCKS = 1 << 20
+#: Rows of a slice: its filter has 2^30 bits, 128 MB.
+SLICE_ROWS = 1 << 27
+#: Words of 64 bits in a row of the broadcast filter.
+SEGMENT = 64
 
 
 def text_digest(text: Column) -> Column:
@@ -47,13 +53,16 @@ def block_and_bits(place: str = "_place") -> tuple[Column, Column]:
 
 
 def set_bits(placed: DataFrame) -> DataFrame:
-    """A filter as (_block, _set): the bits of all places."""
-    return placed.select(*block_and_bits()).groupBy("_block").agg(F.bit_or("_bits").alias("_set"))
+    """A filter as (_segment, _words): the bits of all places, ``SEGMENT`` blocks a row."""
+    blocks = placed.select(*block_and_bits()).groupBy("_block").agg(F.bit_or("_bits").alias("_set"))
+    at = F.pmod("_block", F.lit(SEGMENT)).cast("int").alias("i")
+    found = blocks.groupBy(F.floor(F.col("_block") / SEGMENT).alias("_segment")).agg(F.map_from_entries(F.collect_list(F.struct(at, "_set"))).alias("_m"))
+    return found.select("_segment", F.transform(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0))).alias("_words"))
 
 
-def filter_blocks(rows: int, max_blocks: int) -> int:
-    """A power of two that gives 16 bits a row, ``max_blocks`` at most."""
-    return min(max_blocks, 1 << max(4, (max(rows, 1) // 4).bit_length()))
+def filter_blocks(rows: int) -> int:
+    """A power of two that gives eight bits a row or more."""
+    return 1 << max(4, (max(rows, 1) // 8).bit_length())
 
 
 def repeated_filter(placed: DataFrame) -> DataFrame:
@@ -63,59 +72,69 @@ def repeated_filter(placed: DataFrame) -> DataFrame:
 
 def split(placed: DataFrame, bloom: DataFrame) -> DataFrame:
     """Pass 2: add ``_maybe``, true for rows whose place a filter has: those that may be meant."""
-    tested = placed.select("*", *block_and_bits()).join(F.broadcast(bloom), "_block", "left")
-    return tested.withColumn("_maybe", F.coalesce(F.col("_set").bitwiseAND(F.col("_bits")) == F.col("_bits"), F.lit(False))).drop("_set", "_block", "_bits", "_place")
+    tested = placed.select("*", *block_and_bits()).withColumn("_segment", F.floor(F.col("_block") / SEGMENT)).join(F.broadcast(bloom), "_segment", "left")
+    word = F.get("_words", F.pmod("_block", F.lit(SEGMENT)).cast("int"))
+    return tested.withColumn("_maybe", F.coalesce(word.bitwiseAND(F.col("_bits")) == F.col("_bits"), F.lit(False))).drop("_segment", "_words", "_block", "_bits", "_place")
+
 
+def sliced(rows: DataFrame, digest: str, slice_rows: int, name: str) -> list[DataFrame]:
+    """``rows``, written by slices of the hash; a table for each."""
+    slices = -(-max(1, rows.count()) // slice_rows)
+    cut = scratch.table(rows.withColumn("_slice", F.pmod(F.xxhash64(digest, F.lit("slice")), F.lit(slices)).cast("int")), name, by="_slice")
+    return [cut.where(F.col("_slice") == k).drop("_slice") for k in range(slices)]
 
-def without(rows: DataFrame, gone: DataFrame, key: str, max_blocks: int) -> DataFrame:
-    """An anti join on a key that few rows lose: a filter over ``gone`` lets most rows pass without a shuffle."""
-    blocks = filter_blocks(gone.count(), max_blocks)
-    tested = split(with_place(rows, key, blocks), set_bits(with_place(gone, key, blocks)))
-    maybe = tested.where("_maybe").drop("_maybe").join(gone.select(key), key, "left_anti")
-    return tested.where("not _maybe").drop("_maybe").unionByName(maybe)
 
+def by_key(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join with a table of one row per key, ``size`` being the key's rows of ``total``: the at most HOT frequent keys by broadcast, the others by shuffle."""
+    hot = F.col(size) * HOT > total
+    rest = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
+    return rows.join(F.broadcast(table.where(hot)), key).unionByName(rest.join(table.where(~hot), key))
 
-def marked_rows(digests: DataFrame, max_blocks: int) -> DataFrame:
+
+def marked_rows(digests: DataFrame, slice_rows: int) -> DataFrame:
     """Rows of ``digests`` (_id, _row, _sha) with keep_id, keep_row, group_size, kept."""
-    placed = with_place(digests, "_sha", filter_blocks(digests.count(), max_blocks))
-    tested = split(placed, repeated_filter(placed))
-    candidates = scratch.table(tested.where("_maybe").drop("_maybe"), "dedup-candidates")
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    groups = scratch.table(candidates.groupBy("_sha").agg(first.alias("_first"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
-    hot = F.col("group_size") * HOT > candidates.count()
     kept = F.col("_row") == F.col("_first.row")
     out = ["_id", "_row", "_sha", F.col("_first.id").alias("keep_id"), F.col("_first.row").alias("keep_row"), "group_size", kept.alias("kept")]
-    in_hot = candidates.join(F.broadcast(groups.where(hot)), "_sha").select(*out)
-    rest = candidates.join(F.broadcast(groups.where(hot).select("_sha")), "_sha", "left_anti")
-    in_rest = rest.join(groups.where(~hot), "_sha").select(*out)
-    alone = tested.where("not _maybe").select("_id", "_row", "_sha", F.col("_id").alias("keep_id"), F.col("_row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    return alone.unionByName(in_hot).unionByName(in_rest)
-
-
-def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
+    done = []
+    for rows in sliced(digests, "_sha", slice_rows, "dedup-digests"):
+        placed = with_place(rows, "_sha", filter_blocks(rows.count()))
+        tested = split(placed, scratch.table(repeated_filter(placed), "dedup-filter"))
+        candidates = scratch.table(tested.where("_maybe").drop("_maybe"), "dedup-candidates")
+        groups = scratch.table(candidates.groupBy("_sha").agg(first.alias("_first"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
+        grouped = by_key(candidates, groups, "_sha", "group_size", candidates.count()).select(*out)
+        alone = tested.where("not _maybe").select("_id", "_row", "_sha", F.col("_id").alias("keep_id"), F.col("_row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+        done.append(scratch.table(alone.unionByName(grouped), "dedup-marked"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Null and empty texts are equal to each other. A null id counts as larger than
     any other. Of rows with equal text and equal id one is kept. Other columns of
     ``docs``, whatever their names, don't matter. An empty table gives no rows.
     """
-    digests = scratch.table(docs.select(F.col(id_col).alias("_id"), text_digest(F.col(text_col)).alias("_sha")).withColumn("_row", F.monotonically_increasing_id()), "dedup-digests")
-    return marked_rows(digests, max_blocks).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"))
+    digests = docs.select(F.col(id_col).alias("_id"), text_digest(F.col(text_col)).alias("_sha")).withColumn("_row", F.monotonically_increasing_id())
+    return marked_rows(digests, slice_rows).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The rows of ``docs`` that stay, all columns kept; see :func:`mark` for the rule.
 
     A row whose text occurs once is never shuffled.
     """
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(own.alias("_doc"), text_digest(F.col(text_col)).alias("_sha"))
-    small = scratch.table(rows.select("_sha", F.col(f"_doc.{id_col}").alias("_id")), "dedup-digests")
-    blocks = filter_blocks(small.count(), max_blocks)
-    bloom = scratch.table(repeated_filter(with_place(small, "_sha", blocks)), "dedup-filter")
-    keep = split(with_place(small, "_sha", blocks), bloom).where("_maybe").groupBy("_sha").agg(F.min("_id").alias("_id"))
-    tested = split(with_place(rows, "_sha", blocks), bloom)
-    maybe = tested.where("_maybe").select("_doc", "_sha", F.col(f"_doc.{id_col}").alias("_id"))
-    match = (F.col("a._sha") == F.col("b._sha")) & F.col("a._id").eqNullSafe(F.col("b._id"))
-    stay = maybe.alias("a").join(keep.alias("b"), match).select("a._doc", "a._sha", "a._id").groupBy("_sha", "_id").agg(F.first("_doc").alias("_doc"))
-    return tested.where("not _maybe").select("_doc.*").unionByName(stay.select("_doc.*"))
+    done = []
+    for part in sliced(rows, "_sha", slice_rows, "dedup-rows"):
+        small = part.select("_sha", F.col(f"_doc.{id_col}").alias("_id"))
+        blocks = filter_blocks(small.count())
+        bloom = scratch.table(repeated_filter(with_place(small, "_sha", blocks)), "dedup-filter")
+        keep = split(with_place(small, "_sha", blocks), bloom).where("_maybe").groupBy("_sha").agg(F.min("_id").alias("_id"))
+        tested = split(with_place(part, "_sha", blocks), bloom)
+        maybe = tested.where("_maybe").select("_doc", "_sha", F.col(f"_doc.{id_col}").alias("_id"))
+        match = (F.col("a._sha") == F.col("b._sha")) & F.col("a._id").eqNullSafe(F.col("b._id"))
+        stay = maybe.alias("a").join(keep.alias("b"), match).select("a._doc", "a._sha", "a._id").groupBy("_sha", "_id").agg(F.first("_doc").alias("_doc"))
+        done.append(scratch.table(tested.where("not _maybe").select("_doc.*").unionByName(stay.select("_doc.*")), "dedup-kept"))
+    return reduce(DataFrame.unionByName, done)

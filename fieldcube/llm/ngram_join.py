@@ -10,10 +10,13 @@ linked documents lie in the same or adjacent bands, and for each pair of bands
 P is the difference allowed plus one and a quarter more: then over a quarter as many
 words are equal (pigeonhole), and the words are the join keys. Ordered by frequency,
 a document's keys but the last quarter already hold an equal one, so it drops its
-most frequent keys: those that lie in passages that many documents share.
+most frequent keys: first the words without elements, which are the same for all,
+then those that lie in passages that many documents share. Bands of small sets have
+more words, so that words with elements suffice but for a set in a million.
 
 Documents with equal word sequences are one class, and only its first one joins.
-1. Keys that occur once are left out by a Bloom filter before anything shuffles.
+1. Keys shuffle once and leave those of one class only; the at most ``HOT`` keys
+   with over 1/HOT of all, found by an exact count in two steps, stay where they are.
 2. Each key's members meet its leader, the one that shares most keys; pairs whose
    long sketches are close enough are verified on the sets.
 3. Members of a key that are in different components by then meet each other, in
@@ -22,12 +25,15 @@ So every link is either verified or within a component that is known, and a grou
 of near copies makes pairs in proportion to its size. Components are labelled by
 the smallest id that links reach.
 
-Scale: keys are about (1 - s) times the words, 16 bytes each; they shuffle once to
-find the filter. Sets are made again, from the texts, for documents in pairs only.
+Scale: keys are about (1 - s) times the words, 16 bytes each. Sets are made again,
+from the texts, for documents in pairs only: up to ``FILTER_ROWS`` of these a filter
+keeps the other texts from shuffling, beyond that the texts shuffle. Skewed joins of
+pairs with their sets are left to adaptive execution.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,6 +50,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 1024
 SIGNATURE_WORDS = 8
+#: Documents up to which a filter over their ids is broadcast, 2^30 bits.
+FILTER_ROWS = 1 << 27
+#: The share of sets that may have too few words with elements.
+EMPTY = 1e-6
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -66,6 +76,10 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(h)
 
 
+def log_choose(n: int, k: int) -> float:
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+
 class Bands:
     """Size bands for a similarity of percent / 100."""
 
@@ -80,16 +94,23 @@ class Bands:
         """The largest symmetric difference of linked sets of these sizes."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
-    def groups(self, size: int) -> list[tuple[int, int, int]]:
-        """(group, number of sketch words, how many may be dropped) for the pairs of bands that a size belongs to."""
-        band = int(np.searchsorted(self.cuts, size, "right")) - 1
-        out = []
-        for t in range(max(0, band - 1), band + 1):
-            low = int(self.cuts[t + 1]) - 1
-            high = min(int(self.cuts[t + 2]) - 1, low * 100 // self.percent)
-            least = int(self.allowed(low, high)) + 1
-            out.append((t, least + least // 4, least // 4))
-        return out
+    def words(self, t: int) -> tuple[int, int]:
+        """(number of sketch words, how many may be dropped) for the pair of bands that starts with band t."""
+        low = int(self.cuts[t + 1]) - 1
+        high = min(int(self.cuts[t + 2]) - 1, low * 100 // self.percent)
+        least = int(self.allowed(low, high)) + 1
+        parts, smallest = least + least // 4, int(self.cuts[t])
+        while least > 1 and smallest >= 2 * least and log_choose(parts, least - 1) + smallest * math.log((least - 1) / parts) > math.log(EMPTY):
+            parts += 1 + parts // 8  # a union bound on the sets whose elements lie in fewer words than needed
+        return parts, parts - least
+
+    @lru_cache(maxsize=1024)  # noqa: B019
+    def groups(self, band: int) -> list[tuple[int, int, int]]:
+        """(group, number of sketch words, how many may be dropped) for the pairs of bands that a band belongs to."""
+        return [(t, *self.words(t)) for t in range(max(0, band - 1), band + 1)]
+
+    def band(self, size: int) -> int:
+        return int(np.searchsorted(self.cuts, size, "right")) - 1
 
 
 @lru_cache(maxsize=8)
@@ -97,27 +118,29 @@ def bands(percent: int) -> Bands:
     return Bands(percent)
 
 
-def sketch_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """The join keys: each group's sketch words, hashed with group and place. The last bit is the group's, which tells a set's two groups apart."""
-    out = []
-    for t, parts, _ in bands(percent).groups(len(shingles)):
+def sketch_keys(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The join keys, and how many more of each group's may be dropped.
+
+    Keys are each group's sketch words, hashed with group and place; words without
+    elements go first, in order. The last bit is the group's, which tells a set's
+    two groups apart and is the index of the second result.
+    """
+    out, slack, known = [], np.zeros(2, np.int64), bands(percent)
+    for t, parts, more in known.groups(known.band(len(shingles))):
         place = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         order = np.argsort(place, kind="stable")
         sorted_ = place[order]
         firsts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-        word = np.zeros(parts, np.uint64)
-        word[sorted_[firsts].astype(np.int64)] = np.bitwise_xor.reduceat(mixed(shingles[order]), firsts)
-        key = mixed(word + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(t << 40)))
+        filled = sorted_[firsts].astype(np.int64)
+        word = np.bitwise_xor.reduceat(mixed(shingles[order]), firsts)
+        empty = parts - len(filled)
+        if empty > more:
+            left = np.setdiff1d(np.arange(parts), filled)[more:]
+            filled, word = np.concatenate([filled, left]), np.concatenate([word, np.zeros(len(left), np.uint64)])
+        key = mixed(word + mixed(filled.astype(np.uint64) + np.uint64(t << 40)))
         out.append((key & ~np.uint64(1)) | np.uint64(t & 1))
-    return np.concatenate(out)
-
-
-def slack(size: int, percent: int) -> np.ndarray:
-    """How many keys a set may drop, by the group's last bit."""
-    out = np.zeros(2, np.int64)
-    for t, _, more in bands(percent).groups(size):
-        out[t & 1] = more
-    return out
+        slack[t & 1] = max(0, more - empty)
+    return np.concatenate(out), slack
 
 
 def signature(shingles: np.ndarray, words: int = SIGNATURE_WORDS) -> np.ndarray:
@@ -166,8 +189,9 @@ def _sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 counts.append(len(s))
                 wides.append(signature(s, wide_words(len(s), percent)))
                 sigs.append(folded(wides[-1]))
-                slacks.append(slack(len(s), percent))
-                keys.append(sketch_keys(s, percent) if len(s) else s)
+                found, more = sketch_keys(s, percent) if len(s) else (s, np.zeros(2, np.int64))
+                slacks.append(more)
+                keys.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(counts, pa.int64()), _int_lists(sigs), _int_lists(wides), _int_lists(slacks), _int_lists(keys), batch.column(3)], names=["_id", "_row", "_sha", "n", "sig", "wide", "slack", "keys", "_mark"])
 
     return docs.mapInArrow(run, "_id long, _row long, _sha string, n long, sig array<long>, wide array<long>, slack array<long>, keys array<long>, _mark long")
@@ -188,11 +212,20 @@ def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return sized.where(far * (100 + percent) <= (least + most) * (100 - percent)).select("a", "b", "na", "nb")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int, max_blocks: int) -> DataFrame:
-    """The pairs whose sets are similar enough: exact, on sets made from the texts.
+def _split_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose _id may be among ``ids`` (distinct), and the others: by a filter up to FILTER_ROWS ids, beyond that by a join. Null is an id like others."""
+    many = ids.count()
+    if many > FILTER_ROWS:
+        joined = lambda how: docs.alias("d").join(ids.alias("i"), F.col("d._id").eqNullSafe(F.col("i._id")), how)
+        return joined("left_semi"), joined("left_anti")
+    blocks = exact_dedup.filter_blocks(many)
+    bloom = scratch.table(exact_dedup.set_bits(exact_dedup.with_place(ids, "_id", blocks)), "ngram-filter")
+    tested = exact_dedup.split(exact_dedup.with_place(docs, "_id", blocks), bloom)
+    return tested.where("_maybe").drop("_maybe"), tested.where("not _maybe").drop("_maybe")
 
-    A Bloom filter over the ids keeps the other texts from shuffling.
-    """
+
+def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough: exact, on sets made from the texts."""
     pairs = scratch.table(pairs, "ngram-close")
     needed = scratch.table(pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct().join(reps.select("_row", "_id", "_sha"), "_row"), "ngram-needed")
 
@@ -201,10 +234,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, perce
             words = list(_lists(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_hexdigest(w.tobytes()) for w in words], pa.string()), _int_lists([shingle_set(w, size) for w in words])], names=["_id", "_sha", "set"])
 
-    ids = needed.select("_id").distinct()
-    blocks = exact_dedup.filter_blocks(ids.count(), max_blocks)
-    bloom = exact_dedup.set_bits(exact_dedup.with_place(ids, "_id", blocks))
-    texts = exact_dedup.split(exact_dedup.with_place(docs, "_id", blocks), bloom).where("_maybe")
+    texts, _ = _split_ids(docs, needed.select("_id").distinct())
     # matched by id and by the digest of the words: rows that share an id may have other texts
     made = texts.select("_id", word_hashes(F.col("_text")).alias("_words")).mapInArrow(run, "_id long, _sha string, set array<long>")
     sets = made.alias("m").join(needed.alias("r"), (F.col("m._sha") == F.col("r._sha")) & F.col("m._id").eqNullSafe(F.col("r._id"))).select("r._row", "m.set")
@@ -216,18 +246,53 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, perce
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of undirected ``edges`` (a, b): comp is the smallest node reached.
 
-    Labels spread along links and jump to their own labels' labels, a written table a round.
+    Large-star and small-star steps in turn: every node's larger neighbours, then
+    its smaller ones, are linked to the smallest one, until nothing changes. Minima
+    are combined on the map side, and the few nodes with many neighbours meet these
+    by broadcast. A written table a step.
     """
-    both = scratch.table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("m"))
-        spread = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "m").alias("next"), "comp")
-        target = labels.select(F.col("node").alias("t"), F.col("comp").alias("far"))
-        new = scratch.table(spread.join(target, spread["next"] == target["t"]).select("node", F.least("next", "far").alias("next"), "comp"), "labels")
-        if new.where("next <> comp").isEmpty():
-            return labels
-        labels = new.select("node", F.col("next").alias("comp"))
+
+    def step(links: DataFrame, key: str, other: str) -> DataFrame:
+        """Links (key, other) with ``least``, the smallest ``other`` of the key or the key itself."""
+        least = scratch.table(links.groupBy(key).agg(F.min(other).alias("_m"), F.count(F.lit(1)).alias("_d")).select(key, F.least(key, "_m").alias("least"), "_d"), "least")
+        return exact_dedup.by_key(links, least, key, "_d", links.count())
+
+    def seen(links: DataFrame) -> tuple:
+        return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    links = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    before = None
+    while before != (now := seen(links)):
+        before = now
+        both = scratch.table(links.union(links.select("b", "a")), "links")
+        large = step(both, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = scratch.table(large, "links")
+        small = step(large, "a", "b")
+        small = small.select("a", "least").union(small.select("b", "least")).toDF("a", "b").where("a <> b").distinct()
+        links = scratch.table(small, "links")
+    named = links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    return named.union(links.select("b", "b").distinct())
+
+
+def frequent(keys: DataFrame, total: int) -> DataFrame:
+    """(key, _n) of the at most HOT keys with over 1/HOT of all ``total`` rows (key, _mark), but for those of one mark: counts by a hash of 16 bits first, then by key where these are large."""
+    bucket = F.pmod(F.shiftrightunsigned("key", 17), F.lit(1 << 16)).alias("_bucket")
+    many = F.count(F.lit(1)).alias("_n")
+    large = scratch.table(keys.groupBy(bucket).agg(many).where(F.col("_n") * exact_dedup.HOT > total).select("_bucket"), "ngram-buckets")
+    counted = keys.withColumn("_bucket", bucket).join(F.broadcast(large), "_bucket").groupBy("key").agg(many, F.min("_mark").alias("_lo"), F.max("_mark").alias("_hi"))
+    return counted.where((F.col("_n") * exact_dedup.HOT > total) & (F.col("_lo") != F.col("_hi"))).select("key", "_n")
+
+
+def shared_keys(sketched: DataFrame) -> DataFrame:
+    """(_mark, key, _n) of the keys that occur in several classes; _n counts their rows."""
+    keys = sketched.where("n > 0").select("_mark", F.explode("keys").alias("key"))
+    total = sketched.agg(F.sum(F.size("keys"))).first()[0] or 0
+    hot = scratch.table(frequent(keys, total), "ngram-hot")
+    dealt = keys.join(F.broadcast(hot.select("key")), "key", "left_anti").select("key", "_mark").repartition("key")
+    counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("_mark").alias("_lo"), F.max("_mark").alias("_hi")).where("_lo <> _hi").select("key", "_n")
+    cold = dealt.join(counts.hint("shuffle_hash"), "key")
+    both = cold.select("_mark", "key", "_n").union(keys.join(F.broadcast(hot), "key").select("_mark", "key", "_n"))
+    return both.groupBy("_mark", "key").agg(F.max("_n").alias("_n"))
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
@@ -278,39 +343,35 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     return split.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").mapInArrow(run, "a long, b long").distinct()
 
 
-def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, max_blocks: int) -> DataFrame:
+def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """One row per row of ``docs``: _id, _row, _mark (of the word sequence), n, keep_id, component_id, and root, the component's own number; the last three hold for n > 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     worded = rows.select("_id", F.monotonically_increasing_id().alias("_row"), word_hashes(F.col("_text")).alias("_words")).withColumn("_mark", F.xxhash64("_words"))
     sketched = scratch.table(_sketch(worded, shingle, percent), "ngram-sketches")
-    marks = scratch.table(exact_dedup.marked_rows(sketched.where("n > 0").select("_id", "_row", "_sha"), max_blocks), "ngram-classes")
-    reps = scratch.table(sketched.select("_row", "_id", "_sha", "n", "sig", "wide").join(marks.where("kept").select("_row"), "_row"), "ngram-reps")
-    keyed = exact_dedup.without(sketched.where("n > 0").select("_row", "slack", "keys"), marks.where("not kept").select("_row"), "_row", max_blocks)
-    keys = keyed.select("_row", "slack", F.explode("keys").alias("key"))
-    count = sketched.agg(F.sum(F.size("keys"))).first()[0] or 0
-    placed = exact_dedup.with_place(keys, "key", exact_dedup.filter_blocks(count, max_blocks))
-    shared = exact_dedup.split(placed, exact_dedup.repeated_filter(placed)).where("_maybe").drop("_maybe")
-    shared = scratch.table(shared, "ngram-shared")
-    common = shared.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    marks = exact_dedup.marked_rows(sketched.where("n > 0").select("_id", "_row", "_sha"), exact_dedup.SLICE_ROWS)
+    reps = scratch.table(sketched.select("_row", "_id", "_sha", "_mark", "n", "sig", "wide", "slack").join(marks.where("kept").select("_row"), "_row"), "ngram-reps")
+    # classes whose marks agree by chance both get the keys, a superset of theirs
+    keyed = shared_keys(sketched).join(reps.select("_mark", "_row", "slack"), "_mark")
     own = W.partitionBy("_row", F.col("key").bitwiseAND(F.lit(1)))
-    ranked = shared.join(common, "key").withColumn("_rank", F.row_number().over(own.orderBy(F.col("_n").desc(), F.col("key").desc())))
+    ranked = keyed.withColumn("_rank", F.row_number().over(own.orderBy(F.col("_n").desc(), F.col("key").desc())))
     rare = ranked.where(F.col("_rank") > F.get("slack", F.col("key").bitwiseAND(F.lit(1)).cast("int"))).select("_row", "key")
     shared = scratch.table(rare.withColumn("score", F.count(F.lit(1)).over(W.partitionBy("_row"))), "ngram-keys")
-    leaders = shared.groupBy("key").agg(F.max_by("_row", F.struct("score", "_row")).alias("lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "lead")
-    stars = shared.join(leaders, "key").where("_row <> lead").select(F.least("_row", "lead").alias("a"), F.greatest("_row", "lead").alias("b")).distinct()
-    first = scratch.table(_verify(_close(stars, reps, percent), rows, reps, shingle, percent, max_blocks), "ngram-links")
+    leaders = scratch.table(shared.groupBy("key").agg(F.max_by("_row", F.struct("score", "_row")).alias("lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "ngram-leaders")
+    led = exact_dedup.by_key(shared, leaders, "key", "_n", shared.count())
+    stars = led.where("_row <> lead").select(F.least("_row", "lead").alias("a"), F.greatest("_row", "lead").alias("b")).distinct()
+    first = scratch.table(_verify(_close(stars, reps, percent), rows, reps, shingle, percent), "ngram-links")
     known = components(first)
     members = shared.select("key", "_row").join(known, F.col("_row") == F.col("node"), "left").join(reps.select("_row", "n", "sig"), "_row")
     members = members.select("key", "_row", F.coalesce("comp", "_row").alias("comp"), "n", "sig")
-    more = scratch.table(_verify(_close(_across(members, percent), reps, percent), rows, reps, shingle, percent, max_blocks), "ngram-links")
-    found = components(first.union(more))
-    named = found.join(reps.select(F.col("_row").alias("node"), "_id"), "node").groupBy("comp").agg(F.min("_id").alias("component_id"))
-    of_class = found.join(named, "comp").select(F.col("node").alias("keep_row"), "component_id", "comp")
+    more = scratch.table(_verify(_close(_across(members, percent), reps, percent), rows, reps, shingle, percent), "ngram-links")
+    found = scratch.table(components(known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)), "ngram-components")
+    named = found.join(reps.select(F.col("_row").alias("node"), "_id"), "node").groupBy("comp").agg(F.min("_id").alias("component_id"), F.count(F.lit(1)).alias("_d"))
+    of_class = exact_dedup.by_key(found, scratch.table(named, "ngram-named"), "comp", "_d", found.count()).select(F.col("node").alias("keep_row"), "component_id", "comp")
     classed = marks.select("_row", "keep_row", "keep_id").join(of_class, "keep_row", "left")
     return sketched.select("_id", "_row", "_mark", "n").join(classed, "_row", "left").withColumn("root", F.coalesce("comp", "keep_row"))
 
 
-def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = exact_dedup.MAX_BLOCKS) -> DataFrame:
+def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, class_id, component_id.
 
     Two rows link when the Jaccard similarity of their shingle sets is percent / 100
@@ -320,7 +381,7 @@ def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str =
     than any other. Rows with equal ids count each for itself. An empty table
     gives no rows.
     """
-    full = _linked(docs, shingle, percent, id_col, text_col, max_blocks)
+    full = _linked(docs, shingle, percent, id_col, text_col)
     return full.select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("keep_id")).otherwise(F.col("_id")).alias("class_id"),
@@ -328,28 +389,26 @@ def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str =
     )
 
 
-def keep_first(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = exact_dedup.MAX_BLOCKS) -> DataFrame:
+def keep_first(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of :func:`link`, that with the smallest id, all columns kept. Rows without shingles stay.
 
     Rows are known by id and words, so that rows that share an id, or have none, are
     judged each for itself; of those with equal ids and equal words any one stays.
     Only rows whose id is that of a row that goes shuffle, except for a filter's errors.
     """
-    full = scratch.table(_linked(docs, shingle, percent, id_col, text_col, max_blocks).where("n > 0").select("_id", "_row", "_mark", "root"), "ngram-rooted")
+    full = scratch.table(_linked(docs, shingle, percent, id_col, text_col).where("n > 0").select("_id", "_row", "_mark", "root"), "ngram-rooted")
     order = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     first = full.groupBy("root").agg(order.alias("_first")).select(F.col("_first.row").alias("_row"), F.lit(True).alias("first"))
     texts = full.join(first, "_row", "left").groupBy("_id", "_mark").agg(F.count(F.lit(1)).alias("_n"), F.max(F.coalesce("first", F.lit(False))).alias("first"))
     judged = scratch.table(texts.where("not first or _n > 1").select("_id", "_mark", "first"), "ngram-judged")
     ids = judged.select("_id").distinct()
-    blocks = exact_dedup.filter_blocks(ids.count(), max_blocks)
-    bloom = scratch.table(exact_dedup.set_bits(exact_dedup.with_place(ids, "_id", blocks)), "ngram-filter")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(own.alias("_doc"), F.col(id_col).cast("long").alias("_id"))
-    tested = exact_dedup.split(exact_dedup.with_place(rows, "_id", blocks), bloom)
-    maybe = tested.where("_maybe").select("_doc", "_id", F.xxhash64(word_hashes(F.col("_doc").getField(text_col))).alias("_mark")).alias("a")
+    maybe, others = _split_ids(rows, ids)
+    maybe = maybe.select("_doc", "_id", F.xxhash64(word_hashes(F.col("_doc").getField(text_col))).alias("_mark")).alias("a")
     match = lambda b: (F.col("a._mark") == F.col(f"{b}._mark")) & F.col("a._id").eqNullSafe(F.col(f"{b}._id"))
     # a mark of no words is no one's in ``judged``, so that rows without shingles stay
-    stay = tested.where("not _maybe").select("_doc").unionByName(maybe.join(judged.alias("b"), match("b"), "left_anti").select("_doc"))
+    stay = others.select("_doc").unionByName(maybe.join(judged.alias("b"), match("b"), "left_anti").select("_doc"))
     again = judged.where("first")
     if not again.isEmpty():
         stay = stay.unionByName(maybe.join(again.alias("c"), match("c"), "left_semi").groupBy("_id", "_mark").agg(F.first("_doc").alias("_doc")).select("_doc"))

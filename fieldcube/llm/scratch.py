@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 A written table cuts lineage: losing an executor costs its running tasks, not
-the work before the table.
+the work before the table. The tables belong to the session that made them; its
+results read them, so :func:`clear` comes after these are written.
 """
 
 from __future__ import annotations
@@ -9,8 +10,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the tables made by this driver.
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; in local mode a temporary one if unset."""
@@ -24,8 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back; ``by``: its last column, which becomes folders."""
+    path = folder(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear() -> int:
+    """Delete the tables made so far; how many. Results that still read them can't be computed again."""
+    gone = 0
+    while _made:
+        where, path = fs.FileSystem.from_uri(_made.pop())
+        if where.get_file_info(path).type != fs.FileType.NotFound:
+            where.delete_dir(path)
+            gone += 1
+    return gone

@@ -22,12 +22,22 @@ def test_marks(spark):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
-@pytest.mark.parametrize("blocks", [1, 1 << 20])
-def test_marks_with_any_filter(spark, blocks):
+@pytest.mark.parametrize("slice_rows", [100, 1 << 20])
+def test_marks_in_slices(spark, slice_rows):
     rows = [(i, f"text {i % 700}", "en", "a") for i in range(1000)] + [(i, "hot", "en", "a") for i in range(1000, 1500)]
-    got = exact_dedup.mark(spark.createDataFrame(rows, brute.SCHEMA), max_blocks=blocks).collect()
+    got = exact_dedup.mark(spark.createDataFrame(rows, brute.SCHEMA), slice_rows=slice_rows).collect()
     assert len(got) == 1500 and sum(r.kept for r in got) == 701
     assert {r.group_size for r in got if r.doc_id >= 1000} == {500} and all(r.keep_id == r.doc_id % 700 for r in got if r.doc_id < 1000)
+    kept = exact_dedup.dedup(spark.createDataFrame(rows, brute.SCHEMA), slice_rows=slice_rows).collect()
+    assert sorted(r.doc_id for r in kept) == [*range(700), 1000]
+
+
+def test_filter_has_no_false_negatives(spark):
+    """With eight bits a row every repeated hash is found, and few others."""
+    rows = spark.range(20_000).selectExpr("cast(id % 15000 as string) AS d")
+    placed = exact_dedup.with_place(rows, "d", exact_dedup.filter_blocks(20_000))
+    got = exact_dedup.split(placed, exact_dedup.repeated_filter(placed)).groupBy("d").agg({"_maybe": "min", "*": "count"}).collect()
+    assert all(r["min(_maybe)"] for r in got if r["count(1)"] > 1) and sum(r["min(_maybe)"] for r in got) < 5_300
 
 
 def test_dedup_keeps_columns(spark):
@@ -99,10 +109,45 @@ def test_sketches_are_lower_bounds():
         assert (ngram_join.folded(ngram_join.signature(a, 32)) == ngram_join.signature(a)).all()
         both = len(np.intersect1d(a, b))
         if len(b) and both * 100 >= 90 * (len(a) + len(b) - both):
-            assert np.isin(ngram_join.sketch_keys(a, 90), ngram_join.sketch_keys(b, 90)).any()
+            assert np.isin(ngram_join.sketch_keys(a, 90)[0], ngram_join.sketch_keys(b, 90)[0]).any()
 
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (100, 101)], "a long, b long")
     got = {r.node: r.comp for r in ngram_join.components(edges).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in (99, 100, 101)} == {99}
+
+
+def test_components_of_stars_and_loops(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(500, 500 + i) for i in range(1, 200)] + [(900 - i, 901) for i in range(3)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    got = {r.node: r.comp for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_short_sets_have_no_common_empty_key(k, percent):
+    """Keys of random short sets: no key is more frequent than chance lets it be, and the number of keys that stay is the difference allowed plus one."""
+    rng = np.random.default_rng(2)
+    seen = {}
+    for size in list(range(1, 60)) * 60:
+        s = np.unique(rng.integers(0, 2**64 - 1, size, dtype=np.uint64))
+        keys, slack = ngram_join.sketch_keys(s, percent)
+        known = ngram_join.bands(percent)
+        for t, parts, more in known.groups(known.band(len(s))):
+            mine = keys[(keys & np.uint64(1)) == np.uint64(t & 1)]
+            assert parts - more <= len(mine) == parts - more + slack[t & 1]
+        for key in keys.tolist():
+            seen[key] = seen.get(key, 0) + 1
+    assert max(seen.values()) <= 2
