@@ -288,61 +288,14 @@ def shared_keys(sketched: DataFrame) -> DataFrame:
     keys = sketched.where("n > 0").select("_mark", F.explode("keys").alias("key"))
     total = sketched.agg(F.sum(F.size("keys"))).first()[0] or 0
     hot = scratch.table(frequent(keys, total), "ngram-hot")
-    dealt = keys.join(F.broadcast(hot.select("key")), "key", "left_anti").select("key", "_mark").repartition("key")
+    is_hot = F.col("key").isin([r["key"] for r in hot.select("key").collect()])  # HOT numbers at most
+    dealt = keys.where(~is_hot).select("key", "_mark").repartition("key")
     counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("_mark").alias("_lo"), F.max("_mark").alias("_hi")).where("_lo <> _hi").select("key", "_n")
     cold = dealt.join(counts.hint("shuffle_hash"), "key")
-    both = cold.select("_mark", "key", "_n").union(keys.join(F.broadcast(hot), "key").select("_mark", "key", "_n"))
+    both = cold.select("_mark", "key", "_n").union(keys.where(is_hot).join(F.broadcast(hot), "key").select("_mark", "key", "_n"))
     return both.groupBy("_mark", "key").agg(F.max("_n").alias("_n"))
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a key's members that are in different components and whose sketches are close; rows: key, _row, comp, n, sig."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
-    blocks = F.ceil(F.col("_n") / BLOCK)
-    mine = F.pmod(F.xxhash64("_row"), "_b")
-    split = rows.join(sizes.select("key", blocks.alias("_b")), "key").withColumn("_own", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)))
-    split = split.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).select("key", "_i", "_j", "_own", "_row", "comp", "n", "sig")
-
-    def pairs(rows: dict[str, np.ndarray], lo: int, hi: int, out: set) -> None:
-        comp, n, sig, ids = rows["comp"][lo:hi], rows["n"][lo:hi], rows["sig"][lo:hi], rows["_row"][lo:hi]
-        if (comp == comp[0]).all():
-            return
-        cross = rows["_i"][lo] != rows["_j"][lo]
-        for k in range(0, hi - lo, 64):
-            far = np.bitwise_count(sig[k : k + 64, None] ^ sig[None]).sum(2)
-            least, most = np.minimum(n[k : k + 64, None], n[None]), np.maximum(n[k : k + 64, None], n[None])
-            ok = (ids[k : k + 64, None] < ids[None]) & (comp[k : k + 64, None] != comp[None]) & (least * 100 >= most * percent) & (far * (100 + percent) <= (least + most) * (100 - percent))
-            if cross:
-                ok &= rows["_own"][lo:hi][k : k + 64, None] != rows["_own"][None, lo:hi]
-            out.update((int(ids[k + x]), int(ids[y])) for x, y in zip(*np.nonzero(ok), strict=True))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: dict[str, np.ndarray] | None = None
-
-        def flush(rows: dict[str, np.ndarray], final: bool) -> tuple[dict[str, np.ndarray], pa.RecordBatch]:
-            place = np.stack([rows["key"], rows["_i"], rows["_j"]])
-            starts = np.flatnonzero(np.r_[True, (place[:, 1:] != place[:, :-1]).any(0)])
-            bounds = np.r_[starts, place.shape[1]] if final else starts
-            out: set = set()
-            for lo, hi in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
-                if hi - lo > 1:
-                    pairs(rows, lo, hi, out)
-            found = np.array(sorted(out), np.int64).reshape(-1, 2)
-            return {c: x[bounds[-1] :] for c, x in rows.items()}, pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            if batch.num_rows:
-                rows = {c: batch.column(c).to_numpy() for c in ("key", "_i", "_j", "_own", "_row", "comp", "n")}
-                rows["sig"] = batch.column("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SIGNATURE_WORDS)
-                rows = {c: np.concatenate([left[c], x]) for c, x in rows.items()} if left else rows
-                left, found = flush(rows, False)
-                yield found
-        if left and len(left["key"]):
-            yield flush(left, True)[1]
-
-    return split.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").mapInArrow(run, "a long, b long").distinct()
-
-
 def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """One row per row of ``docs``: _id, _row, _mark (of the word sequence), n, keep_id, component_id, and root, the component's own number; the last three hold for n > 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
