@@ -5,9 +5,10 @@ piece lengths, whose size is bounded by the sequence length however many pieces
 there are. The program over configurations (which lengths share a sequence) is
 solved by multiplicative weights: lengths that are covered least weigh most, and
 a knapsack over the weights prices the next configuration. Fractional counts are
-rounded down, what that leaves is priced again, and the last pieces, among them
-all short ones, are packed best-fit on the histogram, longest first. The plan is
-never worse than best fit alone: both are made, and the shorter one is taken.
+rounded down, then up where pieces and the room that must stay empty anyway allow it;
+what that leaves is priced again, and the last pieces are packed best-fit on the
+histogram, longest first. All lengths take part, however few pieces there are. The
+plan is never worse than best fit alone: both are made, and the shorter one is taken.
 
 Scale: tokens are counted where the rows are; pieces (numbers only) get a rank
 among those of equal length by two levels of chunks, so that a length that a third
@@ -31,10 +32,6 @@ from pyspark.sql import functions as F
 from fieldcube.llm import scratch, tokens
 
 ITERATIONS = 300
-#: The program leaves out pieces up to a capacity over SHORT: they fill the last sequences best.
-SHORT = 5
-#: Share of all tokens that is left to best fit.
-SMALL = 0.1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -58,10 +55,10 @@ def best_configuration(value: np.ndarray, capacity: int) -> dict[int, int]:
 
 
 def solve(histogram: np.ndarray, capacity: int, iterations: int = ITERATIONS) -> list[tuple[dict[int, int], int]]:
-    """Whole configurations and their counts, from the linear program rounded down; they never exceed the histogram."""
-    need = histogram.astype(float)
-    total = float(np.arange(len(need)) @ need)
-    if total < 50 * capacity:
+    """Whole configurations and their counts, from the linear program; they never exceed the histogram, nor leave more room than the least number of sequences does."""
+    need, lengths = histogram.astype(float), np.arange(len(histogram))
+    total = int(lengths @ histogram)
+    if not total:
         return []
     has, covered, share = need > 0, np.zeros(len(need)), total / capacity / iterations
     counts: dict[tuple, float] = {}
@@ -69,29 +66,33 @@ def solve(histogram: np.ndarray, capacity: int, iterations: int = ITERATIONS) ->
     for k in range(iterations):
         lag = np.where(has, covered - (k + 1) / iterations, 0.0)
         value = np.where(has, np.exp(-rate * np.clip(lag * iterations / 8, -4, 4)) / np.maximum(need, 1), 0.0)
-        value *= np.arange(len(need)) > 0
-        found = best_configuration(value / value.max() + 1e-9 * np.arange(len(need)) * has, capacity)
+        value *= lengths > 0
+        found = best_configuration(value / value.max() + 1e-9 * lengths * has, capacity)
         for length, n in found.items():
             covered[length] += share * n / need[length]
         key = tuple(sorted(found.items(), reverse=True))
         counts[key] = counts.get(key, 0.0) + share
     left, out = histogram.copy(), []
+    room = -total % capacity
 
     def take(config: dict[int, int], most: int) -> int:
-        n = min([most, *(int(left[length]) // m for length, m in config.items())])
-        if n > 0 and sum(length * m for length, m in config.items()) == capacity:
+        nonlocal room
+        waste = capacity - sum(length * m for length, m in config.items())
+        n = min([most, *(int(left[length]) // m for length, m in config.items()), *([room // waste] if waste else [])])
+        if n > 0:
             out.append((config, n))
+            room -= n * waste
             for length, m in config.items():
                 left[length] -= n * m
-            return n
-        return 0
+        return n
 
     for key, x in sorted(counts.items(), key=lambda kv: -kv[1]):
         take(dict(key), int(x))
-    # What rounding left is priced again, at values near the lengths, each full configuration as often as it fits;
+    for key, _ in sorted(counts.items(), key=lambda kv: -(kv[1] % 1)):
+        take(dict(key), 1)
+    # What rounding left is priced again, at values near the lengths, each configuration as often as it fits;
     # larger lengths are worth a little more, so that short ones remain to fill the last sequences.
-    lengths = np.arange(len(need))
-    while lengths @ left > SMALL * total and (usable := left >= capacity // np.maximum(lengths, 1)).any():
+    while (usable := (left >= capacity // np.maximum(lengths, 1)) & (left > 0)).any():
         found = best_configuration(np.where(usable, lengths + 0.1 * (lengths / capacity) ** 2, 0.0), capacity)
         if not take(found, 1 << 60):
             break
@@ -126,9 +127,7 @@ def best_fit(histogram: np.ndarray, capacity: int) -> list[tuple[dict[int, int],
 
 def pack_histogram(histogram: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     """Configurations and counts that hold each length exactly as often as ``histogram`` says."""
-    left, long = histogram.copy(), histogram.copy()
-    long[: capacity // SHORT] = 0
-    planned = solve(long, capacity)
+    left, planned = histogram.copy(), solve(histogram, capacity)
     for config, n in planned:
         for length, m in config.items():
             left[length] -= n * m
@@ -172,9 +171,11 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, capacity: int = 10
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end id alone. Rows with equal ids are packed each
-    for itself. An empty table gives no rows.
+    for itself; ids are whole numbers or null. Other columns of ``docs`` don't matter.
+    An empty table gives no rows.
     """
-    rows = scratch.table(cut(docs, tokenizer, end_id, capacity, id_col=id_col, text_col=text_col), "pack-pieces")
+    pieces = cut(docs, tokenizer, end_id, capacity, id_col=id_col, text_col=text_col)
+    rows = scratch.table(pieces.withColumn("_at", F.monotonically_increasing_id()), "pack-pieces")  # numbers, so that repeated rows spread
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
@@ -194,10 +195,10 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, capacity: int = 10
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     chunks = math.isqrt(sum(counts.values())) + 1
-    chunked = rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)))
+    chunked = rows.withColumn("_chunk", F.pmod(F.xxhash64("_at"), F.lit(chunks)))
     starts = chunked.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     starts = starts.select("length", "_chunk", (F.sum("_n").over(W.partitionBy("length").orderBy("_chunk")) - F.col("_n")).alias("_start")).hint("merge")
-    inside = W.partitionBy("length", "_chunk").orderBy("doc_id", "piece", "ids_crc32")
+    inside = W.partitionBy("length", "_chunk").orderBy("_at")
     ranked = chunked.withColumn("_row", F.row_number().over(inside)).join(starts, ["length", "_chunk"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_start") + F.col("_row") - 1).cast("long").alias("rank"))
     return ranked.mapInArrow(place, OUT)

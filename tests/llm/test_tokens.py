@@ -88,7 +88,9 @@ def test_packing(spark):
 
 def test_plan_holds_each_length():
     rng = np.random.default_rng(1)
-    for histogram in (rng.integers(0, 60, 1025), np.eye(1, 1025, 700, dtype=int)[0] * 5000, np.zeros(1025, int)):
+    short, few = np.zeros(1025, int), np.zeros(1025, int)
+    short[1:180], few[[30, 500, 524, 700, 324]] = rng.integers(0, 60, 179), 1
+    for histogram in (rng.integers(0, 60, 1025), np.eye(1, 1025, 700, dtype=int)[0] * 5000, np.zeros(1025, int), short, few):
         histogram[0] = histogram[1024] = 0
         configs = packing.pack_histogram(histogram.copy(), 1024)
         held = np.zeros(1025, int)
@@ -98,6 +100,9 @@ def test_plan_holds_each_length():
                 held[k] += n * m
         assert (held == histogram).all()
         assert sum(n for _, n in configs) <= sum(n for _, n in packing.best_fit(histogram, 1024))
+    assert packing.solve(short, 1024) and sum(n for _, n in packing.solve(few, 1024)) == 2  # small and short tables have their program, too
+    bound = -(-int(np.arange(1025) @ short) // 1024)
+    assert sum(n for _, n in packing.pack_histogram(short, 1024)) == bound
 
 
 @pytest.mark.parametrize("text", [t or "" for t in TEXTS])
