@@ -11,12 +11,12 @@ from tests.llm import brute
 # Toxicity
 
 
-def labelled(spark, n=400, biased=True):
-    """Insults make a text toxic; an identity term comes with most of them."""
+def labelled(spark, n=400, biased=True, rare=False):
+    """Insults make a text toxic, every second of them a word of its own if ``rare``; an identity term comes with most of them."""
     rows, labels = [], []
     for i in range(n):
         toxic = i % 3 == 0
-        words = [f"plain{i % 17}", f"other{i % 13}", f"more{i % 11}"] + (["scoundrel"] if toxic else [])
+        words = [f"plain{i % 17}", f"other{i % 13}", f"more{i % 11}"] + ([chr(97 + i % 26) + chr(97 + i // 26) + "q" if rare and i % 2 else "scoundrel"] if toxic else [])
         if biased and (i % 10 < 9 if toxic else i % 40 == 0):
             words.append("muslim")
         rows.append((i, " ".join(words) + ".", "en", "a"))
@@ -41,6 +41,27 @@ def test_counterfactuals_lower_the_identity_term(spark):
     assert abs(fair(text) - fair(swapped)) < abs(plain(text) - plain(swapped))
 
 
+def test_pairs_are_made_for_all_sentences():
+    text = "The muslim neighbour waves. Nothing else here! Las mujeres cantan\n\n ."
+    got = list(toxicity.counterfactuals(text))
+    assert [put_in for put_in, *_ in got] == [0, 0, 1, 1, 0, 0]
+    for put_in, _, a, b in got:
+        (x,), y = a - b, b - a
+        assert any({x} | y <= set(terms) for terms in toxicity.IDENTITY.values())
+        assert (x in text.lower().replace(".", " ").split()) == (not put_in)
+    assert list(toxicity.counterfactuals(None)) == [] and got == list(toxicity.counterfactuals(text))
+    assert list(toxicity.counterfactuals("one two", {"g": ["x", "y"]}))[0][2] & {"x", "y"}
+
+
+def test_fewer_false_positives_on_mentions(spark):
+    """Held-out clean sentences with a mention put in: fewer are called toxic, and swaps change less, with the penalty than without."""
+    docs, labels = labelled(spark, 600, rare=True)
+    sentences = [f"plain{i % 17} other{i % 13} more{i % 11} {t}" for i in range(40) for t in ("muslim", "christian", "jews")]
+    gap, wrong = toxicity.swap_gap(toxicity.train(docs, labels, fairness=20.0), sentences)
+    plain_gap, plain_wrong = toxicity.swap_gap(toxicity.train(docs, labels, fairness=0.0), sentences)
+    assert gap < plain_gap / 2 and wrong < plain_wrong and plain_wrong > 0.1
+
+
 def test_toxicity_on_odd_rows(spark):
     docs, labels = labelled(spark, 100)
     model = toxicity.train(docs, labels)
