@@ -1,19 +1,22 @@
 """Mixing sources to target weights, DataFrame functions only.
 
 Every source's documents form one stream of words, cut into blocks of
-``block_words``. The mix is a sequence of slots, dealt to output shards of
+``block_words``. The mix is a table of slots, dealt to output shards of
 ``shard_slots``. Each slot is drawn from a source, the shards' source counts
 being multinomial given the corpus totals (a pseudorandom permutation of all
 slots deals them out), so that every source meets its target to the word; free
 multinomial draws would miss small targets by their standard deviation. Slot j
 of a source takes the block at index permutation(j) of its current pass over the
-stream, and blocks join to slots by (source, block index).
+stream, and blocks join to slots by (source, block index). That table is written once;
+all results are read from it: the words that slots take from documents, the
+words taken of each document, and how often a document as a whole is in the mix.
 
 Both permutations are swap-or-not networks: closed-form bijections on any range,
 so that no slot depends on another one and reruns agree.
 
 Scale: slots and blocks are words / block_words rows of a few numbers; texts
-never shuffle in :func:`mix_table`. Stream offsets come from sums over as many
+shuffle in :func:`mix` only. Rows that are equal in all that counts are one row with a number of copies,
+so that repeated rows are no hot key. Stream offsets come from sums over as many
 chunks as the root of the row count, so a source with a third of all rows spreads
 like any other and neither a chunk nor a source's list of chunks grows large. Only the table of sources (one row each) is sorted as a whole.
 """
@@ -117,56 +120,105 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_SOURCES else df
 
 
+def words_in(text: Column) -> Column:
+    """Words of a text; 0 if null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def stream(rows: DataFrame, weights: Sequence[float], most: int) -> tuple[DataFrame, DataFrame]:
+    """(places, sources) for rows (_id, source, size, _mark): a row per different row with its copies, first (place of its first word in its source's stream; copies follow each other), rank, source_size, target; and :func:`targets`."""
+    same = rows.groupBy("_id", "source", "size", "_mark").agg(F.count(F.lit(1)).alias("copies"))
+    sized = scratch.table(same.withColumn("_words", F.col("size") * F.col("copies")), "mix-sizes")
+    chunks = math.isqrt(sized.count()) + 1
+    sources = scratch.table(targets(sized.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, most), "mix-sources")
+    named = sized.alias("a").join(_few(sources).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("_id", "a.source", "size", "_mark", "copies", "_words", "rank", "source_size", "target")
+    named = named.withColumn("chunk", F.pmod(F.xxhash64("_id", "size", "_mark"), F.lit(chunks)))
+    starts = named.groupBy("rank", "chunk").agg(F.sum("_words").alias("_sum"))
+    starts = starts.select("rank", "chunk", (F.sum("_sum").over(W.partitionBy("rank").orderBy("chunk")) - F.col("_sum")).alias("_start"))
+    before = F.sum("_words").over(W.partitionBy("rank", "chunk").orderBy("_id", "size", "_mark").rowsBetween(W.unboundedPreceding, 0)) - F.col("_words")
+    placed = named.withColumn("_before", before).join(starts, ["rank", "chunk"]).withColumn("first", F.col("_start") + F.col("_before"))
+    return placed.drop("chunk", "_start", "_before", "_words"), sources
+
+
+def taken_words(placed: DataFrame, drawn: DataFrame, block_words: int) -> DataFrame:
+    """One row for each slot's words in a document, and one with a null shard for each block that no slot takes.
+
+    The columns of ``placed``, copy, and shard, slot, begin (the words' place in the
+    document), words, whole (whether the document's first word is among them).
+    """
+    b = F.lit(block_words).cast("long")
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 1024)))
+    each = placed.where("size > 0").withColumn("_run", run).repartition("_mark", "_run")  # copies of a row spread
+    each = each.withColumn("copy", F.explode(F.sequence(F.col("_run") * 1024, F.least(F.col("_run") * 1024 + 1023, F.col("copies") - 1)))).drop("_run")
+    each = each.withColumn("_from", F.col("first") + F.col("copy") * F.col("size")).withColumn("_to", F.col("_from") + F.col("size"))
+    in_blocks = each.withColumn("block", F.explode(F.sequence(F.floor(F.col("_from") / b), F.floor((F.col("_to") - 1) / b))))
+    met = in_blocks.join(drawn.withColumnRenamed("words", "_cut").hint("merge"), ["rank", "block"], "left")  # slots grow with the input: never broadcast
+    begin, end = F.greatest(F.col("_from"), F.col("block") * b), F.least(F.col("_to"), F.col("block") * b + F.col("_cut"))
+    got = F.when(F.col("_cut").isNotNull(), F.greatest(F.lit(0).cast("long"), end - begin))
+    whole = F.coalesce((F.col("_from") >= F.col("block") * b) & (F.col("_from") < F.col("block") * b + F.col("_cut")), F.lit(False))
+    return met.select(*placed.columns, "copy", "shard", "slot", (begin - F.col("_from")).alias("begin"), got.alias("words"), whole.alias("whole"))
+
+
+def _mixed(rows: DataFrame, weights: Sequence[float], most: int, block_words: int, shard_slots: int) -> tuple[DataFrame, DataFrame]:
+    """(places, taken words) of rows (_id, source, size, _mark); the mix's table of slots is written on the way."""
+    placed, sources = stream(rows, weights, most)
+    placed = scratch.table(placed, "mix-places")
+    drawn = scratch.table(slots(sources, block_words, shard_slots), "mix-slots")
+    return placed, taken_words(placed, drawn, block_words)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, *mark: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"), F.xxhash64(*[F.col(f"`{c}`") for c in mark]).alias("_mark"))
+
+
+def mixed_blocks(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[float] = (5, 2, 1), most: int = 3, block_words: int = 64, shard_slots: int = 4096,
+) -> DataFrame:
+    """The mix itself, a row for each document in each slot: shard, slot, source, id, copy (among equal rows), begin and words (the range of the document's words)."""
+    _, taken = _mixed(_rows(docs, id_col, text_col, source_col, text_col), weights, most, block_words, shard_slots)
+    return taken.where("words > 0").select("shard", "slot", "source", F.col("_id").alias(id_col), "copy", "begin", "words")
+
+
 def mix_table(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[float] = (5, 2, 1), most: int = 3, block_words: int = 64, shard_slots: int = 4096,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, source, size, source_size, target, taken.
+    """One row per row of ``docs``: id, source, size, source_size, target, taken, times.
 
-    size: words of the text, 0 if null. taken: words of it that the mix holds,
-    repeats counted; at most ``most`` times size. A null source is a source of its
-    own. Rows with equal ids count each for themselves. Texts without words and
-    sources without words take 0; an empty table gives no rows.
+    size: words of the text, 0 if null. taken: words of it that the mix's slots hold,
+    repeats counted; at most ``most`` times size. times: the slots that hold its first
+    word. A null source is a source of its own. Rows with equal ids count each for
+    themselves. Texts without words and sources without words take 0; an empty table
+    gives no rows. Other columns of ``docs`` don't matter.
     """
-    chunks = math.isqrt(docs.count()) + 1
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = scratch.table(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), words.alias("size")), "mix-sizes")
-    sources = scratch.table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-sources")
-    named = sized.alias("a").join(_few(sources).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("_id", "a.source", "size", "rank", "source_size", "target")
-    named = named.withColumn("chunk", F.pmod(F.xxhash64("_id", "size"), F.lit(chunks)))
-    starts = named.groupBy("rank", "chunk").agg(F.sum("size").alias("_sum"))
-    starts = starts.select("rank", "chunk", (F.sum("_sum").over(W.partitionBy("rank").orderBy("chunk")) - F.col("_sum")).alias("_start"))
-    inside = W.partitionBy("rank", "chunk").orderBy("_id", "size")
-    placed = (
-        named.withColumn("_row", F.row_number().over(inside))
-        .withColumn("_end", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-        .join(starts, ["rank", "chunk"])
-        .withColumn("_from", F.col("_start") + F.col("_end") - F.col("size"))
-        .withColumn("_to", F.col("_start") + F.col("_end"))
-    )
-    b = F.lit(block_words).cast("long")
-    touched = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("_from") / b), F.floor((F.col("_to") - 1) / b)))
-    in_blocks = placed.select("*", F.explode_outer(touched).alias("block"))
-    drawn = slots(sources, block_words, shard_slots).select("rank", "block", "words").hint("merge")  # slots grow with the input: never broadcast
-    got = F.greatest(F.lit(0), F.least(F.col("_to"), F.col("block") * b + F.col("words")) - F.greatest(F.col("_from"), F.col("block") * b))
-    per_row = in_blocks.join(drawn, ["rank", "block"], "left").groupBy("rank", "chunk", "_row", "_id", "source", "size", "source_size", "target")
-    taken = F.sum(F.when(F.col("words").isNotNull(), got))  # least() and greatest() pass over nulls
-    return per_row.agg(F.coalesce(taken, F.lit(0)).alias("taken")).select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "taken")
+    placed, taken = _mixed(_rows(docs, id_col, text_col, source_col, text_col), weights, most, block_words, shard_slots)
+    key = ["_id", "source", "size", "_mark", "rank", "source_size", "target"]
+    sums = taken.groupBy(*key, "copy").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("taken"), F.sum(F.col("whole").cast("long")).alias("times"))
+    zero = F.lit(0).cast("long")
+    without = placed.where("size = 0").withColumn("copy", F.explode(F.sequence(zero, F.col("copies") - 1))).select(*key, "copy", zero.alias("taken"), zero.alias("times"))
+    return sums.unionByName(without).select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "taken", "times")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mix(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[float] = (5, 2, 1), most: int = 3, block_words: int = 64, shard_slots: int = 4096,
+) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns kept.
 
-    A row appears floor(taken / size) times, and once more with the probability of
-    the remainder, by a hash of its id. Rows without words appear once: they hold
-    no share of any source. Rows with equal id, source and size share their words evenly.
+    A document is in the mix as a whole, once for each slot that holds its first word.
+    Rows without words appear once: they hold no share of any source. Rows that are
+    equal in all columns share their slots. An empty table gives no rows.
     """
-    key = [F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size")]
-    table = mix_table(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    share = table.groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.avg(F.col("taken") / F.nullif(F.col("size"), F.lit(0).cast("long"))).alias("_share"))
-    chance = F.pmod(F.xxhash64("a._id", F.lit("mix")), F.lit(1 << 20)) / (1 << 20)
-    times = F.when(F.col("_share").isNull(), 1).otherwise(F.floor("_share") + (chance < F.col("_share") - F.floor("_share")).cast("int")).cast("int")
-    same = F.col("a._id").eqNullSafe(F.col("b._id")) & F.col("a._source").eqNullSafe(F.col("b._source")) & (F.col("a._size") == F.col("b._size"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *key)
-    out = rows.alias("a").join(share.alias("b"), same).where(times > 0).select("_doc", times.alias("_times"))
-    return out.select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("_doc.*")
+    marked = [c for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")]  # what can be hashed
+    rows = _rows(docs, id_col, text_col, source_col, *marked)
+    placed, taken = _mixed(rows, weights, most, block_words, shard_slots)
+    times = taken.groupBy("_id", "_mark", "copies").agg(F.sum(F.col("whole").cast("long")).alias("_times")).where("_times > 0")
+    times = times.unionByName(placed.where("size = 0").select("_id", "_mark", "copies", F.col("copies").alias("_times")))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    full = docs.select(own, F.col(id_col).alias("_id"), F.xxhash64(*[F.col(f"`{c}`") for c in marked]).alias("_mark"))
+    same = (F.col("a._mark") == F.col("b._mark")) & F.col("a._id").eqNullSafe(F.col("b._id"))
+    met = full.alias("a").join(times.alias("b"), same).select("_doc", "a._id", "a._mark", "copies", "_times")
+    once = met.where("copies > 1").groupBy("_id", "_mark").agg(F.first("_doc").alias("_doc"), F.first("_times").alias("_times"))
+    out = met.where("copies = 1").select("_doc", "_times").unionByName(once.select("_doc", "_times"))
+    return out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("_doc.*")

@@ -50,7 +50,7 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_table(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix_table(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "times")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

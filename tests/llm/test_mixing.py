@@ -72,6 +72,42 @@ def test_shards_have_their_slots(spark):
     assert counts[0].iloc[:-1].std() > 0
 
 
+def plain_mix(spark, docs, marked):
+    """(words, whole) of the mix from the written slots and the streams, by plain loops."""
+    placed, sources = mixing.stream(mixing._rows(docs, "doc_id", "text", "source", *marked), (5, 2, 1), 3)
+    placed, drawn = placed.collect(), mixing.slots(sources, 64, 10).collect()
+    streams = defaultdict(list)
+    for p in placed:
+        streams[p.rank] += [(p.first + c * p.size, p.size, p._id, p._mark, c) for c in range(p.copies) if p.size]
+    expected, whole = Counter(), Counter()
+    for found in streams.values():
+        assert [x[0] for x in sorted(found)] == [sum(y[1] for y in sorted(found)[:i]) for i in range(len(found))]
+    for s in drawn:
+        for at, size, i, mark, c in streams[s.rank]:
+            lo, hi = max(at, s.block * 64), min(at + size, s.block * 64 + s.words)
+            if lo < hi:
+                expected[(i, mark, c, s.shard, s.slot, lo - at, hi - lo)] += 1
+                whole[(i, size)] += lo == at
+    taken = mixing.taken_words(spark.createDataFrame(placed), spark.createDataFrame(drawn), 64).where("words > 0")
+    assert Counter((r._id, r._mark, r.copy, r.shard, r.slot, r.begin, r.words) for r in taken.collect()) == expected
+    return expected, +whole
+
+
+def test_words_are_those_of_the_slots(spark):
+    rows = [(i if i % 9 else None, f"w{i} " * (i * 53 % 230), "en", f"s{i % 4}" if i % 3 else "hot") for i in range(300)] + [(7, "twice " * 90, "en", "hot")] * 5
+    docs = spark.createDataFrame(rows, brute.SCHEMA)
+    expected, _ = plain_mix(spark, docs, ["text"])
+    sums = Counter()
+    for (i, _, _, _, _, _, n), k in expected.items():
+        sums[i] += n * k
+    assert sums == +sum((Counter({r.doc_id: r.taken}) for r in mixing.mix_table(docs, shard_slots=10).collect()), Counter())
+    blocks = mixing.mixed_blocks(docs, shard_slots=10).collect()
+    assert Counter((r.doc_id, r.copy, r.shard, r.slot, r.begin, r.words) for r in blocks) == Counter((i, c, h, t, b, n) for i, _, c, h, t, b, n in expected.elements())
+    assert len({r.shard for r in blocks}) > 5
+    _, whole = plain_mix(spark, docs, docs.columns)
+    assert Counter((r.doc_id, words(r.text)) for r in mixing.mix(docs, shard_slots=10).collect() if words(r.text)) == whole
+
+
 def test_mix_repeats_rows(spark):
     rows = [(i, "word " * 50, "en", "big" if i < 900 else "small") for i in range(1000)]
     docs = spark.createDataFrame(rows, brute.SCHEMA)
