@@ -3,13 +3,15 @@
 A text is a sequence of units, its words in parts of four characters at most. A
 k-mer is ``K`` units in a row, its s-mers are ``S`` in a row. A k-mer is a closed
 syncmer when its smallest s-mer, by hash, is its first or last one. That depends
-on the k-mer alone, so an edit elsewhere never moves an anchor. Anchors come with
-their positions; the ``KEEP`` smallest anchor hashes are the fingerprint, whose
-overlap estimates the share of common anchors.
+on the k-mer alone, so an edit elsewhere never moves an anchor. The fingerprint
+holds all anchors of a text, each with its position, so it grows with the text
+(two of K - S + 1 k-mers are anchors). Two fingerprints match by position: anchors with
+equal hashes count where another such pair has the same distance between its
+positions, so that whole passages match and lone common phrases don't.
 
 Scale: a text's arrays are all that a task holds. For the comparison with the next
 document, ids are ordered by a range shuffle of ids alone; texts shuffle once, by
-key, and a third of each once more, to the document that takes it over.
+key, and a third of each once more with its fingerprint, to the document that takes it over.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 from fieldcube.llm import scratch
 
 UNIT = r"\S{1,4}"
-K, S, KEEP = 5, 2, 48
-HASH_BITS = 40
+K, S = 8, 2
+#: Bits of an anchor, from the top: hash, side (used in matching only), position (units, modulo 2^23).
+HASH_BITS, PLACE_BITS = 40, 23
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -41,44 +44,54 @@ def smers(text: Column) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """Array of (unit, hash): the closed syncmers of a text in order."""
+    """The closed syncmers of a text in order: hash and position as one number."""
     last = K - S  # s-mers of a k-mer: 0..last
 
     def of(s: Column) -> Column:
         def at(x: Column, i: Column) -> Column:
-            edge = F.least(x, F.get(s, i + last))
             inner = F.least(*[F.get(s, i + j) for j in range(1, last)])
-            return F.when(edge <= inner, F.struct(i.alias("unit"), F.xxhash64(x, F.get(s, i + 2), F.get(s, i + last)).alias("hash")))
+            found = F.xxhash64(x, *[F.get(s, i + j) for j in range(S, last + 1, S)])
+            return F.when(F.least(x, F.get(s, i + last)) <= inner, F.shiftleft(found, 64 - HASH_BITS).bitwiseOR(i.cast("long").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))))
 
-        return F.filter(F.transform(F.slice(s, 1, F.greatest(F.size(s) - last, F.lit(0))), at), lambda a: a.isNotNull())
+        return F.array_compact(F.transform(F.slice(s, 1, F.greatest(F.size(s) - last, F.lit(0))), at))
 
     return let(smers(text), of)
 
 
 def fingerprint(text: Column) -> Column:
-    """The smallest anchor hashes, sorted; a text without anchors has its own hash."""
-    mask = F.lit((1 << HASH_BITS) - 1)
-    last = K - S
+    """All anchors of a text; a text without any has its own hash in their place."""
+    return let(anchors(text), lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.shiftleft(F.xxhash64(text), 64 - HASH_BITS))))
 
-    def of(s: Column) -> Column:
-        def at(x: Column, i: Column) -> Column:
-            inner = F.least(*[F.get(s, i + j) for j in range(1, last)])
-            return F.when(F.least(x, F.get(s, i + last)) <= inner, F.xxhash64(x, F.get(s, i + 2), F.get(s, i + last)).bitwiseAND(mask))
 
-        return F.slice(F.sort_array(F.array_distinct(F.array_compact(F.transform(F.slice(s, 1, F.greatest(F.size(s) - last, F.lit(0))), at)))), 1, KEEP)
+def likeness(a: Column, b: Column) -> Column:
+    """Share of the different hashes of two fingerprints that match by position.
 
-    return let(let(smers(text), of), lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.xxhash64(text).bitwiseAND(mask))))
+    Each hash counts at its first place in a text. A pair of places counts if another
+    pair has the same distance, or if it is the only one.
+    """
+    hash_of = lambda x: F.shiftrightunsigned(x, 64 - HASH_BITS)
+    place_of = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    both = F.sort_array(F.concat(a, F.transform(b, lambda x: x.bitwiseOR(F.lit(1 << PLACE_BITS)))))
 
+    def firsts(u: Column) -> Column:
+        return F.filter(u, lambda x, i: (i == 0) | (F.shiftrightunsigned(x, PLACE_BITS) != F.shiftrightunsigned(F.get(u, i - 1), PLACE_BITS)))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of the smallest hashes of both fingerprints together that both have."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, KEEP)
-    return let(least, lambda u: F.size(F.array_intersect(F.array_intersect(a, b), u)) / F.size(u))
+    def share(w: Column) -> Column:
+        pair = lambda x, i: F.when((i > 0) & (hash_of(x) == hash_of(F.get(w, i - 1))), place_of(x) - place_of(F.get(w, i - 1)))
+        return let(F.sort_array(F.array_compact(F.transform(w, pair))), lambda d: _supported(d) / (F.size(w) - F.size(d)))
+
+    return let(let(both, firsts), share)
+
+
+def _supported(d: Column) -> Column:
+    """How many of sorted numbers equal a neighbour; all of one."""
+    held = F.filter(d, lambda x, i: F.coalesce(x == F.get(d, i + 1), F.lit(False)) | F.coalesce((i > 0) & (x == F.get(d, F.greatest(i - 1, F.lit(0)))), F.lit(False)))
+    return F.when(F.size(d) == 1, 1).otherwise(F.size(held))
 
 
 def as_text(f: Column) -> Column:
-    """A fingerprint as hex digits, ten a hash."""
-    return F.array_join(F.transform(f, lambda h: F.lpad(F.lower(F.hex(h)), HASH_BITS // 4, "0")), "")
+    """A fingerprint as hex digits, 16 an anchor: ten of its hash, six of its position."""
+    return F.array_join(F.transform(f, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def successors(ids: DataFrame) -> DataFrame:
@@ -103,20 +116,17 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     texts = texts.select("id", F.sha2(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), "text"), 256).alias("key"), "text")
-    made = texts.select("id", "key", F.char_length("text").cast("long").alias("n"), fingerprint(F.col("text")).alias("fp"))
-    made = scratch.table(made, "syncmer-fingerprints")
+    made = scratch.table(texts.select("id", "key", F.char_length("text").cast("long").alias("n")), "syncmer-ids")
     once = made.groupBy("id", "key").agg(F.first("n").alias("n"))
-    next_of = scratch.table(successors(once.select("id", "key")).join(once.select("key", "n"), "key"), "syncmer-next")
-    prints = made.groupBy("key").agg(F.first("fp").alias("fp"))
-    pairs = next_of.join(prints.select(F.col("key").alias("next_key"), F.col("fp").alias("next_fp")), "next_key")
+    pairs = scratch.table(successors(once.select("id", "key")).join(once.select("key", "n"), "key"), "syncmer-next")
     third = F.floor(F.col("n") / 3).cast("int")
     keyed = texts.select("key", "text")  # the same exchange serves both joins
-    starts = keyed.join(pairs.withColumnRenamed("key", "for"), F.col("key") == F.col("next_key")).select("for", "next_fp", "n", F.substring("text", F.lit(1), third).alias("start"))
-    starts = starts.groupBy("for").agg(F.first("next_fp").alias("next_fp"), F.first("n").alias("n"), F.first("start").alias("start"))
+    starts = keyed.join(pairs.withColumnRenamed("key", "for"), F.col("key") == F.col("next_key")).select("for", "n", F.substring("text", F.lit(1), third).alias("start"), fingerprint(F.col("text")).alias("next_fp"))
+    starts = starts.groupBy("for").agg(*[F.first(c).alias(c) for c in ("n", "start", "next_fp")])
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - third).cast("int")), F.col("start"))
-    full = keyed.join(starts, F.col("key") == F.col("for")).select("key", "next_fp", edited.alias("edited"))
-    full = full.select("key", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
-    full = full.groupBy("key").agg(*[F.first(c).alias(c) for c in ("next_fp", "edited_sha256", "edited_fp")])
+    full = keyed.join(starts, F.col("key") == F.col("for")).select("key", "next_fp", fingerprint(F.col("text")).alias("fp"), edited.alias("edited"))
+    full = full.select("key", "next_fp", "fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
+    full = full.groupBy("key").agg(*[F.first(c).alias(c) for c in ("next_fp", "fp", "edited_sha256", "edited_fp")])
     return made.join(full, "key").select(
         F.col("id").alias(id_col), F.col("n").alias("n_chars"), "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),

@@ -1,9 +1,11 @@
 """Toxicity, page text, fingerprints and personal data."""
 
 import hashlib
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldcube.llm import html_text, pii, syncmers, toxicity
 from tests.llm import brute
@@ -156,12 +158,39 @@ def test_anchors_are_closed_syncmers(spark):
     for r in rows:
         last = syncmers.K - syncmers.S
         expected = [i for i in range(len(r.s) - last) if min(r.s[i], r.s[i + last]) <= min(r.s[i + 1 : i + last])]
-        assert [x.unit for x in r.a] == expected
-    whole = [x.hash for x in rows[0].a]
-    tail = [x.hash for x in rows[1].a]
+        assert [x & (1 << 23) - 1 for x in r.a] == expected
+    whole, tail = [x >> 24 for x in rows[0].a], [x >> 24 for x in rows[1].a]
     assert whole[-len(tail) + 8 :] == tail[8:]
 
 
+def plain_likeness(a, b):
+    """First places of the hashes; common ones that share their shift with another one."""
+    first = [{}, {}]
+    for side, f in zip(first, (a, b), strict=True):
+        for x in f:
+            side.setdefault(x >> 24, x & (1 << 23) - 1)
+    shifts = [first[1][h] - first[0][h] for h in first[0].keys() & first[1].keys()]
+    held = len(shifts) if len(shifts) == 1 else sum(shifts.count(d) > 1 for d in shifts)
+    return held / len(first[0].keys() | first[1].keys())
+
+
+def test_likeness_by_position(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    base = [word() for _ in range(120)]
+    texts = [
+        base, base[:80] + [word() for _ in range(40)], [word() for _ in range(5)] + base, base[:50] + [word()] + base[50:], base * 3, [word() for _ in range(120)], base[60:] + base[:60],
+        [word() for _ in range(30)] + base[:11] + [word() for _ in range(30)], base[:9], [word()], [],
+    ]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "i int, text string").select("i", syncmers.fingerprint(F.col("text")).alias("f"))
+    pairs = docs.alias("a").crossJoin(docs.alias("b")).select("a.i", F.col("b.i").alias("j"), F.col("a.f").alias("f"), F.col("b.f").alias("g"), syncmers.likeness(F.col("a.f"), F.col("b.f")).alias("near")).collect()
+    got = {(r.i, r.j): r.near for r in pairs}
+    assert all(r.near == pytest.approx(plain_likeness(r.f, r.g)) for r in pairs)
+    assert all(got[i, i] == 1 for i in range(len(texts)))
+    assert got[0, 2] > 0.85 and got[0, 3] > 0.85 and got[0, 4] > 0.9 and got[0, 6] > 0.85 and 0.3 < got[0, 1] < 0.7 and got[0, 5] == 0
+    assert len(next(r.f for r in pairs if r.i == 4)) > 2 * len(next(r.f for r in pairs if r.i == 0))  # all anchors, however long the text
+
+
 # Personal data
 
 BASE = [
