@@ -18,6 +18,7 @@ and through a shuffle join for the rest.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ HOT = 4096
 SLICE_ROWS = 1 << 27
 #: Words of 64 bits in a row of the broadcast filter.
 SEGMENT = 64
+#: Ids up to which a filter over them is broadcast, 2^30 bits.
+FILTER_ROWS = 1 << 27
 
 
 def text_digest(text: Column) -> Column:
@@ -119,22 +122,44 @@ def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sli
     return marked_rows(digests, slice_rows).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"))
 
 
+def split_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose _id may be among ``ids`` (distinct), and the others: by a filter up to FILTER_ROWS ids, beyond that by a join. Null is an id like others."""
+    many = ids.count()
+    if many > FILTER_ROWS:
+        joined = lambda how: docs.alias("d").join(ids.alias("i"), F.col("d._id").eqNullSafe(F.col("i._id")), how)
+        return joined("left_semi"), joined("left_anti")
+    blocks = filter_blocks(many)
+    tested = split(with_place(docs, "_id", blocks), scratch.table(set_bits(with_place(ids, "_id", blocks)), "id-filter"))
+    return tested.where("_maybe").drop("_maybe"), tested.where("not _maybe").drop("_maybe")
+
+
+def without_judged(docs: DataFrame, judged: DataFrame, id_col: str, mark: Callable[[Column], Column]) -> DataFrame:
+    """The rows of ``docs`` that don't go, all columns kept.
+
+    ``judged`` has distinct (_id, _mark, first): rows with this id and mark go, but for one of
+    those with ``first``. ``mark`` makes a row's mark from its struct. Only rows whose id is
+    judged shuffle, except for a filter's errors.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(own.alias("_doc"), F.col(id_col).cast(judged.schema["_id"].dataType).alias("_id"))  # of one type, for equal hashes
+    maybe, others = split_ids(rows, judged.select("_id").distinct())
+    maybe = maybe.select("_doc", "_id", mark(F.col("_doc")).alias("_mark")).alias("a")
+    match = lambda b: (F.col("a._mark") == F.col(f"{b}._mark")) & F.col("a._id").eqNullSafe(F.col(f"{b}._id"))
+    stay = others.select("_doc").unionByName(maybe.join(judged.alias("b"), match("b"), "left_anti").select("_doc"))
+    again = judged.where("first")
+    if not again.isEmpty():
+        stay = stay.unionByName(maybe.join(again.alias("c"), match("c"), "left_semi").groupBy("_id", "_mark").agg(F.first("_doc").alias("_doc")).select("_doc"))
+    return stay.select("_doc.*")
+
+
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The rows of ``docs`` that stay, all columns kept; see :func:`mark` for the rule.
 
-    A row whose text occurs once is never shuffled.
+    A row whose id isn't one of a row that goes is never shuffled, except for a filter's
+    errors; up to FILTER_ROWS such ids, beyond which all rows shuffle once.
     """
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(own.alias("_doc"), text_digest(F.col(text_col)).alias("_sha"))
-    done = []
-    for part in sliced(rows, "_sha", slice_rows, "dedup-rows"):
-        small = part.select("_sha", F.col(f"_doc.{id_col}").alias("_id"))
-        blocks = filter_blocks(small.count())
-        bloom = scratch.table(repeated_filter(with_place(small, "_sha", blocks)), "dedup-filter")
-        keep = split(with_place(small, "_sha", blocks), bloom).where("_maybe").groupBy("_sha").agg(F.min("_id").alias("_id"))
-        tested = split(with_place(part, "_sha", blocks), bloom)
-        maybe = tested.where("_maybe").select("_doc", "_sha", F.col(f"_doc.{id_col}").alias("_id"))
-        match = (F.col("a._sha") == F.col("b._sha")) & F.col("a._id").eqNullSafe(F.col("b._id"))
-        stay = maybe.alias("a").join(keep.alias("b"), match).select("a._doc", "a._sha", "a._id").groupBy("_sha", "_id").agg(F.first("_doc").alias("_doc"))
-        done.append(scratch.table(tested.where("not _maybe").select("_doc.*").unionByName(stay.select("_doc.*")), "dedup-kept"))
-    return reduce(DataFrame.unionByName, done)
+    digests = docs.select(F.col(id_col).alias("_id"), text_digest(F.col(text_col)).alias("_sha")).withColumn("_row", F.monotonically_increasing_id())
+    marked = marked_rows(digests, slice_rows).where("group_size > 1")
+    texts = marked.groupBy("_id", F.col("_sha").alias("_mark")).agg(F.count(F.lit(1)).alias("_n"), F.max("kept").alias("first"))
+    judged = scratch.table(texts.where("not first or _n > 1").select("_id", "_mark", "first"), "dedup-judged")
+    return without_judged(docs, judged, id_col, lambda doc: text_digest(doc.getField(text_col)))

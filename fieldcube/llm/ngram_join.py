@@ -26,7 +26,7 @@ of near copies makes pairs in proportion to its size. Components are labelled by
 the smallest id that links reach.
 
 Scale: keys are about (1 - s) times the words, 16 bytes each. Sets are made again,
-from the texts, for documents in pairs only: up to ``FILTER_ROWS`` of these a filter
+from the texts, for documents in pairs only: up to 134 million of these a filter
 keeps the other texts from shuffling, beyond that the texts shuffle. Skewed joins of
 pairs with their sets are left to adaptive execution.
 """
@@ -50,8 +50,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 1024
 SIGNATURE_WORDS = 8
-#: Documents up to which a filter over their ids is broadcast, 2^30 bits.
-FILTER_ROWS = 1 << 27
 #: The share of sets that may have too few words with elements.
 EMPTY = 1e-6
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -212,18 +210,6 @@ def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return sized.where(far * (100 + percent) <= (least + most) * (100 - percent)).select("a", "b", "na", "nb")
 
 
-def _split_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` whose _id may be among ``ids`` (distinct), and the others: by a filter up to FILTER_ROWS ids, beyond that by a join. Null is an id like others."""
-    many = ids.count()
-    if many > FILTER_ROWS:
-        joined = lambda how: docs.alias("d").join(ids.alias("i"), F.col("d._id").eqNullSafe(F.col("i._id")), how)
-        return joined("left_semi"), joined("left_anti")
-    blocks = exact_dedup.filter_blocks(many)
-    bloom = scratch.table(exact_dedup.set_bits(exact_dedup.with_place(ids, "_id", blocks)), "ngram-filter")
-    tested = exact_dedup.split(exact_dedup.with_place(docs, "_id", blocks), bloom)
-    return tested.where("_maybe").drop("_maybe"), tested.where("not _maybe").drop("_maybe")
-
-
 def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough: exact, on sets made from the texts."""
     pairs = scratch.table(pairs, "ngram-close")
@@ -234,7 +220,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, perce
             words = list(_lists(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_hexdigest(w.tobytes()) for w in words], pa.string()), _int_lists([shingle_set(w, size) for w in words])], names=["_id", "_sha", "set"])
 
-    texts, _ = _split_ids(docs, needed.select("_id").distinct())
+    texts, _ = exact_dedup.split_ids(docs, needed.select("_id").distinct())
     # matched by id and by the digest of the words: rows that share an id may have other texts
     made = texts.select("_id", word_hashes(F.col("_text")).alias("_words")).mapInArrow(run, "_id long, _sha string, set array<long>")
     sets = made.alias("m").join(needed.alias("r"), (F.col("m._sha") == F.col("r._sha")) & F.col("m._id").eqNullSafe(F.col("r._id"))).select("r._row", "m.set")
@@ -283,25 +269,33 @@ def frequent(keys: DataFrame, total: int) -> DataFrame:
     return counted.where((F.col("_n") * exact_dedup.HOT > total) & (F.col("_lo") != F.col("_hi"))).select("key", "_n")
 
 
-def shared_keys(sketched: DataFrame) -> DataFrame:
-    """(_mark, key, _n) of the keys that occur in several classes; _n counts their rows."""
-    keys = sketched.where("n > 0").select("_mark", F.explode("keys").alias("key"))
-    total = sketched.agg(F.sum(F.size("keys"))).first()[0] or 0
-    hot = scratch.table(frequent(keys, total), "ngram-hot")
-    is_hot = F.col("key").isin([r["key"] for r in hot.select("key").collect()])  # HOT numbers at most
-    dealt = keys.where(~is_hot).select("key", "_mark").repartition("key")
+def is_hot(hot: DataFrame) -> Column:
+    """Whether a key is among the HOT ones at most of ``hot``."""
+    return F.col("key").isin([r["key"] for r in hot.select("key").collect()])
+
+
+def shared_keys(sketched: DataFrame, hot: DataFrame) -> DataFrame:
+    """(_mark, key, _n) of the keys that occur in several classes; _n counts their rows. Rows with equal marks may repeat; ``hot``: :func:`frequent`."""
+    keys = sketched.select("_mark", F.explode("keys").alias("key"))
+    dealt = keys.where(~is_hot(hot)).select("key", "_mark").repartition("key")
     counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("_mark").alias("_lo"), F.max("_mark").alias("_hi")).where("_lo <> _hi").select("key", "_n")
     cold = dealt.join(counts.hint("shuffle_hash"), "key")
-    both = cold.select("_mark", "key", "_n").union(keys.where(is_hot).join(F.broadcast(hot), "key").select("_mark", "key", "_n"))
-    return both.groupBy("_mark", "key").agg(F.max("_n").alias("_n"))
+    return cold.select("_mark", "key", "_n").union(keys.where(is_hot(hot)).join(F.broadcast(hot), "key").select("_mark", "key", "_n"))
+
+
+def met_by_key(rows: DataFrame, hot: DataFrame, *aggregates: Column) -> DataFrame:
+    """``rows`` with the aggregates of their key: other keys' rows shuffle once, the hot ones' stay where they are and get theirs by broadcast."""
+    dealt = rows.where(~is_hot(hot)).repartition("key")
+    cold = dealt.join(dealt.groupBy("key").agg(*aggregates).hint("shuffle_hash"), "key")
+    own = rows.where(is_hot(hot))
+    return cold.unionByName(own.join(F.broadcast(own.groupBy("key").agg(*aggregates)), "key"))
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a key's members that are in different components and whose sketches are close; rows: key, _row, comp, n, sig."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
+    """Pairs of a key's members that are in different components and whose sketches are close; rows: key, _n (members of the key), _row, comp, n, sig."""
     blocks = F.ceil(F.col("_n") / BLOCK)
     mine = F.pmod(F.xxhash64("_row"), "_b")
-    split = rows.join(sizes.select("key", blocks.alias("_b")), "key").withColumn("_own", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)))
+    split = rows.withColumn("_b", blocks).withColumn("_own", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)))
     split = split.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).select("key", "_i", "_j", "_own", "_row", "comp", "n", "sig")
 
     def pairs(rows: dict[str, np.ndarray], lo: int, hi: int, out: set) -> None:
@@ -349,22 +343,27 @@ def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     worded = rows.select("_id", F.monotonically_increasing_id().alias("_row"), word_hashes(F.col("_text")).alias("_words")).withColumn("_mark", F.xxhash64("_words"))
     sketched = scratch.table(_sketch(worded, shingle, percent), "ngram-sketches")
-    marks = exact_dedup.marked_rows(sketched.where("n > 0").select("_id", "_row", "_sha"), exact_dedup.SLICE_ROWS)
+    worded = sketched.where("n > 0")
+    marks = exact_dedup.marked_rows(worded.select("_id", "_row", "_sha"), exact_dedup.SLICE_ROWS)
     reps = scratch.table(sketched.select("_row", "_id", "_sha", "_mark", "n", "sig", "wide", "slack").join(marks.where("kept").select("_row"), "_row"), "ngram-reps")
-    # classes whose marks agree by chance both get the keys, a superset of theirs
-    keyed = shared_keys(sketched).join(reps.select("_mark", "_row", "slack"), "_mark")
-    own = W.partitionBy("_row", F.col("key").bitwiseAND(F.lit(1)))
+    total = worded.agg(F.sum(F.size("keys"))).first()[0] or 0
+    hot = scratch.table(frequent(worded.select("_mark", F.explode("keys").alias("key")), total), "ngram-hot")
+    # by marks from here to the keys that stay, in one shuffle; classes whose marks agree by chance both get the keys, a superset of theirs
+    dealt = shared_keys(worded, hot).repartition("_mark").groupBy("_mark", "key").agg(F.max("_n").alias("_n"))
+    keyed = dealt.join(reps.select("_mark", "_row", "slack"), "_mark")
+    own = W.partitionBy("_mark", "_row", F.col("key").bitwiseAND(F.lit(1)))
     ranked = keyed.withColumn("_rank", F.row_number().over(own.orderBy(F.col("_n").desc(), F.col("key").desc())))
-    rare = ranked.where(F.col("_rank") > F.get("slack", F.col("key").bitwiseAND(F.lit(1)).cast("int"))).select("_row", "key")
-    shared = scratch.table(rare.withColumn("score", F.count(F.lit(1)).over(W.partitionBy("_row"))), "ngram-keys")
-    leaders = scratch.table(shared.groupBy("key").agg(F.max_by("_row", F.struct("score", "_row")).alias("lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "ngram-leaders")
-    led = exact_dedup.by_key(shared, leaders, "key", "_n", shared.count())
+    rare = ranked.where(F.col("_rank") > F.get("slack", F.col("key").bitwiseAND(F.lit(1)).cast("int")))
+    scored = rare.withColumn("score", F.count(F.lit(1)).over(W.partitionBy("_mark", "_row"))).select("_row", "key", "score")
+    shared = scratch.table(scored, "ngram-keys")
+    led = met_by_key(shared, hot, F.max_by("_row", F.struct("score", "_row")).alias("lead"))
     stars = led.where("_row <> lead").select(F.least("_row", "lead").alias("a"), F.greatest("_row", "lead").alias("b")).distinct()
     first = scratch.table(_verify(_close(stars, reps, percent), rows, reps, shingle, percent), "ngram-links")
-    known = components(first)
-    members = shared.select("key", "_row").join(known, F.col("_row") == F.col("node"), "left").join(reps.select("_row", "n", "sig"), "_row")
-    members = members.select("key", "_row", F.coalesce("comp", "_row").alias("comp"), "n", "sig")
-    more = scratch.table(_verify(_close(_across(members, percent), reps, percent), rows, reps, shingle, percent), "ngram-links")
+    known = scratch.table(components(first), "ngram-components")
+    members = shared.select("key", "_row").join(known, F.col("_row") == F.col("node"), "left").select("key", "_row", F.coalesce("comp", "_row").alias("comp"))
+    mixed = met_by_key(members, hot, F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key", "_n", "_row", "comp")
+    mixed = scratch.table(mixed, "ngram-mixed").join(reps.select("_row", "n", "sig"), "_row")
+    more = scratch.table(_verify(_close(_across(mixed, percent), reps, percent), rows, reps, shingle, percent), "ngram-links")
     found = scratch.table(components(known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)), "ngram-components")
     named = found.join(reps.select(F.col("_row").alias("node"), "_id"), "node").groupBy("comp").agg(F.min("_id").alias("component_id"), F.count(F.lit(1)).alias("_d"))
     of_class = exact_dedup.by_key(found, scratch.table(named, "ngram-named"), "comp", "_d", found.count()).select(F.col("node").alias("keep_row"), "component_id", "comp")
@@ -402,15 +401,5 @@ def keep_first(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     first = full.groupBy("root").agg(order.alias("_first")).select(F.col("_first.row").alias("_row"), F.lit(True).alias("first"))
     texts = full.join(first, "_row", "left").groupBy("_id", "_mark").agg(F.count(F.lit(1)).alias("_n"), F.max(F.coalesce("first", F.lit(False))).alias("first"))
     judged = scratch.table(texts.where("not first or _n > 1").select("_id", "_mark", "first"), "ngram-judged")
-    ids = judged.select("_id").distinct()
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(own.alias("_doc"), F.col(id_col).cast("long").alias("_id"))
-    maybe, others = _split_ids(rows, ids)
-    maybe = maybe.select("_doc", "_id", F.xxhash64(word_hashes(F.col("_doc").getField(text_col))).alias("_mark")).alias("a")
-    match = lambda b: (F.col("a._mark") == F.col(f"{b}._mark")) & F.col("a._id").eqNullSafe(F.col(f"{b}._id"))
     # a mark of no words is no one's in ``judged``, so that rows without shingles stay
-    stay = others.select("_doc").unionByName(maybe.join(judged.alias("b"), match("b"), "left_anti").select("_doc"))
-    again = judged.where("first")
-    if not again.isEmpty():
-        stay = stay.unionByName(maybe.join(again.alias("c"), match("c"), "left_semi").groupBy("_id", "_mark").agg(F.first("_doc").alias("_doc")).select("_doc"))
-    return stay.select("_doc.*")
+    return exact_dedup.without_judged(docs, judged, id_col, lambda doc: F.xxhash64(word_hashes(doc.getField(text_col))))
