@@ -276,7 +276,7 @@ def is_hot(hot: DataFrame) -> Column:
 
 def shared_keys(sketched: DataFrame, hot: DataFrame) -> DataFrame:
     """(_mark, key, _n) of the keys that occur in several classes; _n counts their rows. Rows with equal marks may repeat; ``hot``: :func:`frequent`."""
-    keys = sketched.select("_mark", F.explode("keys").alias("key"))
+    keys = sketched.select("_mark", F.explode("keys").alias("key")).where("key is not null")  # said once, for both uses of the exchange
     dealt = keys.where(~is_hot(hot)).select("key", "_mark").repartition("key")
     counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("_mark").alias("_lo"), F.max("_mark").alias("_hi")).where("_lo <> _hi").select("key", "_n")
     cold = dealt.join(counts.hint("shuffle_hash"), "key")
@@ -285,7 +285,7 @@ def shared_keys(sketched: DataFrame, hot: DataFrame) -> DataFrame:
 
 def met_by_key(rows: DataFrame, hot: DataFrame, *aggregates: Column) -> DataFrame:
     """``rows`` with the aggregates of their key: other keys' rows shuffle once, the hot ones' stay where they are and get theirs by broadcast."""
-    dealt = rows.where(~is_hot(hot)).repartition("key")
+    dealt = rows.where("key is not null").where(~is_hot(hot)).repartition("key")
     cold = dealt.join(dealt.groupBy("key").agg(*aggregates).hint("shuffle_hash"), "key")
     own = rows.where(is_hot(hot))
     return cold.unionByName(own.join(F.broadcast(own.groupBy("key").agg(*aggregates)), "key"))
@@ -342,7 +342,8 @@ def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     """One row per row of ``docs``: _id, _row, _mark (of the word sequence), n, keep_id, component_id, and root, the component's own number; the last three hold for n > 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     worded = rows.select("_id", F.monotonically_increasing_id().alias("_row"), word_hashes(F.col("_text")).alias("_words")).withColumn("_mark", F.xxhash64("_words"))
-    sketched = scratch.table(_sketch(worded, shingle, percent), "ngram-sketches")
+    sketched, path = scratch.written(_sketch(worded, shingle, percent), "ngram-sketches")
+    slim = scratch.table(sketched.select("_id", "_row", "_mark", "n"), "ngram-rows")
     worded = sketched.where("n > 0")
     marks = exact_dedup.marked_rows(worded.select("_id", "_row", "_sha"), exact_dedup.SLICE_ROWS)
     reps = scratch.table(sketched.select("_row", "_id", "_sha", "_mark", "n", "sig", "wide", "slack").join(marks.where("kept").select("_row"), "_row"), "ngram-reps")
@@ -356,19 +357,20 @@ def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     rare = ranked.where(F.col("_rank") > F.get("slack", F.col("key").bitwiseAND(F.lit(1)).cast("int")))
     scored = rare.withColumn("score", F.count(F.lit(1)).over(W.partitionBy("_mark", "_row"))).select("_row", "key", "score")
     shared = scratch.table(scored, "ngram-keys")
+    scratch.drop(docs.sparkSession, path)  # the largest table by far
     led = met_by_key(shared, hot, F.max_by("_row", F.struct("score", "_row")).alias("lead"))
     stars = led.where("_row <> lead").select(F.least("_row", "lead").alias("a"), F.greatest("_row", "lead").alias("b")).distinct()
     first = scratch.table(_verify(_close(stars, reps, percent), rows, reps, shingle, percent), "ngram-links")
     known = scratch.table(components(first), "ngram-components")
     members = shared.select("key", "_row").join(known, F.col("_row") == F.col("node"), "left").select("key", "_row", F.coalesce("comp", "_row").alias("comp"))
-    mixed = met_by_key(members, hot, F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key", "_n", "_row", "comp")
+    mixed = met_by_key(members, hot, F.count("_row").alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key", "_n", "_row", "comp")
     mixed = scratch.table(mixed, "ngram-mixed").join(reps.select("_row", "n", "sig"), "_row")
     more = scratch.table(_verify(_close(_across(mixed, percent), reps, percent), rows, reps, shingle, percent), "ngram-links")
     found = scratch.table(components(known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)), "ngram-components")
     named = found.join(reps.select(F.col("_row").alias("node"), "_id"), "node").groupBy("comp").agg(F.min("_id").alias("component_id"), F.count(F.lit(1)).alias("_d"))
     of_class = exact_dedup.by_key(found, scratch.table(named, "ngram-named"), "comp", "_d", found.count()).select(F.col("node").alias("keep_row"), "component_id", "comp")
     classed = marks.select("_row", "keep_row", "keep_id").join(of_class, "keep_row", "left")
-    return sketched.select("_id", "_row", "_mark", "n").join(classed, "_row", "left").withColumn("root", F.coalesce("comp", "keep_row"))
+    return slim.join(classed, "_row", "left").withColumn("root", F.coalesce("comp", "keep_row"))
 
 
 def link(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

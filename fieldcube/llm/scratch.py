@@ -10,7 +10,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of the tables made by this driver.
@@ -38,17 +37,25 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back; ``by``: its last column, which becomes folders."""
+    return written(df, name, by)[0]
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """:func:`table`, and its folder for :func:`drop`."""
     path = folder(df.sparkSession, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear() -> int:
-    """Delete the tables made so far; how many. Results that still read them can't be computed again."""
-    gone = 0
-    while _made:
-        where, path = fs.FileSystem.from_uri(_made.pop())
-        if where.get_file_info(path).type != fs.FileType.NotFound:
-            where.delete_dir(path)
-            gone += 1
-    return gone
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Empty a table's folder, by Spark, as only Spark may reach the store."""
+    spark.range(0).write.mode("overwrite").parquet(path)
+    _made.remove(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Empty the folders made so far; how many. Results that still read them can't be computed again."""
+    gone = list(_made)
+    for path in gone:
+        drop(spark, path)
+    return len(gone)

@@ -151,3 +151,27 @@ def test_short_sets_have_no_common_empty_key(k, percent):
         for key in keys.tolist():
             seen[key] = seen.get(key, 0) + 1
     assert max(seen.values()) <= 2
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from fieldcube.llm import scratch
+
+    scratch.clear(spark)
+    got = exact_dedup.mark(brute.documents(spark))
+    assert got.count() == len(brute.ROWS) and scratch.clear(spark) > 2 and scratch.clear(spark) == 0
+
+
+def test_keys_shuffle_once(spark):
+    """The counts of keys and the rows that meet them read the same exchange, hot keys or not."""
+    from pyspark.sql import functions as F
+
+    from fieldcube.llm import scratch
+
+    rows = spark.range(4000).select(F.xxhash64("id").alias("_mark"), F.array(F.col("id") % 700, F.lit(-1).cast("long"), F.col("id") + 10_000).alias("keys"))
+    rows = scratch.table(rows, "test-keys")
+    keys = rows.select("_mark", F.explode("keys").alias("key"))
+    hot = scratch.table(ngram_join.frequent(keys, 12_000 // 4), "test-hot")
+    assert -1 in {r.key for r in hot.collect()}
+    for some in (hot, hot.where("false")):
+        got = ngram_join.shared_keys(rows, some).groupBy("key").agg(F.count("*").alias("n"), F.max("_n").alias("m")).collect()
+        assert {r.key: r.n for r in got} == {-1: 4000} | {k: len(range(k, 4000, 700)) for k in range(700)} and all(r.n == r.m for r in got)
