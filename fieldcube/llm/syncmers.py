@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from fieldcube.llm import scratch
 
 UNIT = r"\S{1,4}"
-K, S = 8, 2
+K, S = 10, 2
 #: Bits of an anchor, from the top: hash, side (used in matching only), position (units, modulo 2^23).
 HASH_BITS, PLACE_BITS = 40, 23
 
@@ -115,7 +115,7 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    texts = texts.select("id", F.sha2(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), "text"), 256).alias("key"), "text")
+    texts = texts.select("id", F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), "text"), 256)).alias("key"), "text")
     made = scratch.table(texts.select("id", "key", F.char_length("text").cast("long").alias("n")), "syncmer-ids")
     once = made.groupBy("id", "key").agg(F.first("n").alias("n"))
     pairs = scratch.table(successors(once.select("id", "key")).join(once.select("key", "n"), "key"), "syncmer-next")
