@@ -243,6 +243,53 @@ def test_added_spans(spark):
     assert all(s.base for r in got[10:40] for s in r.spans) and got[-1].spans == []
 
 
+def iban(country, body):
+    number = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{country}{98 - int(number) % 97:02d}{body}"
+
+
+def planted(rng):
+    """(text, kind or None, span): personal data of the added kinds, and decoys of the same forms."""
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    some = lambda abc, n: "".join(rng.choice(abc) for _ in range(n))
+    name = some(letters, 6)
+    right = {
+        "secret": rng.choice(["secret    = {}", "aws_secret_access_key={}", '"api_key": "{}"', "export GITHUB_TOKEN={}", "password: {}", 'token = "{}"']).format(some(letters + digits, 38) + "7k"),
+        "key": rng.choice(["AKIA" + some("ABCDEFGHIJKLMNOP234567", 16), "ghp_" + some(letters + digits, 36), "sk-" + some(letters + digits, 32)]),
+        "iban": iban(rng.choice(["DE", "FR", "ES"]), some(digits, 18)),
+        "national_id": f"{rng.randrange(101, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        "local_phone": rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(rng.randrange(201, 989), rng.randrange(201, 989), some("123456789", 4)),
+        "spelled_email": rng.choice(["{} [at] mail.{}.com", "{} (at) {} [dot] org", "{} at {} dot de"]).format(name, some(letters, 7)),
+    }
+    cue = {"secret": "set", "key": "bearer", "iban": "IBAN", "national_id": "SSN", "local_phone": "call", "spelled_email": "e-mail"}
+    wrong = ["the secret: something", "token = placeholder_value_here", "DE00 0000 0000 0000 0000 00", "000-12-0000", "111.111.1111", "met at home", "password: changeme_changeme"]
+    kind = rng.choice(list(right))
+    if rng.random() < 0.3:
+        return f"{some(letters, 9)} {rng.choice(wrong)} {some(letters, 5)}.", None, ""
+    before = cue[kind] if rng.random() < 0.7 else some(letters, 7)
+    return f"{some(letters, 9)} {before} {right[kind]} {some(letters, 5)}.", kind, right[kind]
+
+
+def test_recall_of_added_kinds(spark):
+    rng = random.Random(11)
+    rows = [planted(rng) for _ in range(900)]
+    docs = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "doc_id int, text string")
+    got = {r.doc_id: [(s.kind, rows[r.doc_id][0][s.start : s.end]) for s in r.spans] for r in pii.find(docs).collect()}
+    for kind in pii.MORE:
+        mine = [i for i, (_, k, _) in enumerate(rows) if k == kind]
+        caught = [i for i in mine if any(rows[i][2] in x or x in rows[i][2] and len(x) > 0.8 * len(rows[i][2]) for _, x in got[i])]
+        assert len(mine) > 50 and len(caught) >= 0.9 * len(mine), (kind, len(caught), len(mine), [rows[i] for i in mine if i not in caught][:3])
+    clean = [i for i, (_, k, _) in enumerate(rows) if k is None]
+    assert sum(bool(got[i]) for i in clean) <= 0.1 * len(clean), [(rows[i][0], got[i]) for i in clean if got[i]][:5]
+
+
+def test_long_runs_take_linear_time(spark):
+    """Each form over runs of its own characters."""
+    texts = ["a" * 200_000, "a_" * 100_000, "token" * 40_000, "1-" * 100_000, "AB12 " * 40_000, "x at " * 40_000, " " * 200_000, "eyJ" * 60_000, "secret " * 30_000, "a=" * 100_000]
+    rows = pii.find(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")).collect()
+    assert len(rows) == len(texts)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "to a@b.cd, 10.0.0.1!"), (2, None)], "doc_id long, text string")
     assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == ["to [email], [ip]!", ""]
@@ -255,7 +302,17 @@ def test_prefix_sums(spark):
 
 
 def test_reliabilities():
-    counts = {(1, 1, 1, 1, 1): 80.0, (1, 1, 0, 1, 1): 20.0, (-1, -1, 0, -1, -1): 90.0, (-1, 1, 0, -1, 1): 10.0}
+    """The labelers of votes drawn by known chances are found again, without labels."""
+    rng, truth = random.Random(4), {True: (0.9, 0.8, 0.6, 0.1, 0.95, 0.9, 0.0), False: (0.1, 0.3, 0.1, 0.1, 0.6, 0.5, 0.0)}
+    counts, right = {}, {}
+    for _ in range(4000):
+        data = rng.random() < 0.3
+        votes = tuple(int(rng.random() < p) if name in ("cue", "after", "placeholder") else 2 * int(rng.random() < p) - 1 for name, p in zip(pii.VOTES, truth[data], strict=True))
+        counts[votes] = counts.get(votes, 0.0) + 1
+        right[votes] = right.get(votes, 0) + data
     share, labelers = pii.estimate(counts)
-    assert 0.3 < share < 0.7 and all(r.on_data > r.on_other for r in labelers)
-    assert pii.posterior((1, 1, 1, 1, 1), share, labelers) > 0.9 > 0.1 > pii.posterior((-1, -1, 0, -1, -1), share, labelers)
+    assert abs(share - 0.3) < 0.06
+    for r, yes, no in zip(labelers, truth[True], truth[False], strict=True):
+        assert abs(r.on_data[2] - yes) < 0.1 and abs(r.on_other[2] - no) < 0.1
+    wrong = sum(min(right[v], n - right[v]) if (pii.posterior(v, share, labelers) > 0.5) == (right[v] > n / 2) else max(right[v], n - right[v]) for v, n in counts.items())
+    assert wrong < 0.1 * 4000
