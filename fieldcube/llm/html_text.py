@@ -2,19 +2,22 @@
 
 A page becomes a light tree. Subtrees that can't hold article text go (scripts,
 menus, forms, elements whose class or id names such a part). Each paragraph gives
-points for its length and commas to its ancestors, less the further up; a node's
+points for its length and commas to its ancestors, half as many with each level; a node's
 points are discounted by its link density. The best node, or the article or main
 element around it, is kept whole, with the siblings that score like it or read like
 paragraphs, and its blocks make the text. A part with an unwanted name stays if the
 wanted rest of the page has fewer points than it.
 
 Scale: one row at a time, no shuffle; a page's tree is all a task holds. Parsing
-is one pass of a regular expression over the page.
+is one pass of a regular expression over the page, and each step takes time in
+proportion to its length, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -41,19 +44,23 @@ BLOCK = frozenset(
 DROPPED = frozenset("head nav footer aside form button menu object embed dialog input label".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Tags that a start tag ends.
+CLOSES = defaultdict(frozenset, {t: CLOSED_BY.get(t, set()) | ({"p"} if t in BLOCK else set()) for t in BLOCK | CLOSED_BY.keys()})
 STOPS = frozenset("ul ol table td th div section article main body dl".split())
 #: What reads like a paragraph beside the best container.
 READS = PARAGRAPH | frozenset("h1 ul ol dl table".split()) - {"td", "li", "dd"}
 # Words of class, id and role that name parts other than the article. A word of GOOD beside the weak ones, or a class of GOOD words only beside the others, clears them.
 BAD = frozenset(
     "ad ads adbox adsense advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus gdpr login menu "
-    "modal nav navbar navigation navigator newsletter notice notices notification overlay pager pagination popup promo promotion related reply replies respond search share "
+    "discussion modal nav navbar navigation navigator newsletter notice notices notification overlay pager pagination popup promo promotion reactions related reply replies respond response responses search share "
     "sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget footer footnav complementary contentinfo alert outbrain taboola".split()
 )
 WEAK = frozenset("header masthead".split())
 GOOD = frozenset("article content post entry main story body text".split())
 #: Readers' parts, which may well be longer than the article.
-READERS = frozenset("comment comments disqus reply replies respond".split())
+READERS = frozenset("comment comments discussion disqus reactions reply replies respond response responses".split())
+#: Names that an article's own parts have as well: there, only boxes of links or fields go for them.
+MILD = frozenset("banner disclaimer notice notices related search share sharing social".split())
 
 
 class Node:
@@ -74,21 +81,58 @@ def _unwanted(tag: str, inside: bool) -> bool:
 
 
 def _suspect(tag: str, attributes: str) -> set[str]:
-    """The words of class, id and role that say that an element isn't article text."""
-    if attributes and tag not in ("body", "html", "article", "main"):
+    """The words of class, id and role that say that an element isn't article text; of an article or main element, those for readers' parts."""
+    if attributes and tag not in ("body", "html"):
         for found in NAMED.findall(attributes):
             names = [{w.lower() for w in WORDS.findall(x)} for x in "".join(found).split()]
             words = set().union(*names)
-            if words & BAD and not any(n & GOOD and not n & BAD for n in names) or words & WEAK and not words & GOOD:
+            if tag in ("article", "main"):
+                if words & READERS and not words & GOOD:
+                    return words
+            elif words & BAD and not any(n & GOOD and not n & BAD for n in names) or words & WEAK and not words & GOOD:
                 return words
     return set()
 
 
+class Open:
+    """The open elements from the root down, with the depths of each tag's and of those that stop implied end tags."""
+
+    def __init__(self, root: Node):
+        self.path, self.depths, self.stops, self.articles = [root], defaultdict(list), [], 0
+
+    def push(self, node: Node) -> None:
+        self.depths[node.tag].append(len(self.path))
+        if node.tag in STOPS:
+            self.stops.append(len(self.path))
+        self.articles += node.tag in ("article", "main")
+        self.path.append(node)
+
+    def close(self, depth: int) -> None:
+        """Close the element at a depth, with all that is in it."""
+        while len(self.path) > depth:
+            tag = self.path.pop().tag
+            self.depths[tag].pop()
+            if tag in STOPS:
+                self.stops.pop()
+            self.articles -= tag in ("article", "main")
+
+    def imply_ends(self, tags: set[str]) -> None:
+        """Close the outermost element of some tags that no stopping one holds."""
+        k = len(self.stops) - 1
+        while k >= 0 and self.path[self.stops[k]].tag in tags:
+            k -= 1
+        stop = self.stops[k] if k >= 0 else 0
+        found = [d[i] for t in tags if (d := self.depths[t]) and (i := bisect_right(d, stop)) < len(d)]
+        if found:
+            self.close(min(found))
+
+
 def parse(html: str) -> Node:
     """The page's tree; text below an unwanted element is left out."""
-    root = at = Node("html", None)
-    inside, place = 0, 0
+    root = Node("html", None)
+    opened, place = Open(root), 0
     for m in TOKEN.finditer(html):
+        at = opened.path[-1]
         if m.start() > place and not at.dropped:
             at.children.append(unescape(html[place : m.start()]))
         place = m.end()
@@ -97,36 +141,22 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[2]:
-            node = at
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                while True:
-                    inside -= at.tag in ("article", "main")
-                    done, at = at is node, at.parent
-                    if done:
-                        break
+            if opened.depths[tag]:
+                opened.close(opened.depths[tag][-1])
             continue
         if tag in VOID:
             if tag in BLOCK and not at.dropped:
                 at.children.append(Node(tag, at))
             continue
-        closes = {"p"} if tag in BLOCK else set()
-        closes |= CLOSED_BY.get(tag, set())
-        node, last = at, None
-        while closes and node.parent is not None and (node.tag in closes or node.tag not in STOPS):
-            if node.tag in closes:
-                last = node
-            node = node.parent
-        if last is not None:
-            at = last.parent
-        child = Node(tag, at, at.dropped or _unwanted(tag, inside > 0))
+        if closes := CLOSES[tag]:
+            opened.imply_ends(closes)
+            at = opened.path[-1]
+        child = Node(tag, at, at.dropped or _unwanted(tag, opened.articles > 0))
         if not child.dropped:
             child.suspect = _suspect(tag, m[4])
-        if not child.dropped:
             at.children.append(child)
-        inside += tag in ("article", "main")
-        at = child
+        opened.push(child)
+    at = opened.path[-1]
     if place < len(html) and not at.dropped:
         at.children.append(unescape(html[place:]))
     return root
@@ -177,7 +207,9 @@ def _drop_suspects(nodes: list[Node]) -> bool:
         if node.parent is not None and node.parent.dropped:
             node.dropped = True
         elif node.suspect:
-            if node.points > left and (left == 0 or not node.suspect & READERS):
+            if node.inside and not node.suspect & (BAD - MILD) and density(node) < 0.3:
+                left += node.points
+            elif node.points > left and (left == 0 or not node.suspect & READERS):
                 left += node.points
             else:
                 node.dropped = went = True
@@ -188,15 +220,14 @@ def _drop_suspects(nodes: list[Node]) -> bool:
 
 
 def _score(nodes: list[Node]) -> None:
-    """Paragraphs' points to their ancestors: all to the parent, half to the next, then a third of the distance's share."""
-    for node in nodes:
+    """Paragraphs' points to their parent, half of a node's points to its own; ``nodes``: parents first."""
+    for node in reversed(nodes):
         points = _points(node)
-        if not points:
-            continue
-        up, level = node.parent if node.tag in PARAGRAPH else node, 0
-        while up is not None:
-            up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
+        if node.tag not in PARAGRAPH:
+            node.score += points
+            points = 0.0
+        if node.parent is not None:
+            node.parent.score += points + node.score / 2
 
 
 def _blocks(nodes: list[Node]) -> str:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,13 @@ LAYOUTS = {
 }
 
 
+LAYOUTS |= {
+    "<article>" + BODY * 2 + '<div class="related-work"><p>Earlier work, in short.</p></div><p class="search-results">Found: nothing, at all.</p></article>': ["Earlier work, in short.", "Found: nothing, at all."],
+    "<article><header><h1>Title</h1></header>" + BODY + "</article>": ["Title"],
+    "<article><h1>Title</h1><div class=body>" + BODY * 3 + "</div><div class=outro><p>Closing words.</p></div></article>": ["Title", "Closing words."],
+}
+
+
 @pytest.mark.parametrize("html", LAYOUTS)
 def test_layouts(html):
     got = html_text.extract(f"<html><body><nav><a href=/>Menu</a></nav>{html}<footer>Foot</footer></body></html>")
@@ -112,6 +120,41 @@ def test_long_comments_stay_out():
     page = "<div class=post><p>A short article, with a comma.</p></div><div class=comments>" + BODY * 5 + "</div>"
     assert html_text.extract(page) == "A short article, with a comma."
     assert html_text.extract("<article><p>Short, too.</p><div class=article-comments>" + BODY * 5 + "</div></article>") == "Short, too."
+    for part in ('<article class="comment">', "<div class=responses>", "<section class=discussion>", "<main class=comments>"):
+        page = f"<article><h1>Head</h1>{BODY}</article>{part}<p>I, a reader, say so.</p></{part[1:].split()[0]}>"
+        assert "reader" not in html_text.extract(page) and "Head" in html_text.extract(page), part
+
+
+@pytest.mark.parametrize("html", ["<article>" + "<b>" * 50_000 + "<p>text, one" * 50_000, "<div><p>x, y" * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<table><tr><td>" * 30_000, "<ul><li>a" * 50_000, "<p><td>" * 50_000])
+def test_deep_pages_take_linear_time(html):
+    began = time.process_time()
+    html_text.extract(html)
+    assert time.process_time() - began < 10
+
+
+def plain_scores(node):
+    """Scores by the definition: each paragraph's points, halved once for every level above its parent."""
+    out = {}
+
+    def add(x, points):
+        while x is not None:
+            out[id(x)] = out.get(id(x), 0.0) + points
+            x, points = x.parent, points / 2
+
+    for x in html_text._walk(node):
+        add(x.parent if x.tag in html_text.PARAGRAPH else x, html_text._points(x))
+    return out
+
+
+def test_scores_of_small_trees():
+    rng = random.Random(8)
+    for _ in range(60):
+        page = "".join(rng.choice(["<div>", "<section>", "</div>", "<p>", "</p>", "some, words here ", "<li>", "<a href=x>", "</a>", "<ul>", "</ul>", "<td>"]) for _ in range(40))
+        nodes = html_text._walk(html_text.parse(page))
+        html_text._measure(nodes)
+        html_text._score(nodes)
+        expected = plain_scores(nodes[0])
+        assert all(x.score == pytest.approx(expected.get(id(x), 0.0)) for x in nodes)
 
 
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<!-- never closed", "<script>", "<div><div><div>", "</p></p>", "<a href='x>", "&#x110000; &bogus; <b>"])
