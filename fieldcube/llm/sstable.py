@@ -7,8 +7,9 @@ of these. A lookup asks the filter, binary-searches the index and reads one bloc
 
 Scale: one range shuffle of the texts by identifier; each task then encodes,
 and streams its shard to storage that all executors share, holding one block, the
-index and the filter. A shard is written under a name of its attempt and moved
-into place, so a lost executor's task can run again. A document's start is its
+index and the keys (nine bytes a document). A shard's name has its attempt's number and
+the manifest names the shards that count, so a lost executor's task can run again;
+files of other attempts go when the manifest is written. A document's start is its
 place in its shard plus the ids of the shards before, from the manifest (one row
 a shard).
 """
@@ -16,7 +17,6 @@ a shard).
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -167,19 +167,19 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, *, i
     """Write the token ids of all texts to shards in ``folder``; the manifest, one row a shard.
 
     Null and empty texts have the end id alone. Rows with equal identifiers follow
-    each other; null identifiers come last. An empty table gives no shard.
+    each other; null identifiers come last. Identifiers are whole numbers or null; other
+    columns of ``docs`` don't matter. An empty table gives no shard.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = out = None
         context = TaskContext.get()
         where, base = fs.FileSystem.from_uri(folder)
-        name = f"shard-{context.partitionId():06d}.sst"
-        temporary = f"{base}/_{name}-{context.taskAttemptId()}"
+        name = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}.sst"
         for batch in batches:
             if batch.num_rows and writer is None:
                 where.create_dir(base)
-                out = where.open_output_stream(temporary)
+                out = where.open_output_stream(f"{base}/{name}")
                 writer = ShardWriter(out)
             ids = tokens.encode_ids(tokenizer, batch.column(1), end_id)
             for doc_id, found in zip(batch.column(0).to_pylist(), ids, strict=True):
@@ -187,12 +187,23 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, *, i
         if writer is not None:
             writer.close()
             out.close()
-            where.move(temporary, f"{base}/{name}")
             yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "first_key": writer.first, "docs": len(writer.keys), "ids": writer.ids}])
 
     order = F.col("_id").asc_nulls_last()
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return scratch.table(rows.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(write, MANIFEST), "sst-manifest")
+    manifest = scratch.table(rows.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(write, MANIFEST), "sst-manifest")
+    remove_others(folder, {r["path"] for r in manifest.select("path").toLocalIterator()})
+    return manifest
+
+
+def remove_others(folder: str, paths: set[str]) -> int:
+    """Delete the files of attempts that failed or came second; how many."""
+    where, base = fs.FileSystem.from_uri(folder)
+    found = where.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    gone = [f.path for f in found if f.base_name.endswith(".sst") and f"{folder}/{f.base_name}" not in paths]
+    for path in gone:
+        where.delete_file(path)
+    return len(gone)
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -222,5 +233,5 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, **columns) -> DataFrame:
     """Write all documents to shards in the shared folder and read them back."""
-    folder = f"{scratch.shared_dir(docs.sparkSession).rstrip('/')}/sst-{uuid.uuid4().hex}"
+    folder = scratch.folder(docs.sparkSession, "sst")
     return read_shards(write_shards(docs, tokenizer, end_id, folder, **columns))

@@ -1,9 +1,11 @@
 """Token operators against the tokenizer applied to whole texts."""
 
+import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -52,6 +54,17 @@ def test_shard_lookup(spark, tmp_path):
     assert all(r.get(2) is None and r.get(None) is None for r in readers)
 
 
+def test_only_the_manifest_counts(spark, tmp_path):
+    """What a lost attempt left, whole or in part, is neither read nor kept."""
+    folder = f"file://{tmp_path}/shards"
+    (tmp_path / "shards").mkdir()
+    (tmp_path / "shards" / "shard-000000-99.sst").write_bytes(b"half a sh")
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(50)], "doc_id long, text string")
+    manifest = sstable.write_shards(docs, tokenizer_path("word_bpe_49k.json"), 2, folder)
+    assert sstable.read_shards(manifest).count() == 50
+    assert sorted(p.name for p in (tmp_path / "shards").glob("*.sst")) == sorted(r["path"].rsplit("/", 1)[1] for r in manifest.collect())
+
+
 def test_empty_tables(spark):
     docs = frame(spark).where("false")
     assert sstable.round_trip(docs, tokenizer_path("word_bpe_49k.json")).count() == 0
@@ -137,3 +150,20 @@ def test_added_tokens_and_nul(name, texts):
         expected = [spans.encode(t or "", add_special_tokens=False).offsets for t in texts]
         assert size.tolist() == [len(x) for x in expected]
         assert found.tolist() == [list(p) for x in expected for p in x]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_fuzzed_and_table_texts(name):
+    """Runs of odd white space, signs, NUL, added tokens and letters of several scripts, and the texts of a table, against the tokenizer."""
+    rng = random.Random(12)
+    parts = [" ", "  ", "\0", "\n", "\t", "\x0b", "\u00a0", "\u3000", "a", "word", "Über", "É", "12", "3", "...", "'s", "'", "<|endoftext|>", "<|startoftext|>", "日本", "🙂", "e\u0301", "ß", "_", "-", "Z", "\x1c", "!!"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
+    texts += [t.as_py() for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"]]
+    tokenizer = Tokenizer.from_file(tokenizer_path(name))
+    plain = [tokenizer.encode(t or "", add_special_tokens=False) for t in texts]
+    got = tokens.encode_ids(tokenizer_path(name), pa.array(texts, pa.string()), 2)
+    wrong = [t for t, p, x in zip(texts, plain, got, strict=True) if np.frombuffer(x, "<u4").tolist() != [*p.ids, 2]]
+    assert not wrong, wrong[:5]
+    spans = [(found, size) for found, size in tokens.cache(tokenizer_path(name), True).encode(pa.array(texts, pa.string()))]
+    found, size = np.concatenate([f for f, _ in spans]), np.concatenate([s for _, s in spans])
+    assert size.tolist() == [len(p.offsets) for p in plain] and found.tolist() == [list(o) for p in plain for o in p.offsets]
