@@ -76,21 +76,59 @@ def metres_to_degrees(metres: Column, latitude: Column) -> tuple[Column, Column]
     return d, d / F.cos(F.radians(latitude))
 
 
-def utm(lon: Column, lat: Column, zone: int = 32, north: bool = True) -> tuple[Column, Column]:
-    """(easting, northing) by the Krueger series to third order."""
-    n = FLATTENING / (2 - FLATTENING)
-    a = EARTH_RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
-    e = 2 * math.sqrt(n) / (1 + n)
-    phi, lam = F.radians(lat), F.radians(lon - (6 * zone - 183))
-    atanh = lambda v: 0.5 * F.log((1 + v) / (1 - v))
-    t = F.sinh(atanh(F.sin(phi)) - e * atanh(e * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), atanh(F.sin(lam) / F.sqrt(1 + t * t))
+_N = FLATTENING / (2 - FLATTENING)
+_SCALE = 0.9996 * EARTH_RADIUS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+
+
+def utm(lon, lat, zone: int = 32, north: bool = True, m=F):
+    """(easting, northing) by the Krueger series to third order, of columns, or of numbers with ``m`` = math."""
+    alpha = [_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240]
+    e = 2 * math.sqrt(_N) / (1 + _N)
+    phi, lam = m.radians(lat), m.radians(lon - (6 * zone - 183))
+    atanh = lambda v: 0.5 * m.log((1 + v) / (1 - v))
+    t = m.sinh(atanh(m.sin(phi)) - e * atanh(e * m.sin(phi)))
+    xi, eta = m.atan2(t, m.cos(lam)), atanh(m.sin(lam) / m.sqrt(1 + t * t))
     east, north_ = eta, xi
     for k, c in enumerate(alpha, 1):
-        east = east + c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
-        north_ = north_ + c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
-    return 500000.0 + 0.9996 * a * east, 0.9996 * a * north_ + (0.0 if north else 10000000.0)
+        east = east + c * m.cos(2 * k * xi) * m.sinh(2 * k * eta)
+        north_ = north_ + c * m.sin(2 * k * xi) * m.cosh(2 * k * eta)
+    return 500000.0 + _SCALE * east, _SCALE * north_ + (0.0 if north else 10000000.0)
+
+
+def lon_lat(easting, northing, zone: int = 32, north: bool = True, m=F):
+    """(longitude, latitude) of a place in UTM, the inverse of :func:`utm`."""
+    beta = [_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480]
+    delta = [2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15]
+    xi, eta = (northing - (0.0 if north else 10000000.0)) / _SCALE, (easting - 500000.0) / _SCALE
+    x, y = xi, eta
+    for k, c in enumerate(beta, 1):
+        x = x - c * m.sin(2 * k * xi) * m.cosh(2 * k * eta)
+        y = y - c * m.cos(2 * k * xi) * m.sinh(2 * k * eta)
+    chi = m.asin(m.sin(x) / m.cosh(y))
+    phi = chi
+    for k, c in enumerate(delta, 1):
+        phi = phi + c * m.sin(2 * k * chi)
+    return m.degrees(m.atan2(m.sinh(y), m.cos(x))) + (6 * zone - 183), m.degrees(phi)
+
+
+def utm_zone(crs: int) -> tuple[int, bool]:
+    """(zone, whether north) of an EPSG number for UTM: 326zz, 327zz, or 258zz (European datum, north)."""
+    kind, zone = divmod(crs, 100)
+    if kind not in (326, 327, 258) or not 1 <= zone <= 60:
+        raise ValueError(f"no UTM zone: EPSG {crs}")
+    return zone, kind != 327
+
+
+def ring_in(ring: Sequence[Point], crs: int) -> list[Point]:
+    """A ring in degrees or in metres of ``crs`` in that system (4326, or UTM).
+
+    Metres, which don't name their zone, become degrees from zone 32.
+    """
+    degrees = all(-180 <= x <= 180 and -180 <= y <= 180 for x, y in ring)
+    if crs == 4326:
+        return list(ring) if degrees else [lon_lat(x, y, m=math) for x, y in ring]
+    zone, north = utm_zone(crs)
+    return [utm(x, y, zone, north, math) for x, y in ring] if degrees else list(ring)
 
 
 def buffered(ring: Column, distance: Column) -> Column:

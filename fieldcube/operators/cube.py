@@ -55,8 +55,8 @@ def first_by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column])
 
 def append_means(cube: DataFrame, values: Sequence[str]) -> DataFrame:
     """Beside each value its mean over the sector at that time, as ``<value>_mean``."""
-    w = W.partitionBy("sector_id", "time")
-    return cube.select("*", *[F.avg(v).over(w).alias(f"{v}_mean") for v in values])
+    means = cube.groupBy("sector_id", "time").agg(*[F.avg(v).alias(f"{v}_mean") for v in values]).withColumnsRenamed({"sector_id": "_s", "time": "_t"})
+    return cube.join(means, F.col("sector_id").eqNullSafe(F.col("_s")) & F.col("time").eqNullSafe(F.col("_t")), "left").drop("_s", "_t")
 
 
 def frame_mean(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -46,14 +46,16 @@ def sorted_columns(df: DataFrame, first: Sequence[str] = ()) -> DataFrame:
     return df.select(*first, *sorted(c for c in df.columns if c not in first))
 
 
-def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def one_hot(df: DataFrame, columns: Sequence[str], most: int = 1000) -> DataFrame:
     """0/1 columns ``<column>_<value>`` for each distinct value, in order, then the other columns.
 
-    The values of an encoded column name columns, so there must be few.
+    The values of an encoded column name columns; more than ``most`` are an error.
     """
     out = []
     for c in columns:
-        values = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())
+        values = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(most + 1).collect())
+        if len(values) > most:
+            raise ValueError(f"{c} has more than {most} values")
         out += [F.coalesce((F.col(c) == v).cast("int"), F.lit(0)).alias(f"{c}_{re.sub('[^0-9A-Za-z]+', '_', str(v))}") for v in values]
     return df.select(*out, *[c for c in df.columns if c not in columns])
 

@@ -19,18 +19,19 @@ CHUNK, HALO = 4096, 64
 def interpolate_daily(df: DataFrame, keys: Sequence[str], value: str, method: str = "linear", time: str = "time", grid: Sequence[str] = ("sector_id",)) -> DataFrame:
     """(keys, time, value) on a grid of days from each ``grid`` key's first instant to its last.
 
-    Methods: linear; nearest (the earlier value in a tie); cubic (not-a-knot). A
-    segment with a NULL at either end gives NULL, a grid point on an instant that
-    instant's own value.
+    Methods: linear; nearest (the earlier value in a tie); cubic (not-a-knot, through
+    the values that there are). With each, a segment with a NULL at either end gives
+    NULL, a grid point on an instant that instant's own value.
     """
     if method == "cubic":
-        return _cubic(df, keys, value, time)
+        known = interpolate_daily(df, keys, value, "linear", time, grid).select(*keys, time, F.col(value).isNotNull().alias("_known"))
+        return known.join(_cubic(df, keys, value, time, grid), [*keys, time], "left").select(*keys, time, F.when(F.col("_known"), F.col(value)).alias(value))
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown method {method}")
     t = F.unix_micros(F.col(time).cast("timestamp"))
     own = W.partitionBy(*keys).orderBy("_t")
     rows = df.select(*keys, t.alias("_t"), F.col(value).alias("_v"))
-    rows = rows.withColumn("_start", F.min("_t").over(W.partitionBy(*[k for k in grid if k in keys])))
+    rows = _with_start(rows, [k for k in grid if k in keys])
     rows = rows.select(*keys, "_start", F.col("_t").alias("_t0"), F.col("_v").alias("_v0"), F.lead("_t").over(own).alias("_t1"), F.lead("_v").over(own).alias("_v1"))
     up = lambda x: F.floor((x - F.col("_start") + (DAY - 1)) / DAY)
     first, last = up(F.col("_t0")), F.when(F.col("_t1").isNull(), F.floor((F.col("_t0") - F.col("_start")) / DAY)).otherwise(up(F.col("_t1")) - 1)
@@ -41,7 +42,13 @@ def interpolate_daily(df: DataFrame, keys: Sequence[str], value: str, method: st
     return days.select(*keys, F.timestamp_micros(at).alias(time), F.when(at == F.col("_t0"), F.col("_v0")).otherwise(between).alias(value))
 
 
-def _cubic(df: DataFrame, keys: Sequence[str], value: str, time: str) -> DataFrame:
+def _with_start(rows: DataFrame, grid: Sequence[str]) -> DataFrame:
+    """``rows`` with _start, the first _t of their grid; rows without a grid key that is there have none."""
+    starts = rows.groupBy(*grid, F.lit(0).alias("_one")).agg(F.min("_t").alias("_start"))
+    return rows.withColumn("_one", F.lit(0)).join(starts, [*grid, "_one"]).drop("_one")
+
+
+def _cubic(df: DataFrame, keys: Sequence[str], value: str, time: str, grid: Sequence[str]) -> DataFrame:
     """Not-a-knot cubic spline; fewer than four values fall back to the polynomial through them.
 
     A series is solved in chunks of ``CHUNK`` values with ``HALO`` more on either side.
@@ -51,8 +58,9 @@ def _cubic(df: DataFrame, keys: Sequence[str], value: str, time: str) -> DataFra
     """
     schema = f"{', '.join(f'{k} {dict(df.dtypes)[k]}' for k in keys)}, {time} timestamp, {value} double"
     own = W.partitionBy(*keys)
-    rows = df.select(*keys, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.col(value).cast("double").alias("_v")).where(F.col("_t").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
-    rows = rows.select(*keys, "_t", "_v", (F.row_number().over(own.orderBy("_t")) - 1).alias("_i"), F.min("_t").over(own).alias("_start"), F.count(F.lit(1)).over(own).alias("_n"))
+    rows = _with_start(df.select(*keys, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.col(value).cast("double").alias("_v")), [k for k in grid if k in keys])
+    rows = rows.where(F.col("_t").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = rows.select(*keys, "_t", "_v", (F.row_number().over(own.orderBy("_t")) - 1).alias("_i"), "_start", F.count(F.lit(1)).over(own).alias("_n"))
     chunk = lambda i: F.floor(i / CHUNK)
     near = F.sequence(chunk(F.greatest(F.col("_i") - HALO, F.lit(0))), chunk(F.least(F.col("_i") + HALO, F.col("_n") - 1)))
     rows = rows.withColumn("_chunk", F.explode(near))
@@ -64,7 +72,7 @@ def _cubic(df: DataFrame, keys: Sequence[str], value: str, time: str) -> DataFra
         lo = int(g["_chunk"].iloc[0]) * CHUNK
         first, after = int(np.searchsorted(at, lo)), int(np.searchsorted(at, lo + CHUNK))
         stop = -(-int(t[after]) // DAY) if after < len(at) else int(t[-1]) // DAY + 1
-        days = np.arange(-(-int(t[first]) // DAY), stop)
+        days = np.arange(-(-int(t[first]) // DAY), stop) if first < len(t) else np.arange(0)
         out = pd.DataFrame({k: [g[k].iloc[0]] * len(days) for k in keys})
         out[time] = pd.to_datetime(start + days * DAY, unit="us")
         out[value] = not_a_knot(t / DAY, g["_v"].to_numpy(float), days, at[0] == 0, at[-1] == n - 1)

@@ -72,20 +72,35 @@ def needed_products(request: Request) -> set[str]:
     return {*request.products, *({"bands"} if request.composites else ()), *({"fapar"} if request.gpp_modes else ())}
 
 
+def ring_for(request: Request, tables: Mapping[str, DataFrame], product: str) -> list[geometry.Point]:
+    """The request's ring in the coordinates of a product's cube, by ``cube_meta`` (one row a sector and product); as it is without such a row."""
+    if "cube_meta" not in tables:
+        return request.ring
+    row = tables["cube_meta"].where((F.col("sector_id") == request.sector_id) & (F.col("product") == product)).select("crs").first()
+    return request.ring if row is None else geometry.ring_in(request.ring, row["crs"])
+
+
 def answer(request: Request, tables: Mapping[str, DataFrame], *, mask: bool = True) -> dict[str, DataFrame]:
     """Tables by product and mode, e.g. ``ndvi.spatial_mean``; all of them lazy.
 
     ``tables`` holds the caches: a cube per product, ``weather_hourly`` and
-    ``weather_daily``, ``par``. A product that wasn't asked for isn't in the answer.
+    ``weather_daily``, ``par``, and if there are any ``cube_meta``, ``background`` and
+    ``image``. A product that wasn't asked for isn't in the answer. Growth is found on
+    the whole cached cube, as its windows reach beyond the asked days, and then cut to them.
     """
     lacking = needed_products(request) - tables.keys()
     if lacking:
         raise RequestError(f"no data for {', '.join(sorted(lacking))}")
 
-    def of(name: str) -> DataFrame:
+    def within(rows: DataFrame, time: str = "time") -> DataFrame:
+        return cube.time_slice(rows, request.start, request.end, time)
+
+    def whole(name: str) -> DataFrame:
         rows = tables[name].where(F.col("sector_id") == request.sector_id)
-        rows = cube.time_slice(rows, request.start, request.end)
-        return spatial.mask(rows, request.ring, cube.values_of(rows)) if mask else rows
+        return spatial.mask(rows, ring_for(request, tables, name), cube.values_of(rows)) if mask else rows
+
+    def of(name: str) -> DataFrame:
+        return within(whole(name))
 
     out: dict[str, DataFrame] = {}
     for name, modes in request.products.items():
@@ -96,7 +111,7 @@ def answer(request: Request, tables: Mapping[str, DataFrame], *, mask: bool = Tr
         for name, modes in request.composites.items():
             if name != "ags" and name not in plain:
                 raise RequestError(f"unknown composite {name}")
-            one = growth.rolling_growth(made.select(*cube.KEYS, "ndvi")) if name == "ags" else made.select(*cube.KEYS, name)
+            one = within(growth.rolling_growth(indices.composites(whole("bands"), ["ndvi"]))) if name == "ags" else made.select(*cube.KEYS, name)
             out |= {f"{name}.{m}": df for m, df in cube.summaries(one, modes).items()}
     if request.gpp_modes:
         spark = tables["fapar"].sparkSession
@@ -106,7 +121,9 @@ def answer(request: Request, tables: Mapping[str, DataFrame], *, mask: bool = Tr
         out |= {f"gpp.{m}": df for m, df in cube.summaries(made, request.gpp_modes).items()}
     for kind, variables in request.weather.items():
         rows = tables[f"weather_{kind}"].where(F.col("sector_id") == request.sector_id)
-        out[f"weather.{kind}"] = cube.time_slice(rows, request.start, request.end, "date").select("sector_id", "date", *sorted(variables))
+        out[f"weather.{kind}"] = within(rows, "date").select("sector_id", "date", *sorted(variables))
+    for name in {"background", *(["image"] if request.image_size else [])} & tables.keys():
+        out[name] = tables[name].where(F.col("sector_id") == request.sector_id)
     return out
 
 

@@ -22,12 +22,14 @@ from fieldcube import schema
 ALLOWED = ("biopar_type", "bands", "collection", "process")
 
 
-def retried(call: Callable[[], list], retries: int, wait: float) -> list:
-    """``call`` again after a failure, ``retries`` times at most; then nothing, as a gap is asked for again later."""
+def retried(call: Callable[[], list], retries: int, wait: float, skip: bool = False) -> list:
+    """``call`` again after a failure, ``retries`` times at most; then the failure, or with ``skip`` nothing: a range without rows stays a gap, which is asked for again later."""
     for k in range(retries + 1):
         try:
             return call()
         except OSError:
+            if k == retries and not skip:
+                raise
             if k < retries:
                 time.sleep(wait * 2**k)
     return []
@@ -51,7 +53,7 @@ class _Reader(DataSourceReader):
         module, _, name = self.options["transport"].partition(":")
         transport = getattr(importlib.import_module(module), name)(self.options)
         asked = {"sector_id": partition.sector_id, "start": partition.start, "end": partition.end} | {k: self.options[k] for k in ALLOWED if k in self.options}
-        for row in retried(lambda: list(transport.fetch(asked)), int(self.options.get("retries", 1)), float(self.options.get("wait", 5))):
+        for row in retried(lambda: list(transport.fetch(asked)), int(self.options.get("retries", 1)), float(self.options.get("wait", 5)), self.options.get("failures") == "skip"):
             yield tuple(row.get(c) for c in self.columns)
 
 
@@ -88,7 +90,7 @@ class RadiationSource(_Source):
 
 
 def scan(spark: SparkSession, source: type[_Source], transport: str, ranges: list[tuple[str, str, str]], **options: str) -> DataFrame:
-    """Rows of a provider for (sector_id, start, end) ranges, one task a range."""
+    """Rows of a provider for (sector_id, start, end) ranges, one task a range; option ``failures`` = "skip" passes over ranges that fail."""
     spark.dataSource.register(source)
     reader = spark.read.format(source.KIND).option("transport", transport).option("ranges", json.dumps(ranges))
     for k, v in options.items():

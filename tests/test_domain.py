@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from fieldcube import queries, registry
+from fieldcube import queries, registry, schema
 from fieldcube.functions import geometry as g
 from fieldcube.functions import indices, scalars
 from fieldcube.operators import crops, cube, dates, frames, growth, spatial, sync, temporal, weather
@@ -287,7 +287,9 @@ def test_providers(spark):
     ranges = [("a", "2019-01-01", "2019-01-02"), ("b", "2019-01-01", "2019-01-02")]
     got = providers.scan(spark, providers.RadiationSource, "tests.test_domain:Recorded", ranges)
     assert points(weather.par_series(got), "sector_id", "date", "par") == [("a", D(2019, 1, 2), 7.5), ("b", D(2019, 1, 2), 7.5)]
-    assert providers.scan(spark, providers.RadiationSource, "tests.test_domain:Broken", ranges, wait="0").count() == 0
+    assert providers.scan(spark, providers.RadiationSource, "tests.test_domain:Broken", ranges, wait="0", failures="skip").count() == 0
+    with pytest.raises(Exception, match="no network"):
+        providers.scan(spark, providers.RadiationSource, "tests.test_domain:Broken", ranges, wait="0").count()
 
 
 def test_cache_versions(spark, tmp_path):
@@ -334,6 +336,46 @@ def test_requests(spark):
     assert requests.parse({**BODY, "input_data": {}}, taken=4).sector_id == "Parzelle_4"
 
 
+def test_growth_reaches_beyond_the_asked_days(spark):
+    """Windows of the whole cache, cut to the asked days afterwards; ring in degrees, cube in UTM."""
+    lon, lat = 9.2, 48.7
+    east, north = g.utm(lon, lat, m=math)
+    bands = spark.createDataFrame([("s", at(3 * d), north, east, 0.1, 0.2 + d / 100) for d in range(60)], "sector_id string, time timestamp, y double, x double, b04 double, b08 double")
+    meta = spark.createDataFrame([("s", "bands", 32632)], schema.CUBE_META)
+    ring = [[lon - 0.01, lat - 0.01], [lon + 0.01, lat - 0.01], [lon + 0.01, lat + 0.01], [lon - 0.01, lat + 0.01], [lon - 0.01, lat - 0.01]]
+    body = BODY | {"geometry": {"type": "Polygon", "coordinates": [ring]}, "requests": {"date_range": ["2019-02-10", "2019-02-24"], "copernicus_data": {"composites": {"ags": ["full"], "ndvi": ["full"]}}}}
+    got = requests.run_request(spark, body, {"bands": bands, "cube_meta": meta, "background": spark.createDataFrame([("s", 1.0), ("t", 2.0)], "sector_id string, clay double")})
+    rows = got["ags.full"].collect()
+    assert len(rows) == 5 and all(r.ags is not None for r in rows) and got["ndvi.full"].count() == 5
+    assert [r.clay for r in got["background"].collect()] == [1.0]
+    far = [[x + 5, y] for x, y in ring]
+    assert requests.run_request(spark, body | {"geometry": {"type": "Polygon", "coordinates": [far]}}, {"bands": bands, "cube_meta": meta})["ndvi.full"].where("ndvi is not null").count() == 0
+
+
+def test_utm_there_and_back(spark):
+    places = [(9.0, 48.5), (6.1, 0.0), (11.9, -33.0), (8.0, 70.0)]
+    for lon, lat in places:
+        back = g.lon_lat(*g.utm(lon, lat, m=math), m=math)
+        assert back == pytest.approx((lon, lat), abs=1e-8)
+    df = spark.createDataFrame(places, "lon double, lat double")
+    e, n = g.utm(F.col("lon"), F.col("lat"))
+    lon, lat = g.lon_lat(e, n)
+    assert all(r.a < 1e-8 and r.b < 1e-8 for r in df.select(F.abs(lon - F.col("lon")).alias("a"), F.abs(lat - F.col("lat")).alias("b")).collect())
+    assert g.ring_in([(9.0, 48.5)], 4326) == [(9.0, 48.5)] and g.ring_in(g.ring_in([(9.0, 48.5)], 25832), 4326)[0] == pytest.approx((9.0, 48.5))
+    with pytest.raises(ValueError):
+        g.ring_in([(9.0, 48.5)], 3857)
+
+
+@pytest.mark.parametrize("method", ["linear", "nearest", "cubic"])
+def test_missing_values_mean_the_same(spark, method):
+    """A day is NULL beside a missing value, and days count from the sector's first instant, with each method."""
+    rows = [("s", 0.0, at(0.25 + 2 * i), None if i == 3 else float(i)) for i in range(8)] + [("s", 1.0, at(0), 1.0), ("s", 1.0, at(9), 2.0)]
+    df = spark.createDataFrame(rows, "sector_id string, x double, time timestamp, v double")
+    got = {r.time: r.v for r in temporal.interpolate_daily(df, ["sector_id", "x"], "v", method).where("x = 0").collect()}
+    assert sorted(got) == [at(d) for d in range(1, 15)]
+    assert [t for t, v in sorted(got.items()) if v is None] == [at(d) for d in (5, 6, 7, 8)]
+
+
 def test_json_has_no_nan(spark):
     df = spark.createDataFrame([(1, float("nan"), float("inf"), None)], "a int, b double, c double, d string")
     assert tables.as_json(df).first().record == '{"a":1,"b":null,"c":null,"d":null}'
