@@ -275,12 +275,12 @@ def is_hot(hot: DataFrame) -> Column:
 
 
 def shared_keys(sketched: DataFrame, hot: DataFrame) -> DataFrame:
-    """(_mark, key, _n) of the keys that occur in several classes; _n counts their rows. Rows with equal marks may repeat; ``hot``: :func:`frequent`."""
+    """(_mark, key, _n) of the keys that occur in several classes; _n counts their rows; ``hot``: :func:`frequent`."""
     keys = sketched.select("_mark", F.explode("keys").alias("key")).where("key is not null")  # said once, for both uses of the exchange
     dealt = keys.where(~is_hot(hot)).select("key", "_mark").repartition("key")
     counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("_mark").alias("_lo"), F.max("_mark").alias("_hi")).where("_lo <> _hi").select("key", "_n")
-    cold = dealt.join(counts.hint("shuffle_hash"), "key")
-    return cold.select("_mark", "key", "_n").union(keys.where(is_hot(hot)).join(F.broadcast(hot), "key").select("_mark", "key", "_n"))
+    once = lambda rows: rows.groupBy("_mark", "key").agg(F.max("_n").alias("_n"))  # noqa: E731  copies of a text, where they are
+    return once(dealt.join(counts.hint("shuffle_hash"), "key")).union(once(keys.where(is_hot(hot)).join(F.broadcast(hot), "key")))
 
 
 def met_by_key(rows: DataFrame, hot: DataFrame, *aggregates: Column) -> DataFrame:
@@ -350,8 +350,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     total = worded.agg(F.sum(F.size("keys"))).first()[0] or 0
     hot = scratch.table(frequent(worded.select("_mark", F.explode("keys").alias("key")), total), "ngram-hot")
     # by marks from here to the keys that stay, in one shuffle; classes whose marks agree by chance both get the keys, a superset of theirs
-    dealt = shared_keys(worded, hot).repartition("_mark").groupBy("_mark", "key").agg(F.max("_n").alias("_n"))
-    keyed = dealt.join(reps.select("_mark", "_row", "slack"), "_mark")
+    keyed = shared_keys(worded, hot).repartition("_mark").join(reps.select("_mark", "_row", "slack"), "_mark")
     own = W.partitionBy("_mark", "_row", F.col("key").bitwiseAND(F.lit(1)))
     ranked = keyed.withColumn("_rank", F.row_number().over(own.orderBy(F.col("_n").desc(), F.col("key").desc())))
     rare = ranked.where(F.col("_rank") > F.get("slack", F.col("key").bitwiseAND(F.lit(1)).cast("int")))
