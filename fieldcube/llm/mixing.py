@@ -148,7 +148,7 @@ def taken_words(placed: DataFrame, drawn: DataFrame, block_words: int) -> DataFr
     """
     b = F.lit(block_words).cast("long")
     run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 1024)))
-    each = placed.where("size > 0").withColumn("_run", run).repartition("_mark", "_run")  # copies of a row spread
+    each = placed.where("size > 0").withColumn("_run", run).repartition("_id", "_mark", "_run")  # copies of a row spread
     each = each.withColumn("copy", F.explode(F.sequence(F.col("_run") * 1024, F.least(F.col("_run") * 1024 + 1023, F.col("copies") - 1)))).drop("_run")
     each = each.withColumn("_from", F.col("first") + F.col("copy") * F.col("size")).withColumn("_to", F.col("_from") + F.col("size"))
     in_blocks = each.withColumn("block", F.explode(F.sequence(F.floor(F.col("_from") / b), F.floor((F.col("_to") - 1) / b))))
