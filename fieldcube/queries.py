@@ -661,3 +661,81 @@ def request_answer(spark: SparkSession, sf: str) -> DataFrame:
         "requests": {"date_range": ["2019-02-01", "2019-06-30"], "copernicus_data": {"fapar": ["spatial_mean"]}},
     }
     return rounded(requests.run_request(spark, body, {"fapar": fx.fapar(spark, sf)})["fapar.spatial_mean"], ["fapar"])
+
+
+# Answers and caches, end to end
+
+_RING_BODY = {"geometry": {"type": "Polygon", "coordinates": [[list(p) for p in fx.RING]]}, "input_data": {"id": {"farm_id": "f", "sector_id": "3"}}}
+_MASKED = f"CASE WHEN {_ring_sql('x', 'y')} THEN (b08 - b04) / nullif(b08 + b04, 0) END"
+
+
+@query("request_ags", sql(f"""
+    , cells AS (SELECT sector_id, time, y, x, {_MASKED} AS ndvi FROM bands WHERE sector_id = 3 AND {_BOX}),
+    times AS (SELECT DISTINCT time FROM cells),
+    counts AS (SELECT time, {", ".join(f"count(*) OVER (ORDER BY epoch_us(time) RANGE BETWEEN {w}) AS {n}_n" for n, w in _OVER.items())} FROM times),
+    pixels AS (SELECT DISTINCT y, x FROM cells),
+    grid AS (SELECT t.time, p.y, p.x, n.ndvi FROM times t CROSS JOIN pixels p LEFT JOIN cells n ON n.time = t.time AND n.y = p.y AND n.x = p.x),
+    means AS (SELECT *, {", ".join(f"avg(ndvi) OVER (PARTITION BY y, x ORDER BY epoch_us(time) RANGE BETWEEN {_OVER[n]}) AS {n}_m" for n in ("prev", "next"))} FROM grid),
+    grown AS (SELECT time, y, x, CASE WHEN least(prev_n, curr_n, next_n) >= 8 THEN next_m - prev_m END AS ags FROM means JOIN counts USING (time))
+    SELECT 3::BIGINT AS sector_id, time, round(avg(ags), 6) + 0e0 AS ags FROM grown WHERE time::DATE BETWEEN DATE '1995-03-01' AND DATE '1995-03-15' GROUP BY time""", "bands"))
+def request_ags(spark: SparkSession, sf: str) -> DataFrame:
+    """Growth for two weeks, from the whole cache's windows."""
+    body = _RING_BODY | {"requests": {"date_range": ["1995-03-01", "1995-03-15"], "copernicus_data": {"composites": {"ags": ["spatial_mean"]}}}}
+    return rounded(requests.run_request(spark, body, {"bands": fx.bands(spark, sf)})["ags.spatial_mean"], ["ags"])
+
+
+#: A ring that has no cell of the grid on an edge, where projections decide.
+_NO_EDGES = [(0.6, 0.55), (6.4, 1.45), (5.45, 6.4), (1.55, 5.4), (0.6, 0.55)]
+
+
+@query("request_utm", sql("""
+    , masked AS (SELECT sector_id, time, CASE WHEN """ + _ring_sql("x", "y", _NO_EDGES) + """ THEN fapar END AS fapar FROM fapar WHERE sector_id = 3 AND time::DATE BETWEEN DATE '2019-02-01' AND DATE '2019-06-30')
+    SELECT sector_id, time, round(avg(fapar), 6) + 0e0 AS fapar FROM masked GROUP BY 1, 2""", "fapar"))
+def request_utm(spark: SparkSession, sf: str) -> DataFrame:
+    """A ring in degrees on a cube in metres: the grid's steps are a thousandth of a degree."""
+    place = lambda c: F.col(c) / 1000
+    east, north = g.utm(9 + place("x"), 48 + place("y"))
+    moved = fx.fapar(spark, sf).withColumns({"_e": east, "_n": north}).select("sector_id", "time", F.col("_n").alias("y"), F.col("_e").alias("x"), "fapar")
+    meta = spark.createDataFrame([("3", "fapar", 32632)], "sector_id string, product string, crs int")
+    ring = [[9 + x / 1000, 48 + y / 1000] for x, y in _NO_EDGES]
+    body = _RING_BODY | {"geometry": {"type": "Polygon", "coordinates": [ring]}, "requests": {"date_range": ["2019-02-01", "2019-06-30"], "copernicus_data": {"fapar": ["spatial_mean"]}}}
+    return rounded(requests.run_request(spark, body, {"fapar": moved, "cube_meta": meta})["fapar.spatial_mean"], ["fapar"])
+
+
+@query("sync_cube", _upsert_sql("new_", "old_"))
+def sync_cube(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sync.sync_cube(*_sides(spark, sf), "v"), ["v"])
+
+
+@query("ingest_old_wins", sql(
+    "SELECT sector_id, time, y, x, round(v, 6) + 0e0 AS v FROM (SELECT * FROM old_ UNION ALL SELECT * FROM new_ s WHERE x < 2 AND NOT EXISTS (SELECT 1 FROM old_ f WHERE f.sector_id = s.sector_id AND f.time = s.time))", "bands", _SIDES))
+def ingest_old_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch in which a half of the cells is broken."""
+    old, new = _sides(spark, sf)
+    return rounded(sync.ingest(old, new.withColumn("_error", F.when(F.col("x") >= 2, "broken")))[0], ["v"])
+
+
+@query("ingest_quarantine", sql("SELECT sector_id, time, y, x, 'broken' AS _error FROM new_ WHERE x >= 2", "bands", _SIDES))
+def ingest_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    old, new = _sides(spark, sf)
+    return sync.ingest(old, new.withColumn("_error", F.when(F.col("x") >= 2, "broken")))[1].select("sector_id", "time", "y", "x", "_error")
+
+
+@query("cube_concat", sql("SELECT sector_id, time, y, x, round(v, 6) + 0e0 AS v, NULL::DOUBLE AS w FROM old_ UNION ALL SELECT sector_id, time, y, x, NULL, round(v, 6) + 0e0 FROM new_", "bands", _SIDES))
+def cube_concat(spark: SparkSession, sf: str) -> DataFrame:
+    old, new = _sides(spark, sf)
+    return rounded(frames.merge(old, new.withColumnRenamed("v", "w"), "concat"), ["v", "w"])
+
+
+@query("sorted_days", "SELECT o_custkey, d, row_number() OVER (PARTITION BY o_custkey ORDER BY d) - 1 AS place FROM (SELECT DISTINCT o_custkey, o_orderdate::DATE AS d FROM orders)")
+def sorted_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's order days as text in any order, sorted as dates."""
+    days = read(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set(F.to_date("o_orderdate").cast("string")).alias("days"))
+    return days.select("o_custkey", F.posexplode(dates.sorted_days(F.col("days"))).alias("place", "d")).withColumn("place", F.col("place").cast("long"))
+
+
+@query("flat_pixels", sql("SELECT sector_id, time AS date, y, x, round(ndvi, 6) + 0e0 AS ndvi, round(b08, 6) + 0e0 AS b08 FROM ndvi JOIN bands USING (sector_id, time, y, x)", "bands", _NDVI))
+def flat_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Two products' cells side by side over all sectors."""
+    pixels, _, _ = frames.flat_frames([ndvi(spark, sf), fx.bands(spark, sf).select(*cube.KEYS, "b08")], None, None)
+    return rounded(pixels, ["ndvi", "b08"])
