@@ -49,6 +49,8 @@ from fieldcube.llm import exact_dedup, scratch
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 1024
+#: Rows whose sketches a worker holds together.
+ROWS = 500
 SIGNATURE_WORDS = 8
 #: The share of sets that may have too few words with elements.
 EMPTY = 1e-6
@@ -179,7 +181,7 @@ def _sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows (_id, _row, _words, _mark) to _id, _row, _sha (of the word sequence), n, sig, wide, slack, keys, _mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             digests, counts, sigs, wides, slacks, keys = [], [], [], [], [], []
             for words in _lists(batch.column(2)):
                 s = shingle_set(words, size)

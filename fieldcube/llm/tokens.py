@@ -34,7 +34,7 @@ END = "<|endoftext|>"
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 4_000_000
 #: Runs that a worker keeps at most, about 150 bytes each; beyond it, only those of the last batch stay.
-KEEP = 400_000
+KEEP = 250_000
 TOGETHER = 200
 
 
