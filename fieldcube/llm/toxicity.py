@@ -57,7 +57,7 @@ IDENTITY = {
 }
 AFFIXES = (3, 4, 5, 6, 7)
 #: Words whose features a worker keeps.
-KEEP = 200_000
+KEEP = 60_000
 Lexicon = Mapping[str, Sequence[str]]
 
 
@@ -210,7 +210,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[list[int]], y: np.ndarray, pairs: list, vocabulary: list[str], *, fairness: float = 5.0, ridge: float = 1e-5, toxic_weight: float = 2.0, rounds: int = 400) -> Model:
+def fit(rows: list[list[int]], y: np.ndarray, pairs: list, vocabulary: list[str], *, fairness: float = 20.0, ridge: float = 1e-5, toxic_weight: float = 2.0, rounds: int = 400) -> Model:
     """Minimise mean log loss + ridge * |w|^2 + fairness * mean squared score change over the pairs (Adam, full batch); ``toxic_weight``: of a toxic document in the first mean."""
     x, left, right = _Rows(rows, len(vocabulary)), _Rows([p[0] for p in pairs], len(vocabulary)), _Rows([p[1] for p in pairs], len(vocabulary))
     w, m, v = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)
