@@ -121,7 +121,7 @@ def test_mix_repeats_rows(spark):
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(150).cache()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
     columns, seen = docs.columns, [docs.count()]
     for name, stage in pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf).cache()
@@ -134,7 +134,7 @@ def test_pipeline_stages(spark):
             kept = [(r.doc_id, r.text) for r in docs.collect()]
             comps, _ = brute.components(kept, 5, 80)
             assert comps == [i for i, _ in kept]
-    assert seen[1] <= seen[0] and seen[2] <= seen[1] and seen[3] <= seen[2]
+    assert seen[1] < seen[0] and seen[2] < seen[1] and seen[3] < seen[2]
     name, stage = pipeline.STAGES[-1]
     packed = stage(spark, docs, sf).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
@@ -142,3 +142,23 @@ def test_pipeline_stages(spark):
     for r in packed:
         by[r.sequence_id] += r.length
     assert max(by.values()) <= 1024
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, repeated rows, long texts and clashing columns through all stages, and an empty table."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    odd = brute.documents(spark)
+    docs = odd.cache()
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+        assert docs.columns == odd.columns, name
+        texts = [brute.digest(r.text) for r in docs.collect()]
+        if name == "exact_dedup":
+            assert sorted(texts) == sorted({brute.digest(t) for _, t, *_ in brute.ROWS})
+        if name == "ngram_jaccard":
+            assert len(texts) == len(set(texts)) and brute.digest("") in texts and brute.digest(brute.ROWS[9][1]) in texts
+    packed = pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert len({(r.doc_id, r.piece) for r in packed}) > 3 and all(0 < r.length <= 1024 for r in packed)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, odd.where("false"), sf).count() == 0, name
