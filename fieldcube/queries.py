@@ -225,12 +225,14 @@ def distinct_dates(spark: SparkSession, sf: str) -> DataFrame:
     return dates.distinct_days(b, b.groupBy("sector_id").agg(F.date_add(F.to_date(F.max("time")), 1).alias("d")))
 
 
-@query("reconcile_dates", sql("""
-    , a AS (SELECT DISTINCT user_id AS sector_id, ts::DATE AS d, ts FROM events WHERE event_id % 3 <> 0), k AS (SELECT sector_id, d FROM user_days WHERE day(d) % 4 <> 0)
-    SELECT sector_id, d, coalesce(ts, d::TIMESTAMP) AS time, k.sector_id IS NULL AS quarantined FROM a FULL JOIN k USING (sector_id, d)""".strip().replace("k.sector_id IS NULL", "k.known IS NULL").replace("SELECT sector_id, d FROM user_days WHERE", "SELECT sector_id, d, true AS known FROM user_days WHERE"), "user_days"))
+@query("reconcile_dates", """
+    WITH a AS (SELECT DISTINCT user_id AS sector_id, ts::DATE AS d, ts FROM events WHERE event_type <> 'view'), k AS (SELECT DISTINCT user_id AS sector_id, ts::DATE AS d, true AS known FROM events WHERE event_type IN ('view', 'click'))
+    SELECT sector_id, d, coalesce(ts, d::TIMESTAMP) AS time, k.known IS NULL AS quarantined FROM a FULL JOIN k USING (sector_id, d)""")
 def reconcile_dates(spark: SparkSession, sf: str) -> DataFrame:
-    a = read(spark, sf, "events").where("event_id % 3 <> 0").select(F.col("user_id").alias("sector_id"), F.col("ts").alias("time")).distinct()
-    return dates.reconcile(a, fx.user_days(spark, sf).where("day(d) % 4 <> 0"), ["sector_id"])
+    """Instants of all events but views, against the days with views or clicks."""
+    events = read(spark, sf, "events").select(F.col("user_id").alias("sector_id"), F.col("ts").alias("time"), F.to_date("ts").alias("d"), "event_type")
+    known = events.where("event_type in ('view', 'click')").select("sector_id", "d").distinct()
+    return dates.reconcile(events.where("event_type <> 'view'").select("sector_id", "time").distinct(), known, ["sector_id"])
 
 
 # Crops and production
@@ -483,10 +485,10 @@ def _squares(spark: SparkSession, sf: str, table: str, key: str, name: str) -> D
 
 
 @query("polygon_intersects", """
-    WITH a AS (SELECT s_suppkey AS id, (s_suppkey * 7) % 50 AS x, (s_suppkey * 13) % 50 AS y FROM supplier WHERE s_suppkey <= 400), b AS (SELECT c_custkey AS area_id, (c_custkey * 7) % 50 AS x, (c_custkey * 13) % 50 AS y FROM customer WHERE c_custkey <= 400)
+    WITH a AS (SELECT s_suppkey AS id, (s_suppkey * 7) % 50 AS x, (s_suppkey * 13) % 50 AS y FROM supplier), b AS (SELECT c_custkey AS area_id, (c_custkey * 7) % 50 AS x, (c_custkey * 13) % 50 AS y FROM customer)
     SELECT id, area_id FROM a, b WHERE abs(a.x - b.x) <= 1.5 AND abs(a.y - b.y) <= 1.5""")
 def polygon_intersects(spark: SparkSession, sf: str) -> DataFrame:
-    return spatial.intersecting(_squares(spark, sf, "supplier", "s_suppkey", "id").where("id <= 400"), _squares(spark, sf, "customer", "c_custkey", "area_id").where("area_id <= 400"), 2.0)
+    return spatial.intersecting(_squares(spark, sf, "supplier", "s_suppkey", "id"), _squares(spark, sf, "customer", "c_custkey", "area_id"), 2.0)
 
 
 @query("polygon_intersects_all", """
@@ -498,9 +500,9 @@ def polygon_intersects_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ring_measures", """
     SELECT s_suppkey AS id, round((s_suppkey * 7) % 50 + 0.85e0, 6) + 0e0 AS cx, round((s_suppkey * 13) % 50 + 0.85e0, 6) + 0e0 AS cy, round((s_suppkey * 7) % 50 + 0.1e0, 6) AS min_x, round((s_suppkey * 13) % 50 + 1.6e0, 6) AS max_y,
-      round((s_suppkey * 7) % 50 + 0.1e0 - 0.25e0, 6) AS buffered_min_x, round((s_suppkey * 13) % 50 + 1.6e0 + 0.25e0, 6) AS buffered_max_y FROM supplier WHERE s_suppkey <= 400""")
+      round((s_suppkey * 7) % 50 + 0.1e0 - 0.25e0, 6) AS buffered_min_x, round((s_suppkey * 13) % 50 + 1.6e0 + 0.25e0, 6) AS buffered_max_y FROM supplier""")
 def ring_measures(spark: SparkSession, sf: str) -> DataFrame:
-    return _measures(_squares(spark, sf, "supplier", "s_suppkey", "id").where("id <= 400"))
+    return _measures(_squares(spark, sf, "supplier", "s_suppkey", "id"))
 
 
 @query("ring_measures_all", """
