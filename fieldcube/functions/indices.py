@@ -18,8 +18,8 @@ def contrast(a: str, b: str) -> Column:
 
 
 def _arvi() -> Column:
-    red = F.col("b04") + 0.106 * (F.col("b04") - F.col("b02"))
-    return ratio(F.col("b8a") - red, F.col("b8a") + F.col("b04") - 0.106 * (F.col("b04") - F.col("b02")))
+    part = 0.106 * (F.col("b04") - F.col("b02"))
+    return ratio(F.col("b8a") - F.col("b04") - part, F.col("b8a") + F.col("b04") - part)
 
 
 #: Name -> expression over band columns. ``msi`` is the near-infrared contrast that the service computes under this name.

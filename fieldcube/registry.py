@@ -46,6 +46,7 @@ BPLUT = {
     "Grass": (0.00086, -8.0, 12.02, 650.0, 5300.0, 37.5, 2.0, 2.6, 0.0, 0.0098, 0.00819, 0.0),
     "Crop": (0.001044, -8.0, 12.02, 650.0, 4300.0, 30.4, 2.0, 2.0, 0.0, 0.0098, 0.00819, 0.0),
 }
+# The biomes of crop names, and the least days of a crop; own to the described service.
 CROP_BIOME = {"missing_data": "Grass", "Grass": "Grass", "Crop": "Crop", "weizen": "Crop", "kartoffeln": "Crop", "grassland": "Grass"}
 DEFAULT_CROP = CROP_BIOME["missing_data"]
 MIN_CROP_DAYS = 30

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,12 @@ class Cache:
         self.spark, self.folder, self.schema, self.partitions = spark, folder.rstrip("/"), schema, list(partitions)
 
     def _pointer(self) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{POINTER}")
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema("at long, version string").json(f"{self.folder}/{POINTER}") if there else None
+        try:
+            return self.spark.read.schema("at long, version string").json(f"{self.folder}/{POINTER}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def version(self) -> str | None:
         rows = self._pointer()
