@@ -278,7 +278,7 @@ def is_hot(hot: DataFrame) -> Column:
 
 def shared_keys(sketched: DataFrame, hot: DataFrame) -> DataFrame:
     """(_mark, key, _n) of the keys that occur in several classes; _n counts their rows; ``hot``: :func:`frequent`."""
-    keys = sketched.select("_mark", F.explode("keys").alias("key")).where("key is not null")  # said once, for both uses of the exchange
+    keys = sketched.select("_mark", F.explode("keys").alias("key")).where("key is not null and _mark is not null")  # or a later join says so, to one use of the exchange only
     dealt = keys.where(~is_hot(hot)).select("key", "_mark").repartition("key")
     counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("_mark").alias("_lo"), F.max("_mark").alias("_hi")).where("_lo <> _hi").select("key", "_n")
     once = lambda rows: rows.groupBy("_mark", "key").agg(F.max("_n").alias("_n"))  # noqa: E731  copies of a text, where they are
@@ -287,7 +287,8 @@ def shared_keys(sketched: DataFrame, hot: DataFrame) -> DataFrame:
 
 def met_by_key(rows: DataFrame, hot: DataFrame, *aggregates: Column) -> DataFrame:
     """``rows`` with the aggregates of their key: other keys' rows shuffle once, the hot ones' stay where they are and get theirs by broadcast."""
-    dealt = rows.where("key is not null").where(~is_hot(hot)).repartition("key")
+    rows = rows.where(" and ".join(f"{c} is not null" for c in rows.columns))  # or a later filter says so, to one use of the exchange only
+    dealt = rows.where(~is_hot(hot)).repartition("key")
     cold = dealt.join(dealt.groupBy("key").agg(*aggregates).hint("shuffle_hash"), "key")
     own = rows.where(is_hot(hot))
     return cold.unionByName(own.join(F.broadcast(own.groupBy("key").agg(*aggregates)), "key"))
