@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldcube.llm import exact_dedup, scratch
+from fieldcube.llm import exact_dedup, scratch, tokens
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -181,6 +181,7 @@ def _sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows (_id, _row, _words, _mark) to _id, _row, _sha (of the word sequence), n, sig, wide, slack, keys, _mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             digests, counts, sigs, wides, slacks, keys = [], [], [], [], [], []
             for words in _lists(batch.column(2)):

@@ -14,6 +14,8 @@ by these numbers gives the texts' tokens.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -193,6 +195,16 @@ def cache(path: str, spans: bool = False) -> RunCache:
     return RunCache(path, spans)
 
 
+def forget() -> None:
+    """Give a worker's tokenizers and their caches back to the system, for tasks that don't need them."""
+    if cache.cache_info().currsize:
+        cache.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def encode_ids(path: str, texts: pa.Array, end_id: int) -> Iterator[bytes]:
     """Each text's ids and ``end_id`` as little-endian uint32; null counts as empty."""
     end = np.array([end_id], "<u4").tobytes()

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldcube.llm import scratch
+from fieldcube.llm import scratch, tokens
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -128,6 +128,7 @@ def choose_features(sample: DataFrame, max_features: int, min_docs: int, min_rat
     """The features more frequent in toxic documents that tell most about the label (log-likelihood ratio of ``min_ratio`` or more), and all identity terms."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = list({f for w in words_of(text) for f in features_of(w)})
@@ -254,6 +255,7 @@ def score_column(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokens.forget()
         of = model.scorer()
         for texts in batches:
             yield pd.Series([of(t) for t in texts], dtype="float64")
