@@ -6,9 +6,16 @@ compared with another engine on the same rows.
 
 from __future__ import annotations
 
+import datetime as dt
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldcube import registry
+from fieldcube.sources import tiff
+
 #: A small crop calendar: sector, day, crop.
 CROPS = [(0, "2019-01-10", "Crop"), (0, "2019-06-01", "Grass"), (1, "2019-03-01", "Crop"), (2, "2019-02-01", "Crop"), (3, "2019-08-01", "Crop")]
 #: A polygon on the 8 x 8 grid of the fAPAR cube.
@@ -88,7 +95,54 @@ def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("sector_id"), F.to_date("ts").alias("d")).distinct()
 
 
+def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parcel a user, three by two cells less one corner, in rows of three that lie a cell apart."""
+    x = F.col("user_id") * 4 + F.floor(F.col("user_id") / 3) * 8
+    corner = lambda a, b: F.struct((x + a).cast("double").alias("px"), F.lit(b).cast("double").alias("py"))
+    ring = F.array(*[corner(*p) for p in ((-0.5, -0.5), (2.5, -0.5), (2.5, 1.5), (0.7, 1.5), (-0.5, 0.3), (-0.5, -0.5))])
+    return read(spark, sf_dir, "events").select("user_id").distinct().select(F.col("user_id").cast("string").alias("sector_id"), x.alias("x0"), ring.alias("ring"))
+
+
+def parcel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of parcels on the days with events: (sector_id, time, y, x, value)."""
+    days = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("sector_id"), F.to_date("ts").alias("d")).distinct()
+    time = F.col("d").cast("timestamp") + F.expr("interval 12 hours")
+    rows = days.join(parcels(spark, sf_dir), "sector_id").select("sector_id", time.alias("time"), "x0", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    return rows.select("sector_id", "time", F.floor(F.col("i") / 3).cast("double").alias("y"), (F.col("x0") + F.col("i") % 3).cast("double").alias("x"), (F.col("i") / 10).alias("value"))
+
+
+class Archive:
+    """A transport with files for all days but each fifth, computed from the day and the place; each seventh day has two, of which the later lacks a quarter of its cells."""
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def fetch(self, asked: dict) -> list[dict]:
+        xs = [p[0] for ring in asked["rings"] for p in ring]
+        ys = [p[1] for ring in asked["rings"] for p in ring]
+        x, y = np.arange(math.ceil(min(xs)), math.floor(max(xs)) + 1), np.arange(math.floor(max(ys)), math.ceil(min(ys)) - 1, -1)
+        band = np.arange(len(registry.PRODUCTS[asked["product"]].variables))[:, None, None]
+        day, rows = dt.date.fromisoformat(asked["start"]), []
+        while day <= dt.date.fromisoformat(asked["end"]):
+            n = day.toordinal() - dt.date(1970, 1, 1).toordinal()
+            values = (n * 31 + x[None, None, :] * 7 + y[None, :, None] * 3 + band * 11) % 100 / 100
+            late = np.where((x[None, :] + y[:, None]) % 4 == 0, np.nan, values) if n % 7 == 0 else values
+            for hour, bands in ((8, values + 1), (10, late)):
+                if n % 5 and (hour == 10 or n % 7 == 0):
+                    rows.append({"time": dt.datetime(day.year, day.month, day.day, hour, tzinfo=dt.UTC), "payload": tiff.encode(tiff.Raster(bands, float(x[0]), float(y[0]), 1.0, 1.0))})
+            day += dt.timedelta(1)
+        return rows
+
+
 SQL = {
+    "parcels": """parcels AS (SELECT DISTINCT user_id, user_id * 4 + user_id // 3 * 8 AS x0 FROM events),
+        gaps AS (
+          SELECT user_id, x0, d::DATE AS d, d::DATE - DATE '1970-01-01' AS n FROM parcels, range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY) t(d)
+          WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = parcels.user_id AND e.ts::DATE = d::DATE)),
+        arrived AS (
+          SELECT user_id, d, n, x0, (d + CASE WHEN n % 7 = 0 THEN INTERVAL 9 HOUR ELSE INTERVAL 10 HOUR END)::TIMESTAMP AS time, (i // 3) AS y, x0 + i % 3 AS x, i = 3 AS outside,
+            CASE WHEN n % 7 = 0 AND (x0 + i % 3 + i // 3) % 4 = 0 THEN 1e0 ELSE 0e0 END AS more
+          FROM gaps, range(0, 6) c(i) WHERE n % 5 <> 0)""",
     "bands": """bands AS (
         SELECT l_suppkey % 5 AS sector_id, l_shipdate AS time, l_linenumber::DOUBLE AS y, (l_suppkey % 4)::DOUBLE AS x,
           avg(l_discount) * 0.5e0 + 0.0137e0 AS b02, avg(l_tax) * 0.7e0 + 0.0211e0 AS b03, avg(l_discount + l_tax) / 3e0 AS b04,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,8 @@ from fieldcube.fixtures import read, sql
 from fieldcube.functions import geometry as g
 from fieldcube.functions import indices, scalars
 from fieldcube.operators import crops, cube, dates, frames, growth, spatial, sync, temporal, weather
-from fieldcube.plans import background, gpp, requests
-from fieldcube.sources import tables, tiff
+from fieldcube.plans import background, derived, gpp, requests, satellite
+from fieldcube.sources import staging, tables, tiff
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -741,3 +742,85 @@ def flat_pixels(spark: SparkSession, sf: str) -> DataFrame:
     """Two products' cells side by side over all sectors."""
     pixels, _, _ = frames.flat_frames([ndvi(spark, sf), fx.bands(spark, sf).select(*cube.KEYS, "b08")], None, None)
     return rounded(pixels, ["ndvi", "b08"])
+
+
+# Acquisition
+
+def _acquired(spark: SparkSession, sf: str, product: str, band: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Parcels, and the caches after the days without events were downloaded; those with events are in the cache before, at noon."""
+    store = satellite.Store.at(spark, f"{staging.shared_dir(spark)}/satellite-{uuid.uuid4().hex}", product)
+    parcels = fx.parcels(spark, sf)
+    cells = fx.parcel_cells(spark, sf).withColumnRenamed("value", band)
+    store.cube.write(cells.select("*", *[F.lit(None).cast("double").alias(v) for v in registry.PRODUCTS[product].variables if v != band]))
+    return parcels, satellite.update(store, parcels, product, "2024-01-01", "2024-01-30", "fieldcube.fixtures:Archive", today="2024-03-01", buffer=0.6, tile=1000.0)
+
+
+@query("satellite_sync", sql("""
+    SELECT user_id::VARCHAR AS sector_id, time, y::DOUBLE AS y, x::DOUBLE AS x, CASE WHEN NOT outside THEN round((n * 31 + x * 7 + y * 3) % 100 / 100e0 + more, 6) + 0e0 END AS leaf_area FROM arrived
+    UNION ALL SELECT user_id::VARCHAR, (d + INTERVAL 12 HOUR)::TIMESTAMP, (i // 3)::DOUBLE, (x0 + i % 3)::DOUBLE, round(i / 10e0, 6) + 0e0 FROM (SELECT DISTINCT user_id, ts::DATE AS d FROM events) JOIN parcels USING (user_id), range(0, 6) c(i)""", "parcels"))
+def satellite_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """A parcel a request: buffered, downloaded once a gap, cropped back, one time a day."""
+    return rounded(_acquired(spark, sf, "leaf_area", "leaf_area")[1]["cube"], ["leaf_area"])
+
+
+@query("satellite_no_data", sql("SELECT user_id::VARCHAR AS sector_id, 'leaf_area' AS product, d FROM gaps WHERE n % 5 = 0", "parcels"))
+def satellite_no_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Days found to be empty by the same sync."""
+    return _acquired(spark, sf, "leaf_area", "leaf_area")[1]["no_data"]
+
+
+@query("satellite_groups", sql("""
+    , groups AS (
+        SELECT user_id, user_id // 3 AS three, user_id - row_number() OVER (PARTITION BY floor((x0 - 0.5) / 1000), user_id // 3 ORDER BY user_id) AS run FROM parcels),
+    members AS (SELECT user_id, min(user_id::VARCHAR) OVER (PARTITION BY three, run, floor((x0 - 0.5) / 1000)) AS area FROM groups JOIN parcels USING (user_id)),
+    asked AS (SELECT DISTINCT area, n FROM members JOIN gaps USING (user_id)),
+    runs AS (SELECT area, count(DISTINCT run) AS requests FROM (SELECT area, n - row_number() OVER (PARTITION BY area ORDER BY n) AS run FROM asked) GROUP BY 1),
+    sums AS (
+        SELECT user_id, d, count(DISTINCT (x, y)) AS cells, round(sum((n * 31 + x * 7 + y * 3 + b * 11) % 100 / 100e0 + more) FILTER (NOT outside), 4) + 0e0 AS total
+        FROM arrived, range(0, 13) t(b) GROUP BY 1, 2)
+    SELECT user_id::VARCHAR AS sector_id, d, cells, total, area AS area_id, requests FROM sums JOIN members USING (user_id) JOIN runs USING (area)""", "parcels"))
+def satellite_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Parcels whose buffered boxes touch are asked for together; each one's cells by day, and its area's requests."""
+    parcels, got = _acquired(spark, sf, "bands", "b02")
+    bands = registry.PRODUCTS["bands"].variables
+    total = near(F.sum(sum((F.coalesce(F.col(b), F.lit(0.0)) for b in bands), F.lit(0.0))), 4)
+    sums = got["cube"].where("hour(time) <> 12").groupBy("sector_id", F.to_date("time").alias("d")).agg(F.count(F.lit(1)).alias("cells"), total.alias("total"))
+    requests_ = got["ledger"].groupBy("area_id").agg(F.count(F.lit(1)).alias("requests"))
+    return sums.join(satellite.areas(parcels, "bands", 0.6, 1000.0).select("sector_id", "area_id"), "sector_id").join(requests_, "area_id").select("sector_id", "d", "cells", "total", "area_id", "requests")
+
+
+# Derived caches
+
+def _derived(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Caches made from four of five days, then brought up to all days."""
+    store = derived.Derived.at(spark, f"{staging.shared_dir(spark)}/derived-{uuid.uuid4().hex}", ["ndmi", "savi"])
+    bands = fx.bands(spark, sf)
+    derived.refresh(store, bands.where("datediff(time, DATE '1970-01-01') % 5 <> 3"))
+    return derived.refresh(store, bands)
+
+
+@query("growth_refresh", ORACLE_SQL["ags_growth"].replace("SELECT sector_id, time, y, x, CASE", "SELECT sector_id::VARCHAR AS sector_id, time, y, x, CASE"))
+def growth_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Growth after days that came later, against the growth of all days."""
+    return rounded(_derived(spark, sf)["growth"], ["ags"])
+
+
+@query("composites_refresh", sql("SELECT sector_id::VARCHAR AS sector_id, time, y, x, " + ", ".join(_R.format(_INDEX_SQL[n], n) for n in ("ndmi", "ndvi", "savi")) + " FROM bands", "bands"))
+def composites_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Composites written back to their cache, in two steps."""
+    return rounded(_derived(spark, sf)["composites"], ["ndmi", "ndvi", "savi"])
+
+
+# Windows of raster files
+
+@query("tiff_window", """
+    SELECT l_linenumber AS file, (l_suppkey % 80)::DOUBLE AS y, (l_partkey % 96)::DOUBLE AS x, round(avg(l_quantity), 6) + 0e0 AS value
+    FROM lineitem WHERE l_suppkey % 80 BETWEEN 5 AND 30 AND l_partkey % 96 BETWEEN 20 AND 40 GROUP BY ALL""")
+def tiff_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Cubes written as tiled, compressed files, of which only the tiles of a box are read."""
+    folder = f"{staging.shared_dir(spark)}/tiff-{uuid.uuid4().hex}"
+    cells = read(spark, sf, "lineitem").groupBy(F.col("l_linenumber").cast("string").alias("sector_id"), (F.col("l_suppkey") % 80).cast("double").alias("y"), (F.col("l_partkey") % 96).cast("double").alias("x"))
+    cells = cells.agg(F.avg("l_quantity").alias("value")).withColumn("time", F.lit("2020-01-01").cast("timestamp"))
+    tiff.write_tiffs(cells, "value", folder, tile=16, deflate=True, grid=(0.0, 79.0, 1.0, 96, 80)).count()
+    rows = tiff.scan_tiffs(spark, folder).where("x >= 20 and x <= 40 and y >= 5 and y <= 30 and value is not null")
+    return rows.select(F.regexp_extract("path", r"/(\d+)/value_", 1).cast("int").alias("file"), "y", "x", near("value").alias("value"))

@@ -15,6 +15,8 @@ PAR = "sector_id string, date date, par double"
 CROP_CALENDAR = "sector_id string, seq int, crop_name string, plant_time date, harvest_time date"
 BG_RASTER = "sector_id string, layer string, y double, x double, value double"
 IMAGE = "sector_id string, row int, col int, r int, g int, b int, a int"
+STAGED = "request_id string, area_id string, product string, start date, end date, attempt int, kind string, time timestamp, payload binary, error string"
+LEDGER = "request_id string, area_id string, product string, start date, end date, attempt int, state string, error string, files long, broken long"
 ACQUISITION = "sector_id string, product string, time timestamp, payload binary"
 
 _MODES = "array<string>"

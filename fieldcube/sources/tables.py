@@ -41,9 +41,13 @@ class Cache:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{version}")
 
+    def _typed(self, df: DataFrame) -> DataFrame:
+        """The cache's columns in its types."""
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], self.schema).schema])
+
     def write(self, df: DataFrame) -> str:
         version = f"v-{uuid.uuid4().hex}"
-        rows = df.select(*self.spark.createDataFrame([], self.schema).columns)
+        rows = self._typed(df)
         rows = rows.repartition(*self.partitions) if self.partitions else rows
         rows.write.partitionBy(*self.partitions).parquet(f"{self.folder}/{version}")
         pointer = self._pointer()

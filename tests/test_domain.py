@@ -352,32 +352,6 @@ def test_growth_reaches_beyond_the_asked_days(spark):
     assert requests.run_request(spark, body | {"geometry": {"type": "Polygon", "coordinates": [far]}}, {"bands": bands, "cube_meta": meta})["ndvi.full"].where("ndvi is not null").count() == 0
 
 
-def test_satellite_cache_is_brought_up_to_date(spark, tmp_path):
-    """Only missing days are asked for; a day's two files become one; broken files go aside; empty days are remembered."""
-    asked = []
-
-    def raster(v):
-        return tiff.encode(tiff.Raster(np.array([[[v, v], [v, v]]], float), 0.0, 1.0, 1.0, 1.0, 32632))
-
-    def acquire(wanted):
-        asked.append(points(wanted, "sector_id", "start", "end"))
-        rows = [("s", "leaf_area", at(1, 10), raster(2.0)), ("s", "leaf_area", at(3, 8), b"no file"), ("s", "leaf_area", at(4), None), ("s", "other", at(2), raster(9.0))]
-        return spark.createDataFrame([r for r in rows if asked[-1]], schema.ACQUISITION)
-
-    ring = [(-0.5, -0.5), (0.5, -0.5), (0.5, 1.5), (-0.5, 1.5), (-0.5, -0.5)]
-    sectors = spark.createDataFrame([("s", ring)], "sector_id string, ring array<struct<px: double, py: double>>")
-    cube_cache = tables.Cache(spark, f"file://{tmp_path}/cube", schema.PIXEL + ", leaf_area double")
-    days_cache = tables.Cache(spark, f"file://{tmp_path}/days", schema.NO_DATA)
-    cube_cache.write(spark.createDataFrame([("s", at(0), 0.0, 0.0, 1.0)], cube_cache.schema))
-    got = satellite.update(cube_cache, days_cache, sectors, "leaf_area", "2019-01-01", "2019-01-06", acquire)
-    assert asked == [[("s", D(2019, 1, 2), D(2019, 1, 6))]]
-    assert points(got["cube"], "time", "y", "x") == [(at(0), 0.0, 0.0), (at(1, 10), 0.0, 0.0), (at(1, 10), 0.0, 1.0), (at(1, 10), 1.0, 0.0), (at(1, 10), 1.0, 1.0)][:1] + [(at(1, 10), 0.0, 0.0), (at(1, 10), 1.0, 0.0)]
-    assert {r.leaf_area for r in got["cube"].collect()} == {1.0, 2.0} and got["quarantine"].count() == 1
-    assert points(got["no_data"], "d") == [(D(2019, 1, d),) for d in (3, 5, 6)]
-    satellite.update(cube_cache, days_cache, sectors, "leaf_area", "2019-01-01", "2019-01-06", acquire)
-    assert asked[1] == [("s", D(2019, 1, 4), D(2019, 1, 4))]  # the broken day is a gap again
-
-
 def test_files_of_a_day_become_one(spark):
     rows = [("s", at(0, 8), 0.0, 0.0, 1.0), ("s", at(0, 10), 0.0, 0.0, 3.0), ("s", at(0, 8), 0.0, 1.0, 5.0), ("s", at(0, 10), 0.0, 1.0, None), ("s", at(1), 0.0, 0.0, 7.0)]
     got = points(satellite.one_time_a_day(spark.createDataFrame(rows, CUBE), ["v"]), "time", "x", "v")
