@@ -119,16 +119,12 @@ def utm_zone(crs: int) -> tuple[int, bool]:
     return zone, kind != 327
 
 
-def ring_in(ring: Sequence[Point], crs: int) -> list[Point]:
-    """A ring in degrees or in metres of ``crs`` in that system (4326, or UTM).
-
-    Metres, which don't name their zone, become degrees from zone 32.
-    """
-    degrees = all(-180 <= x <= 180 and -180 <= y <= 180 for x, y in ring)
-    if crs == 4326:
-        return list(ring) if degrees else [lon_lat(x, y, m=math) for x, y in ring]
-    zone, north = utm_zone(crs)
-    return [utm(x, y, zone, north, math) for x, y in ring] if degrees else list(ring)
+def buffered_degrees(ring: Column, metres: Column) -> Column:
+    """A ring in degrees moved outwards by metres: mitred in a plane with the scale of the ring's middle latitude."""
+    _, y0, _, y1 = bounds(ring)
+    up, across = metres_to_degrees(F.lit(1.0), (y0 + y1) / 2)
+    plane = F.transform(ring, lambda p: F.struct((p["px"] / across).alias("px"), (p["py"] / up).alias("py")))
+    return F.transform(F.transform(F.array(plane), lambda r: buffered(r, metres))[0], lambda p: F.struct((p["px"] * across).alias("px"), (p["py"] * up).alias("py")))
 
 
 def buffered(ring: Column, distance: Column) -> Column:

@@ -14,6 +14,8 @@ from fieldcube.operators.growth import DAY
 
 #: Values of a series that are solved together, and those on either side that count too.
 CHUNK, HALO = 4096, 64
+#: Series that are solved at once.
+BLOCK = 256
 
 
 def interpolate_daily(df: DataFrame, keys: Sequence[str], value: str, method: str = "linear", time: str = "time", grid: Sequence[str] = ("sector_id",)) -> DataFrame:
@@ -24,8 +26,7 @@ def interpolate_daily(df: DataFrame, keys: Sequence[str], value: str, method: st
     NULL, a grid point on an instant that instant's own value.
     """
     if method == "cubic":
-        known = interpolate_daily(df, keys, value, "linear", time, grid).select(*keys, time, F.col(value).isNotNull().alias("_known"))
-        return known.join(_cubic(df, keys, value, time, grid), [*keys, time], "left").select(*keys, time, F.when(F.col("_known"), F.col(value)).alias(value))
+        return _cubic(df, keys, value, time, grid)
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown method {method}")
     t = F.unix_micros(F.col(time).cast("timestamp"))
@@ -53,59 +54,116 @@ def _cubic(df: DataFrame, keys: Sequence[str], value: str, time: str, grid: Sequ
 
     A series is solved in chunks of ``CHUNK`` values with ``HALO`` more on either side.
     A value's influence on the second derivatives at least halves with each knot, so
-    that what lies beyond the halo is below the rounding of doubles. A group holds one
-    chunk, whatever the length of its series; values are numbered by one window by key.
+    that what lies beyond the halo is below the rounding of doubles. About ``BLOCK`` series
+    are solved together, each elimination step for all of them at once, whatever their instants; so a group holds
+    BLOCK * CHUNK values at most, and the calls of Python grow with the blocks. Values are numbered by one window by key.
     """
     schema = f"{', '.join(f'{k} {dict(df.dtypes)[k]}' for k in keys)}, {time} timestamp, {value} double"
     own = W.partitionBy(*keys)
-    rows = _with_start(df.select(*keys, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.col(value).cast("double").alias("_v")), [k for k in grid if k in keys])
-    rows = rows.where(F.col("_t").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
-    rows = rows.select(*keys, "_t", "_v", (F.row_number().over(own.orderBy("_t")) - 1).alias("_i"), "_start", F.count(F.lit(1)).over(own).alias("_n"))
-    chunk = lambda i: F.floor(i / CHUNK)
-    near = F.sequence(chunk(F.greatest(F.col("_i") - HALO, F.lit(0))), chunk(F.least(F.col("_i") + HALO, F.col("_n") - 1)))
-    rows = rows.withColumn("_chunk", F.explode(near))
+    rows = df.select(*keys, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.col(value).cast("double").alias("_v")).where("_t is not null")
+    rows = _with_start(rows.withColumn("_v", F.when(~F.isnan("_v"), F.col("_v"))), [k for k in grid if k in keys])
+    blocks = -(-df.select(*keys).distinct().count() // BLOCK)
+    before = F.count("_v").over(own.orderBy("_t").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.select(*keys, "_t", "_v", before.alias("_i"), "_start", F.count("_v").over(own).alias("_n"), F.min("_t").over(own).alias("_lo"), F.max("_t").over(own).alias("_hi"))
+    chunk = lambda i: F.floor(F.greatest(i, F.lit(0)) / CHUNK)
+    near = F.sequence(chunk(F.least(F.col("_i"), F.col("_n") - 1) - HALO), chunk(F.least(F.col("_i") + HALO, F.col("_n") - 1)))
+    rows = rows.withColumn("_chunk", F.explode(near)).withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)))
+
+    size = CHUNK
 
     def spline(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("_i")
-        n, start, at = int(g["_n"].iloc[0]), int(g["_start"].iloc[0]), g["_i"].to_numpy()
-        t = g["_t"].to_numpy() - start
-        lo = int(g["_chunk"].iloc[0]) * CHUNK
-        first, after = int(np.searchsorted(at, lo)), int(np.searchsorted(at, lo + CHUNK))
-        stop = -(-int(t[after]) // DAY) if after < len(at) else int(t[-1]) // DAY + 1
-        days = np.arange(-(-int(t[first]) // DAY), stop) if first < len(t) else np.arange(0)
-        out = pd.DataFrame({k: [g[k].iloc[0]] * len(days) for k in keys})
-        out[time] = pd.to_datetime(start + days * DAY, unit="us")
-        out[value] = not_a_knot(t / DAY, g["_v"].to_numpy(float), days, at[0] == 0, at[-1] == n - 1)
-        return out
-
-    return rows.groupBy(*keys, "_chunk").applyInPandas(spline, schema)
-
-
-def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray, first: bool = True, last: bool = True) -> np.ndarray:
-    """Values of the not-a-knot cubic spline through (x, y). An end that isn't the series' ``first`` or ``last`` has no curvature."""
-    n = len(x)
-    if n < 4:
-        return np.polyval(np.polyfit(x - x[0], y, n - 1), at - x[0])
-    h, d = np.diff(x), np.diff(y) / np.diff(x)
-    low, mid, high, b = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(d)
-    if first:  # the end's equation put into its neighbour's
-        mid[0], high[0] = mid[0] + h[0] * (h[0] + h[1]) / h[1], h[1] - h[0] ** 2 / h[1]
-    if last:
-        mid[-1], low[-1] = mid[-1] + h[-1] * (h[-1] + h[-2]) / h[-2], h[-2] - h[-1] ** 2 / h[-2]
-    m = np.zeros(n)
-    m[1:-1] = tridiagonal(low, mid, high, b)
-    if first:
-        m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1]
-    if last:
-        m[-1] = ((h[-1] + h[-2]) * m[-2] - h[-1] * m[-3]) / h[-2]
-    i = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
-    s = at - x[i]
-    return y[i] + s * (d[i] - h[i] * (2 * m[i] + m[i + 1]) / 6 + s * (m[i] / 2 + s * (m[i + 1] - m[i]) / (6 * h[i])))
+        rows = group.assign(_series=group.groupby(list(keys), dropna=False, sort=False).ngroup()).sort_values(["_series", "_t"], kind="stable")
+        return _solved(rows, list(keys), time, value, size)
+
+    return rows.groupBy("_block", "_chunk").applyInPandas(spline, schema)
+
+
+def _solved(rows: pd.DataFrame, keys: list[str], time: str, value: str, chunk: int) -> pd.DataFrame:
+    """The days of one chunk of some series (rows by _series and _t), NULL where a neighbour is."""
+    series, t, v, i = (rows[c].to_numpy() for c in ("_series", "_t", "_v", "_i"))
+    v = v.astype(float)
+    heads = rows.drop_duplicates("_series")
+    n, start, lo = heads["_n"].to_numpy(), heads["_start"].to_numpy(), int(heads["_chunk"].iloc[0]) * chunk
+    p, there = len(heads), ~np.isnan(v)
+    mine, x, y = series[there], t[there], v[there]
+    counts = np.bincount(mine, minlength=p)
+    at = np.arange(len(mine)) - np.repeat(np.cumsum(counts) - counts, counts)
+    width = max(int(counts.max(initial=0)), 1)
+    xs, ys, index = np.zeros((p, width)), np.zeros((p, width)), np.full((p, width), -1)
+    xs[mine, at], ys[mine, at], index[mine, at] = (x - start[mine]) / DAY, y, i[there]
+    # the days of a series in this chunk: from its first value here to the next chunk's, and to the ends of the series
+    inside = (index >= lo) & (index < lo + chunk)
+    any_ = inside.any(1)
+    first, after = inside.argmax(1), inside.argmax(1) + inside.sum(1)
+    begin = np.where(any_ & (lo > 0), np.ceil(xs[np.arange(p), first]), np.ceil((heads["_lo"].to_numpy() - start) / DAY)).astype(int)
+    ended = after >= counts
+    end = np.where(ended, np.floor((heads["_hi"].to_numpy() - start) / DAY) + 1, np.ceil(xs[np.arange(p), np.minimum(after, width - 1)])).astype(int)
+    length = np.where(any_ | (n == 0), np.maximum(end - begin, 0), 0)
+    of = np.repeat(np.arange(p), length)
+    days = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + begin[of]
+    out = not_a_knot(xs, ys, counts, of, days.astype(float), index[:, 0] == 0, index[np.arange(p), np.maximum(counts - 1, 0)] == n - 1)
+    # a day counts if it has a value of its own or values on both sides, no NULL between
+    wide = int(t.max() - t.min()) + DAY + 1 if len(t) else 1
+    line, moment = series * wide + (t - t.min()), start[of] + days * DAY
+    k = np.searchsorted(line, of * wide + np.clip(moment - t.min(), -1, wide - 1), "right") - 1
+    left = np.where((k >= 0) & (series[k] == of), k, -1)
+    right = np.minimum(k + 1, len(t) - 1)
+    exact = (left >= 0) & (t[left] == moment)
+    known = np.where(exact, there[left], (left >= 0) & there[left] & (series[right] == of) & (right == k + 1) & there[right])
+    found = heads.iloc[of][keys].reset_index(drop=True)
+    found[time] = pd.to_datetime(moment, unit="us")
+    found[value] = pd.array(np.where(known, out, 0.0), "Float64")
+    found.loc[~known, value] = pd.NA
+    return found
+
+
+def not_a_knot(x: np.ndarray, y: np.ndarray, n: np.ndarray, of: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Values at places ``at`` of the series ``of`` by not-a-knot cubic splines through rows of (x, y), each with its own number n of points.
+
+    An end that isn't the series' ``first`` or ``last`` has no curvature. Fewer than
+    four points: the polynomial through them; none: 0.
+    """
+    p, width = x.shape
+    rows, used = np.arange(p), np.arange(width) < n[:, None]
+    far = np.where(used, x, np.where(n > 0, x[rows, np.maximum(n - 1, 0)], 0.0)[:, None] + np.arange(width) - n[:, None] + 1.0)  # points beyond the end, a day apart
+    width = max(width, 4)
+    far = np.concatenate([far, far[:, -1:] + np.arange(1, width - far.shape[1] + 1)], 1) if far.shape[1] < width else far
+    ys = np.zeros((p, width))
+    ys[:, : y.shape[1]] = np.where(used, y, 0.0)
+    h = np.diff(far, axis=1)
+    d = np.diff(ys, axis=1) / h
+    m = np.zeros((p, width))
+    inner = (np.arange(1, width - 1) < (n - 1)[:, None]) & (n >= 4)[:, None]
+    low, mid, high = np.where(inner, h[:, :-1], 0.0), np.where(inner, 2 * (h[:, :-1] + h[:, 1:]), 1.0), np.where(inner, h[:, 1:], 0.0)
+    b = np.where(inner, 6 * np.diff(d, axis=1), 0.0)
+    a = rows[first & (n >= 4)]  # the end's equation put into its neighbour's
+    mid[a, 0] += h[a, 0] * (h[a, 0] + h[a, 1]) / h[a, 1]
+    high[a, 0] = h[a, 1] - h[a, 0] ** 2 / h[a, 1]
+    z = rows[last & (n >= 4)]
+    e = n[z] - 3  # the last equation of each
+    mid[z, e] += h[z, e + 1] * (h[z, e + 1] + h[z, e]) / h[z, e]
+    low[z, e] = h[z, e] - h[z, e + 1] ** 2 / h[z, e]
+    high[rows[n >= 4], n[n >= 4] - 3] = 0.0
+    low[:, 0] = 0.0
+    m[:, 1:-1] = tridiagonal(low, mid, high, b)
+    m[a, 0] = ((h[a, 0] + h[a, 1]) * m[a, 1] - h[a, 0] * m[a, 2]) / h[a, 1]
+    m[z, e + 2] = ((h[z, e + 1] + h[z, e]) * m[z, e + 1] - h[z, e + 1] * m[z, e]) / h[z, e]
+    span = float(max(np.abs(far).max(initial=0.0), np.abs(at).max(initial=0.0))) * 2 + 2
+    line = (far + rows[:, None] * 2 * span).ravel()
+    i = np.searchsorted(line, at + of * 2 * span, "right") - 1 - of * width
+    i = np.clip(i, 0, np.maximum(n[of] - 2, 0))
+    s = at - far[of, i]
+    cubic = ys[of, i] + s * (d[of, i] - h[of, i] * (2 * m[of, i] + m[of, i + 1]) / 6 + s * (m[of, i] / 2 + s * (m[of, i + 1] - m[of, i]) / (6 * h[of, i])))
+    few, s0, s1 = n[of], at - far[of, 0], at - far[of, 1]
+    line_ = ys[of, 0] + np.where(few > 1, s0 * d[of, 0], 0.0)
+    curve = np.where(few > 2, s0 * s1 * (d[of, 1] - d[of, 0]) / (far[of, 2] - far[of, 0]), 0.0)
+    return np.where(few >= 4, cubic, line_ + curve)
 
 
 def tridiagonal(low: np.ndarray, mid: np.ndarray, high: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The solution of a system of three diagonals with a dominant one; the first of ``low`` and the last of ``high`` don't count."""
-    low, mid, high, out = low.tolist(), mid.tolist(), high.tolist(), b.tolist()
+    """The solutions of systems (one a row) of three diagonals with a dominant one; the first of ``low`` and the last of ``high`` don't count."""
+    mid, out = mid.T.copy(), b.T.copy()
+    low, high = low.T, high.T
     for i in range(1, len(out)):
         w = low[i] / mid[i - 1]
         mid[i] -= w * high[i - 1]
@@ -113,29 +171,40 @@ def tridiagonal(low: np.ndarray, mid: np.ndarray, high: np.ndarray, b: np.ndarra
     out[-1] /= mid[-1]
     for i in range(len(out) - 2, -1, -1):
         out[i] = (out[i] - high[i] * out[i + 1]) / mid[i]
-    return np.array(out)
+    return out.T
 
 
-def as_of(targets: DataFrame, source: DataFrame, keys: Sequence[str], values: Sequence[str], date: str = "date") -> DataFrame:
+def as_of(targets: DataFrame, source: DataFrame, keys: Sequence[str], values: Sequence[str], date: str = "date", days: int = 32) -> DataFrame:
     """``targets`` with the values of the last ``source`` row of its key up to its date, NULL if there is none.
 
-    One union and one window by key: no range join. Every target row gives one row.
+    Rows of a key are dealt by spans of ``days`` days, so that a key with many rows
+    spreads. A first pass finds each span's last source row, which is carried to the
+    later spans of its key (one row each); a second finds the last row within the span or,
+    before its first, what was carried there. No range join; every target row gives one row. Rows without a date come before all others.
     Of source rows with equal key and date any one with values may count, so make them unique.
     """
     others = [c for c in targets.columns if c not in (*keys, date)]
+    span = F.coalesce(F.floor(F.unix_date(F.to_date(F.col(date))) / days), F.lit(-(2**40)).cast("long")).alias("_span")
+    row = F.struct(*[F.col(v) for v in values])
+    none = F.lit(None).cast(source.select(row.alias("r")).schema["r"].dataType)
+    lasts = source.groupBy(*keys, span).agg(F.max_by(row, F.struct(F.col(date))).alias("_row"))
+    asked = targets.groupBy(*keys, span).agg(F.lit(True).alias("_asked"))
+    spans = lasts.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_row", none)).groupBy(*keys, "_span").agg(F.first("_row", ignorenulls=True).alias("_row"), F.max("_asked").alias("_asked"))
+    earlier = W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    carried = spans.withColumn("_row", F.last("_row", ignorenulls=True).over(earlier)).where("_asked and _row is not null")
+    kinds = dict(targets.dtypes)
     side = lambda df, n: df.select(
-        *keys, date, F.lit(n).alias("_side"),
-        *[(F.col(c) if n else F.lit(None).cast(dict(targets.dtypes)[c])).alias(c) for c in others],
-        F.when(F.lit(n == 0), F.struct(*[F.col(v) if n == 0 else F.lit(None).cast(dict(source.dtypes)[v]).alias(v) for v in values])).alias("_row"),
+        *keys, (F.col(date) if n else F.lit(None).cast(kinds[date])).alias(date), F.col("_span") if n == 0 else span, F.lit(n).alias("_side"),
+        *[(F.col(c) if n == 2 else F.lit(None).cast(kinds[c])).alias(c) for c in others], (F.col("_row") if n == 0 else row if n == 1 else none).alias("_row"),
     )
-    w = W.partitionBy(*keys).orderBy(date, "_side").rowsBetween(W.unboundedPreceding, 0)
-    both = side(source, 0).unionByName(side(targets, 1)).withColumn("_found", F.last("_row", ignorenulls=True).over(w))
-    return both.where("_side = 1").select(*keys, date, *others, *[F.col(f"_found.{v}").alias(v) for v in values])
+    w = W.partitionBy(*keys, "_span").orderBy(F.col("_side") > 0, date, "_side").rowsBetween(W.unboundedPreceding, 0)
+    both = side(carried, 0).unionByName(side(source, 1)).unionByName(side(targets, 2)).withColumn("_found", F.last("_row", ignorenulls=True).over(w))
+    return both.where("_side = 2").select(*keys, date, *others, *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
 def multiply_by_day(cube: DataFrame, factors: DataFrame, values: Sequence[str], factor: str, keys: Sequence[str] = (), time: str = "time", date: str = "date") -> DataFrame:
-    """Each value times the factor of its day (and keys); days without a factor give NULL. Factors are unique by day."""
-    days = factors.select(*keys, F.to_date(date).alias("_day"), F.col(factor).alias("_factor")).dropDuplicates([*keys, "_day"])
+    """Each value times the factor of its day (and keys); days without a factor give NULL. Of several factors of a day the least counts."""
+    days = factors.groupBy(*keys, F.to_date(date).alias("_day")).agg(F.min(factor).alias("_factor"))
     joined = cube.withColumn("_day", F.to_date(time)).join(days, [*keys, "_day"], "left")
     kept: list[Column | str] = [F.col(c) * F.col("_factor") if c in values else F.col(c) for c in cube.columns]
     return joined.select(*[k.alias(c) for k, c in zip(kept, cube.columns, strict=True)])

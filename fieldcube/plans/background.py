@@ -19,10 +19,10 @@ def layer_means(rasters: DataFrame, ring: Sequence[g.Point] | None = None, zero_
     return rows.groupBy("sector_id", "layer").agg(F.avg(value).alias("value"))
 
 
-def background(sectors: DataFrame, soil: tuple[DataFrame, DataFrame, DataFrame], rasters: DataFrame, layers: Sequence[str], cell: float = 0.01) -> DataFrame:
-    """(sector_id, soil attributes, one column per layer). Sectors and soil polygons meet where they have a point in common."""
+def background(sectors: DataFrame, soil: tuple[DataFrame, DataFrame, DataFrame], rasters: DataFrame, layers: Sequence[str], cell: float = 0.01, ring: Sequence[g.Point] | None = None) -> DataFrame:
+    """(sector_id, soil attributes, one column per layer). Sectors and soil polygons meet where they have a point in common; rasters count in ``ring``, if there is one."""
     geo, info, legend = soil
     met = spatial.intersecting(sectors.select(F.col("sector_id").alias("id"), "ring"), geo.select("area_id", "ring"), cell)
     attributes = frames.soil_chain(geo.drop("ring"), info, legend).join(met, "area_id").withColumnRenamed("id", "sector_id")
-    means = layer_means(rasters).groupBy("sector_id").agg(*[F.max(F.when(F.col("layer") == n, F.col("value"))).alias(n) for n in layers])
+    means = layer_means(rasters, ring).groupBy("sector_id").agg(*[F.max(F.when(F.col("layer") == n, F.col("value"))).alias(n) for n in layers])
     return attributes.join(means, "sector_id", "left")

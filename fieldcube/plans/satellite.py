@@ -49,16 +49,17 @@ def _cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Colum
     return F.flatten(F.transform(steps(x0, x1), lambda cx: F.transform(steps(y0, y1), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
-def areas(sectors: DataFrame, product: str, buffer: float, tile: float) -> DataFrame:
+def areas(sectors: DataFrame, product: str, buffer: float, tile: float, metres: float | None = None) -> DataFrame:
     """(sector_id, area_id, ring, asked): the area that a parcel is asked for in, and the ring asked for.
 
-    A product that needs it is asked for with a mitred buffer around the parcel. Parcels of
+    A product that needs it is asked for with a mitred buffer around the parcel, of ``buffer`` or, for rings in degrees, of ``metres``. Parcels of
     a product that combines are asked for together when their buffered boxes share a cell as
     large as the buffer, within tiles of ``tile`` that bound what one request can hold;
     a parcel is in the tile of its box's lower left corner. Other parcels are areas of their own.
     """
     kind = registry.PRODUCTS[product]
-    ring = g.buffered(F.col("ring"), F.lit(buffer)) if kind.needs_scaling else F.col("ring")
+    wide = g.buffered(F.col("ring"), F.lit(buffer)) if metres is None else g.buffered_degrees(F.col("ring"), F.lit(metres))
+    ring = wide if kind.needs_scaling else F.col("ring")
     rows = sectors.select("sector_id", "ring", ring.alias("asked"))
     if not kind.combinable:
         return rows.select("sector_id", F.col("sector_id").cast("string").alias("area_id"), "ring", "asked")
@@ -153,12 +154,12 @@ def dealt(pixels: DataFrame, asked: DataFrame, lacking: DataFrame, values: Seque
     return spatial.mask_by_sector(wanted, asked.select("sector_id", "ring"), values)
 
 
-def work_in(store: Store, sectors: DataFrame, product: str, today: str | None, buffer: float, tile: float) -> DataFrame:
+def work_in(store: Store, sectors: DataFrame, product: str, today: str | None, buffer: float, tile: float, metres: float | None = None) -> DataFrame:
     """Work the staged downloads into the caches and the ledger; (request_id, time, error) of broken files. Twice gives the same as once."""
     kind, staged = registry.PRODUCTS[product], store.staged.read()
     spark = staged.sparkSession
     tables = Staged(spark, "satellite")
-    asked = areas(sectors, product, buffer, tile)
+    asked = areas(sectors, product, buffer, tile, metres)
     kept, known = store.cube.read(), store.no_data.read()
     mine = known.where(F.col("product") == product)
     kept_days = tables.table(dates.distinct_days(kept, mine))
@@ -191,7 +192,7 @@ def work_in(store: Store, sectors: DataFrame, product: str, today: str | None, b
 
 
 def update(
-    store: Store, sectors: DataFrame, product: str, start: str, end: str, transport: str, *, today: str | None = None, buffer: float = 0.001, tile: float = 0.25,
+    store: Store, sectors: DataFrame, product: str, start: str, end: str, transport: str, *, today: str | None = None, buffer: float = 0.001, tile: float = 0.25, metres: float | None = None,
     max_days: int = 92, max_attempts: int = 3, **options,
 ) -> dict[str, DataFrame]:
     """The product's caches after the days that parcels (sector_id, ring, in the cube's coordinates) lack in a range were acquired.
@@ -203,16 +204,16 @@ def update(
     and are returned as ``quarantine``. A request that fails stays a gap, asked for again
     in later runs up to ``max_attempts`` times. Downloads of a run that was lost are worked in first. Returned: cube, no_data, ledger, quarantine.
     """
-    quarantine = work_in(store, sectors, product, today, buffer, tile) if not store.staged.read().isEmpty() else None
+    quarantine = work_in(store, sectors, product, today, buffer, tile, metres) if not store.staged.read().isEmpty() else None
     kept, known = store.cube.read(), store.no_data.read()
     have = dates.distinct_days(kept, known.where(F.col("product") == product))
     tried = store.ledger.read().groupBy("request_id").agg(F.max("attempt").alias("_tried"), F.max_by("state", "attempt").alias("_state"))
-    wanted = requests(areas(sectors, product, buffer, tile), have, product, start, end, max_days).join(tried, "request_id", "left")
+    wanted = requests(areas(sectors, product, buffer, tile, metres), have, product, start, end, max_days).join(tried, "request_id", "left")
     wanted = wanted.where(F.col("_tried").isNull() | (F.col("_tried") < max_attempts) | (F.col("_state") == "done"))
     tables = Staged(wanted.sparkSession, "requests")
     wanted = tables.table(wanted.withColumn("attempt", F.coalesce("_tried", F.lit(0)) + 1).drop("_tried", "_state"))
     got = fetch(wanted.drop("attempt"), transport, **options).join(wanted.drop("rings"), "request_id")
     store.staged.write(got)
-    later = work_in(store, sectors, product, today, buffer, tile)
+    later = work_in(store, sectors, product, today, buffer, tile, metres)
     tables.drop()
     return {"cube": store.cube.read(), "no_data": store.no_data.read(), "ledger": store.ledger.read(), "quarantine": later if quarantine is None else quarantine.unionByName(later)}

@@ -13,7 +13,7 @@ from fieldcube import fixtures as fx
 from fieldcube import registry
 from fieldcube.fixtures import read, sql
 from fieldcube.functions import geometry as g
-from fieldcube.functions import indices, scalars
+from fieldcube.functions import indices, projections, scalars
 from fieldcube.operators import crops, cube, dates, frames, growth, spatial, sync, temporal, weather
 from fieldcube.plans import background, derived, gpp, requests, satellite
 from fieldcube.sources import staging, tables, tiff
@@ -164,7 +164,32 @@ def interp_nearest_daily_all(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(temporal.interpolate_daily(fx.whole_series(spark, sf), ["sector_id"], "value", "nearest"), ["value"])
 
 
-@query("interp_cubic_daily")
+_CUBIC = sql("""
+    , places AS (
+        SELECT sector_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY sector_id) AS n, epoch_us(time) / 864e8 AS x, value AS y, lead(epoch_us(time) / 864e8) OVER w - epoch_us(time) / 864e8 AS h, lead(value) OVER w - value AS dy
+        FROM series WINDOW w AS (PARTITION BY sector_id ORDER BY time)),
+    equations AS (  -- one for each inner value, the ends' put into their neighbours'
+        SELECT sector_id, i, n, CASE WHEN i = n - 2 THEN g - h * h / g ELSE g END AS low, CASE WHEN i = 1 THEN h - g * g / h ELSE h END AS high,
+          2e0 * (g + h) + CASE WHEN i = 1 THEN g * (g + h) / h ELSE 0e0 END + CASE WHEN i = n - 2 THEN h * (g + h) / g ELSE 0e0 END AS mid, 6e0 * (dy / h - before) AS b
+        FROM (SELECT *, lag(h) OVER w AS g, lag(dy / h) OVER w AS before FROM places WINDOW w AS (PARTITION BY sector_id ORDER BY i)) WHERE i BETWEEN 1 AND n - 2),
+    down AS (
+        SELECT sector_id, i, high / mid AS c, b / mid AS r FROM equations WHERE i = 1
+        UNION ALL SELECT e.sector_id, e.i, e.high / (e.mid - e.low * d.c), (e.b - e.low * d.r) / (e.mid - e.low * d.c) FROM down d JOIN equations e ON e.sector_id = d.sector_id AND e.i = d.i + 1),
+    up AS (
+        SELECT d.sector_id, d.i, d.r AS m FROM down d JOIN equations e ON e.sector_id = d.sector_id AND e.i = d.i WHERE d.i = e.n - 2
+        UNION ALL SELECT d.sector_id, d.i, d.r - d.c * u.m FROM up u JOIN down d ON d.sector_id = u.sector_id AND d.i = u.i - 1),
+    bent AS (
+        SELECT p.*, CASE WHEN p.i = 0 THEN ((p.h + lead(p.h) OVER w) * lead(u.m) OVER w - p.h * lead(u.m, 2) OVER w) / lead(p.h) OVER w
+            WHEN p.i = p.n - 1 THEN ((lag(p.h) OVER w + lag(p.h, 2) OVER w) * lag(u.m) OVER w - lag(p.h) OVER w * lag(u.m, 2) OVER w) / lag(p.h, 2) OVER w ELSE u.m END AS m
+        FROM places p LEFT JOIN up u ON u.sector_id = p.sector_id AND u.i = p.i WINDOW w AS (PARTITION BY p.sector_id ORDER BY p.i)),
+    pieces AS (SELECT *, lead(m) OVER (PARTITION BY sector_id ORDER BY i) AS m1 FROM bent),
+    days AS (SELECT sector_id, unnest(generate_series(min(time), max(time), INTERVAL 1 DAY)) AS time FROM series GROUP BY 1)
+    SELECT d.sector_id, d.time, round(CASE WHEN epoch_us(d.time) / 864e8 = p.x THEN p.y
+        ELSE p.y + (epoch_us(d.time) / 864e8 - p.x) * (p.dy / p.h - p.h * (2 * p.m + p.m1) / 6 + (epoch_us(d.time) / 864e8 - p.x) * (p.m / 2 + (epoch_us(d.time) / 864e8 - p.x) * (p.m1 - p.m) / (6 * p.h))) END, 6) + 0e0 AS value
+    FROM days d ASOF JOIN pieces p ON d.sector_id = p.sector_id AND epoch_us(d.time) / 864e8 >= p.x""".strip(), "series").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("interp_cubic_daily", _CUBIC)
 def interp_cubic_daily(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(temporal.interpolate_daily(fx.whole_series(spark, sf), ["sector_id"], "value", "cubic"), ["value"])
 
@@ -824,3 +849,125 @@ def tiff_window(spark: SparkSession, sf: str) -> DataFrame:
     tiff.write_tiffs(cells, "value", folder, tile=16, deflate=True, grid=(0.0, 79.0, 1.0, 96, 80)).count()
     rows = tiff.scan_tiffs(spark, folder).where("x >= 20 and x <= 40 and y >= 5 and y <= 30 and value is not null")
     return rows.select(F.regexp_extract("path", r"/(\d+)/value_", 1).cast("int").alias("file"), "y", "x", near("value").alias("value"))
+
+
+# Coordinate systems
+
+def _lambert_sql() -> str:
+    """Web Mercator, Lambert's azimuthal (3035) and conic (3034) coordinates, by their textbook formulas."""
+    e2, a = projections.E2, projections.A
+    e = math.sqrt(e2)
+    q = lambda s: f"((1 - {e2!r}) * ({s} / (1 - {e2!r} * {s} * {s}) - 1e0 / (2 * {e!r}) * ln((1 - {e!r} * {s}) / (1 + {e!r} * {s}))))"
+    t = lambda p: f"(tan(pi() / 4 - {p} / 2) / pow((1 - {e!r} * sin({p})) / (1 + {e!r} * sin({p})), {e!r} / 2))"
+    m = lambda p: f"(cos({p}) / sqrt(1 - {e2!r} * pow(sin({p}), 2)))"
+    return f"""
+    WITH p AS (SELECT s_suppkey, 6e0 + (s_suppkey * 37 % 600) / 100e0 AS lon, 46e0 + (s_suppkey * 53 % 900) / 100e0 AS lat FROM supplier),
+    k AS (
+        SELECT {q("1e0")} AS qp, {q("sin(radians(52e0))")} AS q0, (ln({m("radians(35e0)")}) - ln({m("radians(65e0)")})) / (ln({t("radians(35e0)")}) - ln({t("radians(65e0)")})) AS n),
+    c AS (
+        SELECT *, {a!r} * sqrt(qp / 2) AS rq, asin(q0 / qp) AS b0, {m("radians(35e0)")} / (n * pow({t("radians(35e0)")}, n)) AS f FROM k),
+    d AS (SELECT *, {a!r} * {m("radians(52e0)")} / (rq * cos(b0)) AS d, {a!r} * f * pow({t("radians(52e0)")}, n) AS r0 FROM c),
+    r AS (SELECT *, radians(lon - 10e0) AS dl, asin({q("sin(radians(lat))")} / qp) AS beta, {a!r} * f * pow({t("radians(lat)")}, n) AS r FROM p, d),
+    b AS (SELECT *, rq * sqrt(2e0 / (1 + sin(b0) * sin(beta) + cos(b0) * cos(beta) * cos(dl))) AS b FROM r)
+    SELECT s_suppkey, round({a!r} * radians(lon), 4) + 0e0 AS merc_x, round({a!r} * ln(tan(pi() / 4 + radians(lat) / 2)), 4) + 0e0 AS merc_y,
+      round(4321000e0 + b * d * cos(beta) * sin(dl), 4) AS laea_x, round(3210000e0 + b / d * (cos(b0) * sin(beta) - sin(b0) * cos(beta) * cos(dl)), 4) AS laea_y,
+      round(4000000e0 + r * sin(n * dl), 4) AS lcc_x, round(2800000e0 + r0 - r * cos(n * dl), 4) AS lcc_y, true AS back FROM b"""
+
+
+@query("reproject_europe", _lambert_sql())
+def reproject_europe(spark: SparkSession, sf: str) -> DataFrame:
+    """Places in three systems, and whether all of them, and a zone through its neighbour, come back to a millimetre."""
+    k = F.col("s_suppkey")
+    places = read(spark, sf, "supplier").select("s_suppkey", (6.0 + (k * 37 % 600) / 100.0).alias("lon"), (46.0 + (k * 53 % 900) / 100.0).alias("lat"))
+    for name, crs in (("merc", 3857), ("laea", 3035), ("lcc", 3034)):
+        x, y = projections.transformed(F.col("lon"), F.col("lat"), 4326, crs)
+        places = places.withColumns({f"{name}_x": x, f"{name}_y": y})
+    east, north = projections.transformed(F.col("lon"), F.col("lat"), 4326, 32632)
+    places = places.withColumns({"e32": east, "n32": north})
+    back = F.lit(True)
+    for x, y, crs in (("merc_x", "merc_y", 3857), ("laea_x", "laea_y", 3035), ("lcc_x", "lcc_y", 3034)):
+        lon, lat = projections.transformed(F.col(x), F.col(y), crs, 4326)
+        back = back & (F.abs(lon - F.col("lon")) < 1e-8) & (F.abs(lat - F.col("lat")) < 1e-8)
+    e33, n33 = projections.transformed(F.col("e32"), F.col("n32"), 32632, 32633)
+    own_e, own_n = projections.transformed(F.col("lon"), F.col("lat"), 4326, 32633)
+    back = back & (F.hypot(e33 - own_e, n33 - own_n) < 2e-3)
+    return places.select("s_suppkey", *[near(c, 4).alias(c) for c in ("merc_x", "merc_y", "laea_x", "laea_y", "lcc_x", "lcc_y")], back.alias("back"))
+
+
+# Requests for composites, production and background
+
+def _body(**asked) -> dict:
+    return _RING_BODY | {"requests": {"date_range": ["2019-02-01", "2019-06-30"]} | asked, "input_data": {"id": {"farm_id": "f", "sector_id": "3"}, "crop_data": [{"crop_name": "weizen", "plant_time": "2019-01-02"}]}}
+
+
+_IN_RING = f"CASE WHEN {_ring_sql('x', 'y')} THEN {{0}} END"
+
+
+@query("request_composites", sql(f"""
+    SELECT sector_id, time, round(avg({_IN_RING.format(_INDEX_SQL["savi"])}), 6) + 0e0 AS savi, round(avg({_IN_RING.format(_INDEX_SQL["ndmi"])}), 6) + 0e0 AS ndmi
+    FROM bands WHERE sector_id = 3 AND {_BOX} GROUP BY 1, 2""".strip(), "bands"))
+def request_composites(spark: SparkSession, sf: str) -> DataFrame:
+    """Two composites of one request: one from its cache, one from the bands."""
+    bands = fx.bands(spark, sf)
+    tables_ = {"bands": bands, "composites": indices.composites(bands, ["ndmi"])}
+    body = _body(date_range=["1990-01-01", "2010-12-31"], copernicus_data={"composites": {"savi": ["spatial_mean"], "ndmi": ["spatial_mean"]}})
+    got = requests.run_request(spark, body, tables_)
+    return rounded(got["savi.spatial_mean"].join(got["ndmi.spatial_mean"], ["sector_id", "time"]), ["savi", "ndmi"])
+
+
+@query("request_gpp", sql(f"""
+    , cells AS (SELECT sector_id, time, y, x, fapar FROM fapar WHERE sector_id = 3 AND time::DATE BETWEEN DATE '2019-02-01' AND DATE '2019-06-30' AND {_BOX} AND {_ring_sql("x", "y")}),
+    pieces AS (SELECT *, lead(time) OVER w AS t1, lead(fapar) OVER w AS v1 FROM cells WINDOW w AS (PARTITION BY y, x ORDER BY time)),
+    days AS (SELECT sector_id, y, x, time AS t0, fapar AS v0, t1, v1, unnest(generate_series(time, coalesce(t1 - INTERVAL 1 DAY, time), INTERVAL 1 DAY)) AS time FROM pieces),
+    daily AS (SELECT sector_id, time, avg(CASE WHEN t1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (epoch_us(time) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0)) END) AS fapar FROM days GROUP BY 1, 2)
+    SELECT d.sector_id, d.time, round(d.fapar * {registry.BPLUT["Crop"][0]!r} * p.par, 9) + 0e0 AS gpp FROM daily d ASOF LEFT JOIN par p ON p.sector_id = d.sector_id AND d.time::DATE >= p.date""".strip(), "fapar", "par"))
+def request_gpp(spark: SparkSession, sf: str) -> DataFrame:
+    """Production with linear interpolation to days, from a request."""
+    body = _body(photosynthesis={"mean": ["spatial_mean"], "interpolation": "linear"})
+    return rounded(requests.run_request(spark, body, {"fapar": fx.fapar(spark, sf), "par": fx.par(spark, sf)})["gpp.spatial_mean"], ["gpp"], 9)
+
+
+@query("request_background", f"""
+    WITH places AS (SELECT c_custkey AS area_id, c_nationkey, (c_custkey * 7) % 50 AS px, (c_custkey * 3) % 40 AS py FROM customer),
+    corners AS (SELECT area_id, c_nationkey, bool_or({_ring_sql("x", "y")}) AS met FROM (SELECT *, px + a AS x, py + b AS y FROM places, (VALUES (0.13e0), (0.41e0)) s(a), (VALUES (0.13e0), (0.41e0)) t(b)) GROUP BY 1, 2),
+    cells AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'clay' ELSE 'sand' END AS layer, (p_partkey % 8)::DOUBLE AS x, (p_partkey // 8 % 8)::DOUBLE AS y, p_retailprice AS v FROM part),
+    means AS (SELECT avg(v) FILTER (layer = 'clay') AS clay, avg(v) FILTER (layer = 'sand') AS sand FROM cells WHERE {_BOX} AND {_ring_sql("x", "y")})
+    SELECT '3' AS sector_id, area_id, n_name, r_name, round(clay, 6) + 0e0 AS clay, round(sand, 6) + 0e0 AS sand
+    FROM corners JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, means WHERE met""")
+def request_background(spark: SparkSession, sf: str) -> DataFrame:
+    """Soil attributes and raster means of a request's ring; soil polygons are small boxes, which meet the ring if a corner does."""
+    k = F.col("c_custkey")
+    corner = lambda a, b: F.struct(((k * 7) % 50 + a).alias("px"), ((k * 3) % 40 + b).alias("py"))
+    ring = F.array(corner(0.13, 0.13), corner(0.41, 0.13), corner(0.41, 0.41), corner(0.13, 0.41), corner(0.13, 0.13))
+    geo = read(spark, sf, "customer").select(k.alias("area_id"), ring.alias("ring"), F.col("c_nationkey").alias("BF_ID"))
+    info = read(spark, sf, "nation").select(F.col("n_nationkey").alias("BF_ID"), "n_name", F.col("n_regionkey").alias("TKLE_NR"))
+    legend = read(spark, sf, "region").select(F.col("r_regionkey").alias("TKLE_NR"), "r_name")
+    p = F.col("p_partkey")
+    cells = read(spark, sf, "part").select(F.lit("3").alias("sector_id"), F.when(F.col("p_size") % 2 == 0, "clay").otherwise("sand").alias("layer"), (F.floor(p / 8) % 8).cast("double").alias("y"), (p % 8).cast("double").alias("x"), F.col("p_retailprice").cast("double").alias("value"))
+    got = requests.run_request(spark, _body(), {"soil_geo": geo, "soil_info": info, "soil_legend": legend, "bg_raster": cells})["background"]
+    return rounded(got.select("sector_id", "area_id", "n_name", "r_name", "clay", "sand"), ["clay", "sand"])
+
+
+@query("biome_parameters", sql("""
+    , crops AS (SELECT o_custkey AS sector_id, o_orderdate::DATE AS date, list_extract(['Crop', 'Grass', 'weizen', 'kartoffeln', 'grassland'], (o_orderkey % 5 + 1)::INT) AS crop_name FROM orders)
+    SELECT sector_id, date, crop_name, biome, lue_max, sla, q10 FROM crops JOIN crop_biome USING (crop_name) JOIN bplut USING (biome)""".strip(), _BIOME, _BPLUT))
+def biome_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameters of each order's crop."""
+    names = F.array(*[F.lit(n) for n in ("Crop", "Grass", "weizen", "kartoffeln", "grassland")])
+    rows = read(spark, sf, "orders").select(F.col("o_custkey").alias("sector_id"), F.to_date("o_orderdate").alias("date"), F.element_at(names, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("crop_name"))
+    return crops.with_biome(rows, registry.crop_biome(spark), registry.bplut(spark), ["lue_max", "sla", "q10"]).select("sector_id", "date", "crop_name", "biome", "lue_max", "sla", "q10")
+
+
+@query("request_errors", """
+    SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Parzelle_' || (row_number() OVER (PARTITION BY c_custkey % 5 = 0 ORDER BY c_custkey) - 1) ELSE 's' || c_custkey END AS sector_id,
+      CASE WHEN c_custkey % 3 = 1 THEN 'geometry is a Polygon with a closed ring' WHEN c_custkey % 7 = 2 THEN 'a date range has a start and an end, in order' END AS error FROM customer""")
+def request_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Many requests, some with an open ring, a reversed range or no name."""
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, "null").otherwise(F.concat(F.lit('"s'), k, F.lit('"')))
+    last, first = F.when(k % 3 == 1, "[0, 2]").otherwise("[0, 0]"), F.when(k % 7 == 2, "2019-08-01").otherwise("2019-07-01")
+    body = F.concat(
+        F.lit('{"number": '), (k + 10**9).cast("string"), F.lit(', "input_data": {"id": {"farm_id": "f", "sector_id": '), name, F.lit('}}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], '), last,
+        F.lit(']]}, "requests": {"date_range": ["'), first, F.lit('", "2019-07-15"]}}'),
+    )
+    return requests.parse_many(read(spark, sf, "customer").select("c_custkey", body.alias("body"))).select("c_custkey", "sector_id", "error")

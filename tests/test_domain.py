@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldcube import queries, registry, schema
 from fieldcube.functions import geometry as g
+from fieldcube.functions import projections
 from fieldcube.functions import indices, scalars
 from fieldcube.operators import crops, cube, dates, frames, growth, spatial, sync, temporal, weather
 from fieldcube.plans import gpp, requests, satellite
@@ -99,7 +100,8 @@ def test_interpolation(spark):
 def test_cubic_meets_nodes_and_cubics(spark):
     x = np.array([0.0, 1.0, 3.0, 4.0, 6.0])
     f = lambda t: t**3 - 2 * t + 1
-    assert np.allclose(temporal.not_a_knot(x, f(x), np.arange(7.0)), f(np.arange(7.0)))
+    both = temporal.not_a_knot(np.array([x, x]), np.array([f(x), 2 * f(x)]), np.array([5, 5]), np.repeat([0, 1], 7), np.tile(np.arange(7.0), 2), np.array([True, True]), np.array([True, True]))
+    assert np.allclose(both, np.concatenate([f(np.arange(7.0)), 2 * f(np.arange(7.0))]))
     df = spark.createDataFrame([("s", at(int(t)), 0.0, 0.0, float(f(t))) for t in x], CUBE)
     got = points(temporal.interpolate_daily(df, ["sector_id"], "v", "cubic"), "time", "v")
     assert np.allclose([v for _, v in got], f(np.arange(7.0)))
@@ -125,6 +127,59 @@ def test_long_cubic_series_is_solved_in_chunks(spark, monkeypatch):
     assert [r[0] for r in got] == [at(int(k)) for k in days] and np.allclose([r[1] for r in got], dense, rtol=1e-9, atol=1e-9)
 
 
+def test_cubic_series_of_all_lengths_together(spark, monkeypatch):
+    """Series with their own instants and gaps, solved in blocks, against each one by itself."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(40):
+        days = np.sort(rng.choice(60, rng.integers(0, 30), replace=False))
+        rows += [(k, at(float(d) + 0.5 * (k % 3 == 0)), None if rng.random() < 0.15 else float(rng.normal())) for d in days]
+    df = spark.createDataFrame(rows, "sector_id long, time timestamp, v double")
+    together = {(r.sector_id, r.time): r.v for r in temporal.interpolate_daily(df, ["sector_id"], "v", "cubic").collect()}
+    line = {(r.sector_id, r.time): r.v for r in temporal.interpolate_daily(df, ["sector_id"], "v", "linear").collect()}
+    assert {k: v is None for k, v in together.items()} == {k: v is None for k, v in line.items()}
+    for k in range(40):
+        known = [(t, v) for s, t, v in rows if s == k and v is not None]
+        start = min((t for s, t, _ in rows if s == k), default=None)
+        x = np.array([(t - start).total_seconds() / 86400 for t, _ in known])
+        y = np.array([v for _, v in known])
+        for (s, t), v in together.items():
+            if s != k or v is None:
+                continue
+            u = (t - start).total_seconds() / 86400
+            if len(x) < 4:
+                assert v == pytest.approx(np.polyval(np.polyfit(x, y, len(x) - 1), u), abs=1e-6)
+                continue
+            a, b, n = np.zeros((len(x), len(x))), np.zeros(len(x)), len(x)
+            h, d = np.diff(x), np.diff(y) / np.diff(x)
+            for i in range(1, n - 1):
+                a[i, i - 1 : i + 2], b[i] = (h[i - 1], 2 * (h[i - 1] + h[i]), h[i]), 6 * (d[i] - d[i - 1])
+            a[0, :3], a[-1, -3:] = (h[1], -h[0] - h[1], h[0]), (h[-1], -h[-2] - h[-1], h[-2])
+            m = np.linalg.solve(a, b)
+            i = int(np.clip(np.searchsorted(x, u, "right") - 1, 0, n - 2))
+            w = u - x[i]
+            assert v == pytest.approx(y[i] + w * (d[i] - h[i] * (2 * m[i] + m[i + 1]) / 6 + w * (m[i] / 2 + w * (m[i + 1] - m[i]) / (6 * h[i]))), abs=1e-8)
+
+
+def test_as_of_spreads_a_key(spark):
+    """One key with many rows over years: equal to a loop, in many tasks; dates and keys may be NULL."""
+    import bisect
+    import random
+
+    pick = random.Random(9)
+    source = {(k, D(2000, 1, 1) + dt.timedelta(pick.randrange(4000))): float(i) for i, k in enumerate(["hot"] * 400 + ["b", None] * 10)}
+    targets = [("hot" if pick.random() < 0.9 else pick.choice(["b", None, "c"]), None if pick.random() < 0.01 else D(2000, 1, 1) + dt.timedelta(pick.randrange(-50, 4100)), i) for i in range(3000)]
+    got = temporal.as_of(spark.createDataFrame(targets, "k string, date date, i int"), spark.createDataFrame([(k, d, v) for (k, d), v in source.items()], "k string, date date, v double"), ["k"], ["v"])
+    by = {k: sorted((d, v) for (q, d), v in source.items() if q == k) for k in ("hot", "b", None, "c")}
+    expected = []
+    for k, d, i in targets:
+        j = bisect.bisect_right(by[k], (d, 1e9)) if d else 0
+        expected.append((i, by[k][j - 1][1] if j else None))
+    assert sorted((r.i, r.v) for r in got.collect()) == sorted(expected)
+    tasks = got.where("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
+
+
 def test_queries_over_whole_tables(spark):
     sf = "/root/testdata/sf0.01"
     assert queries.QUERIES["polygon_intersects_all"](spark, sf).select("area_id").distinct().count() == spark.read.parquet(f"{sf}/customer.parquet").count() > 400
@@ -367,9 +422,18 @@ def test_utm_there_and_back(spark):
     e, n = g.utm(F.col("lon"), F.col("lat"))
     lon, lat = g.lon_lat(e, n)
     assert all(r.a < 1e-8 and r.b < 1e-8 for r in df.select(F.abs(lon - F.col("lon")).alias("a"), F.abs(lat - F.col("lat")).alias("b")).collect())
-    assert g.ring_in([(9.0, 48.5)], 4326) == [(9.0, 48.5)] and g.ring_in(g.ring_in([(9.0, 48.5)], 25832), 4326)[0] == pytest.approx((9.0, 48.5))
-    with pytest.raises(ValueError):
-        g.ring_in([(9.0, 48.5)], 3857)
+    there = projections.ring_in
+    assert there([(9.0, 48.5)], 4326) == [(9.0, 48.5)] and there(there([(9.0, 48.5)], 25832), 4326)[0] == pytest.approx((9.0, 48.5))
+    for crs in (3857, 3035, 3034, 2154, 32632, 32733):
+        assert there(there([(9.0, 48.5), (10.0, 52.0)], crs, 4326), 4326, crs) == [pytest.approx(p, abs=1e-8) for p in ((9.0, 48.5), (10.0, 52.0))]
+    assert there(there([(11.9, 48.5)], 32632), 32633, 32632)[0] == pytest.approx(there([(11.9, 48.5)], 32633, 4326)[0], abs=1e-3)
+    assert there([(9.0, 48.5)], 3857, 4326)[0] == pytest.approx((1001875.417, 6190443.809), abs=1e-3)
+    assert there([(10.0, 52.0)], 3035, 4326)[0] == pytest.approx((4321000.0, 3210000.0), abs=1e-6)
+    for odd in ((1e7, 1e7), (-5000.0, 48.5)):
+        with pytest.raises(ValueError, match="coordinate"):
+            there([odd], 4326)
+    with pytest.raises(ValueError, match="EPSG"):
+        there([(9.0, 48.5)], 31467)
 
 
 @pytest.mark.parametrize("method", ["linear", "nearest", "cubic"])
