@@ -16,7 +16,7 @@ from fieldcube.functions import geometry as g
 from fieldcube.functions import indices, projections, scalars
 from fieldcube.operators import crops, cube, dates, frames, growth, spatial, sync, temporal, weather
 from fieldcube.plans import background, derived, gpp, requests, satellite
-from fieldcube.sources import staging, tables, tiff
+from fieldcube.sources import partitioned, staging, tables, tiff
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -971,3 +971,41 @@ def request_errors(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(']]}, "requests": {"date_range": ["'), first, F.lit('", "2019-07-15"]}}'),
     )
     return requests.parse_many(read(spark, sf, "customer").select("c_custkey", body.alias("body"))).select("c_custkey", "sector_id", "error")
+
+
+# Overlay, partitions
+
+def _rectangle_sql(rectangles: Sequence[tuple[float, float, float, float, int]], other: Sequence[tuple[float, float, float, float, int]]) -> str:
+    """The signed sum of the overlaps of two lists of boxes beside (a.x, a.y) and (b.x, b.y)."""
+    side = lambda v, lo, hi, u, l2, h2: f"greatest(0e0, least(a.{v} + {hi}e0, b.{u} + {h2}e0) - greatest(a.{v} + {lo}e0, b.{u} + {l2}e0))"
+    return " + ".join(f"{s * t} * {side('x', x0, x1, 'x', u0, u1)} * {side('y', y0, y1, 'y', v0, v1)}" for x0, y0, x1, y1, s in rectangles for u0, v0, u1, v1, t in other)
+
+
+_FRAME, _ELL = [(0.0, 0.0, 3.0, 3.0, 1), (1.0, 1.0, 2.0, 2.0, -1)], [(0.0, 0.0, 2.0, 1.0, 1), (0.0, 1.0, 1.0, 2.0, 1)]
+
+
+@query("polygon_overlay", f"""
+    WITH a AS (SELECT s_suppkey AS id, s_suppkey * 3 % 40 + 0.3e0 AS x, s_suppkey // 2 + 0.25e0 AS y FROM supplier),
+    b AS (SELECT c_custkey AS area_id, (c_custkey % 40)::DOUBLE AS x, (c_custkey // 40)::DOUBLE AS y FROM customer)
+    SELECT * FROM (SELECT id, area_id, round({_rectangle_sql(_FRAME, _ELL)}, 6) + 0e0 AS area FROM a JOIN b ON b.x BETWEEN a.x - 2 AND a.x + 3 AND b.y BETWEEN a.y - 2 AND a.y + 3) WHERE area > 0""")
+def polygon_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames (a hole) over angles (not convex): the area that each pair has in common."""
+
+    def at(x: Column, y: Column, *rings: Sequence[tuple[float, float]]) -> Column:
+        return F.array(*[F.array(*[F.struct((x + float(a)).alias("px"), (y + float(b)).alias("py")) for a, b in ring]) for ring in rings])
+
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    frames_ = read(spark, sf, "supplier").select(s.alias("id"), at(s * 3 % 40 + 0.3, F.floor(s / 2) + 0.25, box(0, 0, 3, 3), box(1, 1, 2, 2)).alias("rings"))
+    angles = read(spark, sf, "customer").select(c.alias("area_id"), at((c % 40).cast("double"), F.floor(c / 40).cast("double"), [(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2), (0, 0)]).alias("rings"))
+    return rounded(spatial.overlay(frames_, angles, 4.0).select("id", "area_id", "area"), ["area"])
+
+
+@query("cache_merge", ORACLE_SQL["upsert_new_wins"].replace("SELECT sector_id, time, y, x,", "SELECT sector_id::VARCHAR AS sector_id, time, y, x,", 1))
+def cache_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Old rows, then new ones, merged into a cache of partitions, and read back."""
+    old, new = _sides(spark, sf)
+    cache = partitioned.PartitionedCache(spark, f"{staging.shared_dir(spark)}/cache-{uuid.uuid4().hex}", "sector_id string, time timestamp, y double, x double, v double", buckets=2)
+    cache.merge(old)
+    cache.merge(new)
+    return rounded(cache.read(), ["v"])

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from fieldcube.operators import sync
+from fieldcube.sources.partitioned import PartitionedCache
 from fieldcube.sources.tables import Cache
 
 
-def upsert_stream(arrivals: DataFrame, cache: Cache, keys: tuple[str, ...] = ("sector_id", "time"), prefer: str = "new") -> DataStreamWriter:
-    """A writer that upserts every micro-batch into a cache; a batch that runs twice gives the same cache."""
+def upsert_stream(arrivals: DataFrame, cache: Cache | PartitionedCache, keys: tuple[str, ...] = ("sector_id", "time"), prefer: str = "new") -> DataStreamWriter:
+    """A writer that upserts every micro-batch into a cache; a batch that runs twice gives the same cache. A cache in partitions has only those rewritten that a batch touches."""
 
     def one(batch: DataFrame, _: int) -> None:
-        cache.write(sync.upsert(cache.read(), batch, prefer, keys))
+        if isinstance(cache, PartitionedCache):
+            cache.merge(batch, prefer, keys)
+        else:
+            cache.write(sync.upsert(cache.read(), batch, prefer, keys))
 
     return arrivals.writeStream.foreachBatch(one)
 
