@@ -16,7 +16,7 @@ from fieldcube.functions import geometry as g
 from fieldcube.functions import indices, projections, scalars
 from fieldcube.operators import crops, cube, dates, frames, growth, spatial, sync, temporal, weather
 from fieldcube.plans import background, derived, gpp, requests, satellite
-from fieldcube.sources import partitioned, staging, tables, tiff
+from fieldcube.sources import images, partitioned, staging, tables, tiff
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1009,3 +1009,18 @@ def cache_merge(spark: SparkSession, sf: str) -> DataFrame:
     cache.merge(old)
     cache.merge(new)
     return rounded(cache.read(), ["v"])
+
+
+# Images
+
+@query("image_png", """
+    SELECT l_suppkey % 10 AS image, l_partkey % 40 AS "row", l_orderkey % 50 AS col, max(l_linenumber * 30)::INT AS r, (max(l_quantity) * 5)::INT AS g, (max(l_discount) * 1000)::INT AS b, 255 AS a
+    FROM lineitem GROUP BY ALL""")
+def image_png(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels written as PNG files and read back; those without a row come back transparent and are left out."""
+    rows = read(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("sector_id"), (F.col("l_partkey") % 40).alias("row"), (F.col("l_orderkey") % 50).alias("col"))
+    pixels = rows.agg(F.max(F.col("l_linenumber") * 30).cast("int").alias("r"), (F.max("l_quantity") * 5).cast("int").alias("g"), F.round(F.max("l_discount") * 1000).cast("int").alias("b"), F.lit(255).alias("a"))
+    folder = f"{staging.shared_dir(spark)}/images-{uuid.uuid4().hex}"
+    images.write_png(pixels, folder)
+    got = images.read_png(spark, folder).where("_error is null and a = 255")
+    return got.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "r", "g", "b", "a")
