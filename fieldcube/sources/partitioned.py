@@ -1,29 +1,24 @@
 """Cubes kept in partitions of sectors and months, of which a merge rewrites those it touches.
 
-A commit is one small file, numbered, that names the version of each partition. Versions
-are written first; the commit file is moved to its number, which fails if another
-writer was there before, who then is merged with: so no reader sees half a write and no
-writer's rows are lost. The move is as atomic as the store's rename.
+A commit names the version of each partition. Versions are written first; if another
+writer commits before, the merge takes in what was changed: so no reader sees half a write and no
+writer's rows are lost.
 """
 
 from __future__ import annotations
 
-import json
-import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldcube.operators import sync
+from fieldcube.sources.commits import CommitLog
 from fieldcube.sources.staging import Staged
 
-LOG = "_commits"
-
 
 @dataclass(frozen=True)
 class Merge:
@@ -40,50 +35,12 @@ class PartitionedCache:
     def __init__(self, spark: SparkSession, folder: str, schema: str, buckets: int = 16):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
         self.fields = T.StructType(spark.createDataFrame([], schema).schema.fields)
-        jvm = spark.sparkContext._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{p}")
-        self._files = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    # Commits
-
-    def commits(self) -> list[int]:
-        """The numbers of all commits that are still there."""
-        at = self._path(LOG)
-        if not self._files.exists(at):
-            return []
-        names = [s.getPath().getName() for s in self._files.listStatus(at)]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+        self.log = CommitLog(spark, folder)
 
     def partitions(self, commit: int | None = None) -> dict[str, str]:
         """Each partition's version in a commit, the last one if none is named."""
-        found = self.commits()
-        if not found:
-            return {}
-        path = self._path(f"{LOG}/{commit or found[-1]:012d}.json")
-        stream = self._files.open(path)
-        try:
-            size = self._files.getFileStatus(path).getLen()
-            return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size)).decode())
-        finally:
-            stream.close()
-
-    def _commit(self, number: int, partitions: dict[str, str]) -> bool:
-        """Write a commit file and move it to its number; False if there is one."""
-        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
-        part, target = self._path(f"{LOG}/.{uuid.uuid4().hex}"), self._path(f"{LOG}/{number:012d}.json")
-        out = self._files.create(part, False)
-        out.write(bytearray(json.dumps(partitions).encode()))
-        out.close()
-        modes = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        modes[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(part, target, modes)
-        except Py4JJavaError as e:
-            if "FileAlreadyExistsException" not in str(e.java_exception):
-                raise
-            self._files.delete(part, False)
-            return False
-        return True
+        number = commit or self.log.last()
+        return self.log.read(number) if number else {}
 
     # Rows
 
@@ -115,8 +72,8 @@ class PartitionedCache:
         if not rows.where("sector_id is null or time is null").isEmpty():
             raise ValueError("rows without a sector or a time have no partition")
         touched = sorted(f"bucket={r['bucket']}/month={r['month']}" for r in rows.select(*self._where()).distinct().collect())  # buckets * months at most
-        base, made, again = self.partitions(), {}, 0
-        number = (self.commits() or [0])[-1]
+        number, made, again = self.log.last(), {}, 0
+        base = self.partitions(number)
         if not touched:
             return Merge(number, [], 0)
         seen: dict[str, str | None] = {}
@@ -131,27 +88,13 @@ class PartitionedCache:
                 done.repartition("bucket", "month", F.pmod(F.xxhash64("sector_id", "time"), F.lit(4))).write.partitionBy("bucket", "month").parquet(f"{self.folder}/{version}")
                 made |= dict.fromkeys(todo, version)
                 seen |= {p: base.get(p) for p in todo}
-            self._files.mkdirs(self._path(LOG))
-            if self._commit(number + 1, base | made):
+            if self.log.commit(number + 1, base | made):
                 staged.drop()
                 return Merge(number + 1, touched, again)
             again += 1
-            base, number = self.partitions(), self.commits()[-1]
+            number = self.log.last()
+            base = self.partitions(number)
 
     def vacuum(self, grace: float = 86400.0) -> int:
-        """Remove versions and commits that were replaced over ``grace`` seconds ago and half-written ones as old; how many versions.
-
-        Readers that began before their commit was replaced have that long to end.
-        """
-        numbers, now = self.commits(), time.time() * 1000
-        at = {n: self._files.getFileStatus(self._path(f"{LOG}/{n:012d}.json")).getModificationTime() for n in numbers}
-        gone = [n for n, after in zip(numbers, numbers[1:]) if now - at[after] > grace * 1000]
-        kept = {v for n in numbers if n not in gone for v in self.partitions(n).values()}
-        count = 0
-        for status in self._files.listStatus(self._path("")) if self._files.exists(self._path("")) else []:
-            name = status.getPath().getName()
-            if name.startswith("v-") and name not in kept and now - status.getModificationTime() > grace * 1000:
-                count += bool(self._files.delete(status.getPath(), True))
-        for n in gone:
-            self._files.delete(self._path(f"{LOG}/{n:012d}.json"), False)
-        return count
+        """Remove what was replaced over ``grace`` seconds ago; see :meth:`CommitLog.vacuum`."""
+        return self.log.vacuum(lambda content: content.values(), grace)

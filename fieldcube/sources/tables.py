@@ -5,35 +5,27 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "_current"
-
+from fieldcube.sources.commits import CommitLog, Conflict
 
 class Cache:
-    """A table below a folder. Every write makes a new version; a pointer, written last, names the one that counts.
+    """A table below a folder. Every write makes a new version; a commit, written last, names the one that counts.
 
     A version is read while the next one is written, so a table can be rewritten
-    from itself, and a failed write leaves the old one.
+    from itself, and a failed write leaves the old one. If another writer has committed
+    since this object read the table last, a write fails with :class:`Conflict` and changes nothing.
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema: str, partitions: Sequence[str] = ()):
         self.spark, self.folder, self.schema, self.partitions = spark, folder.rstrip("/"), schema, list(partitions)
-
-    def _pointer(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("at long, version string").json(f"{self.folder}/{POINTER}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
+        self.log, self._base = CommitLog(spark, folder), None
 
     def version(self) -> str | None:
-        rows = self._pointer()
-        found = rows.agg(F.max_by("version", "at")).first() if rows is not None else None
-        return found[0] if found else None
+        """The version that counts now, which writes then go out from."""
+        self._base = self.log.last()
+        return self.log.read(self._base)["version"] if self._base else None
 
     def read(self) -> DataFrame:
         version = self.version()
@@ -46,15 +38,20 @@ class Cache:
         return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], self.schema).schema])
 
     def write(self, df: DataFrame) -> str:
+        base = self.log.last() if self._base is None else self._base
         version = f"v-{uuid.uuid4().hex}"
         rows = self._typed(df)
         rows = rows.repartition(*self.partitions) if self.partitions else rows
         rows.write.partitionBy(*self.partitions).parquet(f"{self.folder}/{version}")
-        pointer = self._pointer()
-        at = (pointer.agg(F.max("at")).first()[0] if pointer is not None else 0) + 1
-        self.spark.createDataFrame([(at, version)], "at long, version string").coalesce(1).write.mode("append").json(f"{self.folder}/{POINTER}")
+        if not self.log.commit(base + 1, {"version": version}):
+            raise Conflict(f"{self.folder} was written by another writer since it was read")
+        self._base = base + 1
         return version
 
+    def vacuum(self, grace: float = 86400.0) -> int:
+        """Remove versions replaced over ``grace`` seconds ago; see :meth:`CommitLog.vacuum`."""
+        return self.log.vacuum(lambda content: [content["version"]], grace)
+
 
 def as_json(df: DataFrame, column: str = "record") -> DataFrame:
     """Rows as JSON text with explicit nulls; NaN and infinities are null too."""

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldcube import schema
-from fieldcube.sources import partitioned
+from fieldcube.sources import partitioned, tables
+from fieldcube.sources.commits import Conflict
 from fieldcube.streaming import upserts
 
 CUBE = schema.CUBE
@@ -54,14 +55,14 @@ def test_two_writers_lose_nothing(spark, cache):
     """Both start from the same commit: one comes second, in the same partition as well as in others."""
     cache.merge(rows(spark, [("a", 0, 1)]))
     other = partitioned.PartitionedCache(spark, cache.folder, CUBE, buckets=4)
-    commit, met = cache._commit, []
+    commit, met = cache.log.commit, []
 
     def slow(number, partitions):
         if not met:  # the other one commits just before
             met.append(other.merge(rows(spark, [("a", 1, 2), ("b", 50, 3)])))
         return commit(number, partitions)
 
-    cache._commit = slow
+    cache.log.commit = slow
     done = cache.merge(rows(spark, [("a", 2, 4), ("c", 70, 5), ("a", 0, 6)]))
     assert (met[0].commit, done.commit, done.again) == (2, 3, 1)
     assert held(cache.read()) == [("a", 0, 6.0), ("a", 1, 2.0), ("a", 2, 4.0), ("b", 50, 3.0), ("c", 70, 5.0)]
@@ -88,8 +89,8 @@ def test_writers_at_once(spark, cache):
 def test_vacuum(spark, cache):
     for v in range(3):
         cache.merge(rows(spark, [("a", 0, v), ("b", 0, v)]))
-    assert cache.vacuum() == 0 and len(cache.commits()) == 3
-    assert cache.vacuum(grace=-1.0) == 2 and cache.commits() == [3]
+    assert cache.vacuum() == 0 and len(cache.log.numbers()) == 3
+    assert cache.vacuum(grace=-1.0) == 2 and cache.log.numbers() == [3]
     assert held(cache.read()) == [("a", 0, 2.0), ("b", 0, 2.0)]
     cache.merge(rows(spark, [("a", 1, 9)]))
     assert cache.read().where(F.col("value") == 9).count() == 1
@@ -103,3 +104,15 @@ def test_stream_rewrites_touched_partitions(spark, cache, tmp_path):
     stream.option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination(120)
     assert held(cache.read()) == [("a", 0, 1.0), ("a", 1, 2.0), ("b", 60, 1.0)]
     assert sum(before[p] != v for p, v in cache.partitions().items()) == 1
+
+
+def test_whole_caches_notice_other_writers(spark, tmp_path):
+    one, two = (tables.Cache(spark, f"file://{tmp_path}/whole", CUBE) for _ in range(2))
+    one.write(rows(spark, [("a", 0, 1)]))
+    mine, theirs = one.read(), two.read()
+    two.write(theirs.unionByName(rows(spark, [("b", 0, 2)])))
+    with pytest.raises(Conflict):
+        one.write(mine.unionByName(rows(spark, [("c", 0, 3)])))
+    one.write(one.read().unionByName(rows(spark, [("c", 0, 3)])))
+    assert held(two.read()) == [("a", 0, 1.0), ("b", 0, 2.0), ("c", 0, 3.0)]
+    assert two.vacuum(grace=-1.0) == 3 and held(two.read()) == held(one.read())  # the lost version goes, too
