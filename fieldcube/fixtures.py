@@ -134,6 +134,21 @@ class Archive:
         return rows
 
 
+class Flaky(Archive):
+    """An archive whose line breaks at the first attempt for every request."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.tried = set()
+
+    def fetch(self, asked: dict) -> list[dict]:
+        key = (asked["area_id"], asked["start"])
+        if key not in self.tried:
+            self.tried.add(key)
+            raise OSError("the line broke")
+        return super().fetch(asked)
+
+
 SQL = {
     "parcels": """parcels AS (SELECT DISTINCT user_id, user_id * 4 + user_id // 3 * 8 AS x0 FROM events),
         gaps AS (

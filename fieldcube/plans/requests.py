@@ -14,6 +14,8 @@ from fieldcube import registry, schema
 from fieldcube.functions import geometry, indices, projections
 from fieldcube.operators import cube, dates, growth, spatial
 from fieldcube.plans import background, gpp
+from fieldcube.sources import tables as tables_
+from fieldcube.sources import tiff
 
 DEFAULT_FARM = "generic_farm"
 
@@ -173,6 +175,19 @@ def run_request(spark: SparkSession, body: Mapping, tables: Mapping[str, DataFra
     return answer(parse(body, **{k: options.pop(k) for k in ("taken", "today") if k in options}), tables, **options)
 
 
+def save(answers: Mapping[str, DataFrame], folder: str, save_format: str = "parquet", crs: int | None = None) -> dict[str, str]:
+    """Write an answer's tables below a folder, each one's place by its name: ``…full`` as a GeoTIFF a time, the others as parquet or csv."""
+    out = {}
+    for name, df in answers.items():
+        out[name] = f"{folder.rstrip('/')}/{name}"
+        value = name.partition(".")[0]
+        if name.endswith(".full") and {"y", "x", value} <= {*df.columns}:
+            tiff.write_tiffs(df, value, out[name], crs, deflate=True).write.format("noop").mode("overwrite").save()
+        else:
+            tables_.save(df, out[name], save_format)
+    return out
+
+
 def parse_many(bodies: DataFrame, column: str = "body", taken: int = 0) -> DataFrame:
     """Request bodies in a text column as typed columns: one pass over many requests.
 

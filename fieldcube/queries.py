@@ -771,13 +771,13 @@ def flat_pixels(spark: SparkSession, sf: str) -> DataFrame:
 
 # Acquisition
 
-def _acquired(spark: SparkSession, sf: str, product: str, band: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+def _acquired(spark: SparkSession, sf: str, product: str, band: str, transport: str = "Archive") -> tuple[DataFrame, dict[str, DataFrame]]:
     """Parcels, and the caches after the days without events were downloaded; those with events are in the cache before, at noon."""
     store = satellite.Store.at(spark, f"{staging.shared_dir(spark)}/satellite-{uuid.uuid4().hex}", product)
     parcels = fx.parcels(spark, sf)
     cells = fx.parcel_cells(spark, sf).withColumnRenamed("value", band)
     store.cube.write(cells.select("*", *[F.lit(None).cast("double").alias(v) for v in registry.PRODUCTS[product].variables if v != band]))
-    return parcels, satellite.update(store, parcels, product, "2024-01-01", "2024-01-30", "fieldcube.fixtures:Archive", today="2024-03-01", buffer=0.6, tile=1000.0)
+    return parcels, satellite.update(store, parcels, product, "2024-01-01", "2024-01-30", f"fieldcube.fixtures:{transport}", today="2024-03-01", buffer=0.6, tile=1000.0, wait=0.0)
 
 
 @query("satellite_sync", sql("""
@@ -1024,3 +1024,66 @@ def image_png(spark: SparkSession, sf: str) -> DataFrame:
     images.write_png(pixels, folder)
     got = images.read_png(spark, folder).where("_error is null and a = 255")
     return got.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "r", "g", "b", "a")
+
+
+# Sources and sinks
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{staging.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("retried_downloads", sql("""
+    , days AS (SELECT user_id, x0, d, n, n - row_number() OVER (PARTITION BY user_id ORDER BY n) AS run FROM gaps)
+    SELECT user_id::VARCHAR AS area_id, min(d) AS start, max(d) AS "end", 'done' AS state, sum(CASE WHEN n % 5 = 0 THEN 0 WHEN n % 7 = 0 THEN 2 ELSE 1 END)::BIGINT AS files FROM days GROUP BY user_id, run""".strip(), "parcels"))
+def retried_downloads(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger of a sync whose line breaks once for every request."""
+    ledger = _acquired(spark, sf, "leaf_area", "leaf_area", "Flaky")[1]["ledger"]
+    return ledger.select("area_id", "start", "end", "state", "files")
+
+
+@query("request_files", sql(f"SELECT time, y, x, {_IN_RING.format('round(fapar, 6) + 0e0')} AS fapar FROM fapar WHERE sector_id = 3 AND time::DATE BETWEEN DATE '2019-02-01' AND DATE '2019-06-30' AND {_BOX}", "fapar"))
+def request_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A request's answer saved as GeoTIFF files, and read from them."""
+    got = requests.run_request(spark, _body(copernicus_data={"fapar": ["full"]}), {"fapar": fx.fapar(spark, sf)})
+    rows = tiff.read_tiffs(spark, requests.save(got, _place(spark, "answer"))["fapar.full"]).where("_error is null")
+    time = F.to_timestamp(F.regexp_replace(F.regexp_extract("path", r"fapar_(\d{4}-\d\d-\d\dT[\d-]+)", 1), r"T(\d\d)-(\d\d)-(\d\d)", " $1:$2:$3"))
+    return rows.select(time.alias("time"), "y", "x", near("value").alias("fapar"))
+
+
+@query("saved_csv", "SELECT c_custkey, c_name, round(c_acctbal, 2) + 0e0 AS c_acctbal, c_mktsegment FROM customer")
+def saved_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """A table saved as CSV with a header, and read back with its types."""
+    place = _place(spark, "csv")
+    tables.save(read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), place, "csv")
+    return rounded(tables.csv(spark, place, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string"), ["c_acctbal"], 2)
+
+
+@query("vector_layers", "SELECT n_nationkey, n_name, r_name, count(s_suppkey) AS suppliers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
+def vector_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """Three layers of one data set, joined by the columns they share."""
+    place = _place(spark, "layers")
+    geo = read(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
+    for name, df in (("geo", geo), ("info", read(spark, sf, "nation")), ("legend", read(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name"))):
+        tables.save(df, f"{place}/{name}")
+    geo, info, legend = tables.layers(spark, place, ["geo", "info", "legend"])
+    return frames.natural_left(frames.natural_left(info, legend), geo).groupBy("n_nationkey", "n_name", "r_name").agg(F.count("s_suppkey").alias("suppliers"))
+
+
+@query("cache_rewrite", sql("SELECT sector_id::VARCHAR AS sector_id, time, y, x, round(fapar + 1, 6) + 0e0 AS fapar FROM fapar", "fapar"))
+def cache_rewrite(spark: SparkSession, sf: str) -> DataFrame:
+    """A cache written from itself."""
+    cache = tables.Cache(spark, _place(spark, "whole"), "sector_id string, time timestamp, y double, x double, fapar double", ["sector_id"])
+    cache.write(fx.fapar(spark, sf))
+    cache.write(cache.read().withColumn("fapar", F.col("fapar") + 1))
+    return rounded(cache.read(), ["fapar"])
+
+
+@query("flat_soil", sql("""
+    SELECT f.sector_id, f.time AS date, f.y, f.x, round(f.fapar, 6) + 0e0 AS fapar, round(w.click, 9) + 0e0 AS click, s.clay
+    FROM fapar f LEFT JOIN weather_daily w ON w.sector_id = f.sector_id AND w.date = f.time LEFT JOIN (SELECT p_size::BIGINT AS sector_id, count(*) AS clay FROM part GROUP BY 1) s ON s.sector_id = f.sector_id""", "fapar", "weather_daily"))
+def flat_soil(spark: SparkSession, sf: str) -> DataFrame:
+    """All three flat frames, side by side by sector and date."""
+    soil = read(spark, sf, "part").groupBy(F.col("p_size").cast("long").alias("sector_id")).agg(F.count(F.lit(1)).alias("clay"))
+    pixels, daily, background_ = frames.flat_frames([fx.fapar(spark, sf)], fx.weather_daily(spark, sf).select("sector_id", "date", "click"), soil)
+    daily = daily.withColumn("date", F.col("date").cast("timestamp"))
+    return rounded(rounded(pixels.join(daily, ["sector_id", "date"], "left").join(background_, "sector_id", "left"), ["fapar"]), ["click"], 9)
