@@ -99,7 +99,7 @@ def successors(ids: DataFrame) -> DataFrame:
     order = [F.col("id").desc_nulls_last(), F.col("key")]
     placed = scratch.table(ids.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "successor-ids")
     inside = placed.withColumn("_next", F.lead("key").over(W.partitionBy("_part").orderBy(*order)))
-    first = placed.groupBy("_part").agg(F.min_by("key", F.struct(F.col("id").isNull(), -F.col("id"), "key")).alias("_first"))  # a row a partition
+    first = placed.groupBy("_part").agg(F.min_by("key", F.struct(F.col("id").isNull(), F.bitwise_not("id"), "key")).alias("_first"))  # a row a partition
     ring = first.withColumn("_over", F.coalesce(F.lead("_first").over(W.orderBy("_part")), F.min_by("_first", "_part").over(W.partitionBy()))).select("_part", "_over")
     return inside.join(F.broadcast(ring), "_part").select("key", F.coalesce("_next", "_over").alias("next_key"))
 

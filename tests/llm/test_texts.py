@@ -194,6 +194,15 @@ def test_edited_texts(spark):
     assert syncmers.compare_edited(brute.documents(spark).where("false")).count() == 0
 
 
+def test_smallest_id_is_the_last(spark):
+    rows = [(-(2**63), "the smallest id, a text", "en", "a"), (2**63 - 1, "the largest id, another one", "en", "a"), (0, "between them, a third", "en", "a")]
+    got = {r.doc_id: r for r in syncmers.compare_edited(brute.documents(spark, rows)).collect()}
+    for i, after in ((2**63 - 1, 0), (0, -(2**63)), (-(2**63), 2**63 - 1)):
+        t, u = (next(r[1] for r in rows if r[0] == k) for k in (i, after))
+        m = len(t) // 3
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - m] + u[:m]).encode()).hexdigest()
+
+
 def test_anchors_are_closed_syncmers(spark):
     text = " ".join(f"w{i * 7919 % 1009}" for i in range(300))
     docs = spark.createDataFrame([(text,), (text[60:],)], "text string")
