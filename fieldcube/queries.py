@@ -724,6 +724,7 @@ def request_utm(spark: SparkSession, sf: str) -> DataFrame:
     place = lambda c: F.col(c) / 1000
     east, north = g.utm(9 + place("x"), 48 + place("y"))
     moved = fx.fapar(spark, sf).withColumns({"_e": east, "_n": north}).select("sector_id", "time", F.col("_n").alias("y"), F.col("_e").alias("x"), "fapar")
+    moved = staging.Staged(spark, "utm").table(moved)  # as a cache would be: coordinates are columns
     meta = spark.createDataFrame([("3", "fapar", 32632)], "sector_id string, product string, crs int")
     ring = [[9 + x / 1000, 48 + y / 1000] for x, y in _NO_EDGES]
     body = _RING_BODY | {"geometry": {"type": "Polygon", "coordinates": [ring]}, "requests": {"date_range": ["2019-02-01", "2019-06-30"], "copernicus_data": {"fapar": ["spatial_mean"]}}}
