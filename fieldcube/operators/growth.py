@@ -57,11 +57,11 @@ def _within(times: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def refreshed(cube: DataFrame, cached: DataFrame, changed: DataFrame, value: str = "ndvi", min_obs: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(cached rows that still hold, rows computed): together the growth after a change, from the growth cached before.
+    """(rows computed, cached rows that don't hold any more): the growth after a change, from the growth cached before.
 
     ``cube`` is the cube as it is now, ``changed`` the instants (sector_id, time) whose
     rows came, went or changed. An instant t counts in the results of (t - 60d, t + 30d] alone:
-    these are computed from the times that their windows reach, the others are taken from the cache. A pixel
+    these are computed from the times that their windows reach, the others still hold. A pixel
     that the cache doesn't have is computed at all of its sector's times, one that the cube lost goes. Columns of ``cached``: as of :func:`rolling_growth`.
     """
     times = cube.select("sector_id", "time").distinct()
@@ -76,5 +76,5 @@ def refreshed(cube: DataFrame, cached: DataFrame, changed: DataFrame, value: str
     again = rolling_growth(mine.join(reach, ["sector_id", "time"], "left_semi"), value, min_obs, old).join(stale, ["sector_id", "time"], "left_semi")
     first = rolling_growth(mine.join(new.select("sector_id").distinct(), "sector_id", "left_semi"), value, min_obs, new)
     gone = changed.select("sector_id", "time").unionByName(stale).distinct()  # a changed instant may be no time of the cube any more
-    kept = cached.join(gone, ["sector_id", "time"], "left_anti").join(lost, ["sector_id", "y", "x"], "left_anti")
-    return kept, again.unionByName(first)
+    old_rows = cached.join(gone, ["sector_id", "time"], "left_semi").unionByName(cached.join(gone, ["sector_id", "time"], "left_anti").join(lost, ["sector_id", "y", "x"], "left_semi"))
+    return again.unionByName(first), old_rows.select("sector_id", "time", "y", "x")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from fieldcube import schema
 from fieldcube.functions import indices
 from fieldcube.operators import growth
+from fieldcube.sources.partitioned import PartitionedCache
 from fieldcube.sources.staging import Staged
-from fieldcube.sources.tables import Cache
 
 INSTANT = ["sector_id", "time"]
 
@@ -21,14 +21,14 @@ INSTANT = ["sector_id", "time"]
 class Derived:
     """The caches of composites (one column each) and of growth."""
 
-    composites: Cache
-    growth: Cache
+    composites: PartitionedCache
+    growth: PartitionedCache
 
     @classmethod
     def at(cls, spark: SparkSession, folder: str, names: Sequence[str]) -> Derived:
         """The caches below a folder; growth needs ndvi, which is always kept."""
         columns = "".join(f", {n} double" for n in sorted({*names, "ndvi"}))
-        return cls(Cache(spark, f"{folder}/composites", schema.PIXEL + columns), Cache(spark, f"{folder}/growth", schema.PIXEL + ", ags double"))
+        return cls(PartitionedCache(spark, f"{folder}/composites", schema.PIXEL + columns), PartitionedCache(spark, f"{folder}/growth", schema.PIXEL + ", ags double"))
 
 
 def changed_instants(bands: DataFrame, composites: DataFrame, also: DataFrame | None = None) -> DataFrame:
@@ -42,16 +42,17 @@ def refresh(store: Derived, bands: DataFrame, replaced: DataFrame | None = None,
     """Bring both caches up to the bands' cache; composites and growth as they are then, and ``computed``: the rows of growth that were.
 
     ``replaced``: instants whose rows changed in the bands' cache. Composites are computed for
-    changed instants alone, growth for the times whose windows hold one. Running it again computes nothing.
+    changed instants alone, growth for the times whose windows hold one, and of both caches only
+    the partitions of these are written. Running it again computes nothing.
     """
     tables = Staged(bands.sparkSession, "derived")
     old = store.composites.read()
     changed = tables.table(changed_instants(bands, old, replaced))
     names = [c for c in old.columns if c in indices.RULES]
     made = indices.composites(bands.join(changed, INSTANT, "left_semi"), names)
-    store.composites.write(old.join(changed, INSTANT, "left_anti").unionByName(made.select(*old.columns)))
+    store.composites.merge(made.select(*old.columns), gone=changed)
     composites = store.composites.read()
-    kept, done = growth.refreshed(composites.select(*INSTANT, "y", "x", "ndvi"), store.growth.read(), changed, "ndvi", min_obs)
+    done, gone = growth.refreshed(composites.select(*INSTANT, "y", "x", "ndvi"), store.growth.read(), changed, "ndvi", min_obs)
     computed = tables.table(done)
-    store.growth.write(kept.unionByName(computed))
+    store.growth.merge(computed, keys=(*INSTANT, "y", "x"), gone=gone)
     return {"composites": composites, "growth": store.growth.read(), "computed": computed}

@@ -22,6 +22,7 @@ from fieldcube.functions import geometry as g
 from fieldcube.operators import dates, spatial, sync
 from fieldcube.operators.components import components
 from fieldcube.sources import tiff
+from fieldcube.sources.partitioned import PartitionedCache
 from fieldcube.sources.providers import retried
 from fieldcube.sources.staging import Staged
 from fieldcube.sources.tables import Cache
@@ -126,9 +127,9 @@ def fetch(wanted: DataFrame, transport: str, retries: int = 1, wait: float = 5.0
 
 @dataclass
 class Store:
-    """A product's tables: cells, empty days (of all products), downloads not yet worked in, and what was asked for."""
+    """A product's tables: cells in partitions, empty days (of all products), downloads not yet worked in, and what was asked for."""
 
-    cube: Cache
+    cube: PartitionedCache
     no_data: Cache
     staged: Cache
     ledger: Cache
@@ -137,8 +138,9 @@ class Store:
     def at(cls, spark: SparkSession, folder: str, product: str) -> Store:
         """The tables below a folder."""
         cells = schema.PIXEL + "".join(f", {v} double" for v in registry.PRODUCTS[product].variables)
-        made = {"cube": cells, "no_data": schema.NO_DATA, "staged": schema.STAGED, "ledger": schema.LEDGER}
-        return cls(**{k: Cache(spark, f"{folder.rstrip('/')}/{k}-{product}" if k != "no_data" else f"{folder.rstrip('/')}/{k}", s) for k, s in made.items()})
+        below = folder.rstrip("/")
+        others = {"staged": schema.STAGED, "ledger": schema.LEDGER}
+        return cls(PartitionedCache(spark, f"{below}/cube-{product}", cells), Cache(spark, f"{below}/no_data", schema.NO_DATA), *[Cache(spark, f"{below}/{k}-{product}", s) for k, s in others.items()])
 
 
 def dealt(pixels: DataFrame, asked: DataFrame, lacking: DataFrame, values: Sequence[str], cell: float) -> DataFrame:
@@ -171,7 +173,7 @@ def work_in(store: Store, sectors: DataFrame, product: str, today: str | None, b
     broken = cells.where("_error is not null").select("request_id", "area_id", "time", F.col("_error").alias("error"))
     wide = cells.where("_error is null").groupBy("area_id", "time", "y", "x").agg(*[F.max(F.when(F.col("band") == i, F.col("value"))).alias(v) for i, v in enumerate(kind.variables)])
     daily = one_time_a_day(wide.withColumnRenamed("area_id", "sector_id"), kind.variables).withColumnRenamed("sector_id", "area_id")
-    store.cube.write(sync.upsert(kept, dealt(daily, asked, lacking.select("sector_id", "d"), kind.variables, max(buffer, tile / 256)), "new"))
+    store.cube.merge(dealt(daily, asked, lacking.select("sector_id", "d"), kind.variables, max(buffer, tile / 256)))
     seen = cells.select("area_id", F.to_date("time").alias("d")).distinct()
     told = staged.where("kind = 'empty'").select("area_id", F.to_date("time").alias("d"))
     last = F.date_sub(F.current_date() if today is None else F.to_date(F.lit(today)), kind.hidden_days)

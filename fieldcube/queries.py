@@ -777,7 +777,7 @@ def _acquired(spark: SparkSession, sf: str, product: str, band: str, transport:
     store = satellite.Store.at(spark, f"{staging.shared_dir(spark)}/satellite-{uuid.uuid4().hex}", product)
     parcels = fx.parcels(spark, sf)
     cells = fx.parcel_cells(spark, sf).withColumnRenamed("value", band)
-    store.cube.write(cells.select("*", *[F.lit(None).cast("double").alias(v) for v in registry.PRODUCTS[product].variables if v != band]))
+    store.cube.merge(cells.select("*", *[F.lit(None).cast("double").alias(v) for v in registry.PRODUCTS[product].variables if v != band]))
     return parcels, satellite.update(store, parcels, product, "2024-01-01", "2024-01-30", f"fieldcube.fixtures:{transport}", today="2024-03-01", buffer=0.6, tile=1000.0, wait=0.0)
 
 

@@ -33,7 +33,7 @@ class PartitionedCache:
     """A cube below a folder. ``buckets`` of sectors and the months of times are its partitions; it stays as it was made."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: str, buckets: int = 16):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self.spark, self.folder, self.schema, self.buckets = spark, folder.rstrip("/"), schema, buckets
         self.fields = T.StructType(spark.createDataFrame([], schema).schema.fields)
         self.log = CommitLog(spark, folder)
 
@@ -61,34 +61,42 @@ class PartitionedCache:
         rows = rows if start is None else rows.where(day >= F.to_date(F.lit(start)))
         return rows if end is None else rows.where(day <= F.to_date(F.lit(end)))
 
-    def merge(self, rows: DataFrame, prefer: str = "new", keys: Sequence[str] = ("sector_id", "time")) -> Merge:
+    def merge(self, rows: DataFrame, prefer: str = "new", keys: Sequence[str] = ("sector_id", "time"), gone: DataFrame | None = None) -> Merge:
         """Upsert rows (see :func:`sync.upsert`): only partitions with one of them are read and written.
 
-        If another writer commits first, partitions that it didn't touch keep what was
+        Rows of the cache that have the columns of ``gone`` (sector_id and time among them) are
+        taken out first. If another writer commits before this one, partitions that it didn't touch keep what was
         written; the others are merged with its rows. Rows without a sector or time are refused.
         """
         staged = Staged(self.spark, "merge")
         rows = staged.table(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.fields]))
         if not rows.where("sector_id is null or time is null").isEmpty():
             raise ValueError("rows without a sector or a time have no partition")
-        touched = sorted(f"bucket={r['bucket']}/month={r['month']}" for r in rows.select(*self._where()).distinct().collect())  # buckets * months at most
-        number, made, again = self.log.last(), {}, 0
+        places = rows.select(*self._where())
+        if gone is not None:
+            kinds = {f.name: f.dataType for f in self.fields}
+            gone = staged.table(gone.select(*[F.col(c).cast(kinds[c]).alias(c) for c in gone.columns]).distinct())
+            places = places.unionByName(gone.select(*self._where()))
+        touched = sorted(f"bucket={r['bucket']}/month={r['month']}" for r in places.distinct().collect())  # buckets * months at most
+        number, again = self.log.last(), 0
         base = self.partitions(number)
+        made: dict[str, str | None] = {}
+        seen: dict[str, str | None] = {}
         if not touched:
+            staged.drop()
             return Merge(number, [], 0)
-        seen: dict[str, str | None] = {}
         while True:
             todo = [p for p in touched if p not in made or seen[p] != base.get(p)]
             if todo:
                 old = self._load({p: base[p] for p in todo if p in base})
+                old = old if gone is None else old.join(gone, gone.columns, "left_anti")
                 names = F.concat(F.lit("bucket="), self._where()[0].cast("string"), F.lit("/month="), self._where()[1])
-                mine = rows.where(names.isin(*todo))
                 version = f"v-{uuid.uuid4().hex}"
-                done = sync.upsert(old, mine, prefer, keys).select(*self.fields.names, *self._where())
+                done = sync.upsert(old, rows.where(names.isin(*todo)), prefer, keys).select(*self.fields.names, *self._where())
                 done.repartition("bucket", "month", F.pmod(F.xxhash64("sector_id", "time"), F.lit(4))).write.partitionBy("bucket", "month").parquet(f"{self.folder}/{version}")
-                made |= dict.fromkeys(todo, version)
+                made |= {p: version if gone is None or self.log.exists(f"{version}/{p}") else None for p in todo}  # None: nothing is left
                 seen |= {p: base.get(p) for p in todo}
-            if self.log.commit(number + 1, base | made):
+            if self.log.commit(number + 1, {p: v for p, v in (base | made).items() if v is not None}):
                 staged.drop()
                 return Merge(number + 1, touched, again)
             again += 1

@@ -75,7 +75,7 @@ def synced(spark, place, sectors, product="leaf_area", start="2019-01-01", end="
 def test_gaps_are_downloaded_once(spark, place):
     sectors = [("a", box(0.5, 0.5)), ("b", box(50.5, 0.5))]
     store = satellite.Store.at(spark, f"file://{place}/store", "leaf_area")
-    store.cube.write(spark.createDataFrame([("a", DAY0, 1.0, 1.0, 9.0)], store.cube.schema))
+    store.cube.merge(spark.createDataFrame([("a", DAY0, 1.0, 1.0, 9.0)], store.cube.schema))
     _, got = synced(spark, place, sectors)
     assert fetched(place) == ["a_2019-01-02", "b_2019-01-01"]
     cells = {(r.sector_id, r.time.replace(tzinfo=dt.UTC), r.y, r.x): r.leaf_area for r in got["cube"].collect()}
@@ -129,7 +129,7 @@ def test_touching_parcels_are_one_request(spark, place):
     """Three in a chain and one apart: two requests, and each parcel gets its own cells; a parcel that has a day keeps it."""
     sectors = [("a", box(0.5, 0.5)), ("b", box(3.5, 0.5)), ("c", box(6.5, 0.5)), ("z", box(50.5, 0.5))]
     store = satellite.Store.at(spark, f"file://{place}/store", "bands")
-    store.cube.write(spark.createDataFrame([("b", DAY0 + dt.timedelta(4), 1.0, 4.0, *[7.0] * 13)], store.cube.schema))
+    store.cube.merge(spark.createDataFrame([("b", DAY0 + dt.timedelta(4), 1.0, 4.0, *[7.0] * 13)], store.cube.schema))
     store, got = synced(spark, place, sectors, "bands")
     assert fetched(place) == ["a_2019-01-01", "z_2019-01-01"]
     found = {}
@@ -266,6 +266,11 @@ def result(df):
     return {(r.sector_id, r.time, r.y, r.x): None if r.ags is None else round(r.ags, 9) for r in df.collect()}
 
 
+def after(cached, done, gone):
+    """The cache without what is gone, with what was computed."""
+    return cached.join(gone, gone.columns, "left_anti").unionByName(done)
+
+
 def test_growth_after_random_arrivals(spark):
     """Equal to growth from scratch, and only what the windows reach is computed."""
     whole = sparse(spark, range(0, 400, 3))
@@ -275,24 +280,23 @@ def test_growth_after_random_arrivals(spark):
     before = whole.where(~late)
     changed = whole.where(late).select("sector_id", "time").distinct()
     cached = growth.rolling_growth(before)
-    kept, done = growth.refreshed(whole, cached, changed)
-    assert result(kept.unionByName(done)) == result(growth.rolling_growth(whole))
+    done, gone = growth.refreshed(whole, cached, changed)
+    assert result(after(cached, done, gone)) == result(growth.rolling_growth(whole))
     reach = {r.time for r in done.collect()}
     assert reach == {r.time for r in whole.where("sector_id = 's'").select("time").distinct().collect() if any(c - dt.timedelta(60) < r.time.replace(tzinfo=dt.UTC) <= c + dt.timedelta(30) for c in came)}
     assert {r.sector_id for r in done.collect()} == {"s"}
     # the same days leave again, and with them nothing else
-    kept, done = growth.refreshed(before, growth.rolling_growth(whole), changed)
-    assert result(kept.unionByName(done)) == result(cached)
+    now = growth.rolling_growth(whole)
+    assert result(after(now, *growth.refreshed(before, now, changed))) == result(cached)
 
 
 def test_growth_of_a_new_pixel(spark):
     whole = sparse(spark, range(0, 200, 4), 5).unionByName(spark.createDataFrame([("s", DAY0 + dt.timedelta(100, 36000), 9.0, 9.0, 0.5)], "sector_id string, time timestamp, y double, x double, ndvi double"))
     before = whole.where("x < 9")
     changed = whole.where("x = 9").select("sector_id", "time")
-    kept, done = growth.refreshed(whole, growth.rolling_growth(before), changed)
-    assert result(kept.unionByName(done)) == result(growth.rolling_growth(whole))
-    kept, done = growth.refreshed(before, growth.rolling_growth(whole), changed)
-    assert result(kept.unionByName(done)) == result(growth.rolling_growth(before))
+    first, now = growth.rolling_growth(before), growth.rolling_growth(whole)
+    assert result(after(first, *growth.refreshed(whole, first, changed))) == result(now)
+    assert result(after(now, *growth.refreshed(before, now, changed))) == result(first)
 
 
 def test_derived_caches(spark, tmp_path):
@@ -307,6 +311,10 @@ def test_derived_caches(spark, tmp_path):
     got = derived.refresh(store, changed, replaced=changed.where("date(time) = '2019-02-03'"))
     assert result(got["growth"]) == result(growth.rolling_growth(indices.composites(changed, ["ndvi"])))
     assert 0 < got["computed"].count() < got["growth"].count()
+    fewer = rows.where("x < 2 and date(time) <> '2019-05-01'")  # pixels and an instant go
+    got = derived.refresh(store, fewer, replaced=rows.where("date(time) = '2019-02-03'"))
+    assert result(got["growth"]) == result(growth.rolling_growth(indices.composites(fewer, ["ndvi"])))
+    assert got["composites"].count() == fewer.count()
 
 
 def test_cache_keeps_its_types(spark, tmp_path):

@@ -51,6 +51,16 @@ def test_merge_rewrites_what_it_touches(spark, cache):
         cache.merge(spark.createDataFrame([(None, at(0), 0.0, 0.0, 1.0)], CUBE))
 
 
+def test_rows_that_go(spark, cache):
+    cache.merge(rows(spark, [("a", 0, 1), ("a", 40, 2), ("b", 0, 3)]))
+    gone = rows(spark, [("a", 40, 0), ("b", 5, 0)]).select("sector_id", "time")
+    done = cache.merge(rows(spark, [("b", 1, 4)]), gone=gone)
+    assert held(cache.read()) == [("a", 0, 1.0), ("b", 0, 3.0), ("b", 1, 4.0)]
+    assert len(done.partitions) == 2 and len(cache.partitions()) == 2  # a partition without rows isn't one any more
+    cache.merge(rows(spark, []), gone=cache.read().select("sector_id", "time"))
+    assert cache.partitions() == {} and cache.read().count() == 0
+
+
 def test_two_writers_lose_nothing(spark, cache):
     """Both start from the same commit: one comes second, in the same partition as well as in others."""
     cache.merge(rows(spark, [("a", 0, 1)]))
