@@ -20,6 +20,10 @@ from fieldcube.sources.commits import CommitLog
 from fieldcube.sources.staging import Staged
 
 
+#: Rows that come to a partition on average, above which it is written as several files.
+FILE_ROWS = 2_000_000
+
+
 @dataclass(frozen=True)
 class Merge:
     """What a merge did: its commit's number, the partitions rewritten, and how often it had to start again."""
@@ -78,6 +82,7 @@ class PartitionedCache:
             gone = staged.table(gone.select(*[F.col(c).cast(kinds[c]).alias(c) for c in gone.columns]).distinct())
             places = places.unionByName(gone.select(*self._where()))
         touched = sorted(f"bucket={r['bucket']}/month={r['month']}" for r in places.distinct().collect())  # buckets * months at most
+        spread = max(1, rows.count() // (max(1, len(touched)) * FILE_ROWS))  # files a partition, so that a large one isn't one task
         number, again = self.log.last(), 0
         base = self.partitions(number)
         made: dict[str, str | None] = {}
@@ -93,7 +98,7 @@ class PartitionedCache:
                 names = F.concat(F.lit("bucket="), self._where()[0].cast("string"), F.lit("/month="), self._where()[1])
                 version = f"v-{uuid.uuid4().hex}"
                 done = sync.upsert(old, rows.where(names.isin(*todo)), prefer, keys).select(*self.fields.names, *self._where())
-                done.repartition("bucket", "month", F.pmod(F.xxhash64("sector_id", "time"), F.lit(4))).write.partitionBy("bucket", "month").parquet(f"{self.folder}/{version}")
+                done.repartition("bucket", "month", F.pmod(F.xxhash64("sector_id", "time"), F.lit(spread))).write.partitionBy("bucket", "month").parquet(f"{self.folder}/{version}")
                 made |= {p: version if gone is None or self.log.exists(f"{version}/{p}") else None for p in todo}  # None: nothing is left
                 seen |= {p: base.get(p) for p in todo}
             if self.log.commit(number + 1, {p: v for p, v in (base | made).items() if v is not None}):
