@@ -28,7 +28,7 @@ class Derived:
     def at(cls, spark: SparkSession, folder: str, names: Sequence[str]) -> Derived:
         """The caches below a folder; growth needs ndvi, which is always kept."""
         columns = "".join(f", {n} double" for n in sorted({*names, "ndvi"}))
-        return cls(PartitionedCache(spark, f"{folder}/composites", schema.PIXEL + columns), PartitionedCache(spark, f"{folder}/growth", schema.PIXEL + ", ags double"))
+        return cls(PartitionedCache(spark, f"{folder}/composites", schema.PIXEL + columns, span="yyyy"), PartitionedCache(spark, f"{folder}/growth", schema.PIXEL + ", ags double", span="yyyy"))
 
 
 def changed_instants(bands: DataFrame, composites: DataFrame, also: DataFrame | None = None) -> DataFrame:

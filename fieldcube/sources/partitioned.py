@@ -36,8 +36,9 @@ class Merge:
 class PartitionedCache:
     """A cube below a folder. ``buckets`` of sectors and the months of times are its partitions; it stays as it was made."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, buckets: int = 16):
+    def __init__(self, spark: SparkSession, folder: str, schema: str, buckets: int = 16, span: str = "yyyy-MM"):
         self.spark, self.folder, self.schema, self.buckets = spark, folder.rstrip("/"), schema, buckets
+        self.span = span  # of times: months, or "yyyy" for caches with few rows a month
         self.fields = T.StructType(spark.createDataFrame([], schema).schema.fields)
         self.log = CommitLog(spark, folder)
 
@@ -49,7 +50,7 @@ class PartitionedCache:
     # Rows
 
     def _where(self) -> list[Column]:
-        return [F.pmod(F.xxhash64("sector_id"), F.lit(self.buckets)).cast("int").alias("bucket"), F.date_format("time", "yyyy-MM").alias("month")]
+        return [F.pmod(F.xxhash64("sector_id"), F.lit(self.buckets)).cast("int").alias("bucket"), F.date_format("time", self.span).alias("month")]
 
     def _load(self, partitions: dict[str, str]) -> DataFrame:
         if not partitions:
@@ -60,7 +61,7 @@ class PartitionedCache:
         """All rows, or those of a closed range of days, whose months alone are opened."""
         found = self.partitions(commit)
         month = lambda name: name.rpartition("=")[2]
-        found = {k: v for k, v in found.items() if (start is None or month(k) >= start[:7]) and (end is None or month(k) <= end[:7])}
+        found = {k: v for k, v in found.items() if (start is None or month(k) >= start[: len(self.span)]) and (end is None or month(k) <= end[: len(self.span)])}
         rows, day = self._load(found), F.to_date("time")
         rows = rows if start is None else rows.where(day >= F.to_date(F.lit(start)))
         return rows if end is None else rows.where(day <= F.to_date(F.lit(end)))
