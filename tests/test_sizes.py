@@ -2,7 +2,33 @@
 
 from pyspark.sql import functions as F
 
-from fieldcube.operators import frames
+from fieldcube.operators import frames, spatial
+
+
+def _box(x, y, side):
+    return [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+
+
+RING = "ring array<struct<px: double, py: double>>"
+
+
+def test_large_and_small_rings_meet_on_few_cells(spark):
+    """A ring of 10^13 of the smallest cells, which couldn't be listed."""
+    a = spark.createDataFrame([(1, _box(0.0, 0.0, 30000.0)), (2, _box(-5.0, -5.0, 1.0))], f"id long, {RING}")
+    b = spark.createDataFrame([(1, _box(29999.0, 17.0, 0.005)), (2, _box(-4.5, -4.5, 0.004)), (3, _box(-9.0, 3.0, 8.9)), (4, _box(-9.0, 3.0, 9.0))], f"area_id long, {RING}")
+    assert sorted(map(tuple, spatial.intersecting(a, b, 0.01).collect())) == [(1, 1), (1, 4), (2, 2)]
+
+
+def test_equal_rings_are_one_shape(spark):
+    """Each pair of ids comes once, also of ids with several rings and of rows that are there twice; the pairs of one shape spread."""
+    a = spark.range(2500).select("id", F.lit(None).cast("int").alias("n")).crossJoin(spark.createDataFrame([(_box(0.1, 0.1, 1.5),)], RING)).drop("n")
+    b = a.withColumnRenamed("id", "area_id").where("area_id < 2000")
+    met = spatial.intersecting(a.union(a.limit(3)), b, 2.0)
+    assert met.count() == 2500 * 2000 == met.distinct().count()
+    assert met.select(F.spark_partition_id()).distinct().count() > 1
+    parts = spark.createDataFrame([(7, _box(0.0, 0.0, 1.0)), (7, _box(1.0, 0.0, 1.0)), (None, _box(0.5, 0.5, 1.0))], f"id long, {RING}")
+    twice = spatial.intersecting(parts, spark.createDataFrame([(1, _box(0.9, 0.9, 0.2))], f"area_id long, {RING}"), 1.0)
+    assert sorted(map(tuple, twice.collect()), key=str) == [(7, 1), (None, 1)]
 
 
 def test_rows_of_one_key_spread(spark):
