@@ -668,14 +668,7 @@ def event_props(spark: SparkSession, sf: str) -> DataFrame:
 @query("tiff_roundtrip", sql("SELECT sector_id::VARCHAR AS sector_id, time, y, x, round(fapar, 6) + 0e0 AS fapar FROM fapar", "fapar"))
 def tiff_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Cubes as raster files in memory and back, one file a sector and time."""
-    import pandas as pd
-
-    def encode(rows: pd.DataFrame) -> pd.DataFrame:
-        grid = rows.pivot(index="y", columns="x", values="fapar").sort_index(ascending=False)
-        raster = tiff.Raster(grid.to_numpy()[None], float(grid.columns[0]), float(grid.index[0]), 1.0, 1.0, 4326)
-        return pd.DataFrame([{"sector_id": str(rows["sector_id"].iloc[0]), "time": rows["time"].iloc[0], "payload": tiff.encode(raster)}])
-
-    files = fx.fapar(spark, sf).groupBy("sector_id", "time").applyInPandas(encode, "sector_id string, time timestamp, payload binary")
+    files = tiff.in_memory(fx.fapar(spark, sf), "fapar", 4326)
     return rounded(tiff.explode_tiffs(files, ["sector_id", "time"]).select("sector_id", "time", "y", "x", F.col("value").alias("fapar")), ["fapar"])
 
 

@@ -15,7 +15,6 @@ from collections.abc import Callable, Collection, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +26,8 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, COUNTS, PL
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_COUNTS = 317, 322, 323, 324, 325
 PIXEL_SCALE, TIE_POINT, GEO_KEYS, NODATA = 33550, 33922, 34735, 42113
 _SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 11: 4, 12: 8}
+#: Cells of decoded files that a task hands on together.
+CELLS = 1 << 18
 _CODE = {1: "B", 3: "H", 4: "I", 11: "f", 12: "d"}
 
 
@@ -279,25 +280,61 @@ def band_names(files: int, bands: int, names: str | list | None = None) -> list[
 
 
 def explode_tiffs(payloads: DataFrame, keys: list[str], content: str = "payload") -> DataFrame:
-    """(keys, band, y, x, value, crs) of a column of TIFF files; a file that can't be read gives one row with ``_error``."""
+    """(keys, band, y, x, value, crs) of a column of TIFF files; a file that can't be read gives one row with ``_error``.
+
+    Tables of about ``CELLS`` cells, or of one file, leave a task at a time.
+    """
     kinds = dict(payloads.dtypes)
     schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "band int, y double, x double, value double, crs int, _error string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        """Cells (row of the batch, band, y, x, value, crs) of several files; keys stay as they came, so that times have no other range than Spark's."""
+        at, band, y, x, value, crs, error = zip(*held, strict=True)
+        sizes = [len(v) for v in value]
+        values, own = np.concatenate(value), pa.array(np.repeat(at, sizes))
+        each = lambda v, kind: pa.array(v, kind).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        bad = each([e is not None for e in error], pa.bool_()).to_numpy(zero_copy_only=False)
+        cells_ = [pa.array(np.concatenate(band), pa.int32(), mask=bad), pa.array(np.concatenate(y), mask=bad), pa.array(np.concatenate(x), mask=bad), pa.array(values, mask=np.isnan(values))]
+        return pa.RecordBatch.from_arrays([*[batch.column(k).take(own) for k in range(len(keys))], *cells_, each(crs, pa.int32()), each(error, pa.string())], names=[*keys, "band", "y", "x", "value", "crs", "_error"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                own = {k: getattr(row, k) for k in keys}
+            held, size = [], 0
+            for at, raw in enumerate(batch.column(len(keys))):
                 try:
-                    r = decode(bytes(getattr(row, content)))
+                    r = decode(bytes(raw.as_py()))
+                    n, height, width = r.bands.shape
+                    places = np.indices((n, height, width)).reshape(3, -1)
+                    held.append((at, places[0], r.y0 - places[1] * r.dy, r.x0 + places[2] * r.dx, r.bands.ravel(), r.crs, None))
                 except (ValueError, struct.error, KeyError, TypeError, zlib.error) as e:
-                    yield pd.DataFrame([own | {"band": None, "y": None, "x": None, "value": None, "crs": None, "_error": str(e)}])
-                    continue
-                n, height, width = r.bands.shape
-                band, y, x = (a.ravel() for a in np.indices((n, height, width)))
-                values = r.bands.ravel()
-                yield pd.DataFrame({k: [v] * values.size for k, v in own.items()} | {"band": band, "y": r.y0 - y * r.dy, "x": r.x0 + x * r.dx, "value": pd.array(np.where(np.isnan(values), None, values), "Float64"), "crs": r.crs, "_error": None})
+                    held.append((at, [0], [0.0], [0.0], [np.nan], None, str(e)))
+                size += len(held[-1][1])
+                if size >= CELLS:
+                    yield made(batch, held)
+                    held, size = [], 0
+            if held:
+                yield made(batch, held)
+
+    return payloads.select(*keys, content).mapInArrow(run, schema)
+
+
+def in_memory(cube: DataFrame, value: str, crs: int | None = None) -> DataFrame:
+    """(sector_id, time, payload) of a cube (sector_id, time, y, x, value): one file a sector and time, with cells a unit apart. Cells of the same place are bands of it, in any order."""
+
+    def encoded(rows: pa.Table) -> pa.Table:
+        y, x, v = (rows.column(c).to_numpy() for c in ("y", "x", value))
+        (xs, column), (ys, row) = np.unique(x, return_inverse=True), np.unique(-y, return_inverse=True)
+        place = row * len(xs) + column
+        order = np.argsort(place, kind="stable")
+        band = np.empty(len(place), int)
+        band[order] = np.arange(len(place)) - np.searchsorted(place[order], place[order])
+        grid = np.full((band.max() + 1, len(ys), len(xs)), np.nan)
+        grid[band, row, column] = v
+        payload = encode(Raster(grid, float(xs[0]), float(-ys[0]), 1.0, 1.0, crs))
+        return pa.table([rows.column("sector_id").slice(0, 1), rows.column("time").slice(0, 1), pa.array([payload], pa.binary())], names=["sector_id", "time", "payload"])
 
-    return payloads.select(*keys, content).mapInPandas(run, schema)
+    rows = cube.select(F.col("sector_id").cast("string").alias("sector_id"), F.col("time").cast("timestamp").alias("time"), "y", "x", value)
+    return rows.groupBy("sector_id", "time").applyInArrow(encoded, "sector_id string, time timestamp, payload binary")
 
 
 def read_tiffs(spark: SparkSession, path: str) -> DataFrame:
@@ -393,24 +430,27 @@ def write_tiffs(cube: DataFrame, value: str, folder: str, crs: int | None = None
     cells of every file, where they don't follow from its rows; ``tile`` and ``deflate`` as in :func:`encode`.
     """
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
+    def write(rows: pa.Table) -> pa.Table:
+        y, x, v = (rows.column(c).to_numpy() for c in ("y", "x", "_v"))
         if grid is None:
-            xs, ys = np.unique(rows["x"]), np.unique(rows["y"])[::-1]
+            xs, ys = np.unique(x), np.unique(y)[::-1]
         else:
             xs, ys = grid[0] + grid[2] * np.arange(grid[3]), grid[1] - grid[2] * np.arange(grid[4])
         cells = np.full((1, len(ys), len(xs)), np.nan)
-        cells[0, len(ys) - 1 - np.searchsorted(ys[::-1], rows["y"]), np.searchsorted(xs, rows["x"])] = rows[value].astype(float)
+        cells[0, len(ys) - 1 - np.searchsorted(ys[::-1], y), np.searchsorted(xs, x)] = v
         step = lambda a: float(abs(a[1] - a[0])) if len(a) > 1 else 1.0
-        time, sector = rows["time"].iloc[0], str(rows["sector_id"].iloc[0])
+        sector, name = str(rows.column("sector_id")[0].as_py()), rows.column("_name")[0].as_py()
         where, base = fs.FileSystem.from_uri(folder)
-        path = f"{base}/{sector}/{value}_{time.isoformat().replace(':', '-')}.tiff"
+        path = f"{base}/{sector}/{value}_{name}.tiff"
         if where.get_file_info(path).type == fs.FileType.NotFound:
             where.create_dir(f"{base}/{sector}")
             part = f"{path}.{uuid.uuid4().hex}.part"  # two attempts of a task don't share a file
             with where.open_output_stream(part) as out:
                 out.write(encode(Raster(cells, float(xs[0]), float(ys[0]), step(xs), step(ys), crs), tile, deflate))
             where.move(part, path)
-        return pd.DataFrame([{"sector_id": sector, "time": time, "path": path}])
+        return pa.table([pa.array([sector]), rows.column("time").slice(0, 1), pa.array([path])], names=["sector_id", "time", "path"])
 
-    rows = cube.select(F.col("sector_id").cast("string").alias("sector_id"), F.col("time").cast("timestamp").alias("time"), "y", "x", value)
-    return rows.groupBy("sector_id", "time").applyInPandas(write, "sector_id string, time timestamp, path string")
+    rows = cube.select(F.col("sector_id").cast("string").alias("sector_id"), F.col("time").cast("timestamp").alias("time"), "y", "x", F.col(value).cast("double").alias("_v"))
+    part = F.expr("if(date_format(time, 'SSSSSS') = '000000', '', date_format(time, '.SSSSSS'))")
+    rows = rows.withColumn("_name", F.concat(F.date_format("time", "yyyy-MM-dd'T'HH-mm-ss"), part))
+    return rows.groupBy("sector_id", "time").applyInArrow(write, "sector_id string, time timestamp, path string")

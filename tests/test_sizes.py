@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldcube.operators import frames, spatial
+from fieldcube.sources import tiff
 
 
 def _box(x, y, side):
@@ -40,3 +41,18 @@ def test_rows_of_one_key_spread(spark):
     assert got.groupBy("a").count().select("count").distinct().collect()[0][0] == 4500
     assert got.select(F.spark_partition_id()).distinct().count() > 1
     assert frames.merge(a, spark.createDataFrame([(None, "x"), (6, "y")], "k int, b string")).count() == 0
+
+
+def test_raster_files_of_far_days_and_copies(spark):
+    """Files in memory and back for times that nanoseconds don't reach, and cells that are there twice."""
+    rows = spark.sql("select 's' as sector_id, timestamp'2400-05-01 00:00:00' as time, cast(id div 2 as double) as y, cast(id % 2 as double) as x, if(id = 3, null, id / 4) as v from range(6)")
+    back = lambda df: tiff.explode_tiffs(tiff.in_memory(df, "v"), ["sector_id", "time"]).selectExpr("sector_id", "string(time)", "y", "x", "value")
+    want = sorted(map(tuple, rows.selectExpr("sector_id", "string(time)", "y", "x", "v").collect()), key=str)
+    assert sorted(map(tuple, back(rows).collect()), key=str) == want
+    assert sorted(map(tuple, back(rows.union(rows)).collect()), key=str) == sorted(want * 2, key=str)
+
+
+def test_files_of_far_days_have_names(spark, tmp_path):
+    rows = spark.sql("select 's' as sector_id, timestamp'2400-05-01 06:00:00.5' as time, 1D as y, 2D as x, 0.5D as v")
+    (path,) = [r.path for r in tiff.write_tiffs(rows, "v", f"file://{tmp_path}/out").collect()]
+    assert path.endswith("/s/v_2400-05-01T06-00-00.500000.tiff")
