@@ -119,7 +119,8 @@ def fetch(wanted: DataFrame, transport: str, retries: int = 1, wait: float = 5.0
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _FETCHED, strict=True)], schema=_FETCHED)
                         held, size = [], 0
 
-    return wanted.repartition("request_id").mapInArrow(run, "request_id string, kind string, time timestamp, payload binary, error string")
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as few bytes of requests are much work
+    return wanted.repartition(tasks, "request_id").mapInArrow(run, "request_id string, kind string, time timestamp, payload binary, error string")
 
 
 # The caches

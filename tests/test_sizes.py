@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldcube.operators import frames, spatial
+from fieldcube.plans import satellite
 from fieldcube.sources import tiff
 
 
@@ -56,3 +57,12 @@ def test_files_of_far_days_have_names(spark, tmp_path):
     rows = spark.sql("select 's' as sector_id, timestamp'2400-05-01 06:00:00.5' as time, 1D as y, 2D as x, 0.5D as v")
     (path,) = [r.path for r in tiff.write_tiffs(rows, "v", f"file://{tmp_path}/out").collect()]
     assert path.endswith("/s/v_2400-05-01T06-00-00.500000.tiff")
+
+
+def test_requests_are_dealt_to_all_tasks(spark):
+    """Few bytes of requests are much work: they aren't put together to one task."""
+    ring = "array(" + ", ".join(f"named_struct('px', {x}D, 'py', {y}D)" for x, y in ((0, 0), (2, 0), (2, 2), (0, 0))) + ")"
+    wanted = spark.range(40).selectExpr("string(id) as request_id", "string(id) as area_id", "'leaf_area' as product", "date'2024-01-01' as start", "date'2024-01-02' as end", f"array({ring}) as rings")
+    got = satellite.fetch(wanted, "fieldcube.fixtures:Archive", wait=0.0)
+    assert got.where("kind = 'done'").count() == 40
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
