@@ -373,7 +373,7 @@ _SIDES = """new_ AS (SELECT sector_id, time, y, x, b08 AS v FROM bands WHERE tim
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    b = fx.bands(spark, sf)
+    b = fx.bands(spark, sf, fx.exact_mean)
     return b.where("time < timestamp'1999-01-01'").select(*cube.KEYS, F.col("b04").alias("v")), b.where("time >= timestamp'1998-01-01'").select(*cube.KEYS, F.col("b08").alias("v"))
 
 

@@ -1,7 +1,11 @@
 """Steps whose work must follow the input's size, not the number of equal keys or the size of shapes."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
+from fieldcube import fixtures, queries
 from fieldcube.operators import frames, spatial
 from fieldcube.plans import satellite
 from fieldcube.sources import tiff
@@ -66,3 +70,26 @@ def test_requests_are_dealt_to_all_tasks(spark):
     got = satellite.fetch(wanted, "fieldcube.fixtures:Archive", wait=0.0)
     assert got.where("kind = 'done'").count() == 40
     assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_means_dont_follow_the_order_of_rows(spark, tmp_path):
+    """A cell of 32 rows whose mean, 0.0303125, lies halfway between two rounded values."""
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 10) / 100, rng.randint(0, 8) / 100) for _ in range(32)]
+    for n, some in enumerate((rows, rows[::-1], sorted(rows))):
+        df = spark.createDataFrame(some, "l_discount double, l_tax double").selectExpr("*", "5L as l_suppkey", "1 as l_linenumber", "10D as l_quantity", "100D as l_extendedprice", "timestamp'1996-01-01 00:00:00' as l_shipdate")
+        df.coalesce(1).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        (row,) = queries.QUERIES["cube_concat"](spark, f"{tmp_path}/{n}").collect()
+        assert (row.v, row.w) == (0.030313, None)
+
+
+def test_exact_mean_of_odd_numbers(spark):
+    """As one correctly rounded sum; finer, large and missing numbers count as in a plain mean."""
+    mean = lambda *values: spark.createDataFrame([(v,) for v in values], "a double").agg(fixtures.exact_mean(F.col("a"))).first()[0]
+    assert mean(0.1, 0.2) == (0.1 + 0.2) / 2 and mean(None, 0.3) == 0.3 and mean(None) is None
+    rng = random.Random(1)
+    some = [rng.choice((rng.randint(0, 10) / 100, rng.randint(90000, 9999999) / 100, rng.uniform(-9e4, 9e4))) for _ in range(500)]
+    assert mean(*some) == mean(*some[::-1]) == math.fsum(some) / 500
+    assert mean(1e300, -2.5) == 5e299 and mean(2.0**60, 0.5) == 2.0**59
+    assert mean(1e-300, 3e-300) == 2e-300 and math.isclose(mean(1e-9, -3e-9), -1e-9)
+    assert math.isnan(mean(math.nan, 1.0)) and mean(-math.inf, 1.0) == -math.inf
