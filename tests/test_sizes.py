@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -48,6 +49,16 @@ def test_rows_of_one_key_spread(spark):
     assert frames.merge(a, spark.createDataFrame([(None, "x"), (6, "y")], "k int, b string")).count() == 0
 
 
+def test_pairs_arent_held_by_block(spark):
+    """The loops over two blocks aren't compiled into one, which would hold the rows of all their pairs before it gives out the first."""
+    a, b = spark.range(30).selectExpr("id % 2 as k", "string(id) as a", "id as more"), spark.range(20).selectExpr("id % 3 as k", "string(id) as b")
+    got = frames.merge(a, b)
+    assert sorted(map(tuple, got.collect())) == sorted((i % 2, str(i), i, str(j)) for i in range(30) for j in range(20) if i % 2 == j % 3)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    outer, inner = re.findall(r"([*]\(\d+\) )?Generate ", plan)[1::-1]
+    assert inner and outer != inner
+
+
 def test_raster_files_of_far_days_and_copies(spark):
     """Files in memory and back for times that nanoseconds don't reach, and cells that are there twice."""
     rows = spark.sql("select 's' as sector_id, timestamp'2400-05-01 00:00:00' as time, cast(id div 2 as double) as y, cast(id % 2 as double) as x, if(id = 3, null, id / 4) as v from range(6)")
